@@ -12,7 +12,7 @@ from salesdeck.functions.money import dollars, round_half_up, round_whole
 from salesdeck.operators.joins import join_dim
 from salesdeck.params import DEFAULT, Params
 from salesdeck.plans.facts import customer_totals, order_totals, priced_lines
-from salesdeck.plans.people import rep_performance
+from salesdeck.plans.people import rep_rows
 from salesdeck.sources.star import Star
 
 
@@ -130,7 +130,7 @@ def fn_round(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def fn_labels(star: Star, params: Params = DEFAULT) -> DataFrame:
-    reps = rep_performance(star, params)
+    reps = rep_rows(star, params)
     p = F.col("total_profit")
     return reps.select("employeeNumber", thousands_label(p).alias("profit_k_label"),
                        grouped_label(p).alias("profit_label"))

@@ -76,9 +76,7 @@ def tier_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s, i + 1) for i, s in enumerate(TIERS)], schema)
 
 
-def segment_summary_ordered(star: Star, params: Params = DEFAULT) -> DataFrame:
-    """Summary in fixed tier order; a tier without customers keeps its row
-    (count and total 0, averages NULL)."""
+def _summary_ordered(star: Star, params: Params) -> DataFrame:
     s = _summary(_segmented(star, params, False))
     t = tier_table(star.orders.sparkSession)
     # s has at most 4 rows (one per tier): broadcast is bounded
@@ -86,13 +84,19 @@ def segment_summary_ordered(star: Star, params: Params = DEFAULT) -> DataFrame:
         "segment", "tier_order",
         F.coalesce("num_customers", F.lit(0).cast("long")).alias("num_customers"),
         F.coalesce("total_profit", F.lit(0.0)).alias("total_profit"),
-        "avg_profit", "avg_orders").orderBy("tier_order")
+        "avg_profit", "avg_orders")
+
+
+def segment_summary_ordered(star: Star, params: Params = DEFAULT) -> DataFrame:
+    """Summary in fixed tier order; a tier without customers keeps its row
+    (count and total 0, averages NULL)."""
+    return _summary_ordered(star, params).orderBy("tier_order")
 
 
 def segment_share(star: Star, params: Params = DEFAULT) -> DataFrame:
     """Share of customers per tier, in percent (the donut).  The window spans
     the 4-row tier summary only."""
-    s = segment_summary_ordered(star, params).select("segment", "tier_order", "num_customers")
+    s = _summary_ordered(star, params).select("segment", "tier_order", "num_customers")
     tot = F.sum("num_customers").over(Window.partitionBy())
     return s.select("segment", "tier_order", "num_customers",
                     round_half_up(safe_ratio(F.col("num_customers") * F.lit(100), tot), 1)
@@ -125,7 +129,7 @@ def segment_filter(star: Star, params: Params = DEFAULT, segment: str = "All") -
 
 def segment_code_lookup(star: Star, params: Params = DEFAULT) -> DataFrame:
     """Tier -> display colour by map lookup, with a default for 'no tier'."""
-    d = dormant_with_segment(star, params)
+    d = dormant_rows(star, params)
     cmap = F.create_map(*[F.lit(x) for kv in TIER_COLOURS.items() for x in kv])
     return d.select("customerNumber", "segment",
                     F.coalesce(F.try_element_at(cmap, F.col("segment")), F.lit(NO_TIER_COLOUR))
@@ -166,7 +170,7 @@ def dormant_customers(star: Star, params: Params = DEFAULT) -> DataFrame:
         .orderBy(F.desc("days_since_order"), "customerNumber")
 
 
-def dormant_with_segment(star: Star, params: Params = DEFAULT) -> DataFrame:
+def dormant_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
     """App form: plus tier and lifetime profit (cancelled excluded) by a left
     join on the key; a customer with only cancelled orders has NULL tier."""
     d = _last_orders(star, params)
@@ -175,13 +179,16 @@ def dormant_with_segment(star: Star, params: Params = DEFAULT) -> DataFrame:
         "customerNumber", "segment", dollars("profit_cents").alias("total_profit"))
     return d.join(c, "customerNumber").join(seg, "customerNumber", "left").select(
         "customerNumber", "customerName", "city", "country", "last_order_date",
-        "days_since", "segment", "total_profit") \
-        .orderBy(F.desc("days_since"), "customerNumber")
+        "days_since", "segment", "total_profit")
+
+
+def dormant_with_segment(star: Star, params: Params = DEFAULT) -> DataFrame:
+    return dormant_rows(star, params).orderBy(F.desc("days_since"), "customerNumber")
 
 
 def dormant_top15(star: Star, params: Params = DEFAULT) -> DataFrame:
     """The dormant chart/table: longest inactive first, name cut to the label width."""
-    d = dormant_with_segment(star, params)
+    d = dormant_rows(star, params)
     t = top_k(d, [F.desc("days_since"), F.asc("customerNumber")], params.top_dormant)
     return t.select(F.col("customerName"),
                     truncate(F.col("customerName"), params.label_width).alias("label"),
@@ -190,7 +197,7 @@ def dormant_top15(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 def fn_truncate_label(star: Star, params: Params = DEFAULT) -> DataFrame:
     """Label truncation on every dormant customer: app rule and web-page rule."""
-    d = dormant_with_segment(star, params)
+    d = dormant_rows(star, params)
     text = F.concat(F.col("customerName"), F.lit(" ("), F.col("country"), F.lit(")"))
     return d.select("customerNumber", text.alias("label_full"),
                     truncate(text, params.label_width).alias("label_app"),
@@ -199,6 +206,6 @@ def fn_truncate_label(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 def reengagement_target(star: Star, params: Params = DEFAULT) -> DataFrame:
     """The dormant customer with the highest lifetime profit."""
-    d = dormant_with_segment(star, params)
+    d = dormant_rows(star, params)
     return top_k(d, [F.desc_nulls_last("total_profit"), F.asc("customerNumber")], 1).select(
         "customerNumber", "customerName", "country", "segment", "days_since", "total_profit")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from salesdeck.operators.ranking import top_k
 from salesdeck.params import DEFAULT, Params
-from salesdeck.plans.people import rep_performance
+from salesdeck.plans.people import rep_rows
 from salesdeck.sinks import column_document
 from salesdeck.sources.star import Star
 
@@ -16,7 +16,7 @@ def rep_json_document(star: Star, params: Params = DEFAULT) -> DataFrame:
     """Column document of the rep chart: the ``top_dormant`` (15) best reps,
     best first.  The chart is a top-k report, so the document is bounded; the
     full rep table is written as rows by ``sinks.write_rows``."""
-    reps = rep_performance(star, params)
+    reps = rep_rows(star, params)
     top = top_k(reps, [F.desc("total_profit"), F.asc("employeeNumber")], params.top_dormant) \
         .withColumn("pos", F.row_number().over(  # over the k rows only
             Window.orderBy(F.desc("total_profit"), "employeeNumber")))

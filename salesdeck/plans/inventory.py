@@ -31,7 +31,7 @@ def low_stock(star: Star, params: Params = DEFAULT) -> DataFrame:
                  params.top_low_stock)
 
 
-def product_performance(star: Star, params: Params = DEFAULT) -> DataFrame:
+def product_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
     """Revenue and profit of every catalogue product, by correlated scalar
     subqueries as written in SQL; Catalyst rewrites each into an aggregate
     plus a left outer join, so no per-product probe runs.  A product that was
@@ -45,15 +45,18 @@ def product_performance(star: Star, params: Params = DEFAULT) -> DataFrame:
                / 100.0D AS profit
         FROM {products} p
     """
-    df = spark.sql(q, lines=priced_lines(star), products=star.products)
-    return df.orderBy(F.desc_nulls_last("revenue"), "productCode")
+    return spark.sql(q, lines=priced_lines(star), products=star.products)
+
+
+def product_performance(star: Star, params: Params = DEFAULT) -> DataFrame:
+    return product_rows(star, params).orderBy(F.desc_nulls_last("revenue"), "productCode")
 
 
 def priority_restock(star: Star, params: Params = DEFAULT) -> DataFrame:
     """Products in both top lists: most urgent stock ratio and highest revenue
     (the reference's chained CTEs; the intersection is a semi join)."""
     low = low_stock(star, params)
-    perf = product_performance(star, params).select("productCode", "revenue")
+    perf = product_rows(star, params).select("productCode", "revenue")
     top_rev = top_k(perf, [F.desc_nulls_last("revenue"), F.asc("productCode")], params.top_revenue)
     return low.join(top_rev.select("productCode"), "productCode", "left_semi")
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from salesdeck.functions.money import round_half_up, safe_ratio
 from salesdeck.params import DEFAULT, Params
-from salesdeck.plans.customers import _segmented, dormant_with_segment
-from salesdeck.plans.people import office_performance, rep_performance
+from salesdeck.plans.customers import _segmented, dormant_rows
+from salesdeck.plans.people import _reps, office_rows, rep_rows
 from salesdeck.plans.facts import rep_totals
 from salesdeck.sources.star import Star
 
@@ -34,13 +34,16 @@ def platinum_share(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def kpi_strip(star: Star, params: Params = DEFAULT) -> DataFrame:
-    reps = rep_performance(star, params)
-    offices = office_performance(star, params)
+    reps = rep_rows(star, params)
+    offices = office_rows(star, params)
     top_rep = reps.agg(F.max_by("sales_rep", F.struct("total_profit", -F.col("employeeNumber")))).scalar()
     top_office = offices.agg(F.max_by("city", F.struct("total_profit", F.col("city")))).scalar()
-    n_dormant = dormant_with_segment(star, params).agg(F.count(F.lit(1))).scalar()
+    n_dormant = dormant_rows(star, params).agg(F.count(F.lit(1))).scalar()
     share = platinum_share(star, params).select("platinum_share_pct").scalar()
-    total = rep_totals(star, params).agg(F.sum("profit_cents").alias("c"))
+    # profit over the reference's base join: only customers whose rep is an
+    # employee with an office count (a semi join, no columns added)
+    total = rep_totals(star, params).join(_reps(star).select("employeeNumber"), "employeeNumber",
+                                          "left_semi").agg(F.sum("profit_cents").alias("c"))
     return total.select(
         round_half_up(F.col("c") / F.lit(100.0) / F.lit(1_000_000.0), 2).alias("total_profit_m"),
         top_rep.alias("top_rep"), top_office.alias("top_office"),

@@ -21,15 +21,20 @@ def _reps(star: Star) -> DataFrame:
     return join_dim(star.employees, off, "officeCode", bounded=True)
 
 
-def rep_performance(star: Star, params: Params = DEFAULT) -> DataFrame:
-    """Per rep: distinct customers, distinct orders, profit; every status counts."""
+def rep_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
+    """Per rep: distinct customers, distinct orders, profit; every status counts.
+    (Unordered: for reuse inside other plans.)"""
     r = rep_totals(star, params).join(_reps(star), "employeeNumber")
     return r.select(
         "employeeNumber",
         full_name("firstName", "lastName").alias("sales_rep"),
         "jobTitle", "office", "total_customers", "total_orders",
         dollars("profit_cents").alias("total_profit"),
-    ).orderBy(F.desc("total_profit"), "employeeNumber")
+    )
+
+
+def rep_performance(star: Star, params: Params = DEFAULT) -> DataFrame:
+    return rep_rows(star, params).orderBy(F.desc("total_profit"), "employeeNumber")
 
 
 def _hierarchy(star: Star) -> DataFrame:
@@ -94,11 +99,14 @@ def _office_totals(star: Star, params: Params) -> DataFrame:
     return join_dim(agg, star.offices, "officeCode", bounded=True)
 
 
-def office_performance(star: Star, params: Params = DEFAULT) -> DataFrame:
+def office_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
     o = _office_totals(star, params)
     return o.select("city", "country", "territory", "num_reps", "num_customers",
-                    dollars("profit_cents").alias("total_profit"), "officeCode") \
-            .orderBy(F.desc("total_profit"), "officeCode").drop("officeCode")
+                    dollars("profit_cents").alias("total_profit"), "officeCode")
+
+
+def office_performance(star: Star, params: Params = DEFAULT) -> DataFrame:
+    return office_rows(star, params).orderBy(F.desc("total_profit"), "officeCode").drop("officeCode")
 
 
 
@@ -107,7 +115,7 @@ def rep_profit_flagged(star: Star, params: Params = DEFAULT) -> DataFrame:
 
     The maximum is a one-row aggregate evaluated as a scalar subquery, not a
     window over all reps (which would run in one task)."""
-    reps = rep_performance(star, params)
+    reps = rep_rows(star, params)
     top = reps.agg(F.max("total_profit")).scalar()
     return reps.select("employeeNumber", "sales_rep", "total_profit",
                        (F.col("total_profit") == top).alias("is_top"),
@@ -116,13 +124,13 @@ def rep_profit_flagged(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 def rep_rank(star: Star, params: Params = DEFAULT) -> DataFrame:
     """Position of each rep by profit (desc, employee number breaks ties)."""
-    reps = rep_performance(star, params).select("employeeNumber", "sales_rep", "total_profit")
+    reps = rep_rows(star, params).select("employeeNumber", "sales_rep", "total_profit")
     return global_row_number(reps, [F.desc("total_profit"), F.asc("employeeNumber")], "rank")
 
 
 def rep_profit_per_customer(star: Star, params: Params = DEFAULT) -> DataFrame:
     """Profit per customer for each rep, best first."""
-    reps = rep_performance(star, params)
+    reps = rep_rows(star, params)
     return reps.select("employeeNumber", "sales_rep", "total_customers", "total_profit",
                        round_half_up(safe_ratio(F.col("total_profit"), F.col("total_customers")), 2)
                        .alias("profit_per_customer")) \

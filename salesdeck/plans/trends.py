@@ -28,7 +28,7 @@ def monthly_revenue(star: Star, params: Params = DEFAULT) -> DataFrame:
     ).orderBy("year", "month")
 
 
-def monthly_revenue_period(star: Star, params: Params = DEFAULT) -> DataFrame:
+def monthly_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
     """App form: year text, month number, and the first day of the month."""
     t = _order_months(star, params)
     return t.groupBy(F.trunc("orderDate", "MM").alias("period")).agg(
@@ -37,7 +37,11 @@ def monthly_revenue_period(star: Star, params: Params = DEFAULT) -> DataFrame:
         dollars(F.sum("profit_cents")).alias("profit"),
     ).select(F.year("period").cast("string").alias("year"),
              F.month("period").cast("long").alias("month"),
-             "period", "num_orders", "revenue", "profit").orderBy("period")
+             "period", "num_orders", "revenue", "profit")
+
+
+def monthly_revenue_period(star: Star, params: Params = DEFAULT) -> DataFrame:
+    return monthly_rows(star, params).orderBy("period")
 
 
 def _line_year(star: Star, params: Params) -> DataFrame:
@@ -73,7 +77,7 @@ def product_line_pivot(star: Star, params: Params = DEFAULT) -> DataFrame:
 def monthly_by_year_series(star: Star, params: Params = DEFAULT) -> DataFrame:
     """One row per year with its months and revenues as ordered lists (one chart
     trace per year).  A year holds at most 12 points: the group is bounded."""
-    m = monthly_revenue_period(star, params)
+    m = monthly_rows(star, params)
     g = m.groupBy("year").agg(F.sort_array(F.collect_list(F.struct("month", "revenue"))).alias("pts"))
     return g.select("year",
                     F.transform("pts", lambda p: p["month"]).alias("months"),
@@ -84,7 +88,7 @@ def monthly_by_year_series(star: Star, params: Params = DEFAULT) -> DataFrame:
 def monthly_margin_proxy(star: Star, params: Params = DEFAULT) -> DataFrame:
     """The web page's monthly table: newest first, 'profit' shown as 40% of
     revenue.  Named ``approx_profit`` because it is not the profit."""
-    m = monthly_revenue_period(star, params)
+    m = monthly_rows(star, params)
     return m.select("year", F.date_format("period", "yyyy-MM").alias("period_label"), "revenue",
                     round_whole(F.col("revenue") * F.lit(0.4)).alias("approx_profit"), "period") \
             .orderBy(F.desc("period")).drop("period")
@@ -92,7 +96,7 @@ def monthly_margin_proxy(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 def seasonal_peak(star: Star, params: Params = DEFAULT) -> DataFrame:
     """Per year: the month of highest revenue and its ratio to January."""
-    m = monthly_revenue_period(star, params)
+    m = monthly_rows(star, params)
     g = m.groupBy("year").agg(
         F.max_by("month", F.struct("revenue", -F.col("month"))).alias("peak_month"),
         F.max("revenue").alias("peak_revenue"),

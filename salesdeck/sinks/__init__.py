@@ -21,10 +21,14 @@ def write_rows(df: DataFrame, path: str, fmt: str = "json", partition_by: list[s
     w.save(path)
 
 
+def _getter(field: str):
+    return lambda p: p[field]
+
+
 def column_document(df: DataFrame, order: Column, fields: dict[str, str]) -> DataFrame:
     """One row, one JSON string: each field a list in ``order``."""
     pts = F.sort_array(F.collect_list(F.struct(order.alias("__o"), *[F.col(c) for c in fields.values()])))
-    doc = F.struct(*[F.transform(pts, lambda p, c=c: p[c]).alias(k) for k, c in fields.items()])
+    doc = F.struct(*[F.transform(pts, _getter(c)).alias(k) for k, c in fields.items()])
     return df.agg(F.to_json(doc).alias("doc"))
 
 

@@ -30,7 +30,8 @@ def table_overview(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 def scan_table(star: Star, params: Params = DEFAULT) -> DataFrame:
     """Full scan of a named table (the order lines, every column)."""
-    return star.orderdetails
+    return star.orderdetails.select("orderNumber", "productCode", "quantityOrdered",
+                                    (F.col("revenue_cents") / F.lit(100.0)).alias("line_revenue"))
 
 
 def scan_projected(star: Star, params: Params = DEFAULT) -> DataFrame:

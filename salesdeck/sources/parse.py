@@ -14,9 +14,9 @@ ISO_DATE = "yyyy-MM-dd"
 
 def parse_date_strict(col: Column | str, fmt: str = ISO_DATE) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return F.to_date(F.trim(c), F.lit(fmt))
+    return F.to_date(F.trim(c), fmt)
 
 
 def parse_date_lenient(col: Column | str, fmt: str = ISO_DATE) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return F.try_to_date(F.trim(c), F.lit(fmt))
+    return F.try_to_date(F.trim(c), fmt)
