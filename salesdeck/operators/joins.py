@@ -24,3 +24,21 @@ def join_dim(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
 def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Explicit renames before a join, so no two inputs share a non-key name."""
     return df.withColumnsRenamed(mapping)
+
+
+def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
+                 max_rows: int = 100_000) -> DataFrame:
+    """Join a small, *unbounded-by-construction* side (e.g. an aggregate whose
+    key domain is not known in advance) with a checked broadcast.
+
+    ``small`` is materialised once into ``spark.checkpoint.dir`` (reliable
+    storage, survives executor loss) and counted; only when the count proves
+    it has at most ``max_rows`` rows is it broadcast.  Beyond that it is an
+    ordinary shuffle join, where AQE splits skewed partitions.
+    """
+    from salesdeck.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(small.sparkSession)
+    small = small.checkpoint(eager=True)
+    n = small.count()
+    return big.join(F.broadcast(small) if n <= max_rows else small, on, how)

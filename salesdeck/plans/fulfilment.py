@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from salesdeck.functions.measures import days_between
 from salesdeck.functions.money import round_half_up, safe_ratio
+from salesdeck.operators.joins import join_checked
 from salesdeck.params import DEFAULT, Params
 from salesdeck.sources.star import Star
 
@@ -33,10 +34,10 @@ def fulfilment_outliers(star: Star, params: Params = DEFAULT) -> DataFrame:
     average of their status.  The averages are an aggregate (one row per
     status) joined back, not a window partitioned by status: a window would
     put every order of a status -- a third of all orders -- into one task.
-    AQE turns the join into a broadcast join once the aggregate is measured."""
+    The aggregate is broadcast only after a count has proven it small."""
     s = _shipped(star)
-    avg = s.groupBy("status").agg(F.avg("days_to_ship").alias("status_avg"))
-    j = s.join(avg, s.status.eqNullSafe(avg.status)).drop(avg.status)
+    avg = s.groupBy(F.col("status").alias("avg_status")).agg(F.avg("days_to_ship").alias("status_avg"))
+    j = join_checked(s, avg, F.col("status").eqNullSafe(F.col("avg_status"))).drop("avg_status")
     return j.filter(F.col("days_to_ship") > F.lit(params.outlier_factor) * F.col("status_avg")).select(
         "orderNumber", "status", "days_to_ship",
         round_half_up("status_avg", 2).alias("status_avg_days"),

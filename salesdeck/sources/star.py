@@ -73,8 +73,15 @@ def load_canonical(spark: SparkSession, root: str, fmt: str = "parquet") -> Star
     error), ship dates leniently (bad value = NULL).  Text columns are read
     as-is: no reader option that turns the text ``NA`` into NULL is set.
     """
+    return star_from_canonical({
+        name: spark.read.schema(CANONICAL[name]).format(fmt).load(f"{root}/{name}")
+        for name in CANONICAL})
+
+
+def star_from_canonical(frames: dict[str, DataFrame]) -> Star:
+    """Star from DataFrames in the canonical schema (``schema.CANONICAL``)."""
     def read(name):
-        return spark.read.schema(CANONICAL[name]).format(fmt).load(f"{root}/{name}")
+        return frames[name]
 
     orders = read("orders")
     return Star(
