@@ -37,9 +37,30 @@ def round_whole(x: Column | str) -> Column:
     return F.round(_c(x).cast("decimal(28,10)"), 0).cast("long")
 
 
+def div_half_up(num: Column | str, den: Column | str | int) -> Column:
+    """Exact integer quotient ``num / den`` rounded half away from zero
+    (``den`` > 0).  Computed in DECIMAL(38,0): ``m - m % d`` is an exact
+    multiple of ``d``, so the division is exact at any magnitude -- no double
+    rounding, unlike ``round(num / den)`` in floating point, which turns an
+    exact tie such as 11,724,617.10 / 12 = 977,051.425 into ...424999."""
+    n = _c(num).cast("decimal(38,0)")
+    d = (F.lit(den) if isinstance(den, int) else _c(den)).cast("decimal(38,0)")
+    m = F.abs(n) * 2 + d
+    q = ((m - m % (d * 2)) / (d * 2)).cast("long")
+    return F.when(n < 0, -q).otherwise(q)
+
+
+def cents_ratio(cents: Column | str, count: Column | str | int, digits: int = 2) -> Column:
+    """Money (integer cents) divided by a count, half-up to ``digits`` <= 2
+    decimal places, exactly; returned as double dollars."""
+    scale = 10 ** (2 - digits)
+    den = F.lit(count * scale) if isinstance(count, int) else _c(count) * F.lit(scale)
+    return div_half_up(cents, den) / F.lit(float(10 ** digits))
+
+
 def avg_dollars(cents: Column | str, digits: int = 2) -> Column:
-    """Rounded average of a cents column, in dollars (an aggregate)."""
-    return round_half_up(F.avg(_c(cents)) / F.lit(100.0), digits)
+    """Exactly rounded average of a cents column, in dollars (an aggregate)."""
+    return cents_ratio(F.sum(_c(cents)), F.count(_c(cents)), digits)
 
 
 def safe_ratio(num: Column, den: Column) -> Column:

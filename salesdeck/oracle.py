@@ -62,6 +62,15 @@ def rw(x: str) -> str:
     return f"CAST(round(CAST({x} AS DECIMAL(28,10)), 0) AS BIGINT)"
 
 
+def hu(c: str, n: str) -> str:
+    """Integer c / n, half away from zero, n > 0 (exact, HUGEINT)."""
+    return f"((CASE WHEN ({c}) < 0 THEN -1 ELSE 1 END) * ((2 * abs({c}) + ({n})) // (2 * ({n}))))"
+
+
+def cents(x: str) -> str:
+    return f"CAST(({x}) * 100 AS HUGEINT)"
+
+
 def q(*ctes_and_body: str) -> str:
     *ctes, body = ctes_and_body
     return "WITH " + ",\n".join([VIEWS, *ctes]) + "\n" + body
@@ -71,7 +80,7 @@ REPS = f"""reps AS (
   SELECT e.employeeNumber, e.firstName || ' ' || e.lastName AS sales_rep, e.jobTitle,
          o.city AS office, COUNT(DISTINCT c.customerNumber) AS total_customers,
          COUNT(DISTINCT ord.orderNumber) AS total_orders,
-         CAST(SUM({PROFIT}) AS DOUBLE) AS total_profit
+         CAST(SUM({PROFIT}) AS DOUBLE) AS total_profit, SUM({PROFIT}) AS tp_dec
     FROM employees e
     JOIN offices o        ON o.officeCode = e.officeCode
     JOIN customers c      ON c.salesRepEmployeeNumber = e.employeeNumber
@@ -140,7 +149,7 @@ def segments_cte(name: str, cancelled_in: bool) -> str:
 
 def summary_body(src: str) -> str:
     return f"""SELECT segment, COUNT(*) AS num_customers,
-       {r("AVG(CAST(tp * 100 AS DOUBLE)) / 100.0", 2)} AS avg_profit,
+       {hu(cents("SUM(tp)"), "COUNT(*)")} / 100.0 AS avg_profit,
        CAST(SUM(tp) AS DOUBLE) AS total_profit,
        {r("AVG(total_orders)", 1)} AS avg_orders
   FROM {src} GROUP BY segment"""
@@ -190,7 +199,8 @@ PLAT_SHARE = r("CAST(plat * 100 * 100 AS DOUBLE) / NULLIF(CAST(alltp * 100 AS DO
 
 ORACLE_SQL: dict[str, str] = {
     # ------------------------------------------------------------ people
-    "rep_performance": q(REPS, "SELECT * FROM reps"),
+    "rep_performance": q(REPS, """SELECT employeeNumber, sales_rep, jobTitle, office,
+        total_customers, total_orders, total_profit FROM reps"""),
     "org_hierarchy": q(HIER, """SELECT firstName || ' ' || lastName AS employee, jobTitle,
         m_first || ' ' || m_last AS reports_to, m_title AS manager_title, o_city AS office FROM h"""),
     "org_hierarchy_filled": q(HIER, """SELECT firstName || ' ' || lastName AS employee,
@@ -210,7 +220,7 @@ ORACLE_SQL: dict[str, str] = {
         CAST(ROW_NUMBER() OVER (ORDER BY total_profit DESC, employeeNumber) AS BIGINT) AS rank
         FROM reps"""),
     "rep_profit_per_customer": q(REPS, f"""SELECT employeeNumber, sales_rep, total_customers,
-        total_profit, {r("total_profit / NULLIF(total_customers, 0)", 2)} AS profit_per_customer
+        total_profit, {hu(cents("tp_dec"), "total_customers")} / 100.0 AS profit_per_customer
         FROM reps"""),
     "office_lead_ratio": q(OFFICES, f"""SELECT city, total_profit,
         LEAD(total_profit) OVER w AS next_profit,
@@ -348,7 +358,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM top t JOIN customers c ON c.customerNumber = t.customerNumber"""),
     # ------------------------------------------------------- key figures
     "kpi_strip": q(REPS, OFFICES, segments_cte("seg", False), DORMANT_CTE, DWS, PLAT,
-        f"""SELECT {r("SUM(total_profit) / 1000000.0", 2)} AS total_profit_m,
+        f"""SELECT {hu(cents("SUM(tp_dec)"), "1000000")} / 100.0 AS total_profit_m,
         (SELECT sales_rep FROM reps ORDER BY total_profit DESC, employeeNumber LIMIT 1) AS top_rep,
         (SELECT city FROM offs ORDER BY total_profit DESC, city DESC LIMIT 1) AS top_office,
         (SELECT COUNT(*) FROM dws) AS num_dormant,
@@ -392,7 +402,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM orderdetails od JOIN products p ON p.productCode = od.productCode
         JOIN ords ord ON ord.orderNumber = od.orderNumber GROUP BY p.productLine"""),
     "agg_avg": q(f"""SELECT p.productLine,
-        {r("AVG(CAST(od.line_revenue * 100 AS DOUBLE)) / 100.0", 2)} AS avg_line_revenue,
+        {hu(cents("SUM(od.line_revenue)"), "COUNT(od.line_revenue)")} / 100.0 AS avg_line_revenue,
         {r("AVG(od.quantityOrdered)", 1)} AS avg_quantity
         FROM orderdetails od JOIN products p ON p.productCode = od.productCode
         GROUP BY p.productLine"""),
@@ -418,9 +428,9 @@ ORACLE_SQL: dict[str, str] = {
           FROM ords ord JOIN orderdetails od ON od.orderNumber = ord.orderNumber
           JOIN products p ON p.productCode = od.productCode
          WHERE ord.status <> {CANCELLED} GROUP BY ord.customerNumber)""", f"""SELECT customerNumber,
-        {r("CAST(tp * 100 AS DOUBLE) / total_orders / 100.0", 2)} AS avg_order_profit_2,
-        {r("CAST(tp * 100 AS DOUBLE) / total_orders / 100.0", 1)} AS avg_order_profit_1,
-        {rw("CAST(tp * 100 AS DOUBLE) / total_orders / 100.0")} AS avg_order_profit_0 FROM cs"""),
+        {hu(cents("tp"), "total_orders")} / 100.0 AS avg_order_profit_2,
+        {hu(cents("tp"), "10 * total_orders")} / 10.0 AS avg_order_profit_1,
+        CAST({hu(cents("tp"), "100 * total_orders")} AS BIGINT) AS avg_order_profit_0 FROM cs"""),
     "fn_labels": q(REPS, f"""SELECT employeeNumber,
         '$' || CAST({rw("total_profit / 1000")} AS VARCHAR) || 'k' AS profit_k_label,
         '$' || format('{{:,}}', {rw("total_profit")}) AS profit_label FROM reps"""),

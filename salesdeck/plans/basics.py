@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from salesdeck.functions.labels import grouped_label, thousands_label
 from salesdeck.functions.measures import days_between, full_name, not_cancelled, whole_days_between
-from salesdeck.functions.money import dollars, round_half_up, round_whole
+from salesdeck.functions.money import cents_ratio, div_half_up, dollars, round_half_up
 from salesdeck.operators.joins import join_dim
 from salesdeck.params import DEFAULT, Params
 from salesdeck.plans.facts import customer_totals, order_totals, priced_lines
@@ -63,12 +63,15 @@ def agg_count(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def agg_count_distinct(star: Star, params: Params = DEFAULT) -> DataFrame:
-    """Two exact distinct counts per product line.  The lines are first reduced
-    to distinct (line, order) pairs -- the order fixes the customer -- so the
-    distinct-customer count runs on one row per order and line, not per line."""
-    lines = priced_lines(star, with_line=True).select("orderNumber", "productLine").distinct()
+    """Two exact distinct counts per product line.  The lines are joined to
+    their order first (both sides hash-partitioned by order number); the
+    de-duplication to one row per (order, line, customer) then runs on that
+    partitioning without another shuffle, and the order fixes the customer,
+    so distinct orders become a plain count."""
+    lines = priced_lines(star, with_line=True).select("orderNumber", "productLine")
     o = star.orders.select("orderNumber", "customerNumber")
-    return lines.join(o, "orderNumber").groupBy("productLine").agg(
+    d = lines.join(o, "orderNumber").distinct()
+    return d.groupBy("productLine").agg(
         F.count(F.lit(1)).alias("num_orders"),
         F.countDistinct("customerNumber").alias("num_customers"))
 
@@ -76,7 +79,7 @@ def agg_count_distinct(star: Star, params: Params = DEFAULT) -> DataFrame:
 def agg_avg(star: Star, params: Params = DEFAULT) -> DataFrame:
     lines = priced_lines(star, with_line=True)
     return lines.groupBy("productLine").agg(
-        round_half_up(F.avg("revenue_cents") / F.lit(100.0), 2).alias("avg_line_revenue"),
+        cents_ratio(F.sum("revenue_cents"), F.count("revenue_cents"), 2).alias("avg_line_revenue"),
         round_half_up(F.avg("quantityOrdered"), 1).alias("avg_quantity"))
 
 
@@ -120,13 +123,14 @@ def fn_days_between(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def fn_round(star: Star, params: Params = DEFAULT) -> DataFrame:
-    """Half-up rounding to 2, 1 and 0 places of the average profit per order."""
+    """Half-up rounding to 2, 1 and 0 places of the average profit per order
+    (exact: integer cents divided with half-up rounding, no double step)."""
     t = customer_totals(star, params, False)
-    avg = F.col("profit_cents") / F.col("total_orders") / F.lit(100.0)
+    c, n = "profit_cents", "total_orders"
     return t.select("customerNumber",
-                    round_half_up(avg, 2).alias("avg_order_profit_2"),
-                    round_half_up(avg, 1).alias("avg_order_profit_1"),
-                    round_whole(avg).alias("avg_order_profit_0"))
+                    cents_ratio(c, n, 2).alias("avg_order_profit_2"),
+                    cents_ratio(c, n, 1).alias("avg_order_profit_1"),
+                    div_half_up(c, F.col(n) * F.lit(100)).alias("avg_order_profit_0"))
 
 
 def fn_labels(star: Star, params: Params = DEFAULT) -> DataFrame:

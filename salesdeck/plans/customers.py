@@ -172,12 +172,17 @@ def dormant_customers(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 def dormant_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
     """App form: plus tier and lifetime profit (cancelled excluded) by a left
-    join on the key; a customer with only cancelled orders has NULL tier."""
+    join on the key; a customer with only cancelled orders has NULL tier.
+
+    The customer dimension is joined once: the dormant rows are already
+    restricted to known customers, so joining the per-customer totals
+    directly equals joining the (totals x customers) segmentation."""
     d = _last_orders(star, params)
     c = star.customers.select("customerNumber", "customerName", "city", "country")
-    seg = _segmented(star, params, False).select(
-        "customerNumber", "segment", dollars("profit_cents").alias("total_profit"))
-    return d.join(c, "customerNumber").join(seg, "customerNumber", "left").select(
+    t = customer_totals(star, params, False).select(
+        "customerNumber", tier("profit_cents", params.tiers).alias("segment"),
+        dollars("profit_cents").alias("total_profit"))
+    return d.join(c, "customerNumber").join(t, "customerNumber", "left").select(
         "customerNumber", "customerName", "city", "country", "last_order_date",
         "days_since", "segment", "total_profit")
 

@@ -14,36 +14,48 @@ from salesdeck.plans.facts import customer_totals, priced_lines
 from salesdeck.sources.star import Star
 
 
-def _stock_ratio(star: Star) -> DataFrame:
-    # aggregate the lines per product first, then join the product dimension
-    ordered = star.orderdetails.groupBy("productCode").agg(
-        F.sum("quantityOrdered").cast("long").alias("units_ordered"))
+def _product_totals(star: Star) -> DataFrame:
+    """One pass over the lines: units, revenue and profit per product (the
+    lines are aggregated before the product dimension is joined)."""
+    t = priced_lines(star).groupBy("productCode").agg(
+        F.sum("quantityOrdered").cast("long").alias("units_ordered"),
+        F.sum("revenue_cents").alias("revenue_cents"),
+        F.sum("profit_cents").alias("profit_cents"))
     p = star.products.select("productCode", "productName", "productLine", "quantityInStock")
-    return ordered.join(p, "productCode").select(
+    return t.join(p, "productCode")
+
+
+def _stock_ratio(totals: DataFrame) -> DataFrame:
+    return totals.select(
         "productCode", "productName", "productLine", "units_ordered", "quantityInStock",
         round_half_up(safe_ratio(F.col("units_ordered"), F.col("quantityInStock")), 2)
         .alias("low_stock_ratio"))
 
 
+def _low(totals: DataFrame, params: Params) -> DataFrame:
+    return top_k(_stock_ratio(totals), [F.desc_nulls_last("low_stock_ratio"), F.asc("productCode")],
+                 params.top_low_stock)
+
+
 def low_stock(star: Star, params: Params = DEFAULT) -> DataFrame:
     """Products most urgently in need of restock (highest ordered/stock ratio)."""
-    return top_k(_stock_ratio(star), [F.desc_nulls_last("low_stock_ratio"), F.asc("productCode")],
-                 params.top_low_stock)
+    return _low(_product_totals(star), params)
 
 
 def product_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
-    """Revenue and profit of every catalogue product, by correlated scalar
-    subqueries as written in SQL; Catalyst rewrites each into an aggregate
-    plus a left outer join, so no per-product probe runs.  A product that was
-    never ordered has NULL revenue and profit."""
+    """Revenue and profit of every catalogue product, by a correlated scalar
+    subquery as written in SQL.  Catalyst rewrites it into one aggregate of
+    the lines plus a left outer join, so no per-product probe runs; the
+    subquery returns both sums in one struct so the lines are aggregated
+    once.  A product that was never ordered has NULL revenue and profit."""
     spark = star.products.sparkSession
     q = """
-      SELECT p.productCode, p.productName, p.productLine,
-             (SELECT SUM(l.revenue_cents) FROM {lines} l WHERE l.productCode = p.productCode)
-               / 100.0D AS revenue,
-             (SELECT SUM(l.profit_cents) FROM {lines} l WHERE l.productCode = p.productCode)
-               / 100.0D AS profit
-        FROM {products} p
+      SELECT productCode, productName, productLine,
+             s.r / 100.0D AS revenue, s.p / 100.0D AS profit
+        FROM (SELECT p.*,
+                     (SELECT named_struct('r', SUM(l.revenue_cents), 'p', SUM(l.profit_cents))
+                        FROM {lines} l WHERE l.productCode = p.productCode) AS s
+                FROM {products} p)
     """
     return spark.sql(q, lines=priced_lines(star), products=star.products)
 
@@ -54,10 +66,14 @@ def product_performance(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 def priority_restock(star: Star, params: Params = DEFAULT) -> DataFrame:
     """Products in both top lists: most urgent stock ratio and highest revenue
-    (the reference's chained CTEs; the intersection is a semi join)."""
-    low = low_stock(star, params)
-    perf = product_rows(star, params).select("productCode", "revenue")
-    top_rev = top_k(perf, [F.desc_nulls_last("revenue"), F.asc("productCode")], params.top_revenue)
+    (the reference's chained CTEs; the intersection is a semi join).  Both
+    lists come from the same per-product aggregate."""
+    totals = _product_totals(star)
+    low = _low(totals, params)
+    perf = star.products.select("productCode").join(
+        totals.select("productCode", "revenue_cents"), "productCode", "left")
+    top_rev = top_k(perf, [F.desc_nulls_last("revenue_cents"), F.asc("productCode")],
+                    params.top_revenue)
     return low.join(top_rev.select("productCode"), "productCode", "left_semi")
 
 

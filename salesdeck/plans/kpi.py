@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesdeck.functions.money import round_half_up, safe_ratio
+from salesdeck.functions.money import div_half_up, round_half_up, safe_ratio
 from salesdeck.params import DEFAULT, Params
 from salesdeck.plans.customers import _segmented, dormant_rows
-from salesdeck.plans.people import _reps, office_rows, rep_rows
+from salesdeck.plans.people import _reps, office_rows
 from salesdeck.plans.facts import rep_totals
 from salesdeck.sources.star import Star
 
@@ -34,17 +34,21 @@ def platinum_share(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def kpi_strip(star: Star, params: Params = DEFAULT) -> DataFrame:
-    reps = rep_rows(star, params)
+    """Total profit (millions, over the reps' base join), top rep, top office,
+    number of dormant customers, Platinum share.  Total and top rep come from
+    one aggregate over the rep rows; the other figures are scalar subqueries
+    whose shuffles AQE shares with the main plan where they coincide."""
+    reps = rep_totals(star, params).join(_reps(star), "employeeNumber")
     offices = office_rows(star, params)
-    top_rep = reps.agg(F.max_by("sales_rep", F.struct("total_profit", -F.col("employeeNumber")))).scalar()
     top_office = offices.agg(F.max_by("city", F.struct("total_profit", F.col("city")))).scalar()
     n_dormant = dormant_rows(star, params).agg(F.count(F.lit(1))).scalar()
     share = platinum_share(star, params).select("platinum_share_pct").scalar()
-    # profit over the reference's base join: only customers whose rep is an
-    # employee with an office count (a semi join, no columns added)
-    total = rep_totals(star, params).join(_reps(star).select("employeeNumber"), "employeeNumber",
-                                          "left_semi").agg(F.sum("profit_cents").alias("c"))
-    return total.select(
-        round_half_up(F.col("c") / F.lit(100.0) / F.lit(1_000_000.0), 2).alias("total_profit_m"),
-        top_rep.alias("top_rep"), top_office.alias("top_office"),
+    a = reps.agg(
+        F.sum("profit_cents").alias("c"),
+        F.max_by(F.concat("firstName", F.lit(" "), "lastName"),
+                 F.struct("profit_cents", -F.col("employeeNumber"))).alias("top_rep"))
+    return a.select(
+        # cents -> millions of dollars, half-up to 2 places: exact integer division
+        (div_half_up(F.col("c"), 1_000_000) / F.lit(100.0)).alias("total_profit_m"),
+        "top_rep", top_office.alias("top_office"),
         n_dormant.alias("num_dormant"), share.alias("platinum_share_pct"))

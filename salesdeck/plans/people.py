@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from salesdeck.functions.labels import DASH, thousands_label
 from salesdeck.functions.measures import full_name
-from salesdeck.functions.money import dollars, round_half_up, safe_ratio
+from salesdeck.functions.money import cents_ratio, dollars, round_half_up, safe_ratio
 from salesdeck.operators.joins import join_dim
 from salesdeck.operators.ranking import global_row_number
 from salesdeck.params import DEFAULT, Params
@@ -129,12 +129,12 @@ def rep_rank(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def rep_profit_per_customer(star: Star, params: Params = DEFAULT) -> DataFrame:
-    """Profit per customer for each rep, best first."""
-    reps = rep_rows(star, params)
-    return reps.select("employeeNumber", "sales_rep", "total_customers", "total_profit",
-                       round_half_up(safe_ratio(F.col("total_profit"), F.col("total_customers")), 2)
-                       .alias("profit_per_customer")) \
-               .orderBy(F.desc("profit_per_customer"), "employeeNumber")
+    """Profit per customer for each rep, best first (exact cents division)."""
+    r = rep_totals(star, params).join(_reps(star), "employeeNumber")
+    return r.select("employeeNumber", full_name("firstName", "lastName").alias("sales_rep"),
+                    "total_customers", dollars("profit_cents").alias("total_profit"),
+                    cents_ratio("profit_cents", "total_customers", 2).alias("profit_per_customer")) \
+            .orderBy(F.desc("profit_per_customer"), "employeeNumber")
 
 
 def office_lead_ratio(star: Star, params: Params = DEFAULT) -> DataFrame:

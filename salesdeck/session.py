@@ -57,3 +57,29 @@ def get_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
+
+
+def cluster_conf(input_bytes: int, total_cores: int,
+                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized to the data, for a cluster run (pass to ``SparkSession.builder``).
+
+    The widest shuffle of every analysis carries at most the projected line
+    table (order key, product key, quantity, price: ~32 bytes a line), so the
+    initial shuffle partition count is sized from the input and AQE coalesces
+    it down per stage at run time.  Scan splits and AQE's advisory size share
+    one target so a task's input, shuffle read and hash tables stay well
+    inside executor memory; partitions over 4x the median and 1 GB are split
+    by AQE's skew join.
+    """
+    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    t = str(target_partition_bytes)
+    return {
+        **ENGINE_CONF,
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": t,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": t,
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(target_partition_bytes // 4),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1 << 30),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(32 << 20),
+    }

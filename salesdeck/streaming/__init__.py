@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The reference analyses a closed historical data set read once at start-up;
+it has no watermark, window, state or late-data handling.  Every analysis in
+``salesdeck.plans`` is a batch plan.  Because each is a pure function of
+DataFrames, a caller who does receive order lines as a stream can run any of
+them per micro-batch with ``writeStream.foreachBatch`` over the re-read star;
+no stateful operator of the reference needs rebuilding for that.
+"""
