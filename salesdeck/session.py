@@ -29,13 +29,20 @@ ENGINE_CONF = {
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a local one only if unset."""
+    """Return the checkpoint folder the session names (``spark.checkpoint.dir``).
+
+    Only a local-mode session without one (tests, benchmarks) gets a fresh
+    temporary folder; on a cluster a machine-local folder would be lost with
+    its executor, so a missing setting is an error there."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(e.g. on HDFS or an object store)")
         conf_dir = tempfile.mkdtemp(prefix="salesdeck-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

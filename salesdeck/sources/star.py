@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from salesdeck.sources import adapters
 from salesdeck.sources.parse import parse_date_lenient, parse_date_strict
@@ -47,10 +48,25 @@ def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(RAW[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def load_star(spark: SparkSession, sf_dir: str) -> Star:
+def _rtrim_text(df: DataFrame) -> DataFrame:
+    return df.select(*[F.rtrim(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType)
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+def cleaned(star: Star) -> Star:
+    """The same star with trailing blanks removed from every text column of
+    the dimensions (``"Auckland  "`` -> ``"Auckland"``).  Off by default: the
+    reference keeps such values distinct."""
+    return Star(offices=_rtrim_text(star.offices), employees=_rtrim_text(star.employees),
+                customers=_rtrim_text(star.customers), orders=star.orders,
+                orderdetails=star.orderdetails, products=_rtrim_text(star.products),
+                shipments=star.shipments)
+
+
+def load_star(spark: SparkSession, sf_dir: str, clean: bool = False) -> Star:
     """Star over the supplied test tables (TPC-H-like names) via the adapter views."""
     raw = {n: read_raw(spark, sf_dir, n) for n in RAW}
-    return Star(
+    star = Star(
         offices=adapters.offices(raw["nation"], raw["region"]),
         employees=adapters.employees(raw["supplier"]),
         customers=adapters.customers(raw["customer"], raw["nation"], raw["region"], raw["supplier"]),
@@ -59,6 +75,7 @@ def load_star(spark: SparkSession, sf_dir: str) -> Star:
         products=adapters.products(raw["part"]),
         shipments=adapters.shipments(raw["lineitem"]),
     )
+    return cleaned(star) if clean else star
 
 
 def _cents(col: str):
@@ -66,16 +83,17 @@ def _cents(col: str):
     return (F.col(col) * F.lit(100)).cast("long")
 
 
-def load_canonical(spark: SparkSession, root: str, fmt: str = "parquet") -> Star:
+def load_canonical(spark: SparkSession, root: str, fmt: str = "parquet", clean: bool = False) -> Star:
     """Star over tables already in the retail model (one folder per table).
 
     Dates may be stored as ISO text: order dates parse strictly (bad value =
     error), ship dates leniently (bad value = NULL).  Text columns are read
     as-is: no reader option that turns the text ``NA`` into NULL is set.
     """
-    return star_from_canonical({
+    star = star_from_canonical({
         name: spark.read.schema(CANONICAL[name]).format(fmt).load(f"{root}/{name}")
         for name in CANONICAL})
+    return cleaned(star) if clean else star
 
 
 def star_from_canonical(frames: dict[str, DataFrame]) -> Star:

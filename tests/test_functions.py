@@ -46,3 +46,26 @@ def test_published_golden_figures(spark):
     two = spark.createDataFrame([(30732249,), (23676939,)], "c long")
     assert two.agg(dollars(F.sum("c"))).first()[0] == 544091.88
     assert [r[0] for r in two.select(tier("c", (100_000, 50_000, 20_000))).collect()] == ["Platinum"] * 2
+
+
+def test_api_helpers(spark):
+    import datetime as dt
+
+    from salesdeck.api import dormant, filter_segment, segment
+    df = spark.createDataFrame([(1, 100000.0), (2, 99999.99), (3, 20000.0)], "k long, total_profit double")
+    s = segment(df, (100_000, 50_000, 20_000))
+    assert [r.segment for r in s.orderBy("k").collect()] == ["Platinum", "Gold", "Silver"]
+    assert filter_segment(s, "Gold").count() == 1 and filter_segment(s, "All").count() == 3
+    o = spark.createDataFrame([(1, dt.date(2004, 12, 3)), (2, dt.date(2004, 12, 2)), (2, dt.date(2003, 1, 1))],
+                              "customerNumber long, orderDate date")
+    d = dormant(o, dt.date(2005, 6, 1), 180).collect()
+    assert [(r.customerNumber, r.days_since) for r in d] == [(2, 181)]
+
+
+def test_clean_option_trims_dimension_text(spark):
+    from salesdeck.plans import people
+    from salesdeck.sources.star import cleaned
+    from tests.fixtures import PARAMS, micro_star
+    st = cleaned(micro_star(spark))
+    offices = {r.office for r in people.org_hierarchy(st, PARAMS).collect()}
+    assert "Auckland  " not in offices and "Auckland" in offices
