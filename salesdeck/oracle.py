@@ -121,7 +121,8 @@ MONTHLY = """mon AS (
   SELECT CAST(year(orderDate) AS VARCHAR) AS year, CAST(month(orderDate) AS BIGINT) AS month,
          CAST(date_trunc('month', orderDate) AS DATE) AS period,
          COUNT(DISTINCT orderNumber) AS num_orders,
-         CAST(SUM(line_revenue) AS DOUBLE) AS revenue, CAST(SUM(profit) AS DOUBLE) AS profit
+         CAST(SUM(line_revenue) AS DOUBLE) AS revenue, CAST(SUM(profit) AS DOUBLE) AS profit,
+         SUM(line_revenue) AS rev_dec
     FROM lnc GROUP BY 1, 2, 3)"""
 
 LINE_YEAR = """ly AS (
@@ -232,7 +233,8 @@ ORACLE_SQL: dict[str, str] = {
         strftime(orderDate, '%m') AS month, COUNT(DISTINCT orderNumber) AS num_orders,
         CAST(SUM(line_revenue) AS DOUBLE) AS revenue, CAST(SUM(profit) AS DOUBLE) AS profit
         FROM lnc GROUP BY 1, 2"""),
-    "monthly_revenue_period": q(LINES_NC, MONTHLY, "SELECT * FROM mon"),
+    "monthly_revenue_period": q(LINES_NC, MONTHLY, """SELECT year, month, period, num_orders,
+        revenue, profit FROM mon"""),
     "product_line_by_year": q(LINES_NC, LINE_YEAR, """SELECT year, productLine,
         CAST(rev AS DOUBLE) AS revenue, CAST(prof AS DOUBLE) AS profit FROM ly"""),
     "product_line_pivot": q(LINES_NC, LINE_YEAR, "SELECT productLine, " + ", ".join(
@@ -243,7 +245,7 @@ ORACLE_SQL: dict[str, str] = {
         COUNT(*) AS n_points FROM mon GROUP BY year"""),
     "monthly_margin_proxy": q(LINES_NC, MONTHLY, f"""SELECT year,
         strftime(period, '%Y-%m') AS period_label, revenue,
-        {rw("revenue * 0.4")} AS approx_profit FROM mon"""),
+        CAST({hu(cents("rev_dec") + " * 4", "1000")} AS BIGINT) AS approx_profit FROM mon"""),
     "seasonal_peak": q(LINES_NC, MONTHLY, f"""pk AS (
         SELECT year, month, revenue,
                ROW_NUMBER() OVER (PARTITION BY year ORDER BY revenue DESC, month) AS rn FROM mon),

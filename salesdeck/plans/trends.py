@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesdeck.functions.money import dollars, round_half_up, round_whole, safe_ratio
+from salesdeck.functions.money import div_half_up, dollars, round_half_up, safe_ratio
 from salesdeck.params import DEFAULT, Params
 from salesdeck.plans.facts import order_totals, orders_in_scope, priced_lines
 from salesdeck.sources.star import Star
@@ -28,16 +28,21 @@ def monthly_revenue(star: Star, params: Params = DEFAULT) -> DataFrame:
     ).orderBy("year", "month")
 
 
-def monthly_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
-    """App form: year text, month number, and the first day of the month."""
+def _monthly_cents(star: Star, params: Params) -> DataFrame:
     t = _order_months(star, params)
     return t.groupBy(F.trunc("orderDate", "MM").alias("period")).agg(
         F.count(F.lit(1)).alias("num_orders"),
-        dollars(F.sum("revenue_cents")).alias("revenue"),
-        dollars(F.sum("profit_cents")).alias("profit"),
-    ).select(F.year("period").cast("string").alias("year"),
-             F.month("period").cast("long").alias("month"),
-             "period", "num_orders", "revenue", "profit")
+        F.sum("revenue_cents").alias("revenue_cents"),
+        F.sum("profit_cents").alias("profit_cents"))
+
+
+def monthly_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
+    """App form: year text, month number, and the first day of the month."""
+    return _monthly_cents(star, params).select(
+        F.year("period").cast("string").alias("year"),
+        F.month("period").cast("long").alias("month"),
+        "period", "num_orders", dollars("revenue_cents").alias("revenue"),
+        dollars("profit_cents").alias("profit"))
 
 
 def monthly_revenue_period(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -87,11 +92,14 @@ def monthly_by_year_series(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 def monthly_margin_proxy(star: Star, params: Params = DEFAULT) -> DataFrame:
     """The web page's monthly table: newest first, 'profit' shown as 40% of
-    revenue.  Named ``approx_profit`` because it is not the profit."""
-    m = monthly_rows(star, params)
-    return m.select("year", F.date_format("period", "yyyy-MM").alias("period_label"), "revenue",
-                    round_whole(F.col("revenue") * F.lit(0.4)).alias("approx_profit"), "period") \
-            .orderBy(F.desc("period")).drop("period")
+    revenue rounded to whole dollars (exactly: 4/1000 of the cents, half-up).
+    Named ``approx_profit`` because it is not the profit."""
+    m = _monthly_cents(star, params)
+    return m.select(F.year("period").cast("string").alias("year"),
+                    F.date_format("period", "yyyy-MM").alias("period_label"),
+                    dollars("revenue_cents").alias("revenue"),
+                    div_half_up(F.col("revenue_cents") * F.lit(4), 1000).alias("approx_profit"),
+                    "period").orderBy(F.desc("period")).drop("period")
 
 
 def seasonal_peak(star: Star, params: Params = DEFAULT) -> DataFrame:
