@@ -34,8 +34,17 @@ def priced_lines(star: Star, with_line: bool = False) -> DataFrame:
     return lines.select(*(out + (["productLine"] if with_line else [])))
 
 
+def _memo(star: Star, key: str, build):
+    """A fact materialised by a refresh job, else the plan that computes it."""
+    return star.memo[key] if key in star.memo else build()
+
+
 def order_totals(star: Star) -> DataFrame:
     """One row per order with at least one priced line."""
+    return _memo(star, "order_totals", lambda: _order_totals(star))
+
+
+def _order_totals(star: Star) -> DataFrame:
     return priced_lines(star).groupBy("orderNumber").agg(
         F.sum("revenue_cents").alias("revenue_cents"),
         F.sum("profit_cents").alias("profit_cents"))
@@ -48,6 +57,11 @@ def orders_in_scope(star: Star, params: Params, include_cancelled: bool) -> Data
 
 def customer_totals(star: Star, params: Params, include_cancelled: bool) -> DataFrame:
     """customerNumber, profit_cents, revenue_cents, total_orders (orders with priced lines)."""
+    key = f"customer_totals/{include_cancelled}/{params.cancelled}"
+    return _memo(star, key, lambda: _customer_totals(star, params, include_cancelled))
+
+
+def _customer_totals(star: Star, params: Params, include_cancelled: bool) -> DataFrame:
     o = orders_in_scope(star, params, include_cancelled).select("orderNumber", "customerNumber")
     return order_totals(star).join(o, "orderNumber").groupBy("customerNumber").agg(
         F.sum("profit_cents").alias("profit_cents"),
@@ -57,6 +71,10 @@ def customer_totals(star: Star, params: Params, include_cancelled: bool) -> Data
 
 def rep_totals(star: Star, params: Params) -> DataFrame:
     """employeeNumber, total_customers, total_orders, profit_cents (all statuses)."""
+    return _memo(star, "rep_totals", lambda: _rep_totals(star, params))
+
+
+def _rep_totals(star: Star, params: Params) -> DataFrame:
     c = star.customers.select("customerNumber", F.col("salesRepEmployeeNumber").alias("employeeNumber"))
     return customer_totals(star, params, True).join(c, "customerNumber").groupBy("employeeNumber").agg(
         F.count(F.lit(1)).alias("total_customers"),

@@ -1,4 +1,4 @@
-"""Inventory and product analyses (described by the reference's README; the
+"""Inventory and product analyses (described but not coded by the reference; the
 exact definitions here are ours: units ordered over units in stock, revenue
 per product, their top-N intersection, top customers by profit)."""
 

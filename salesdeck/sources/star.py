@@ -12,7 +12,7 @@ computed by analyses that reference ``shippedDate``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +34,9 @@ class Star:
     orderdetails: DataFrame   # orderNumber, productCode, quantityOrdered, revenue_cents
     products: DataFrame       # productCode, productName, productLine, buy_price_cents, quantityInStock
     shipments: DataFrame      # orderNumber, shippedDate (NULL or absent when not shipped)
+    # shared facts already materialised by a refresh job (see salesdeck.jobs);
+    # empty unless a job fills it, so a plain star always computes from source
+    memo: dict = field(default_factory=dict, compare=False, hash=False, repr=False)
 
     @property
     def orders_shipped(self) -> DataFrame:
@@ -60,7 +63,7 @@ def cleaned(star: Star) -> Star:
     return Star(offices=_rtrim_text(star.offices), employees=_rtrim_text(star.employees),
                 customers=_rtrim_text(star.customers), orders=star.orders,
                 orderdetails=star.orderdetails, products=_rtrim_text(star.products),
-                shipments=star.shipments)
+                shipments=star.shipments, memo=star.memo)
 
 
 def load_star(spark: SparkSession, sf_dir: str, clean: bool = False) -> Star:
