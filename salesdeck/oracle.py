@@ -50,7 +50,14 @@ products AS (
          CAST(p_retailprice AS DECIMAL(18,2)) AS buyPrice, p_size * 10 AS quantityInStock
     FROM part)"""
 
-PROFIT = "(od.line_revenue - od.quantityOrdered * p.buyPrice)"
+# the priced line fact: every order line with its product; "sold" adds the order
+SOLD = """priced AS (
+  SELECT li.orderNumber, pr.productCode, pr.productLine, li.quantityOrdered AS qty,
+         li.line_revenue AS rev, li.line_revenue - li.quantityOrdered * pr.buyPrice AS prof
+    FROM orderdetails li JOIN products pr USING (productCode)),
+sold AS (
+  SELECT pc.*, od.customerNumber, od.orderDate, od.status
+    FROM priced pc JOIN ords od USING (orderNumber))"""
 
 
 def r(x: str, d: int) -> str:
@@ -73,49 +80,43 @@ def cents(x: str) -> str:
 
 def q(*ctes_and_body: str) -> str:
     *ctes, body = ctes_and_body
-    return "WITH " + ",\n".join([VIEWS, *ctes]) + "\n" + body
-
-
-REPS = f"""reps AS (
-  SELECT e.employeeNumber, e.firstName || ' ' || e.lastName AS sales_rep, e.jobTitle,
-         o.city AS office, COUNT(DISTINCT c.customerNumber) AS total_customers,
-         COUNT(DISTINCT ord.orderNumber) AS total_orders,
-         CAST(SUM({PROFIT}) AS DOUBLE) AS total_profit, SUM({PROFIT}) AS tp_dec
-    FROM employees e
-    JOIN offices o        ON o.officeCode = e.officeCode
-    JOIN customers c      ON c.salesRepEmployeeNumber = e.employeeNumber
-    JOIN ords ord         ON ord.customerNumber = c.customerNumber
-    JOIN orderdetails od  ON od.orderNumber = ord.orderNumber
-    JOIN products p       ON p.productCode = od.productCode
-   GROUP BY e.employeeNumber, e.firstName, e.lastName, e.jobTitle, o.city)"""
-
-OFFICES = f"""offs AS (
-  SELECT o.officeCode, o.city, o.country, o.territory,
-         COUNT(DISTINCT e.employeeNumber) AS num_reps,
-         COUNT(DISTINCT c.customerNumber) AS num_customers,
-         CAST(SUM({PROFIT}) AS DOUBLE) AS total_profit
-    FROM offices o
-    JOIN employees e      ON e.officeCode = o.officeCode
-    JOIN customers c      ON c.salesRepEmployeeNumber = e.employeeNumber
-    JOIN ords ord         ON ord.customerNumber = c.customerNumber
-    JOIN orderdetails od  ON od.orderNumber = ord.orderNumber
-    JOIN products p       ON p.productCode = od.productCode
-   GROUP BY o.officeCode, o.city, o.country, o.territory)"""
+    return "WITH " + ",\n".join([VIEWS, SOLD, *ctes]) + "\n" + body
+
+
+# fact first: sold lines -> their customer -> the customer's rep -> the rep's office
+REPS = """reps AS (
+  SELECT emp.employeeNumber, emp.firstName || ' ' || emp.lastName AS sales_rep, emp.jobTitle,
+         ofc.city AS office, COUNT(DISTINCT cu.customerNumber) AS total_customers,
+         COUNT(DISTINCT s.orderNumber) AS total_orders,
+         CAST(SUM(s.prof) AS DOUBLE) AS total_profit, SUM(s.prof) AS tp_dec
+    FROM sold s
+    JOIN customers cu  ON cu.customerNumber = s.customerNumber
+    JOIN employees emp ON emp.employeeNumber = cu.salesRepEmployeeNumber
+    JOIN offices ofc   ON ofc.officeCode = emp.officeCode
+   GROUP BY emp.employeeNumber, emp.firstName, emp.lastName, emp.jobTitle, ofc.city)"""
+
+OFFICES = """offs AS (
+  SELECT ofc.officeCode, ofc.city, ofc.country, ofc.territory,
+         COUNT(DISTINCT emp.employeeNumber) AS num_reps,
+         COUNT(DISTINCT cu.customerNumber) AS num_customers,
+         CAST(SUM(s.prof) AS DOUBLE) AS total_profit
+    FROM sold s
+    JOIN customers cu  ON cu.customerNumber = s.customerNumber
+    JOIN employees emp ON emp.employeeNumber = cu.salesRepEmployeeNumber
+    JOIN offices ofc   ON ofc.officeCode = emp.officeCode
+   GROUP BY ofc.officeCode, ofc.city, ofc.country, ofc.territory)"""
 
 HIER = """h AS (
-  SELECT e.*, m.employeeNumber AS m_num, m.firstName AS m_first, m.lastName AS m_last,
-         m.jobTitle AS m_title, o.city AS o_city
-    FROM employees e
-    LEFT JOIN employees m ON m.employeeNumber = e.reportsTo
-    JOIN offices o ON o.officeCode = e.officeCode)"""
+  SELECT w.*, b.employeeNumber AS m_num, b.firstName AS m_first, b.lastName AS m_last,
+         b.jobTitle AS m_title, ofc.city AS o_city
+    FROM employees w
+    JOIN offices ofc ON ofc.officeCode = w.officeCode
+    LEFT JOIN employees b ON w.reportsTo = b.employeeNumber)"""
 
-# revenue/profit per non-cancelled order line with dates and product line
+# non-cancelled sold lines (NULL status fails "<>" and is dropped, SQL rule)
 LINES_NC = f"""lnc AS (
-  SELECT ord.orderNumber, ord.orderDate, p.productLine, od.line_revenue, {PROFIT} AS profit
-    FROM ords ord
-    JOIN orderdetails od ON od.orderNumber = ord.orderNumber
-    JOIN products p      ON p.productCode = od.productCode
-   WHERE ord.status <> {CANCELLED})"""
+  SELECT orderNumber, orderDate, productLine, rev AS line_revenue, prof AS profit
+    FROM sold WHERE status <> {CANCELLED})"""
 
 MONTHLY = """mon AS (
   SELECT CAST(year(orderDate) AS VARCHAR) AS year, CAST(month(orderDate) AS BIGINT) AS month,
@@ -132,20 +133,17 @@ LINE_YEAR = """ly AS (
 
 
 def segments_cte(name: str, cancelled_in: bool) -> str:
-    where = "" if cancelled_in else f"WHERE ord.status <> {CANCELLED}"
-    return f"""{name} AS (
-  SELECT c.customerNumber, c.customerName, c.city, c.country,
-         SUM({PROFIT}) AS tp, COUNT(DISTINCT ord.orderNumber) AS total_orders,
-         CASE WHEN SUM({PROFIT}) >= {T1} THEN 'Platinum'
-              WHEN SUM({PROFIT}) >= {T2} THEN 'Gold'
-              WHEN SUM({PROFIT}) >= {T3} THEN 'Silver'
-              ELSE 'Bronze' END AS segment
-    FROM customers c
-    JOIN ords ord        ON ord.customerNumber = c.customerNumber
-    JOIN orderdetails od ON od.orderNumber = ord.orderNumber
-    JOIN products p      ON p.productCode = od.productCode
-   {where}
-   GROUP BY c.customerNumber, c.customerName, c.city, c.country)"""
+    keep = "TRUE" if cancelled_in else f"s.status <> {CANCELLED}"
+    return f"""{name}_base AS (
+  SELECT cu.customerNumber, cu.customerName, cu.city, cu.country,
+         SUM(s.prof) AS tp, COUNT(DISTINCT s.orderNumber) AS total_orders
+    FROM sold s JOIN customers cu ON cu.customerNumber = s.customerNumber
+   WHERE {keep}
+   GROUP BY cu.customerNumber, cu.customerName, cu.city, cu.country),
+{name} AS (
+  SELECT *, CASE WHEN tp >= {T1} THEN 'Platinum' WHEN tp >= {T2} THEN 'Gold'
+                 WHEN tp >= {T3} THEN 'Silver' ELSE 'Bronze' END AS segment
+    FROM {name}_base)"""
 
 
 def summary_body(src: str) -> str:
@@ -160,16 +158,17 @@ SEG_OUT = """SELECT customerNumber, customerName, city, country, CAST(tp AS DOUB
        total_orders, segment FROM {src}"""
 
 DORMANT_CTE = f"""dl AS (
-  SELECT customerNumber, MAX(orderDate) AS last_order_date,
-         CAST({AS_OF} - MAX(orderDate) AS BIGINT) AS days_since
-    FROM ords GROUP BY customerNumber
-  HAVING CAST({AS_OF} - MAX(orderDate) AS BIGINT) > {DORMANT})"""
+  SELECT customerNumber, last_order_date, days_since
+    FROM (SELECT customerNumber, MAX(orderDate) AS last_order_date,
+                 CAST({AS_OF} - MAX(orderDate) AS BIGINT) AS days_since
+            FROM ords GROUP BY customerNumber) t
+   WHERE days_since > {DORMANT})"""
 
 DWS = """dws AS (
-  SELECT d.customerNumber, c.customerName, c.city, c.country, d.last_order_date, d.days_since,
-         s.segment, CAST(s.tp AS DOUBLE) AS total_profit
-    FROM dl d JOIN customers c ON c.customerNumber = d.customerNumber
-    LEFT JOIN seg s ON s.customerNumber = d.customerNumber)"""
+  SELECT d.customerNumber, cu.customerName, cu.city, cu.country, d.last_order_date, d.days_since,
+         g.segment, CAST(g.tp AS DOUBLE) AS total_profit
+    FROM dl d JOIN customers cu ON cu.customerNumber = d.customerNumber
+    LEFT JOIN seg g ON g.customerNumber = d.customerNumber)"""
 
 SHIPPED = """sh AS (
   SELECT orderNumber, status, orderDate, shippedDate,
@@ -177,22 +176,21 @@ SHIPPED = """sh AS (
     FROM ords WHERE shippedDate IS NOT NULL)"""
 
 STOCK = """st AS (
-  SELECT od.productCode, p.productName, p.productLine,
-         CAST(SUM(od.quantityOrdered) AS BIGINT) AS units_ordered, p.quantityInStock
-    FROM orderdetails od JOIN products p ON p.productCode = od.productCode
-   GROUP BY od.productCode, p.productName, p.productLine, p.quantityInStock),
+  SELECT productCode, productName, productLine, units_ordered, quantityInStock
+    FROM (SELECT productCode, CAST(SUM(qty) AS BIGINT) AS units_ordered
+            FROM priced GROUP BY productCode) u
+    JOIN products USING (productCode)),
 st2 AS (
   SELECT *, """ + r("CAST(units_ordered AS DOUBLE) / NULLIF(CAST(quantityInStock AS DOUBLE), 0)", 2) + """ AS low_stock_ratio
     FROM st),
 low AS (SELECT * FROM st2 ORDER BY low_stock_ratio DESC NULLS LAST, productCode LIMIT 10)"""
 
-PERF = f"""perf AS (
-  SELECT p.productCode, p.productName, p.productLine,
-         CAST(SUM(od.line_revenue) AS DOUBLE) AS revenue,
-         CAST(SUM({PROFIT}) AS DOUBLE) AS profit
-    FROM products p
-    LEFT JOIN orderdetails od ON od.productCode = p.productCode
-   GROUP BY p.productCode, p.productName, p.productLine)"""
+PERF = """perf AS (
+  SELECT pr.productCode, pr.productName, pr.productLine,
+         CAST(agg.rev AS DOUBLE) AS revenue, CAST(agg.prof AS DOUBLE) AS profit
+    FROM products pr
+    LEFT JOIN (SELECT productCode, SUM(rev) AS rev, SUM(prof) AS prof
+                 FROM priced GROUP BY productCode) agg USING (productCode))"""
 
 PLAT = """plat AS (
   SELECT SUM(CASE WHEN segment = 'Platinum' THEN tp END) AS plat, SUM(tp) AS alltp FROM seg)"""
@@ -320,10 +318,8 @@ ORACLE_SQL: dict[str, str] = {
                                        WHEN 'Silver' THEN '#4a90e2' WHEN 'Bronze' THEN '#ff7c7c' END,
                           '#9aa0cc') AS colour FROM dws"""),
     "case_segment": q(f"""cs AS (
-        SELECT ord.customerNumber, SUM({PROFIT}) AS tp
-          FROM ords ord JOIN orderdetails od ON od.orderNumber = ord.orderNumber
-          JOIN products p ON p.productCode = od.productCode
-         WHERE ord.status <> {CANCELLED} GROUP BY ord.customerNumber)""",
+        SELECT customerNumber, SUM(prof) AS tp FROM sold
+         WHERE status <> {CANCELLED} GROUP BY customerNumber)""",
         f"""SELECT customerNumber, CAST(tp AS DOUBLE) AS total_profit,
         CASE WHEN tp >= {T1} THEN 'Platinum' WHEN tp >= {T2} THEN 'Gold'
              WHEN tp >= {T3} THEN 'Silver' ELSE 'Bronze' END AS segment FROM cs"""),
@@ -351,10 +347,9 @@ ORACLE_SQL: dict[str, str] = {
     "product_performance": q(PERF, "SELECT * FROM perf"),
     "priority_restock": q(STOCK, PERF, """SELECT * FROM low WHERE productCode IN (
         SELECT productCode FROM perf ORDER BY revenue DESC NULLS LAST, productCode LIMIT 10)"""),
-    "vip_customers": q(f"""ct AS (
-        SELECT ord.customerNumber, CAST(SUM({PROFIT}) AS DOUBLE) AS total_profit
-          FROM ords ord JOIN orderdetails od ON od.orderNumber = ord.orderNumber
-          JOIN products p ON p.productCode = od.productCode GROUP BY ord.customerNumber),
+    "vip_customers": q("""ct AS (
+        SELECT customerNumber, CAST(SUM(prof) AS DOUBLE) AS total_profit
+          FROM sold GROUP BY customerNumber),
         top AS (SELECT * FROM ct ORDER BY total_profit DESC, customerNumber LIMIT 10)""",
         """SELECT t.customerNumber, c.customerName, c.city, c.country, t.total_profit
         FROM top t JOIN customers c ON c.customerNumber = t.customerNumber"""),
@@ -394,20 +389,14 @@ ORACLE_SQL: dict[str, str] = {
         FROM customers c LEFT JOIN (SELECT customerNumber, COUNT(*) AS num_orders
                                       FROM ords GROUP BY customerNumber) n
           ON n.customerNumber = c.customerNumber"""),
-    "agg_sum": q(f"""SELECT ord.status, CAST(SUM(od.line_revenue) AS DOUBLE) AS revenue,
-        CAST(SUM({PROFIT}) AS DOUBLE) AS profit
-        FROM ords ord JOIN orderdetails od ON od.orderNumber = ord.orderNumber
-        JOIN products p ON p.productCode = od.productCode GROUP BY ord.status"""),
+    "agg_sum": q("""SELECT status, CAST(SUM(rev) AS DOUBLE) AS revenue,
+        CAST(SUM(prof) AS DOUBLE) AS profit FROM sold GROUP BY status"""),
     "agg_count": q("SELECT status, COUNT(*) AS num_orders FROM ords GROUP BY status"),
-    "agg_count_distinct": q("""SELECT p.productLine, COUNT(DISTINCT ord.orderNumber) AS num_orders,
-        COUNT(DISTINCT ord.customerNumber) AS num_customers
-        FROM orderdetails od JOIN products p ON p.productCode = od.productCode
-        JOIN ords ord ON ord.orderNumber = od.orderNumber GROUP BY p.productLine"""),
-    "agg_avg": q(f"""SELECT p.productLine,
-        {hu(cents("SUM(od.line_revenue)"), "COUNT(od.line_revenue)")} / 100.0 AS avg_line_revenue,
-        {r("AVG(od.quantityOrdered)", 1)} AS avg_quantity
-        FROM orderdetails od JOIN products p ON p.productCode = od.productCode
-        GROUP BY p.productLine"""),
+    "agg_count_distinct": q("""SELECT productLine, COUNT(DISTINCT orderNumber) AS num_orders,
+        COUNT(DISTINCT customerNumber) AS num_customers FROM sold GROUP BY productLine"""),
+    "agg_avg": q(f"""SELECT productLine,
+        {hu(cents("SUM(rev)"), "COUNT(rev)")} / 100.0 AS avg_line_revenue,
+        {r("AVG(qty)", 1)} AS avg_quantity FROM priced GROUP BY productLine"""),
     "agg_min_max": q("""SELECT productLine, CAST(MIN(buyPrice) AS DOUBLE) AS min_buy_price,
         CAST(MAX(buyPrice) AS DOUBLE) AS max_buy_price,
         CAST(MIN(quantityInStock) AS BIGINT) AS min_stock,
@@ -426,10 +415,8 @@ ORACLE_SQL: dict[str, str] = {
         CAST({AS_OF} - orderDate AS BIGINT) AS days_to_as_of
         FROM ords WHERE shippedDate IS NOT NULL"""),
     "fn_round": q(f"""cs AS (
-        SELECT ord.customerNumber, SUM({PROFIT}) AS tp, COUNT(DISTINCT ord.orderNumber) AS total_orders
-          FROM ords ord JOIN orderdetails od ON od.orderNumber = ord.orderNumber
-          JOIN products p ON p.productCode = od.productCode
-         WHERE ord.status <> {CANCELLED} GROUP BY ord.customerNumber)""", f"""SELECT customerNumber,
+        SELECT customerNumber, SUM(prof) AS tp, COUNT(DISTINCT orderNumber) AS total_orders
+          FROM sold WHERE status <> {CANCELLED} GROUP BY customerNumber)""", f"""SELECT customerNumber,
         {hu(cents("tp"), "total_orders")} / 100.0 AS avg_order_profit_2,
         {hu(cents("tp"), "10 * total_orders")} / 10.0 AS avg_order_profit_1,
         CAST({hu(cents("tp"), "100 * total_orders")} AS BIGINT) AS avg_order_profit_0 FROM cs"""),
