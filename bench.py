@@ -68,8 +68,9 @@ def main() -> None:
     passes = int(os.environ.get("BENCH_PASSES", "2"))
     only = [n for n in os.environ.get("BENCH_ONLY", "").split(",") if n]
     log_dir = tempfile.mkdtemp(prefix="salesdeck-bench-")
-    spark = get_session(cores=cpus, shuffle_partitions=cpus, extra={
-        "spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{log_dir}"})
+    extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{log_dir}",
+             **json.loads(os.environ.get("BENCH_CONF", "{}"))}
+    spark = get_session(cores=cpus, shuffle_partitions=cpus, extra=extra)
     sc = spark.sparkContext
     star = load_star(spark, sf_dir)
     names = only or list(ANALYSES)

@@ -19,7 +19,7 @@ from salesdeck.functions.measures import tier, whole_days_between
 def segment(df: DataFrame, thresholds: tuple[float, float, float],
             profit_col: str = "total_profit", out: str = "segment") -> DataFrame:
     """Add the tier of a profit column given in dollars (exact: compared in cents)."""
-    cents = F.round(F.col(profit_col) * F.lit(100.0)).cast("long")
+    cents = F.rint(F.col(profit_col) * F.lit(100.0)).cast("long")
     return df.withColumn(out, tier(cents, thresholds))
 
 

@@ -18,8 +18,13 @@ from pyspark.sql import functions as F
 
 
 def cents_from_double(col: str):
-    """Exact cents of a double that carries at most two decimals."""
-    return F.round(F.col(col) * F.lit(100.0)).cast("long")
+    """Exact cents of a double that carries at most two decimals.
+
+    ``x * 100`` lies within ~1e-9 of an integer, so rounding to the nearest
+    integer has no ties: ``rint`` (a primitive ``Math.rint``) gives the same
+    cents as ``round`` without ``round``'s per-row BigDecimal, which is a
+    third of the cost of the line-table scan stage."""
+    return F.rint(F.col(col) * F.lit(100.0)).cast("long")
 
 
 def offices(nation: DataFrame, region: DataFrame) -> DataFrame:
