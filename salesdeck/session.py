@@ -34,11 +34,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only a local-mode session without one (tests, benchmarks) gets a fresh
     temporary folder; on a cluster a machine-local folder would be lost with
     its executor, so a missing setting is an error there."""
-    sc = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's configuration applies
+        if not conf_dir:
+            raise RuntimeError("set spark.checkpoint.dir on the server to a shared folder")
+        return conf_dir
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
