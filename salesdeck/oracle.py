@@ -274,7 +274,9 @@ ORACLE_SQL: dict[str, str] = {
     # -------------------------------------------------------- fulfilment
     "fulfilment_time": q(SHIPPED, f"""SELECT status, COUNT(*) AS num_orders,
         {r("AVG(days_to_ship)", 1)} AS avg_days_to_ship, MIN(days_to_ship) AS min_days,
-        MAX(days_to_ship) AS max_days FROM sh GROUP BY status"""),
+        MAX(days_to_ship) AS max_days,
+        CAST({r("AVG(days_to_ship)", 1)} AS VARCHAR) || ' days' AS avg_label
+        FROM sh GROUP BY status"""),
     "fulfilment_outliers": q(SHIPPED, """a AS (
         SELECT status, AVG(days_to_ship) AS status_avg FROM sh GROUP BY status)""",
         f"""SELECT sh.orderNumber, sh.status, sh.days_to_ship,
@@ -298,9 +300,9 @@ ORACLE_SQL: dict[str, str] = {
             VALUES ('Platinum', 1), ('Gold', 2), ('Silver', 3), ('Bronze', 4)),
         n AS (SELECT t.segment, CAST(t.tier_order AS BIGINT) AS tier_order,
                      (SELECT COUNT(*) FROM seg s WHERE s.segment = t.segment) AS num_customers
-                FROM tiers t)""", f"""SELECT segment, tier_order, num_customers,
+                FROM tiers t)""", f"""pc AS (SELECT segment, tier_order, num_customers,
         {r("CAST(num_customers * 100 AS DOUBLE) / NULLIF(CAST(SUM(num_customers) OVER () AS DOUBLE), 0)", 1)}
-        AS share_pct FROM n"""),
+        AS share_pct FROM n)""", """SELECT *, CAST(share_pct AS VARCHAR) || '%' AS share_label FROM pc"""),
     "segment_concentration": q(segments_cte("seg", False), f"sm AS ({summary_body('seg')})",
         f"""SELECT SUM(CASE WHEN segment = 'Platinum' THEN total_profit END) AS top_total,
         SUM(CASE WHEN segment = 'Bronze' THEN total_profit END) AS bottom_total,

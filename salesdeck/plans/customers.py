@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salesdeck.functions.labels import truncate, truncate_ellipsis
+from salesdeck.functions.labels import percent_label, truncate, truncate_ellipsis
 from salesdeck.functions.measures import TIERS, tier, whole_days_between
 from salesdeck.functions.money import avg_dollars, dollars, round_half_up, safe_ratio
 from salesdeck.operators.joins import join_dim
@@ -98,9 +98,9 @@ def segment_share(star: Star, params: Params = DEFAULT) -> DataFrame:
     the 4-row tier summary only."""
     s = _summary_ordered(star, params).select("segment", "tier_order", "num_customers")
     tot = F.sum("num_customers").over(Window.partitionBy())
-    return s.select("segment", "tier_order", "num_customers",
-                    round_half_up(safe_ratio(F.col("num_customers") * F.lit(100), tot), 1)
-                    .alias("share_pct")).orderBy("tier_order")
+    pct = round_half_up(safe_ratio(F.col("num_customers") * F.lit(100), tot), 1)
+    return s.select("segment", "tier_order", "num_customers", pct.alias("share_pct"),
+                    percent_label(pct).alias("share_label")).orderBy("tier_order")
 
 
 def segment_concentration(star: Star, params: Params = DEFAULT) -> DataFrame:

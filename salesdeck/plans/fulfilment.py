@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from salesdeck.functions.labels import days_label
 from salesdeck.functions.measures import days_between
 from salesdeck.functions.money import round_half_up, safe_ratio
 from salesdeck.operators.joins import join_checked
@@ -22,11 +23,13 @@ def fulfilment_time(star: Star, params: Params = DEFAULT) -> DataFrame:
     """Per status (NULL status is a group): count, average (1 dp), min, max days.
     Cancelled orders that shipped are counted."""
     s = _shipped(star)
-    return s.groupBy("status").agg(
+    g = s.groupBy("status").agg(
         F.count(F.lit(1)).alias("num_orders"),
         round_half_up(F.avg("days_to_ship"), 1).alias("avg_days_to_ship"),
         F.min("days_to_ship").alias("min_days"),
-        F.max("days_to_ship").alias("max_days")).orderBy(F.desc("num_orders"), "status")
+        F.max("days_to_ship").alias("max_days"))
+    return g.withColumn("avg_label", days_label(F.col("avg_days_to_ship"))) \
+            .orderBy(F.desc("num_orders"), "status")
 
 
 def fulfilment_outliers(star: Star, params: Params = DEFAULT) -> DataFrame:
