@@ -359,7 +359,7 @@ ORACLE_SQL: dict[str, str] = {
     "kpi_strip": q(REPS, OFFICES, segments_cte("seg", False), DORMANT_CTE, DWS, PLAT,
         f"""SELECT {hu(cents("SUM(tp_dec)"), "1000000")} / 100.0 AS total_profit_m,
         (SELECT sales_rep FROM reps ORDER BY total_profit DESC, employeeNumber LIMIT 1) AS top_rep,
-        (SELECT city FROM offs ORDER BY total_profit DESC, city DESC LIMIT 1) AS top_office,
+        (SELECT city FROM offs ORDER BY total_profit DESC, officeCode LIMIT 1) AS top_office,
         (SELECT COUNT(*) FROM dws) AS num_dormant,
         (SELECT {PLAT_SHARE} FROM plat) AS platinum_share_pct
         FROM reps"""),

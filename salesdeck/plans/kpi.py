@@ -40,7 +40,8 @@ def kpi_strip(star: Star, params: Params = DEFAULT) -> DataFrame:
     whose shuffles AQE shares with the main plan where they coincide."""
     reps = rep_totals(star, params).join(_reps(star), "employeeNumber")
     offices = office_rows(star, params)
-    top_office = offices.agg(F.max_by("city", F.struct("total_profit", F.col("city")))).scalar()
+    # highest profit; on a tie the smallest office code (the app's sort order)
+    top_office = offices.agg(F.min_by("city", F.struct(-F.col("total_profit"), F.col("officeCode")))).scalar()
     n_dormant = dormant_rows(star, params).agg(F.count(F.lit(1))).scalar()
     share = platinum_share(star, params).select("platinum_share_pct").scalar()
     a = reps.agg(
