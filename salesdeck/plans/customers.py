@@ -137,9 +137,13 @@ def segment_code_lookup(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def table_page(star: Star, params: Params = DEFAULT, page_no: int = 2,
-               sort_col: str = "total_profit", ascending: bool = False) -> DataFrame:
-    """One page of the customer table under a user-chosen sort (key breaks ties)."""
+               sort_col: str = "total_profit", ascending: bool = False,
+               segment: str = "All") -> DataFrame:
+    """One page of the customer table under a user-chosen tier filter and sort
+    (the customer key breaks ties, so pages never overlap)."""
     s = _segments_out(_segmented(star, params, False))
+    if segment != "All":
+        s = s.filter(F.col("segment") == F.lit(segment))
     key = F.asc(sort_col) if ascending else F.desc(sort_col)
     return page(s, [key, F.asc("customerNumber")], page_no, params.page_size)
 

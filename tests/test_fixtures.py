@@ -131,6 +131,10 @@ def test_ties_break_on_key_and_paging(star):
     # cancelled excluded: 101, 102, 103 | 104, 110 (tie with 104, larger key), 105 | 106, 107
     assert [r[0] for r in rows(customers.table_page(star, p, page_no=2), "customerNumber")] == [104, 110, 105]
     assert [r[0] for r in rows(customers.table_page(star, p, page_no=3), "customerNumber")] == [106, 107]
+    # filter + ascending sort: Silver = 104, 110, 105 -> ascending profit, key breaks the tie
+    got = rows(customers.table_page(star, p, page_no=1, sort_col="total_profit", ascending=True,
+                                    segment="Silver"), "customerNumber")
+    assert [r[0] for r in got] == [105, 104, 110]
 
 
 def test_rep_rank_is_a_total_order(star):
