@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from salesdeck.functions.money import div_half_up, round_half_up, safe_ratio
 from salesdeck.params import DEFAULT, Params
 from salesdeck.plans.customers import _segmented, dormant_rows
-from salesdeck.plans.people import _reps, office_rows
+from salesdeck.plans.people import _reps
 from salesdeck.plans.facts import rep_totals
 from salesdeck.sources.star import Star
 
@@ -35,21 +35,28 @@ def platinum_share(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 def kpi_strip(star: Star, params: Params = DEFAULT) -> DataFrame:
     """Total profit (millions, over the reps' base join), top rep, top office,
-    number of dormant customers, Platinum share.  Total and top rep come from
-    one aggregate over the rep rows; the other figures are scalar subqueries
-    whose shuffles AQE shares with the main plan where they coincide."""
-    reps = rep_totals(star, params).join(_reps(star), "employeeNumber")
-    offices = office_rows(star, params)
-    # highest profit; on a tie the smallest office code (the app's sort order)
-    top_office = offices.agg(F.min_by("city", F.struct(-F.col("total_profit"), F.col("officeCode")))).scalar()
+    number of dormant customers, Platinum share.
+
+    The first three come from one two-level aggregate over the rep rows: per
+    office the profit sum and the office's best rep, then globally the sum,
+    the best of the office bests (= the best rep) and the best office.  The
+    other two figures are scalar subqueries."""
+    reps = rep_totals(star, params).join(_reps(star), "employeeNumber").select(
+        "officeCode", F.col("office").alias("city"), "employeeNumber", "profit_cents",
+        F.concat("firstName", F.lit(" "), "lastName").alias("sales_rep"))
+    # rep order: higher profit first, then the lower employee number
+    best = F.struct("profit_cents", (-F.col("employeeNumber")).alias("neg_emp"), "sales_rep")
+    per_office = reps.groupBy("officeCode", "city").agg(
+        F.sum("profit_cents").alias("office_cents"), F.max(best).alias("best_rep"))
     n_dormant = dormant_rows(star, params).agg(F.count(F.lit(1))).scalar()
     share = platinum_share(star, params).select("platinum_share_pct").scalar()
-    a = reps.agg(
-        F.sum("profit_cents").alias("c"),
-        F.max_by(F.concat("firstName", F.lit(" "), "lastName"),
-                 F.struct("profit_cents", -F.col("employeeNumber"))).alias("top_rep"))
+    a = per_office.agg(
+        F.sum("office_cents").alias("c"),
+        F.max("best_rep").alias("best_rep"),
+        # highest profit; on a tie the smallest office code (the app's sort order)
+        F.min_by("city", F.struct(-F.col("office_cents"), F.col("officeCode"))).alias("top_office"))
     return a.select(
         # cents -> millions of dollars, half-up to 2 places: exact integer division
         (div_half_up(F.col("c"), 1_000_000) / F.lit(100.0)).alias("total_profit_m"),
-        "top_rep", top_office.alias("top_office"),
+        F.col("best_rep.sales_rep").alias("top_rep"), "top_office",
         n_dormant.alias("num_dormant"), share.alias("platinum_share_pct"))
