@@ -37,7 +37,7 @@ def materialise_facts(star: Star, params: Params = DEFAULT) -> Star:
     s = replace(star, memo={})
     s.memo["order_totals"] = facts._order_totals(s).checkpoint()
     for inc in (True, False):
-        key = f"customer_totals/{inc}/{params.cancelled}"
+        key = f"customer_totals/{inc}/{params.cancelled}/{params.keep_null_status}"
         s.memo[key] = facts._customer_totals(s, params, inc).checkpoint()
     s.memo["rep_totals"] = facts._rep_totals(s, params).checkpoint()
     return s

@@ -14,6 +14,9 @@ from dataclasses import dataclass, field
 class Params:
     # status value that marks an order as cancelled
     cancelled: str = "P"
+    # "status <> cancelled" drops a NULL status (SQL rule, default); True keeps
+    # such orders, as the app's pandas mask does
+    keep_null_status: bool = False
     # "end of dataset" date against which inactivity is measured
     as_of: dt.date = dt.date(2001, 9, 1)
     # a customer is dormant when the last order is strictly older than this

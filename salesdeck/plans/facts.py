@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesdeck.functions.measures import line_profit_cents, not_cancelled
+from salesdeck.functions.measures import line_profit_cents, not_cancelled, not_cancelled_pandas
 from salesdeck.params import Params
 from salesdeck.sources.star import Star
 
@@ -52,12 +52,15 @@ def _order_totals(star: Star) -> DataFrame:
 
 def orders_in_scope(star: Star, params: Params, include_cancelled: bool) -> DataFrame:
     o = star.orders
-    return o if include_cancelled else o.filter(not_cancelled("status", params.cancelled))
+    if include_cancelled:
+        return o
+    keep = not_cancelled_pandas if params.keep_null_status else not_cancelled
+    return o.filter(keep("status", params.cancelled))
 
 
 def customer_totals(star: Star, params: Params, include_cancelled: bool) -> DataFrame:
     """customerNumber, profit_cents, revenue_cents, total_orders (orders with priced lines)."""
-    key = f"customer_totals/{include_cancelled}/{params.cancelled}"
+    key = f"customer_totals/{include_cancelled}/{params.cancelled}/{params.keep_null_status}"
     return _memo(star, key, lambda: _customer_totals(star, params, include_cancelled))
 
 

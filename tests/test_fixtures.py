@@ -199,3 +199,12 @@ def test_labels_on_marts(star):
     assert f["Shipped"] == "3.5 days"
     sh = dict(rows(customers.segment_share(star, PARAMS), "segment", "share_label"))
     assert sh["Silver"] == "37.5%" and sh["Platinum"] == "12.5%"
+
+
+def test_null_status_rule(star):
+    from salesdeck.params import Params
+    sql = dict(rows(customers.customer_segments(star, PARAMS), "customerNumber", "segment"))
+    pandas_rule = Params(**{**PARAMS.__dict__, "keep_null_status": True})
+    pd_ = dict(rows(customers.customer_segments(star, pandas_rule), "customerNumber", "segment"))
+    assert sql[104] == "Silver" and pd_[104] == "Gold"   # order 9 (NULL status, +100.00)
+    assert 108 not in pd_                                 # cancelled stays out either way
