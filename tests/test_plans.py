@@ -44,10 +44,40 @@ def test_top_k_is_take_ordered(star):
         assert "TakeOrderedAndProject" in plan(ANALYSES[name](star, DEFAULT)), name
 
 
-def test_bounded_broadcasts_only(star):
-    # offices (nation x region) is broadcast by hint; facts never are by hint
-    p = plan(ANALYSES["rep_performance"](star, DEFAULT))
-    assert "BroadcastExchange" in p
+def _broadcast_scans(p: str) -> set[str]:
+    """Tables scanned inside BroadcastExchange subtrees of a plan tree string."""
+    import re
+    lines, found = p.splitlines(), set()
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" not in line:
+            continue
+        depth = len(line) - len(line.lstrip(" :+-"))
+        # an aggregate keyed only by the tier (a 4-valued CASE) has <= 4 rows
+        if i + 1 < len(lines) and re.search(r"HashAggregate\(keys=\[segment#\d+\]", lines[i + 1]):
+            continue
+        for sub in lines[i + 1:]:
+            if len(sub) - len(sub.lstrip(" :+-")) <= depth:
+                break
+            m = re.search(r"FileScan parquet .*?Location: [^\[]*\[file:[^\]]*/(\w+)\.parquet", sub)
+            if m:
+                found.add(m.group(1))
+    return found
+
+
+def test_only_bounded_sides_are_broadcast_at_cluster_shape(spark, star):
+    """With size-based broadcasting off (the 100 TB shape) the only broadcast
+    inputs are nation/region, literal tables and count-checked checkpoints."""
+    from tools.plan_census import CLUSTER_SHAPE
+    old = {k: spark.conf.get(k) for k in CLUSTER_SHAPE}
+    try:
+        for k, v in CLUSTER_SHAPE.items():
+            spark.conf.set(k, v)
+        for name in sorted(set(ANALYSES) - EAGER):
+            scans = _broadcast_scans(plan(ANALYSES[name](star, DEFAULT)))
+            assert scans <= {"nation", "region"}, (name, scans)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def test_rep_rank_is_distributed(star):
