@@ -13,7 +13,9 @@ Every analysis is ``f(star, params) -> DataFrame``: lazy, no collect, no UDF,
 no session creation.
 """
 
-from salesdeck.params import Params
-from salesdeck.sources.star import Star, load_star
+from salesdeck.api import dormant, filter_segment, segment
+from salesdeck.params import DEFAULT, REFERENCE, Params
+from salesdeck.sources.star import Star, load_canonical, load_star
 
-__all__ = ["Params", "Star", "load_star"]
+__all__ = ["DEFAULT", "REFERENCE", "Params", "Star", "load_star", "load_canonical",
+           "segment", "dormant", "filter_segment"]

@@ -7,7 +7,7 @@ frozen dataclass passed to every analysis, so nothing hides in a query body.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -32,13 +32,13 @@ class Params:
     outlier_factor: float = 2.0
     # list lengths of the top-k reports
     top_dormant: int = 15
+    top_chart: int = 15          # entries of a chart document (rep bars)
     top_customers: int = 20
     top_vip: int = 10
     top_low_stock: int = 10
     top_revenue: int = 10
     page_size: int = 20
     label_width: int = 22
-    extra: dict = field(default_factory=dict)
 
 
 # Values of the reference's own data set (SQLite "stores" database).

@@ -13,11 +13,11 @@ from salesdeck.sources.star import Star
 
 
 def rep_json_document(star: Star, params: Params = DEFAULT) -> DataFrame:
-    """Column document of the rep chart: the ``top_dormant`` (15) best reps,
+    """Column document of the rep chart: the ``top_chart`` (15) best reps,
     best first.  The chart is a top-k report, so the document is bounded; the
     full rep table is written as rows by ``sinks.write_rows``."""
     reps = rep_rows(star, params)
-    top = top_k(reps, [F.desc("total_profit"), F.asc("employeeNumber")], params.top_dormant) \
+    top = top_k(reps, [F.desc("total_profit"), F.asc("employeeNumber")], params.top_chart) \
         .withColumn("pos", F.row_number().over(  # over the k rows only
             Window.orderBy(F.desc("total_profit"), "employeeNumber")))
     return column_document(top, F.col("pos"), {"x": "total_profit", "y": "sales_rep",
