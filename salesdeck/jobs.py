@@ -34,7 +34,8 @@ PARTITIONS = {"monthly_revenue": ["year"], "monthly_revenue_period": ["year"],
 def materialise_facts(star: Star, params: Params = DEFAULT) -> Star:
     """A star whose shared aggregates are checkpointed once."""
     ensure_checkpoint_dir(star.orders.sparkSession)
-    s = replace(star, memo={})
+    # ship date per order: an aggregate of the line table used by six analyses
+    s = replace(star, memo={}, shipments=star.shipments.checkpoint())
     s.memo["order_totals"] = facts._order_totals(s).checkpoint()
     for inc in (True, False):
         key = f"customer_totals/{inc}/{params.cancelled}/{params.keep_null_status}"

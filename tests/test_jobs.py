@@ -9,7 +9,8 @@ from salesdeck.sources.star import load_star
 from tests.conftest import SF_SMALL
 
 NAMES = ["rep_performance", "office_performance", "customer_segments", "segment_summary",
-         "monthly_revenue", "kpi_strip", "dormant_with_segment", "fn_round"]
+         "monthly_revenue", "kpi_strip", "dormant_with_segment", "fn_round", "fulfilment_time",
+         "fulfilment_outliers"]
 
 
 def test_refresh_matches_direct(spark):
