@@ -47,6 +47,8 @@ def materialise_facts(star: Star, params: Params = DEFAULT) -> Star:
 def refresh_marts(star: Star, out_dir: str, names: list[str] | None = None,
                   params: Params = DEFAULT) -> dict[str, str]:
     shared = materialise_facts(star, params)
+    # a written mart needs no global ORDER BY (top-k lists keep theirs)
+    params = replace(params, ordered=False)
     written = {}
     for name in names or list(ANALYSES):
         if name == "rep_json_document":

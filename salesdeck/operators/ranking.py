@@ -55,3 +55,11 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 def page(df: DataFrame, order: list[Column], page_no: int, size: int) -> DataFrame:
     """Rows ``size*(page_no-1)+1 .. size*page_no`` of a total order."""
     return df.orderBy(*order).offset(size * (page_no - 1)).limit(size)
+
+
+def present(df: DataFrame, params, *order) -> DataFrame:
+    """The reference's ORDER BY, applied when a result is presented
+    (``params.ordered``, the default).  A job that writes marts sets
+    ``ordered=False``: a global sort is a full range shuffle, and readers of
+    the written files do not see their order anyway."""
+    return df.orderBy(*order) if params.ordered else df

@@ -39,6 +39,8 @@ class Params:
     top_revenue: int = 10
     page_size: int = 20
     label_width: int = 22
+    # apply the final ORDER BY of each analysis (off in the mart refresh job)
+    ordered: bool = True
 
 
 # Values of the reference's own data set (SQLite "stores" database).

@@ -10,7 +10,7 @@ from salesdeck.functions.labels import percent_label, truncate, truncate_ellipsi
 from salesdeck.functions.measures import TIERS, tier, whole_days_between
 from salesdeck.functions.money import avg_dollars, dollars, round_half_up, safe_ratio
 from salesdeck.operators.joins import join_dim
-from salesdeck.operators.ranking import page, top_k
+from salesdeck.operators.ranking import page, present, top_k
 from salesdeck.params import DEFAULT, Params
 from salesdeck.plans.facts import customer_totals
 from salesdeck.sources.star import Star
@@ -29,20 +29,20 @@ def _segmented(star: Star, params: Params, include_cancelled: bool) -> DataFrame
         "profit_cents", "total_orders", tier("profit_cents", params.tiers).alias("segment"))
 
 
-def _segments_out(df: DataFrame) -> DataFrame:
+def _segments_out(df: DataFrame, params: Params) -> DataFrame:
     return df.select("customerNumber", "customerName", "city", "country",
                      dollars("profit_cents").alias("total_profit"), "total_orders", "segment") \
-             .orderBy(F.desc("total_profit"), "customerNumber")
+             .transform(present, params, F.desc("total_profit"), "customerNumber")
 
 
 def customer_segments_all(star: Star, params: Params = DEFAULT) -> DataFrame:
     """SQL form: every order status counts."""
-    return _segments_out(_segmented(star, params, True))
+    return _segments_out(_segmented(star, params, True), params)
 
 
 def customer_segments(star: Star, params: Params = DEFAULT) -> DataFrame:
     """App form: cancelled orders excluded."""
-    return _segments_out(_segmented(star, params, False))
+    return _segments_out(_segmented(star, params, False), params)
 
 
 def case_segment(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -62,11 +62,11 @@ def _summary(seg: DataFrame) -> DataFrame:
 
 
 def segment_summary_all(star: Star, params: Params = DEFAULT) -> DataFrame:
-    return _summary(_segmented(star, params, True)).orderBy(F.desc("total_profit"), "segment")
+    return _summary(_segmented(star, params, True)).transform(present, params, F.desc("total_profit"), "segment")
 
 
 def segment_summary(star: Star, params: Params = DEFAULT) -> DataFrame:
-    return _summary(_segmented(star, params, False)).orderBy(F.desc("total_profit"), "segment")
+    return _summary(_segmented(star, params, False)).transform(present, params, F.desc("total_profit"), "segment")
 
 
 def tier_table(spark: SparkSession) -> DataFrame:
@@ -90,7 +90,7 @@ def _summary_ordered(star: Star, params: Params) -> DataFrame:
 def segment_summary_ordered(star: Star, params: Params = DEFAULT) -> DataFrame:
     """Summary in fixed tier order; a tier without customers keeps its row
     (count and total 0, averages NULL)."""
-    return _summary_ordered(star, params).orderBy("tier_order")
+    return _summary_ordered(star, params).transform(present, params, "tier_order")
 
 
 def segment_share(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -100,7 +100,7 @@ def segment_share(star: Star, params: Params = DEFAULT) -> DataFrame:
     tot = F.sum("num_customers").over(Window.partitionBy())
     pct = round_half_up(safe_ratio(F.col("num_customers") * F.lit(100), tot), 1)
     return s.select("segment", "tier_order", "num_customers", pct.alias("share_pct"),
-                    percent_label(pct).alias("share_label")).orderBy("tier_order")
+                    percent_label(pct).alias("share_label")).transform(present, params, "tier_order")
 
 
 def segment_concentration(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -124,7 +124,7 @@ def segment_filter(star: Star, params: Params = DEFAULT, segment: str = "All") -
     return s.select(F.col("customerName").alias("customer"), "city", "country",
                     dollars("profit_cents").alias("profit"),
                     F.col("total_orders").alias("orders"), "segment", "customerNumber") \
-            .orderBy(F.desc("profit"), "customerNumber").drop("customerNumber")
+            .transform(present, params, F.desc("profit"), "customerNumber").drop("customerNumber")
 
 
 def segment_code_lookup(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -141,7 +141,7 @@ def table_page(star: Star, params: Params = DEFAULT, page_no: int = 2,
                segment: str = "All") -> DataFrame:
     """One page of the customer table under a user-chosen tier filter and sort
     (the customer key breaks ties, so pages never overlap)."""
-    s = _segments_out(_segmented(star, params, False))
+    s = _segments_out(_segmented(star, params, False), params)
     if segment != "All":
         s = s.filter(F.col("segment") == F.lit(segment))
     key = F.asc(sort_col) if ascending else F.desc(sort_col)
@@ -150,7 +150,7 @@ def table_page(star: Star, params: Params = DEFAULT, page_no: int = 2,
 
 def top_customers(star: Star, params: Params = DEFAULT) -> DataFrame:
     """Head of the SQL-form segmentation (the printed top 20)."""
-    s = _segments_out(_segmented(star, params, True))
+    s = _segments_out(_segmented(star, params, True), params)
     return top_k(s, [F.desc("total_profit"), F.asc("customerNumber")], params.top_customers)
 
 
@@ -171,7 +171,7 @@ def dormant_customers(star: Star, params: Params = DEFAULT) -> DataFrame:
     return d.join(c, "customerNumber").select(
         "customerNumber", "customerName", "city", "country", "last_order_date",
         F.col("days_since").alias("days_since_order")) \
-        .orderBy(F.desc("days_since_order"), "customerNumber")
+        .transform(present, params, F.desc("days_since_order"), "customerNumber")
 
 
 def dormant_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -192,7 +192,7 @@ def dormant_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def dormant_with_segment(star: Star, params: Params = DEFAULT) -> DataFrame:
-    return dormant_rows(star, params).orderBy(F.desc("days_since"), "customerNumber")
+    return dormant_rows(star, params).transform(present, params, F.desc("days_since"), "customerNumber")
 
 
 def dormant_top15(star: Star, params: Params = DEFAULT) -> DataFrame:

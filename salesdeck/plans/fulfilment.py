@@ -9,6 +9,7 @@ from salesdeck.functions.labels import days_label
 from salesdeck.functions.measures import days_between
 from salesdeck.functions.money import round_half_up, safe_ratio
 from salesdeck.operators.joins import join_checked
+from salesdeck.operators.ranking import present
 from salesdeck.params import DEFAULT, Params
 from salesdeck.sources.star import Star
 
@@ -29,7 +30,7 @@ def fulfilment_time(star: Star, params: Params = DEFAULT) -> DataFrame:
         F.min("days_to_ship").alias("min_days"),
         F.max("days_to_ship").alias("max_days"))
     return g.withColumn("avg_label", days_label(F.col("avg_days_to_ship"))) \
-            .orderBy(F.desc("num_orders"), "status")
+            .transform(present, params, F.desc("num_orders"), "status")
 
 
 def fulfilment_outliers(star: Star, params: Params = DEFAULT) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesdeck.functions.money import dollars, round_half_up, safe_ratio
-from salesdeck.operators.ranking import top_k
+from salesdeck.operators.ranking import present, top_k
 from salesdeck.params import DEFAULT, Params
 from salesdeck.plans.facts import customer_totals, priced_lines
 from salesdeck.sources.star import Star
@@ -61,7 +61,7 @@ def product_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def product_performance(star: Star, params: Params = DEFAULT) -> DataFrame:
-    return product_rows(star, params).orderBy(F.desc_nulls_last("revenue"), "productCode")
+    return product_rows(star, params).transform(present, params, F.desc_nulls_last("revenue"), "productCode")
 
 
 def priority_restock(star: Star, params: Params = DEFAULT) -> DataFrame:

@@ -9,7 +9,7 @@ from salesdeck.functions.labels import DASH, thousands_label
 from salesdeck.functions.measures import full_name
 from salesdeck.functions.money import cents_ratio, dollars, round_half_up, safe_ratio
 from salesdeck.operators.joins import join_dim
-from salesdeck.operators.ranking import global_row_number
+from salesdeck.operators.ranking import global_row_number, present
 from salesdeck.params import DEFAULT, Params
 from salesdeck.plans.facts import rep_totals
 from salesdeck.sources.star import Star
@@ -34,7 +34,7 @@ def rep_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def rep_performance(star: Star, params: Params = DEFAULT) -> DataFrame:
-    return rep_rows(star, params).orderBy(F.desc("total_profit"), "employeeNumber")
+    return rep_rows(star, params).transform(present, params, F.desc("total_profit"), "employeeNumber")
 
 
 def _hierarchy(star: Star) -> DataFrame:
@@ -58,7 +58,7 @@ def org_hierarchy(star: Star, params: Params = DEFAULT) -> DataFrame:
         F.col("mgr_title").alias("manager_title"),
         F.col("city").alias("office"),
         "mgr_last", "lastName", "employeeNumber",
-    ).orderBy(F.asc_nulls_first("mgr_last"), F.asc_nulls_first("lastName"), "employeeNumber") \
+    ).transform(present, params, F.asc_nulls_first("mgr_last"), F.asc_nulls_first("lastName"), "employeeNumber") \
      .drop("mgr_last", "lastName", "employeeNumber")
 
 
@@ -72,7 +72,7 @@ def org_hierarchy_filled(star: Star, params: Params = DEFAULT) -> DataFrame:
          .otherwise(F.lit(DASH)).alias("reports_to"),
         F.coalesce("mgr_title", F.lit(DASH)).alias("manager_title"),
         "city", "employeeNumber",
-    ).orderBy("reports_to", "employee", "employeeNumber").drop("employeeNumber")
+    ).transform(present, params, "reports_to", "employee", "employeeNumber").drop("employeeNumber")
 
 
 def hierarchy_role_class(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -106,7 +106,7 @@ def office_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def office_performance(star: Star, params: Params = DEFAULT) -> DataFrame:
-    return office_rows(star, params).orderBy(F.desc("total_profit"), "officeCode").drop("officeCode")
+    return office_rows(star, params).transform(present, params, F.desc("total_profit"), "officeCode").drop("officeCode")
 
 
 
@@ -134,7 +134,7 @@ def rep_profit_per_customer(star: Star, params: Params = DEFAULT) -> DataFrame:
     return r.select("employeeNumber", full_name("firstName", "lastName").alias("sales_rep"),
                     "total_customers", dollars("profit_cents").alias("total_profit"),
                     cents_ratio("profit_cents", "total_customers", 2).alias("profit_per_customer")) \
-            .orderBy(F.desc("profit_per_customer"), "employeeNumber")
+            .transform(present, params, F.desc("profit_per_customer"), "employeeNumber")
 
 
 def office_lead_ratio(star: Star, params: Params = DEFAULT) -> DataFrame:

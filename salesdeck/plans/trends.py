@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesdeck.functions.money import div_half_up, dollars, round_half_up, safe_ratio
+from salesdeck.operators.ranking import present
 from salesdeck.params import DEFAULT, Params
 from salesdeck.plans.facts import order_totals, orders_in_scope, priced_lines
 from salesdeck.sources.star import Star
@@ -25,7 +26,7 @@ def monthly_revenue(star: Star, params: Params = DEFAULT) -> DataFrame:
         F.count(F.lit(1)).alias("num_orders"),
         dollars(F.sum("revenue_cents")).alias("revenue"),
         dollars(F.sum("profit_cents")).alias("profit"),
-    ).orderBy("year", "month")
+    ).transform(present, params, "year", "month")
 
 
 def _monthly_cents(star: Star, params: Params) -> DataFrame:
@@ -46,7 +47,7 @@ def monthly_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def monthly_revenue_period(star: Star, params: Params = DEFAULT) -> DataFrame:
-    return monthly_rows(star, params).orderBy("period")
+    return monthly_rows(star, params).transform(present, params, "period")
 
 
 def _line_year(star: Star, params: Params) -> DataFrame:
@@ -65,7 +66,7 @@ def product_line_by_year(star: Star, params: Params = DEFAULT) -> DataFrame:
     t = _line_year_totals(star, params)
     return t.select("year", "productLine", dollars("revenue_cents").alias("revenue"),
                     dollars("profit_cents").alias("profit")) \
-            .orderBy("year", F.desc("profit"), "productLine")
+            .transform(present, params, "year", F.desc("profit"), "productLine")
 
 
 def product_line_pivot(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -76,7 +77,7 @@ def product_line_pivot(star: Star, params: Params = DEFAULT) -> DataFrame:
     years = [str(y) for y in params.pivot_years]
     p = t.groupBy("productLine").pivot("year", years).agg(F.first("profit_k"))
     p = p.select("productLine", *[F.col(y).alias(f"profit_{y}") for y in years])
-    return p.orderBy(F.desc_nulls_last(f"profit_{params.pivot_sort_year}"), "productLine")
+    return p.transform(present, params, F.desc_nulls_last(f"profit_{params.pivot_sort_year}"), "productLine")
 
 
 def monthly_by_year_series(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -87,7 +88,7 @@ def monthly_by_year_series(star: Star, params: Params = DEFAULT) -> DataFrame:
     return g.select("year",
                     F.transform("pts", lambda p: p["month"]).alias("months"),
                     F.transform("pts", lambda p: p["revenue"]).alias("revenues"),
-                    F.size("pts").cast("long").alias("n_points")).orderBy("year")
+                    F.size("pts").cast("long").alias("n_points")).transform(present, params, "year")
 
 
 def monthly_margin_proxy(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -99,7 +100,7 @@ def monthly_margin_proxy(star: Star, params: Params = DEFAULT) -> DataFrame:
                     F.date_format("period", "yyyy-MM").alias("period_label"),
                     dollars("revenue_cents").alias("revenue"),
                     div_half_up(F.col("revenue_cents") * F.lit(4), 1000).alias("approx_profit"),
-                    "period").orderBy(F.desc("period")).drop("period")
+                    "period").transform(present, params, F.desc("period")).drop("period")
 
 
 def seasonal_peak(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -111,7 +112,7 @@ def seasonal_peak(star: Star, params: Params = DEFAULT) -> DataFrame:
         F.max(F.when(F.col("month") == 1, F.col("revenue"))).alias("january_revenue"))
     return g.select("year", "peak_month", "peak_revenue", "january_revenue",
                     round_half_up(safe_ratio(F.col("peak_revenue"), F.col("january_revenue")), 2)
-                    .alias("peak_to_january")).orderBy("year")
+                    .alias("peak_to_january")).transform(present, params, "year")
 
 
 def product_line_share(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -122,7 +123,7 @@ def product_line_share(star: Star, params: Params = DEFAULT) -> DataFrame:
     total = t.agg(F.sum("profit_cents")).scalar()
     return t.select("productLine", dollars("profit_cents").alias("profit"),
                     round_half_up(safe_ratio(F.col("profit_cents") * F.lit(100), total), 2)
-                    .alias("share_pct")).orderBy(F.desc("profit"), "productLine")
+                    .alias("share_pct")).transform(present, params, F.desc("profit"), "productLine")
 
 
 def product_line_rank(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -133,7 +134,7 @@ def product_line_rank(star: Star, params: Params = DEFAULT) -> DataFrame:
     wl = Window.partitionBy("year").orderBy(F.asc("profit"))
     return t.select("year", "productLine", "profit",
                     F.rank().over(w).cast("long").alias("rank_desc"),
-                    (F.rank().over(wl) == 1).alias("is_weakest")).orderBy("year", "rank_desc", "productLine")
+                    (F.rank().over(wl) == 1).alias("is_weakest")).transform(present, params, "year", "rank_desc", "productLine")
 
 
 def year_to_date(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -148,7 +149,7 @@ def year_to_date(star: Star, params: Params = DEFAULT) -> DataFrame:
     return y.select("year", "revenue_ytd", "profit_ytd", "orders_ytd",
                     prev.alias("prev_revenue_ytd"),
                     round_half_up(safe_ratio(F.col("revenue_ytd") - prev, prev) * F.lit(100), 1)
-                    .alias("growth_pct")).orderBy("year")
+                    .alias("growth_pct")).transform(present, params, "year")
 
 
 def distinct_years(star: Star, params: Params = DEFAULT) -> DataFrame:

@@ -86,3 +86,10 @@ def test_rep_rank_is_distributed(star):
     assert "Window" not in p.split("BroadcastExchange")[0] or "rank" in df.columns
     ranks = sorted(r["rank"] for r in df.collect())
     assert ranks == list(range(1, len(ranks) + 1))
+
+
+def test_unordered_marts_skip_the_global_sort(star):
+    from dataclasses import replace
+    for name in ("customer_segments", "dormant_with_segment", "product_performance", "org_hierarchy"):
+        assert "rangepartitioning" in plan(ANALYSES[name](star, DEFAULT)), name
+        assert "rangepartitioning" not in plan(ANALYSES[name](star, replace(DEFAULT, ordered=False))), name
