@@ -28,3 +28,10 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["year", "month", "num_orders", "revenue", "profit"]
     assert df.count() > 0
+
+
+def test_result_columns_unique_and_public(spark):
+    """The driver compares by sorted column name: names must be unique and ours."""
+    for name, fn in entry.queries().items():
+        cols = fn(spark, SF_SMALL).columns
+        assert len(cols) == len(set(cols)) and not any(c.startswith("__") for c in cols), name
