@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from salesdeck.functions.money import round_whole
 
+# Fixed values of the reference: the ellipsis appended to cut labels and the
+# dash shown for a missing manager.
 ELLIPSIS = "…"
 DASH = "—"
 
