@@ -62,10 +62,12 @@ def _summary(seg: DataFrame) -> DataFrame:
 
 
 def segment_summary_all(star: Star, params: Params = DEFAULT) -> DataFrame:
+    """Per tier (SQL form, every status): customers, avg/total profit, avg orders."""
     return _summary(_segmented(star, params, True)).transform(present, params, F.desc("total_profit"), "segment")
 
 
 def segment_summary(star: Star, params: Params = DEFAULT) -> DataFrame:
+    """Per tier (app form, cancelled excluded): customers, avg/total profit, avg orders."""
     return _summary(_segmented(star, params, False)).transform(present, params, F.desc("total_profit"), "segment")
 
 
@@ -192,6 +194,7 @@ def dormant_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def dormant_with_segment(star: Star, params: Params = DEFAULT) -> DataFrame:
+    """Dormant customers with tier and lifetime profit, longest inactive first."""
     return dormant_rows(star, params).transform(present, params, F.desc("days_since"), "customerNumber")
 
 

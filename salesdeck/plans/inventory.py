@@ -61,6 +61,7 @@ def product_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def product_performance(star: Star, params: Params = DEFAULT) -> DataFrame:
+    """Every catalogue product by revenue, highest first (never-ordered last)."""
     return product_rows(star, params).transform(present, params, F.desc_nulls_last("revenue"), "productCode")
 
 

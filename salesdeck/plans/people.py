@@ -34,6 +34,7 @@ def rep_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def rep_performance(star: Star, params: Params = DEFAULT) -> DataFrame:
+    """Rep rows, most profitable first (employee number breaks ties)."""
     return rep_rows(star, params).transform(present, params, F.desc("total_profit"), "employeeNumber")
 
 
@@ -106,6 +107,7 @@ def office_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def office_performance(star: Star, params: Params = DEFAULT) -> DataFrame:
+    """Per office: reps, customers, profit; most profitable first."""
     return office_rows(star, params).transform(present, params, F.desc("total_profit"), "officeCode").drop("officeCode")
 
 

@@ -47,6 +47,7 @@ def monthly_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def monthly_revenue_period(star: Star, params: Params = DEFAULT) -> DataFrame:
+    """Monthly rows (app form) in period order."""
     return monthly_rows(star, params).transform(present, params, "period")
 
 
