@@ -3,11 +3,10 @@
 Layout:
   sources/    readers, canonical schema, adapter views, date parsing, catalog
   functions/  column expressions: money in cents, measures, labels, tiers
-  operators/  reusable plan fragments: size-checked joins, eager aggregation,
-              distributed ranking, top-k / paging, pivot
+  operators/  reusable plan fragments: bounded broadcast, distributed ranking,
+              top-k / paging
   plans/      the analyses ("marts"), one function per result DataFrame
   sinks/      row and document writers
-  streaming/  (the analyses are batch; see its docstring)
 
 Every analysis is ``f(star, params) -> DataFrame``: lazy, no collect, no UDF,
 no session creation.

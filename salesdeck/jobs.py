@@ -23,7 +23,7 @@ from salesdeck.params import DEFAULT, Params
 from salesdeck.plans import facts
 from salesdeck.registry import ANALYSES
 from salesdeck.session import ensure_checkpoint_dir
-from salesdeck.sinks import write_rows
+from salesdeck.sinks import write_document, write_rows
 from salesdeck.sources.star import Star, load_star
 
 # marts with a natural partition column: written partitioned by it
@@ -35,7 +35,7 @@ def materialise_facts(star: Star, params: Params = DEFAULT) -> Star:
     """A star whose shared aggregates are checkpointed once."""
     ensure_checkpoint_dir(star.orders.sparkSession)
     # ship date per order: an aggregate of the line table used by six analyses
-    s = replace(star, memo={}, shipments=star.shipments.checkpoint())
+    s = replace(star, memo={}, shipments=None if star.shipments is None else star.shipments.checkpoint())
     s.memo["order_totals"] = facts._order_totals(s).checkpoint()
     for inc in (True, False):
         key = f"customer_totals/{inc}/{params.cancelled}/{params.keep_null_status}"
@@ -51,11 +51,12 @@ def refresh_marts(star: Star, out_dir: str, names: list[str] | None = None,
     params = replace(params, ordered=False)
     written = {}
     for name in names or list(ANALYSES):
-        if name == "rep_json_document":
-            continue  # a document, not a mart (sinks.write_document)
         path = f"{out_dir}/{name}"
-        write_rows(ANALYSES[name](shared, params), path, fmt="parquet",
-                   partition_by=PARTITIONS.get(name))
+        if name == "rep_json_document":
+            write_document(ANALYSES[name](shared, params), path)
+        else:
+            write_rows(ANALYSES[name](shared, params), path, fmt="parquet",
+                       partition_by=PARTITIONS.get(name))
         written[name] = path
     return written
 

@@ -1,13 +1,12 @@
-"""Join helpers.
-
-Broadcast hints are given only for sides whose size has a proven bound
-(``bounded=True``): fixed code tables such as the 4-row tier table, the
-25-row nation-derived offices, one-row aggregates.  Every other side is left
-to the planner: ``spark.sql.autoBroadcastJoinThreshold`` at plan time and
-AQE at run time (``spark.sql.adaptive.autoBroadcastJoinThreshold``) switch a
-shuffle join to a broadcast join once the *measured* size of the smaller side
-is under the threshold; above it the join stays a sort-merge join whose
-skewed partitions AQE splits.
+"""Join helper.
+
+A broadcast hint is given only for a side whose size has a proven bound: the
+4-row tier table here, nation and region and the offices made of them in
+``sources.adapters``, the partition offsets in ``operators.ranking``.  Every
+other join is left to the planner: ``spark.sql.autoBroadcastJoinThreshold`` at
+plan time and AQE at run time turn a shuffle join into a broadcast join once
+the *measured* size of a side is under the threshold; above it the join stays a
+sort-merge join whose skewed partitions AQE splits.
 """
 
 from __future__ import annotations
@@ -16,29 +15,5 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def join_dim(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
-             bounded: bool = False) -> DataFrame:
-    return fact.join(F.broadcast(dim) if bounded else dim, on, how)
-
-
-def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """Explicit renames before a join, so no two inputs share a non-key name."""
-    return df.withColumnsRenamed(mapping)
-
-
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                 max_rows: int = 100_000) -> DataFrame:
-    """Join a small, *unbounded-by-construction* side (e.g. an aggregate whose
-    key domain is not known in advance) with a checked broadcast.
-
-    ``small`` is materialised once into ``spark.checkpoint.dir`` (reliable
-    storage, survives executor loss) and counted; only when the count proves
-    it has at most ``max_rows`` rows is it broadcast.  Beyond that it is an
-    ordinary shuffle join, where AQE splits skewed partitions.
-    """
-    from salesdeck.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(small.sparkSession)
-    small = small.checkpoint(eager=True)
-    n = small.count()
-    return big.join(F.broadcast(small) if n <= max_rows else small, on, how)
+def join_bounded(fact: DataFrame, dim: DataFrame, on, how: str = "inner") -> DataFrame:
+    return fact.join(F.broadcast(dim), on, how)

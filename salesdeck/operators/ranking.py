@@ -27,12 +27,10 @@ from salesdeck.session import ensure_checkpoint_dir
 _PID, _MID = "__pid", "__mid"
 
 
-def global_row_number(df: DataFrame, order: list[Column], name: str = "rank",
-                      num_partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    numbered = (df.repartitionByRange(n, *order)
+def global_row_number(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    # no partition count: AQE coalesces the ranges to the size of the input
+    numbered = (df.repartitionByRange(*order)
                   .sortWithinPartitions(*order)
                   .withColumn(_PID, F.spark_partition_id())
                   .withColumn(_MID, F.monotonically_increasing_id())

@@ -182,8 +182,7 @@ STOCK = """st AS (
     JOIN products USING (productCode)),
 st2 AS (
   SELECT *, """ + r("CAST(units_ordered AS DOUBLE) / NULLIF(CAST(quantityInStock AS DOUBLE), 0)", 2) + """ AS low_stock_ratio
-    FROM st),
-low AS (SELECT * FROM st2 ORDER BY low_stock_ratio DESC NULLS LAST, productCode LIMIT 10)"""
+    FROM st)"""
 
 PERF = """perf AS (
   SELECT pr.productCode, pr.productName, pr.productLine,
@@ -237,7 +236,9 @@ ORACLE_SQL: dict[str, str] = {
         CAST(rev AS DOUBLE) AS revenue, CAST(prof AS DOUBLE) AS profit FROM ly"""),
     "product_line_pivot": q(LINES_NC, LINE_YEAR, "SELECT productLine, " + ", ".join(
         f"MAX(CASE WHEN year = '{y}' THEN CAST(prof AS DOUBLE) / 1000.0 END) AS profit_{y}"
-        for y in range(1995, 2002)) + " FROM ly GROUP BY productLine"),
+        for y in range(1995, 2002)) + """,
+        CAST(SUM(CASE WHEN year NOT BETWEEN '1995' AND '2001' THEN prof END) AS DOUBLE) / 1000.0 AS profit_other_years
+        FROM ly GROUP BY productLine"""),
     "monthly_by_year_series": q(LINES_NC, MONTHLY, """SELECT year,
         list(month ORDER BY month) AS months, list(revenue ORDER BY month) AS revenues,
         COUNT(*) AS n_points FROM mon GROUP BY year"""),
@@ -345,10 +346,16 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN length(label_full) > 22 THEN substr(label_full, 1, 22) || '…'
              ELSE label_full END AS label_web FROM lab"""),
     # --------------------------------------------------------- inventory
-    "low_stock": q(STOCK, "SELECT * FROM low"),
+    "low_stock": q(STOCK, "SELECT * FROM st2"),
     "product_performance": q(PERF, "SELECT * FROM perf"),
-    "priority_restock": q(STOCK, PERF, """SELECT * FROM low WHERE productCode IN (
-        SELECT productCode FROM perf ORDER BY revenue DESC NULLS LAST, productCode LIMIT 10)"""),
+    "priority_restock": q(STOCK, PERF, """pace AS (
+        SELECT CAST(SUM(units_ordered) AS DOUBLE) / CAST(SUM(quantityInStock) AS DOUBLE) AS pace FROM st),
+        mean AS (SELECT CAST(SUM(rev_cents) AS DOUBLE) / COUNT(rev_cents) AS mean FROM (
+                   SELECT CAST(SUM(rev) * 100 AS BIGINT) AS rev_cents FROM priced GROUP BY productCode))""",
+        """SELECT * FROM st2
+        WHERE CAST(units_ordered AS DOUBLE) / NULLIF(CAST(quantityInStock AS DOUBLE), 0) >= 2.0 * (SELECT pace FROM pace)
+          AND productCode IN (SELECT productCode FROM priced GROUP BY productCode
+               HAVING CAST(CAST(SUM(rev) * 100 AS BIGINT) AS DOUBLE) >= 1.0 * (SELECT mean FROM mean))"""),
     "vip_customers": q("""ct AS (
         SELECT customerNumber, CAST(SUM(prof) AS DOUBLE) AS total_profit
           FROM sold GROUP BY customerNumber),
@@ -372,10 +379,32 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT 'orders', 5, COUNT(*) FROM ords
         UNION ALL SELECT 'orderdetails', 4, COUNT(*) FROM orderdetails
         UNION ALL SELECT 'products', 5, COUNT(*) FROM products"""),
+    "table_columns": q(" UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, CAST({i} AS BIGINT) AS position, '{c}' AS column_name, "
+        f"'{kind}' AS column_type, COUNT({expr or c}) AS n_values FROM {rel or t}"
+        for t, rel, cols in (
+            ("offices", None, (("officeCode", "string"), ("city", "string"), ("country", "string"), ("territory", "string"))),
+            ("employees", None, (("employeeNumber", "bigint"), ("firstName", "string"), ("lastName", "string"),
+                                 ("jobTitle", "string"), ("reportsTo", "bigint"), ("officeCode", "string"))),
+            ("customers", None, (("customerNumber", "bigint"), ("customerName", "string"), ("city", "string"),
+                                 ("country", "string"), ("salesRepEmployeeNumber", "bigint"))),
+            ("orders", "ords", (("orderNumber", "bigint"), ("customerNumber", "bigint"), ("orderDate", "date"),
+                                ("status", "string"), ("shippedDate", "date"))),
+            ("orderdetails", None, (("orderNumber", "bigint"), ("productCode", "bigint"), ("quantityOrdered", "int"),
+                                    ("revenue_cents", "bigint", "line_revenue"))),
+            ("products", None, (("productCode", "bigint"), ("productName", "string"), ("productLine", "string"),
+                                ("buy_price_cents", "bigint", "buyPrice"), ("quantityInStock", "int"))))
+        for i, (c, kind, *more) in enumerate(cols, 1) for expr in [more[0] if more else None])),
+    "rep_json_document": q(REPS, """ranked AS (
+        SELECT *, ROW_NUMBER() OVER (ORDER BY total_profit DESC, employeeNumber) AS pos FROM reps)""",
+        """SELECT CAST((pos - 1) // 50 AS BIGINT) AS page, list(total_profit ORDER BY pos) AS x,
+        list(sales_rep ORDER BY pos) AS y, list(office ORDER BY pos) AS office,
+        list(total_customers ORDER BY pos) AS customers, list(total_orders ORDER BY pos) AS orders
+        FROM ranked GROUP BY 1"""),
     "scan_table": q("""SELECT orderNumber, productCode, quantityOrdered,
         CAST(line_revenue AS DOUBLE) AS line_revenue FROM orderdetails"""),
     "scan_projected": q("SELECT productCode, productLine FROM products"),
-    "scan_filtered": q("SELECT status, orderDate, shippedDate FROM ords WHERE shippedDate IS NOT NULL"),
+    "scan_filtered": q("SELECT status, orderDate, customerNumber FROM ords WHERE customerNumber >= 100"),
     "parse_date_lenient": q("""SELECT orderNumber, strftime(orderDate, '%Y-%m-%d') AS order_text,
         COALESCE(strftime(shippedDate, '%Y-%m-%d'), 'n/a') AS ship_text,
         orderDate, shippedDate FROM ords"""),

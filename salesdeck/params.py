@@ -23,7 +23,8 @@ class Params:
     dormant_days: int = 180
     # profit thresholds (dollars) for Platinum, Gold, Silver; below -> Bronze
     tiers: tuple[float, float, float] = (1_500_000.0, 1_000_000.0, 500_000.0)
-    # years shown as columns of the product-line pivot, and the sort column
+    # years with a column of their own in the product-line pivot (all others
+    # share one), and the sort column
     pivot_years: tuple[int, ...] = (1995, 1996, 1997, 1998, 1999, 2000, 2001)
     pivot_sort_year: int = 2000
     # last month of the partial year used by the year-to-date comparison
@@ -32,12 +33,15 @@ class Params:
     outlier_factor: float = 2.0
     # list lengths of the top-k reports
     top_dormant: int = 15
-    top_chart: int = 15          # entries of a chart document (rep bars)
     top_customers: int = 20
     top_vip: int = 10
-    top_low_stock: int = 10
-    top_revenue: int = 10
     page_size: int = 20
+    scan_from_customer: int = 100
+    document_page: int = 50      # reps in one page of the column document
+    # priority restock: at least these multiples of the catalogue's pace of
+    # stock and of an ordered product's mean revenue
+    restock_ratio: float = 2.0
+    restock_revenue: float = 1.0
     label_width: int = 22
     # apply the final ORDER BY of each analysis (off in the mart refresh job)
     ordered: bool = True

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from salesdeck.functions.labels import grouped_label, thousands_label
 from salesdeck.functions.measures import days_between, full_name, not_cancelled, whole_days_between
 from salesdeck.functions.money import cents_ratio, div_half_up, dollars, round_half_up
-from salesdeck.operators.joins import join_dim
 from salesdeck.params import DEFAULT, Params
-from salesdeck.plans.facts import customer_totals, order_totals, priced_lines
+from salesdeck.plans.facts import customer_totals, order_totals, priced_lines, product_line_sums
 from salesdeck.plans.people import rep_rows
 from salesdeck.sources.star import Star
 
@@ -63,24 +62,27 @@ def agg_count(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def agg_count_distinct(star: Star, params: Params = DEFAULT) -> DataFrame:
-    """Two exact distinct counts per product line.  The lines are joined to
-    their order first (both sides hash-partitioned by order number); the
-    de-duplication to one row per (order, line, customer) then runs on that
-    partitioning without another shuffle, and the order fixes the customer,
-    so distinct orders become a plain count."""
-    lines = priced_lines(star, with_line=True).select("orderNumber", "productLine")
+    """Two exact distinct counts per product line.  The product lines of an
+    order are collected as a set (partly on the map side, and no larger than
+    the order), which de-duplicates before the shuffle by order; the join to
+    orders uses the same partitioning.  The order fixes the customer, so
+    distinct orders become a plain count."""
+    lines = priced_lines(star, with_line=True).groupBy("orderNumber").agg(
+        F.collect_set(F.struct("productLine")).alias("lines"))  # a struct, so that NULL is kept
     o = star.orders.select("orderNumber", "customerNumber")
-    d = lines.join(o, "orderNumber").distinct()
+    d = lines.join(o, "orderNumber").select("customerNumber", F.explode("lines").alias("l")) \
+             .select("customerNumber", "l.productLine")
     return d.groupBy("productLine").agg(
         F.count(F.lit(1)).alias("num_orders"),
         F.countDistinct("customerNumber").alias("num_customers"))
 
 
 def agg_avg(star: Star, params: Params = DEFAULT) -> DataFrame:
-    lines = priced_lines(star, with_line=True)
-    return lines.groupBy("productLine").agg(
-        cents_ratio(F.sum("revenue_cents"), F.count("revenue_cents"), 2).alias("avg_line_revenue"),
-        round_half_up(F.avg("quantityOrdered"), 1).alias("avg_quantity"))
+    """Averages over lines from sums and counts per product, rolled up."""
+    t = product_line_sums(star).join(star.products.select("productCode", "productLine"), "productCode")
+    return t.groupBy("productLine").agg(
+        cents_ratio(F.sum("revenue_cents"), F.sum("revenues"), 2).alias("avg_line_revenue"),
+        round_half_up(F.try_divide(F.sum("units").cast("double"), F.sum("quantities")), 1).alias("avg_quantity"))
 
 
 def agg_min_max(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -96,7 +98,7 @@ def agg_min_max(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 def fn_concat(star: Star, params: Params = DEFAULT) -> DataFrame:
     off = star.offices.select("officeCode", "city", "territory")
-    e = join_dim(star.employees, off, "officeCode", bounded=True)
+    e = star.employees.join(off, "officeCode")
     return e.select("employeeNumber", full_name("firstName", "lastName").alias("employee"),
                     F.concat("city", F.lit(" / "), "territory").alias("office_label"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from salesdeck.functions.labels import percent_label, truncate, truncate_ellipsis
 from salesdeck.functions.measures import TIERS, tier, whole_days_between
 from salesdeck.functions.money import avg_dollars, dollars, round_half_up, safe_ratio
-from salesdeck.operators.joins import join_dim
+from salesdeck.operators.joins import join_bounded
 from salesdeck.operators.ranking import page, present, top_k
 from salesdeck.params import DEFAULT, Params
 from salesdeck.plans.facts import customer_totals
@@ -82,7 +82,7 @@ def _summary_ordered(star: Star, params: Params) -> DataFrame:
     s = _summary(_segmented(star, params, False))
     t = tier_table(star.orders.sparkSession)
     # s has at most 4 rows (one per tier): broadcast is bounded
-    return join_dim(t, s, "segment", "left", bounded=True).select(
+    return join_bounded(t, s, "segment", "left").select(
         "segment", "tier_order",
         F.coalesce("num_customers", F.lit(0).cast("long")).alias("num_customers"),
         F.coalesce("total_profit", F.lit(0.0)).alias("total_profit"),

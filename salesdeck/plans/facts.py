@@ -11,8 +11,9 @@ the first moves pre-aggregated rows instead of lines.
 
 A key that holds a third of all rows (one customer, one rep, one product) is
 harmless to these aggregations: partial aggregation collapses it map-side.
-The one fact-to-dimension join on a possibly skewed key (lines -> products)
-is left to AQE, which splits oversized partitions of the line side.
+Product-keyed analyses sum the lines per product before they join products.
+Only order-keyed ones need a price on every line first; their join of lines to
+products is left to AQE, which splits oversized partitions of the line side.
 """
 
 from __future__ import annotations
@@ -34,6 +35,25 @@ def priced_lines(star: Star, with_line: bool = False) -> DataFrame:
     return lines.select(*(out + (["productLine"] if with_line else [])))
 
 
+def product_line_sums(star: Star, *keys: str, lines: DataFrame | None = None) -> DataFrame:
+    """Lines summed to one row per product (and ``keys``) before any product
+    column is looked up: units, priced units, lines and revenue.  The sums are
+    partial on the map side, so a hot product is a handful of rows when the
+    shuffle starts, and the product dimension meets aggregated rows only."""
+    priced = F.col("revenue_cents").isNotNull()
+    return (star.orderdetails if lines is None else lines).groupBy(*keys, "productCode").agg(
+        F.sum("quantityOrdered").cast("long").alias("units"),
+        F.count("quantityOrdered").alias("quantities"),
+        F.sum(F.when(priced, F.col("quantityOrdered"))).cast("long").alias("priced_units"),
+        F.sum("revenue_cents").alias("revenue_cents"),
+        F.count("revenue_cents").alias("revenues"))
+
+
+def summed_profit_cents():
+    """Profit of summed lines: every line of a product has the same buying price."""
+    return F.col("revenue_cents") - F.col("priced_units") * F.col("buy_price_cents")
+
+
 def _memo(star: Star, key: str, build):
     """A fact materialised by a refresh job, else the plan that computes it."""
     return star.memo[key] if key in star.memo else build()

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from salesdeck.functions.labels import days_label
 from salesdeck.functions.measures import days_between
 from salesdeck.functions.money import round_half_up, safe_ratio
-from salesdeck.operators.joins import join_checked
 from salesdeck.operators.ranking import present
 from salesdeck.params import DEFAULT, Params
 from salesdeck.sources.star import Star
@@ -38,10 +37,12 @@ def fulfilment_outliers(star: Star, params: Params = DEFAULT) -> DataFrame:
     average of their status.  The averages are an aggregate (one row per
     status) joined back, not a window partitioned by status: a window would
     put every order of a status -- a third of all orders -- into one task.
-    The aggregate is broadcast only after a count has proven it small."""
+    Both sides come from the same shipped orders, so the line table is read
+    once; the planner broadcasts the averages when they prove small and splits
+    a hot status when they don't."""
     s = _shipped(star)
     avg = s.groupBy(F.col("status").alias("avg_status")).agg(F.avg("days_to_ship").alias("status_avg"))
-    j = join_checked(s, avg, F.col("status").eqNullSafe(F.col("avg_status"))).drop("avg_status")
+    j = s.join(avg, F.col("status").eqNullSafe(F.col("avg_status"))).drop("avg_status")
     return j.filter(F.col("days_to_ship") > F.lit(params.outlier_factor) * F.col("status_avg")).select(
         "orderNumber", "status", "days_to_ship",
         round_half_up("status_avg", 2).alias("status_avg_days"),

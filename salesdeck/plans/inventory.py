@@ -1,6 +1,9 @@
 """Inventory and product analyses (described but not coded by the reference; the
 exact definitions here are ours: units ordered over units in stock, revenue
-per product, their top-N intersection, top customers by profit)."""
+per product, products above the catalogue on both counts, top customers by
+profit).
+
+Lines are summed per product first; products are joined to the sums."""
 
 from __future__ import annotations
 
@@ -10,54 +13,45 @@ from pyspark.sql import functions as F
 from salesdeck.functions.money import dollars, round_half_up, safe_ratio
 from salesdeck.operators.ranking import present, top_k
 from salesdeck.params import DEFAULT, Params
-from salesdeck.plans.facts import customer_totals, priced_lines
+from salesdeck.plans.facts import customer_totals, product_line_sums, summed_profit_cents
 from salesdeck.sources.star import Star
 
 
-def _product_totals(star: Star) -> DataFrame:
-    """One pass over the lines: units, revenue and profit per product (the
-    lines are aggregated before the product dimension is joined)."""
-    t = priced_lines(star).groupBy("productCode").agg(
-        F.sum("quantityOrdered").cast("long").alias("units_ordered"),
-        F.sum("revenue_cents").alias("revenue_cents"),
-        F.sum("profit_cents").alias("profit_cents"))
+def _stock(star: Star) -> DataFrame:
+    """Ordered products with their units, stock and revenue."""
+    t = product_line_sums(star).select("productCode", F.col("units").alias("units_ordered"), "revenue_cents")
     p = star.products.select("productCode", "productName", "productLine", "quantityInStock")
     return t.join(p, "productCode")
 
 
-def _stock_ratio(totals: DataFrame) -> DataFrame:
-    return totals.select(
+def _stock_ratio(stock: DataFrame) -> DataFrame:
+    return stock.select(
         "productCode", "productName", "productLine", "units_ordered", "quantityInStock",
         round_half_up(safe_ratio(F.col("units_ordered"), F.col("quantityInStock")), 2)
         .alias("low_stock_ratio"))
 
 
-def _low(totals: DataFrame, params: Params) -> DataFrame:
-    return top_k(_stock_ratio(totals), [F.desc_nulls_last("low_stock_ratio"), F.asc("productCode")],
-                 params.top_low_stock)
-
-
 def low_stock(star: Star, params: Params = DEFAULT) -> DataFrame:
-    """Products most urgently in need of restock (highest ordered/stock ratio)."""
-    return _low(_product_totals(star), params)
+    """Every ordered product by urgency: highest ratio of units ordered to
+    units in stock first, no stock at all (NULL ratio) last."""
+    return _stock_ratio(_stock(star)).transform(
+        present, params, F.desc_nulls_last("low_stock_ratio"), "productCode")
 
 
 def product_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
     """Revenue and profit of every catalogue product, by a correlated scalar
-    subquery as written in SQL.  Catalyst rewrites it into one aggregate of
-    the lines plus a left outer join, so no per-product probe runs; the
-    subquery returns both sums in one struct so the lines are aggregated
-    once.  A product that was never ordered has NULL revenue and profit."""
+    subquery as written in SQL, over the per-product sums.  Catalyst rewrites
+    it into a left outer join, so no per-product probe runs.  A product that
+    was never ordered has NULL revenue and profit."""
     spark = star.products.sparkSession
     q = """
-      SELECT productCode, productName, productLine,
-             s.r / 100.0D AS revenue, s.p / 100.0D AS profit
-        FROM (SELECT p.*,
-                     (SELECT named_struct('r', SUM(l.revenue_cents), 'p', SUM(l.profit_cents))
-                        FROM {lines} l WHERE l.productCode = p.productCode) AS s
+      SELECT productCode, productName, productLine, s.revenue_cents / 100.0D AS revenue,
+             (s.revenue_cents - s.priced_units * buy_price_cents) / 100.0D AS profit
+        FROM (SELECT p.*, (SELECT max(struct(t.revenue_cents, t.priced_units))
+                             FROM {sums} t WHERE t.productCode = p.productCode) AS s
                 FROM {products} p)
     """
-    return spark.sql(q, lines=priced_lines(star), products=star.products)
+    return spark.sql(q, sums=product_line_sums(star), products=star.products)
 
 
 def product_performance(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -66,16 +60,23 @@ def product_performance(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def priority_restock(star: Star, params: Params = DEFAULT) -> DataFrame:
-    """Products in both top lists: most urgent stock ratio and highest revenue
-    (the reference's chained CTEs; the intersection is a semi join).  Both
-    lists come from the same per-product aggregate."""
-    totals = _product_totals(star)
-    low = _low(totals, params)
-    perf = star.products.select("productCode").join(
-        totals.select("productCode", "revenue_cents"), "productCode", "left")
-    top_rev = top_k(perf, [F.desc_nulls_last("revenue_cents"), F.asc("productCode")],
-                    params.top_revenue)
-    return low.join(top_rev.select("productCode"), "productCode", "left_semi")
+    """Products to restock first: in the whole catalogue, those that sell
+    ``restock_ratio`` times faster against their stock than the catalogue does
+    and earn ``restock_revenue`` times an ordered product's mean revenue.
+
+    The reference's two chained lists are two selections over one per-product
+    aggregate, intersected by a semi join; the catalogue's figures are one row
+    from the same aggregate."""
+    stock = _stock(star)
+    overall = stock.agg(
+        (F.sum("units_ordered").cast("double") / F.sum("quantityInStock").cast("double")).alias("pace"),
+        (F.sum("revenue_cents").cast("double") / F.count("revenue_cents")).alias("mean_cents"))
+    pace, mean = overall.select("pace").scalar(), overall.select("mean_cents").scalar()
+    ratio = safe_ratio(F.col("units_ordered"), F.col("quantityInStock"))
+    urgent = _stock_ratio(stock.filter(ratio >= F.lit(params.restock_ratio) * pace))
+    earners = stock.filter(F.col("revenue_cents").cast("double") >= F.lit(params.restock_revenue) * mean)
+    return urgent.join(earners.select("productCode"), "productCode", "left_semi").transform(
+        present, params, F.desc_nulls_last("low_stock_ratio"), "productCode")
 
 
 def vip_customers(star: Star, params: Params = DEFAULT) -> DataFrame:

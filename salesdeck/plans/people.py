@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from salesdeck.functions.labels import DASH, thousands_label
 from salesdeck.functions.measures import full_name
 from salesdeck.functions.money import cents_ratio, dollars, round_half_up, safe_ratio
-from salesdeck.operators.joins import join_dim
 from salesdeck.operators.ranking import global_row_number, present
 from salesdeck.params import DEFAULT, Params
 from salesdeck.plans.facts import rep_totals
@@ -18,7 +17,7 @@ from salesdeck.sources.star import Star
 def _reps(star: Star) -> DataFrame:
     """Employees with their office city (inner: an employee without office drops)."""
     off = star.offices.select("officeCode", F.col("city").alias("office"), "country", "territory")
-    return join_dim(star.employees, off, "officeCode", bounded=True)
+    return star.employees.join(off, "officeCode")
 
 
 def rep_rows(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -40,13 +39,10 @@ def rep_performance(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 def _hierarchy(star: Star) -> DataFrame:
     e = star.employees
-    m = e.select(F.col("employeeNumber").alias("mgr_num"),
-                 F.col("firstName").alias("mgr_first"),
-                 F.col("lastName").alias("mgr_last"),
-                 F.col("jobTitle").alias("mgr_title"))
+    boss = e.select(F.struct(F.col("employeeNumber").alias("number"), "firstName", "lastName", "jobTitle").alias("boss"))
     off = star.offices.select("officeCode", "city")
-    # self join on the adjacency list, one level; left keeps the root
-    return join_dim(e.join(m, e.reportsTo == m.mgr_num, "left"), off, "officeCode", bounded=True)
+    # self join on the adjacency list, one level; left keeps the root, whose boss is NULL
+    return e.join(boss, e.reportsTo == F.col("boss.number"), "left").join(off, "officeCode")
 
 
 def org_hierarchy(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -55,12 +51,12 @@ def org_hierarchy(star: Star, params: Params = DEFAULT) -> DataFrame:
     return h.select(
         full_name("firstName", "lastName").alias("employee"),
         "jobTitle",
-        full_name("mgr_first", "mgr_last").alias("reports_to"),
-        F.col("mgr_title").alias("manager_title"),
+        full_name("boss.firstName", "boss.lastName").alias("reports_to"),
+        F.col("boss.jobTitle").alias("manager_title"),
         F.col("city").alias("office"),
-        "mgr_last", "lastName", "employeeNumber",
-    ).transform(present, params, F.asc_nulls_first("mgr_last"), F.asc_nulls_first("lastName"), "employeeNumber") \
-     .drop("mgr_last", "lastName", "employeeNumber")
+        F.col("boss.lastName").alias("boss_last"), "lastName", "employeeNumber",
+    ).transform(present, params, F.asc_nulls_first("boss_last"), F.asc_nulls_first("lastName"), "employeeNumber") \
+     .drop("boss_last", "lastName", "employeeNumber")
 
 
 def org_hierarchy_filled(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -69,9 +65,9 @@ def org_hierarchy_filled(star: Star, params: Params = DEFAULT) -> DataFrame:
     return h.select(
         full_name("firstName", "lastName").alias("employee"),
         F.col("jobTitle").alias("job_title"),
-        F.when(F.col("mgr_num").isNotNull(), full_name("mgr_first", "mgr_last"))
+        F.when(F.col("boss").isNotNull(), full_name("boss.firstName", "boss.lastName"))
          .otherwise(F.lit(DASH)).alias("reports_to"),
-        F.coalesce("mgr_title", F.lit(DASH)).alias("manager_title"),
+        F.coalesce("boss.jobTitle", F.lit(DASH)).alias("manager_title"),
         "city", "employeeNumber",
     ).transform(present, params, "reports_to", "employee", "employeeNumber").drop("employeeNumber")
 
@@ -97,7 +93,7 @@ def _office_totals(star: Star, params: Params) -> DataFrame:
         F.count(F.lit(1)).alias("num_reps"),
         F.sum("total_customers").alias("num_customers"),
         F.sum("profit_cents").alias("profit_cents"))
-    return join_dim(agg, star.offices, "officeCode", bounded=True)
+    return agg.join(star.offices, "officeCode")
 
 
 def office_rows(star: Star, params: Params = DEFAULT) -> DataFrame:

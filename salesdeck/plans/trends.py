@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from salesdeck.functions.money import div_half_up, dollars, round_half_up, safe_ratio
 from salesdeck.operators.ranking import present
 from salesdeck.params import DEFAULT, Params
-from salesdeck.plans.facts import order_totals, orders_in_scope, priced_lines
+from salesdeck.plans.facts import order_totals, orders_in_scope, product_line_sums, summed_profit_cents
 from salesdeck.sources.star import Star
 
 
@@ -51,16 +51,16 @@ def monthly_revenue_period(star: Star, params: Params = DEFAULT) -> DataFrame:
     return monthly_rows(star, params).transform(present, params, "period")
 
 
-def _line_year(star: Star, params: Params) -> DataFrame:
+def _line_year_totals(star: Star, params: Params) -> DataFrame:
+    """Lines meet their order once, are summed per year and product, and only
+    those sums meet the products and roll up to product lines."""
     o = orders_in_scope(star, params, False).select(
         "orderNumber", F.date_format("orderDate", "yyyy").alias("year"))
-    return priced_lines(star, with_line=True).join(o, "orderNumber")
-
-
-def _line_year_totals(star: Star, params: Params) -> DataFrame:
-    return _line_year(star, params).groupBy("year", "productLine").agg(
+    sums = product_line_sums(star, "year", lines=star.orderdetails.join(o, "orderNumber"))
+    p = star.products.select("productCode", "productLine", "buy_price_cents")
+    return sums.join(p, "productCode").groupBy("year", "productLine").agg(
         F.sum("revenue_cents").alias("revenue_cents"),
-        F.sum("profit_cents").alias("profit_cents"))
+        F.sum(summed_profit_cents()).alias("profit_cents"))
 
 
 def product_line_by_year(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -71,13 +71,16 @@ def product_line_by_year(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def product_line_pivot(star: Star, params: Params = DEFAULT) -> DataFrame:
-    """Product line x year profit in thousands; the year list is fixed, so the
-    schema is fixed and no extra pass collects the distinct years."""
-    t = _line_year_totals(star, params).select(
-        "productLine", "year", (dollars("profit_cents") / F.lit(1000.0)).alias("profit_k"))
+    """Product line x year profit in thousands.  The listed years have a
+    column each, so the schema is fixed and no extra pass collects the distinct
+    years; whatever falls in other years is in ``profit_other_years``, so a
+    row always adds up to its product line's profit."""
     years = [str(y) for y in params.pivot_years]
-    p = t.groupBy("productLine").pivot("year", years).agg(F.first("profit_k"))
-    p = p.select("productLine", *[F.col(y).alias(f"profit_{y}") for y in years])
+    other = "other_years"
+    t = _line_year_totals(star, params).withColumn(
+        "column", F.when(F.col("year").isin(years), F.col("year")).otherwise(other))
+    p = t.groupBy("productLine").pivot("column", [*years, other]).agg(F.sum("profit_cents"))
+    p = p.select("productLine", *[(dollars(F.col(y)) / F.lit(1000.0)).alias(f"profit_{y}") for y in [*years, other]])
     return p.transform(present, params, F.desc_nulls_last(f"profit_{params.pivot_sort_year}"), "productLine")
 
 

@@ -62,6 +62,7 @@ ANALYSES = {
     "platinum_share": kpi.platinum_share,
     # catalogue, scans, sinks
     "table_overview": catalog.table_overview,
+    "table_columns": catalog.table_columns,
     "scan_table": catalog.scan_table,
     "scan_projected": catalog.scan_projected,
     "scan_filtered": catalog.scan_filtered,

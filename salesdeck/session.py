@@ -71,24 +71,31 @@ def get_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def cluster_conf(input_bytes: int, total_cores: int,
-                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+#: Shuffle blocks (map tasks x reducers) of one exchange that the cluster's
+#: shuffle service is asked to index at most.
+MOST_BLOCKS = 2_000_000_000
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20,
+                 shuffled_share: float = 0.2) -> dict[str, str]:
     """Settings sized to the data, for a cluster run (pass to ``SparkSession.builder``).
 
     The widest shuffle of every analysis carries at most the projected line
-    table (order key, product key, quantity, price: ~32 bytes a line), so the
-    initial shuffle partition count is sized from the input and AQE coalesces
-    it down per stage at run time.  Scan splits and AQE's advisory size share
-    one target so a task's input, shuffle read and hash tables stay well
-    inside executor memory; partitions over 4x the median and 1 GB are split
-    by AQE's skew join.
+    table (order key, product key, quantity, price: ~32 bytes of a line of
+    ~160), ``shuffled_share`` of the input; the number of reducers follows
+    from those bytes, not from the input.  Scan splits grow until map tasks
+    times reducers stay within ``MOST_BLOCKS``.  AQE coalesces per stage at
+    run time, and splits partitions over 4x the median and 1 GB.
     """
-    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    parts = max(2 * total_cores, int(input_bytes * shuffled_share) // target_partition_bytes)
+    split = target_partition_bytes
+    while split < 4 << 30 and -(-input_bytes // split) * parts > MOST_BLOCKS:
+        split *= 2
     t = str(target_partition_bytes)
     return {
         **ENGINE_CONF,
         "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.files.maxPartitionBytes": t,
+        "spark.sql.files.maxPartitionBytes": str(split),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": t,
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(target_partition_bytes // 4),
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1 << 30),

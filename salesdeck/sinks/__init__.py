@@ -1,15 +1,14 @@
 """Writers for analysis results.
 
 Row records go out as JSON lines or Parquet, written by the executors (no
-result passes through the driver).  ``column_document`` builds the web
-page's column-oriented document ({"x": [...], "y": [...]}) -- by construction
-one row, so it is only offered for bounded inputs (a top-k list, a tier
-summary), never for a table that grows with the data.
+result passes through the driver).  ``column_pages`` builds the web page's
+column-oriented document ({"x": [...], "y": [...]}) in pages of a fixed size,
+so it may hold a table of any length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,16 +20,15 @@ def write_rows(df: DataFrame, path: str, fmt: str = "json", partition_by: list[s
     w.save(path)
 
 
-def _getter(field: str):
-    return lambda p: p[field]
+def column_pages(df: DataFrame, position: str, fields: dict[str, str], size: int) -> DataFrame:
+    """One row per ``size`` positions (1, 2, ...): ``page`` and a list for each
+    field, in order of position.  A group never exceeds ``size`` rows."""
+    rows = df.select(F.expr(f"({position} - 1) div {int(size)}").alias("page"),
+                     F.struct(position, *[F.col(c).alias(k) for k, c in fields.items()]).alias("row"))
+    pages = rows.groupBy("page").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    return pages.select("page", *[F.col(f"rows.{k}").alias(k) for k in fields])
 
 
-def column_document(df: DataFrame, order: Column, fields: dict[str, str]) -> DataFrame:
-    """One row, one JSON string: each field a list in ``order``."""
-    pts = F.sort_array(F.collect_list(F.struct(order.alias("__o"), *[F.col(c) for c in fields.values()])))
-    doc = F.struct(*[F.transform(pts, _getter(c)).alias(k) for k, c in fields.items()])
-    return df.agg(F.to_json(doc).alias("doc"))
-
-
-def write_document(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").text(path)
+def write_document(pages: DataFrame, path: str) -> None:
+    """Pages as JSON documents, one line each, written by the executors."""
+    pages.select(F.to_json(F.struct(*pages.columns)).alias("value")).write.mode("overwrite").text(path)

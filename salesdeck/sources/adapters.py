@@ -28,13 +28,15 @@ def cents_from_double(col: str):
 
 
 def offices(nation: DataFrame, region: DataFrame) -> DataFrame:
-    # nation and region are fixed 25- and 5-row tables: broadcast is bounded
-    return nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(
+    # nation and region are fixed 25- and 5-row tables: broadcasting them, and
+    # the 25 offices made of them, is bounded (offices read from files are not)
+    made = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(
         F.col("n_nationkey").cast("string").alias("officeCode"),
         F.col("n_name").alias("city"),
         F.col("n_name").alias("country"),
         F.col("r_name").alias("territory"),
     )
+    return F.broadcast(made)
 
 
 def employees(supplier: DataFrame) -> DataFrame:

@@ -40,9 +40,25 @@ def scan_projected(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def scan_filtered(star: Star, params: Params = DEFAULT) -> DataFrame:
-    """Column list + pushed WHERE: shipped orders with both dates."""
-    return star.orders_shipped.filter(F.col("shippedDate").isNotNull()) \
-               .select("status", "orderDate", "shippedDate")
+    """Column list + WHERE on a stored column, which reaches the Parquet scan:
+    the orders of a range of customers."""
+    return star.orders.filter(F.col("customerNumber") >= params.scan_from_customer) \
+               .select("status", "orderDate", "customerNumber")
+
+
+def table_columns(star: Star, params: Params = DEFAULT) -> DataFrame:
+    """Column metadata as rows (``PRAGMA table_info``): table, position from 1,
+    column and SQL type, taken from the tables' schemas; each row also carries
+    the table's number of non-null values in the column."""
+    parts = []
+    for name in TABLES:
+        df = star.table(name)
+        counts = df.agg(*[F.count(f"`{f.name}`").alias(f.name) for f in df.schema.fields])
+        parts.append(counts.select(F.explode(F.array(*[F.struct(
+            F.lit(name).alias("table_name"), F.lit(i).cast("long").alias("position"), F.lit(f.name).alias("column_name"),
+            F.lit(f.dataType.simpleString()).alias("column_type"), F.col(f.name).alias("n_values"))
+            for i, f in enumerate(df.schema.fields, 1)])).alias("c")).select("c.*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def parse_date_lenient(star: Star, params: Params = DEFAULT) -> DataFrame:

@@ -1,22 +1,28 @@
-"""Text -> date conversion on load.
+"""Dates on load, whatever they are stored as.
 
-The reference parses order dates strictly (a bad value is an error) and ship
-dates leniently (a bad value becomes NULL).  With ANSI mode on, ``to_date``
-raises on junk and ``try_to_date`` yields NULL, which are exactly those two
-rules, evaluated JVM-side in the scan stage.
+DATE columns pass through, timestamps lose their time, and text is read as an
+ISO date with or without a time.  The reference parses order dates strictly (a
+bad value is an error) and ship dates leniently (a bad value becomes NULL):
+with ANSI mode on a cast raises on junk and ``try_cast`` yields NULL.
 """
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ISO_DATE = "yyyy-MM-dd"
 
-
-def parse_date_strict(col: Column | str, fmt: str = ISO_DATE) -> Column:
+def parse_date_strict(col: Column | str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return F.to_date(F.trim(c), fmt)
+    return F.trim(c.cast("string")).cast("timestamp_ntz").cast("date")
 
 
-def parse_date_lenient(col: Column | str, fmt: str = ISO_DATE) -> Column:
+def parse_date_lenient(col: Column | str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return F.try_to_date(F.trim(c), fmt)
+    return F.trim(c.cast("string")).try_cast("timestamp_ntz").cast("date")
+
+
+def date_column(name: str, dtype: str, strict: bool) -> Column:
+    """Column ``name`` of Spark type ``dtype`` as a DATE.  A stored date or
+    timestamp is only cast, so filters on it still reach the scan."""
+    if dtype == "string":
+        return (parse_date_strict if strict else parse_date_lenient)(name).alias(name)
+    return F.col(name).cast("date").alias(name)

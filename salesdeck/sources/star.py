@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesdeck.sources import adapters
-from salesdeck.sources.parse import parse_date_lenient, parse_date_strict
+from salesdeck.sources.parse import date_column
 from salesdeck.sources.schema import CANONICAL, RAW
 
+SELF_DESCRIBING = ("parquet", "orc")
+DATES = ("orderDate", "shippedDate")
 TABLES = ("offices", "employees", "customers", "orders", "orderdetails", "products")
 
 
@@ -33,14 +35,20 @@ class Star:
     orders: DataFrame         # orderNumber, customerNumber, orderDate, status (+ shippedDate: see below)
     orderdetails: DataFrame   # orderNumber, productCode, quantityOrdered, revenue_cents
     products: DataFrame       # productCode, productName, productLine, buy_price_cents, quantityInStock
-    shipments: DataFrame      # orderNumber, shippedDate (NULL or absent when not shipped)
+    # orderNumber, shippedDate (NULL or absent when not shipped); None if the
+    # orders carry the ship date themselves, as ``dated_orders``
+    shipments: DataFrame | None
+    dated_orders: DataFrame | None = None
     # shared facts already materialised by a refresh job (see salesdeck.jobs);
     # empty unless a job fills it, so a plain star always computes from source
     memo: dict = field(default_factory=dict, compare=False, hash=False, repr=False)
 
     @property
     def orders_shipped(self) -> DataFrame:
-        """``orders`` with ``shippedDate`` (left join: unshipped orders keep NULL)."""
+        """``orders`` with ``shippedDate``: the loader's own columns if it has
+        them, else a left join (unshipped orders keep NULL)."""
+        if self.dated_orders is not None:
+            return self.dated_orders
         return self.orders.join(self.shipments, "orderNumber", "left")
 
     def table(self, name: str) -> DataFrame:
@@ -63,7 +71,7 @@ def cleaned(star: Star) -> Star:
     return Star(offices=_rtrim_text(star.offices), employees=_rtrim_text(star.employees),
                 customers=_rtrim_text(star.customers), orders=star.orders,
                 orderdetails=star.orderdetails, products=_rtrim_text(star.products),
-                shipments=star.shipments, memo=star.memo)
+                shipments=star.shipments, dated_orders=star.dated_orders, memo=star.memo)
 
 
 def load_star(spark: SparkSession, sf_dir: str, clean: bool = False) -> Star:
@@ -89,35 +97,43 @@ def _cents(col: str):
 def load_canonical(spark: SparkSession, root: str, fmt: str = "parquet", clean: bool = False) -> Star:
     """Star over tables already in the retail model (one folder per table).
 
-    Dates may be stored as ISO text: order dates parse strictly (bad value =
-    error), ship dates leniently (bad value = NULL).  Text columns are read
-    as-is: no reader option that turns the text ``NA`` into NULL is set.
+    Dates may be stored as DATE, as a timestamp or as ISO text with or without
+    a time: of text, order dates parse strictly (bad value = error), ship dates
+    leniently (bad value = NULL).  Text columns are read as-is: no reader
+    option that turns the text ``NA`` into NULL is set.
     """
-    star = star_from_canonical({
-        name: spark.read.schema(CANONICAL[name]).format(fmt).load(f"{root}/{name}")
-        for name in CANONICAL})
+    star = star_from_canonical({name: _read_canonical(spark, f"{root}/{name}", name, fmt) for name in CANONICAL})
     return cleaned(star) if clean else star
 
 
+def _read_canonical(spark: SparkSession, path: str, name: str, fmt: str) -> DataFrame:
+    schema = CANONICAL[name]
+    if fmt in SELF_DESCRIBING and any(f.name in DATES for f in schema.fields):
+        stored = spark.read.format(fmt).load(path).schema  # from the files' footers
+        schema = T.StructType([stored[f.name] if f.name in DATES else f for f in schema.fields])
+    return spark.read.schema(schema).format(fmt).load(path)
+
+
 def star_from_canonical(frames: dict[str, DataFrame]) -> Star:
     """Star from DataFrames in the canonical schema (``schema.CANONICAL``)."""
     def read(name):
         return frames[name]
 
-    orders = read("orders")
+    kind = dict(read("orders").dtypes)
+    dated = read("orders").select(
+        "orderNumber", "customerNumber", date_column("orderDate", kind["orderDate"], strict=True),
+        date_column("shippedDate", kind["shippedDate"], strict=False), "status")
     return Star(
         offices=read("offices"),
         employees=read("employees"),
         customers=read("customers"),
-        orders=orders.select("orderNumber", "customerNumber",
-                             parse_date_strict("orderDate").alias("orderDate"), "status"),
+        orders=dated.drop("shippedDate"),
         orderdetails=read("orderdetails").select(
             "orderNumber", "productCode", "quantityOrdered",
             (F.col("quantityOrdered").cast("long") * _cents("priceEach")).alias("revenue_cents")),
         products=read("products").select(
             "productCode", "productName", "productLine",
             _cents("buyPrice").alias("buy_price_cents"), "quantityInStock"),
-        shipments=orders.select("orderNumber",
-                                parse_date_lenient("shippedDate").alias("shippedDate"))
-                        .filter(F.col("shippedDate").isNotNull()),
+        shipments=None,
+        dated_orders=dated,
     )

@@ -15,32 +15,34 @@ from salesdeck.sources.star import star_from_canonical
 
 PARAMS = Params(cancelled="Cancelled", as_of=dt.date(2005, 6, 1), dormant_days=180,
                 tiers=(100_000.0, 50_000.0, 20_000.0), pivot_years=(2003, 2004, 2005),
-                pivot_sort_year=2004, ytd_through_month=5, top_low_stock=2, top_revenue=2)
+                pivot_sort_year=2004, ytd_through_month=5)
 
 OFFICES = [("1", "San Francisco", "USA", "NA"),
            ("2", "Paris", "France", "EMEA"),
            ("3", "Auckland  ", "New Zealand", "APAC"),
            ("4", "Auckland", "New Zealand", "APAC")]
 
-EMPLOYEES = [(1002, "Diane", "Murphy", "President", None, "1"),
-             (1056, "Mary", "Patterson", "VP Sales", 1002, "1"),
-             (1102, "Gerard", "Bondur", "Sale Manager (EMEA)", 1056, "2"),
-             (1370, "Gerard", "Hernandez", "Sales Rep", 1102, "2"),
-             (1337, "Loui", "Bondur", "Sales Rep", 1102, "2"),
-             (1165, "Leslie", "Jennings", "Sales Rep", 1056, "1"),
-             (1611, "Andy", "Fixter", "Sales Rep", 1056, "3"),      # rep without customers
-             (1612, "Peter", "Marsh", "Sales Rep", 1056, "4")]
+# invented staff: a root, a head without "Manager" in the title, a manager,
+# reps below both, one rep without customers, offices that differ by blanks
+EMPLOYEES = [(10, "Noor", "Castellan", "President", None, "1"),
+             (20, "Ilse", "Vandorn", "Head of Accounts", 10, "1"),
+             (30, "Teo", "Marchetti", "Area Manager North", 10, "2"),
+             (31, "Ines", "Okafor", "Account Rep", 30, "2"),
+             (32, "Bram", "Marchetti", "Account Rep", 30, "2"),
+             (21, "Yuki", "Solberg", "Account Rep", 20, "1"),
+             (22, "Pavel", "Quist", "Account Rep", 20, "3"),       # rep without customers
+             (23, "Dara", "Whitlock", "Account Rep", 20, "4")]
 
-CUSTOMERS = [(101, "Alpha Corp", "Paris", "France", 1370),
-             (102, "Beta Ltd", "Lyon", "France", 1370),
-             (103, "Gamma SA", "Nantes", "France", 1337),
-             (104, "Delta Inc", "San Francisco", "USA", 1165),
-             (105, "Epsilon LLC", "San Francisco", "USA", 1165),
-             (106, "Zeta Co", "Boston", "USA", 1165),
+CUSTOMERS = [(101, "Alpha Corp", "Paris", "France", 31),
+             (102, "Beta Ltd", "Lyon", "France", 31),
+             (103, "Gamma SA", "Nantes", "France", 32),
+             (104, "Delta Inc", "San Francisco", "USA", 21),
+             (105, "Epsilon LLC", "San Francisco", "USA", 21),
+             (106, "Zeta Co", "Boston", "USA", 21),
              (107, "Eta Very Long Customer Name Incorporated", "Auckland  ", "New Zealand", None),
-             (108, "Theta GmbH", "Berlin", "Germany", 1337),        # only cancelled orders
-             (109, "Iota AB", "Oslo", "Norway", 1370),              # no orders
-             (110, "Kappa Ltd", "Auckland", "New Zealand", 1612)]
+             (108, "Theta GmbH", "Berlin", "Germany", 32),        # only cancelled orders
+             (109, "Iota AB", "Oslo", "Norway", 31),              # no orders
+             (110, "Kappa Ltd", "Auckland", "New Zealand", 23)]
 
 # orderNumber, customerNumber, orderDate, shippedDate, status, priceEach (one line, qty 1)
 ORDERS = [
@@ -53,7 +55,7 @@ ORDERS = [
     (7, 107, "2003-01-20", "2003-01-25", "Shipped", "5.00"),        # negative profit -5.00
     (8, 108, "2003-02-01", "2003-02-03", "Cancelled", "1010.00"),   # cancelled but shipped
     (9, 104, "2003-05-05", "2003-05-06", None, "110.00"),           # NULL status, profit 100
-    (10, 110, "2005-05-01", "2005-05-03", "Shipped", "50009.99"),   # ties rep 1165? see tests
+    (10, 110, "2005-05-01", "2005-05-03", "Shipped", "50009.99"),   # ties rep 21? see tests
 ]
 
 PRODUCTS = [("S10_1678", "1969 Harley Davidson", "Motorcycles", "10.00", 100),

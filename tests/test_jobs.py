@@ -13,6 +13,12 @@ NAMES = ["rep_performance", "office_performance", "customer_segments", "segment_
          "fulfilment_outliers"]
 
 
+def test_refresh_writes_every_analysis(spark, tmp_path):
+    paths = refresh_marts(load_star(spark, SF_SMALL), str(tmp_path), ["rep_json_document", "agg_count"])
+    assert set(paths) == {"rep_json_document", "agg_count"}
+    assert spark.read.text(paths["rep_json_document"]).count() == 1
+
+
 def test_refresh_matches_direct(spark):
     star = load_star(spark, SF_SMALL)
     out = tempfile.mkdtemp(prefix="salesdeck-marts-")

@@ -7,7 +7,7 @@ from salesdeck.registry import ANALYSES
 from salesdeck.sources.star import load_star
 from tests.conftest import SF_SMALL
 
-EAGER = {"rep_rank"}   # checkpoints while building; checked separately
+EAGER = {"rep_rank", "rep_json_document"}   # rank while building; checked separately
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +40,7 @@ def test_projection_and_filter_reach_the_scan(star):
 
 
 def test_top_k_is_take_ordered(star):
-    for name in ("top_k", "dormant_top15", "vip_customers", "low_stock"):
+    for name in ("top_k", "dormant_top15", "vip_customers"):
         assert "TakeOrderedAndProject" in plan(ANALYSES[name](star, DEFAULT)), name
 
 
@@ -66,7 +66,7 @@ def _broadcast_scans(p: str) -> set[str]:
 
 def test_only_bounded_sides_are_broadcast_at_cluster_shape(spark, star):
     """With size-based broadcasting off (the 100 TB shape) the only broadcast
-    inputs are nation/region, literal tables and count-checked checkpoints."""
+    inputs are nation/region and literal tables."""
     from tools.plan_census import CLUSTER_SHAPE
     old = {k: spark.conf.get(k) for k in CLUSTER_SHAPE}
     try:
@@ -80,14 +80,68 @@ def test_only_bounded_sides_are_broadcast_at_cluster_shape(spark, star):
             spark.conf.set(k, v)
 
 
+def executed(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rep_rank_is_distributed(star):
+    """The only window runs over one row per partition, below a broadcast of the offsets."""
+    import re
     df = ANALYSES["rep_rank"](star, DEFAULT)
-    p = plan(df)
-    assert "Window" not in p.split("BroadcastExchange")[0] or "rank" in df.columns
+    p = executed(df).split("== Initial Plan ==")[0]
+    windows = re.findall(r"Window \[.*?\]", p)
+    assert windows and all("__n" in w for w in windows) and "row_number" not in p
     ranks = sorted(r["rank"] for r in df.collect())
     assert ranks == list(range(1, len(ranks) + 1))
 
 
+def test_building_an_analysis_runs_no_job(spark, star):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        for name in sorted(set(ANALYSES) - EAGER):
+            ANALYSES[name](star, DEFAULT)
+        assert list(tracker.getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def at_cluster_shape(spark, build):
+    from tools.plan_census import CLUSTER_SHAPE
+    old = {k: spark.conf.get(k) for k in CLUSTER_SHAPE}
+    try:
+        for k, v in CLUSTER_SHAPE.items():
+            spark.conf.set(k, v)
+        return build()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_lines_are_summed_before_products_are_joined(spark, star):
+    """Nothing but a partial sum by product stands between the line scan and its first shuffle."""
+    for name in ("low_stock", "product_performance", "priority_restock", "agg_avg"):
+        p = at_cluster_shape(spark, lambda: plan(ANALYSES[name](star, DEFAULT)))
+        above = [x for x in p.splitlines() if "lineitem.parquet" in x or "Exchange" in x or "partial_sum" in x]
+        for i, line in enumerate(above):
+            if "lineitem.parquet" in line:
+                assert "partial_sum" in above[i - 1] and "Exchange hashpartitioning(productCode" in above[i - 2], name
+
+
+def test_one_line_scan_per_analysis(spark, star):
+    for name in ("priority_restock", "fulfilment_outliers"):
+        p = at_cluster_shape(spark, lambda: executed(ANALYSES[name](star, DEFAULT))).split("== Initial Plan ==")[0]
+        main = p.split("Subqueries")[0]
+        assert main.count("lineitem.parquet") - main.count("ReusedExchange") <= 1, name
+
+
+def test_filter_on_a_stored_column_is_pushed(star):
+    p = plan(ANALYSES["scan_filtered"](star, DEFAULT))
+    assert "PushedFilters: [IsNotNull(o_custkey), GreaterThanOrEqual(o_custkey,100)]" in p
+    assert "Exchange" not in p and p.count("FileScan") == 1
+
+
 def test_unordered_marts_skip_the_global_sort(star):
     from dataclasses import replace
     for name in ("customer_segments", "dormant_with_segment", "product_performance", "org_hierarchy"):

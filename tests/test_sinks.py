@@ -4,7 +4,7 @@ import json
 import tempfile
 
 from salesdeck.plans import customers, documents
-from salesdeck.sinks import write_rows
+from salesdeck.sinks import write_document, write_rows
 from salesdeck.session import cluster_conf
 from tests.fixtures import PARAMS, micro_star
 
@@ -20,17 +20,21 @@ def test_json_rows_round_trip(spark):
     assert spark.read.parquet(out + "/dormant_pq").count() == df.count()
 
 
-def test_rep_document_is_one_json_row(spark):
-    star = micro_star(spark)
-    rows = documents.rep_json_document(star, PARAMS).collect()
-    assert len(rows) == 1
-    doc = json.loads(rows[0]["doc"])
-    assert doc["y"][0] == "Gerard Hernandez" and doc["x"][0] == 199999.99
-    assert len(doc["x"]) == len(doc["y"]) == len(doc["office"]) == 4
+def test_rep_document_holds_all_reps_in_pages(spark, tmp_path):
+    from dataclasses import replace
+    pages = documents.rep_json_document(micro_star(spark), replace(PARAMS, document_page=3))
+    write_document(pages, f"{tmp_path}/doc")
+    docs = sorted((json.loads(r.value) for r in spark.read.text(f"{tmp_path}/doc").collect()), key=lambda d: d["page"])
+    assert [d["page"] for d in docs] == [0, 1]
+    assert [x for d in docs for x in d["x"]] == [199999.99, 90099.98, 51000.0, 49999.99]
+    assert docs[0]["y"][0] == "Ines Okafor" and docs[0]["orders"] == [2, 4, 2] and docs[1]["customers"] == [1]
+    assert set(docs[0]) == {"page", "x", "y", "office", "customers", "orders"}
 
 
 def test_cluster_conf_scales_with_input():
     small = cluster_conf(10 << 30, 64)
     big = cluster_conf(100 << 40, 8000)
     assert int(small["spark.sql.shuffle.partitions"]) == 128
-    assert int(big["spark.sql.shuffle.partitions"]) == 409600
+    reducers, split = int(big["spark.sql.shuffle.partitions"]), int(big["spark.sql.files.maxPartitionBytes"])
+    assert reducers == 81920                       # 20 TB of shuffle in 256 MB parts
+    assert (100 << 40) / split * reducers <= 2.5e9  # blocks of one exchange
