@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesdeck.llm import exact_dedup, mixing, packing, quality, sharding, simhash
+from salesdeck.llm import (exact_dedup, html_extract, language_id, lm_scoring, mixing, packing, pii, quality, sharding,
+                           simhash)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     sharding.op1_rendezvous_sharding,
     packing.op2_cost_balanced_packing,
+    html_extract.op3_site_style_tree,
+    language_id.op4_bayesian_language_id,
+    pii.op5_bilstm_crf_pii,
     quality.op6_cross_document_lines,
     mixing.op7_time_varying_curriculum,
     simhash.op8_simhash_near_dedup,
+    lm_scoring.op9_probabilistic_suffix_tree,
     exact_dedup.op10_exact_dedup,
 )}
 

@@ -1,0 +1,141 @@
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from salesdeck.llm.mixing import curriculum, op7_time_varying_curriculum, training_order
+from salesdeck.llm.quality import LineLimits, boilerplate, document_lines, drop_poor, op6_cross_document_lines
+
+from .helpers import EDGES, documents, prose, write
+
+WORD = re.compile("[^ \t\n\x0b\f\r]+")
+
+
+def base_by_hand(text):
+    text = text or ""
+    words = WORD.findall(text)
+    grams = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    often = Counter(grams)
+    covered = {i + k for i, g in enumerate(grams) if often[g] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)),
+            len(covered), failed)
+
+
+REPEATS = [(60, "a b c d " * 30, "a"), (61, "x " * 100, "a"), (62, prose(4, 200) + "\n" + prose(4, 200)[:300], "a"),
+           (63, "#*$% a|b <c> & " * 12, None), (64, "a b c", "a"), (65, "a b c a b c", "a"), (66, "s\ns \ns\n\n s", "a")]
+
+
+def test_base_counts_against_brute_force(spark, tmp_path):
+    rows = EDGES + REPEATS
+    folder = write(documents(spark, rows), tmp_path, "documents")
+    got = op6_cross_document_lines(spark, folder).collect()
+    want = sorted(((i, *base_by_hand(t)) for i, t, _ in rows), key=repr)
+    assert sorted((tuple(r)[:7] for r in got), key=repr) == want
+    assert all(r.kept != r.base_failed for r in got)  # no line is common here
+
+
+def boilerplate_rows():
+    lines = [prose(700 + i, 40) for i in range(3)]
+    rows = [(i, "\n".join([*lines, prose(1000 + i, 15)]), "a") for i in range(30)]             # depleted
+    rows += [(100 + i, "\n".join([lines[0], prose(2000 + i, 120)]), "a") for i in range(30)]   # keeps most words
+    rows += [(200 + i, "\n".join([*lines, prose(1000 + i, 15)]), "b") for i in range(5)]       # few on this host
+    rows += [(300 + i, "\n".join(prose(3000 + k, 60) for k in range(3)), "a") for i in range(40)]  # copies of one text
+    return rows
+
+
+def test_line_frequency_rejects_depleted_documents_only(spark, tmp_path):
+    rows = boilerplate_rows()
+    folder = write(documents(spark, rows), tmp_path, "documents")
+    kept = {r.doc_id: r.kept for r in op6_cross_document_lines(spark, folder).collect()}
+    assert [i for i, k in kept.items() if not k and i >= 100] == []
+    assert not any(kept[i] for i in range(30))
+
+
+def test_copies_count_as_one_document(spark):
+    lines = document_lines(documents(spark, boilerplate_rows()), "doc_id", "text", "source")
+    found = boilerplate(lines, LineLimits())
+    assert {r.host for r in found.collect()} == {"=a"} and found.count() == 3
+
+
+def test_drop_poor_keeps_columns_and_repeated_rows(spark):
+    rows = EDGES + [(9, prose(2, 80), None)]
+    df = documents(spark, rows)
+    kept = drop_poor(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [7, 9, 9, 10]
+
+
+def mix_by_hand(sizes):
+    """Targets by repeated sharing, in order of the sources."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}
+    target, free, left = {}, set(names), sum(sizes.values())
+    while True:
+        total = sum(weight[s] for s in free)
+        over = {s for s in free if left * weight[s] / total > 3 * sizes[s]} if total else set()
+        if not over:
+            return target | {s: left * weight[s] / total for s in free}
+        for s in over:
+            target[s] = 3 * sizes[s]
+            left -= 3 * sizes[s]
+        free -= over
+
+
+def mix_rows():
+    rows = []
+    for k, (source, n) in enumerate([("a", 40), ("b", 3), ("é", 12), ("Z", 60), (None, 25), ("", 8), ("tiny", 1)]):
+        rows += [(1000 * k + i, prose(77 * k + i, 5 + (i * 37) % 200), source) for i in range(n)]
+    return rows + [(9001, None, "a"), (9002, "", "only empty"), (9003, " \n", None), (9003, " \n", None)]
+
+
+def test_mix_reaches_targets(spark, tmp_path):
+    rows = mix_rows()
+    folder = write(documents(spark, rows), tmp_path, "documents")
+    got = op7_time_varying_curriculum(spark, folder).collect()
+    source = {i: s for i, _, s in rows}
+    sizes, taken = Counter(), Counter()
+    for i, t, s in rows:
+        sizes[s] += len(WORD.findall(t or ""))
+    want = mix_by_hand(sizes)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.source_size == sizes[source[r.doc_id]]
+        assert r.target == pytest.approx(want[source[r.doc_id]])
+        assert 0 <= r.taken <= 3 * r.size and (r.position is not None) == (r.taken > 0)
+        taken[source[r.doc_id]] += r.taken
+    for s, target in want.items():
+        assert abs(taken[s] - target) <= 0.5
+    positions = [r.position for r in got if r.position is not None]
+    assert positions == sorted(positions) and 0 <= positions[0] and positions[-1] <= 1
+    assert sum(want.values()) == pytest.approx(sum(sizes.values()))
+    again = op7_time_varying_curriculum(spark, folder).collect()
+    assert got == again
+
+
+def test_flow_follows_the_schedule(spark):
+    """In each part of training, a source delivers the integral of its schedule over that part."""
+    rows = [(k * 10_000 + i, prose(i, 20), s) for k, s in enumerate("ab") for i in range(400)]
+    out = curriculum(documents(spark, rows, clash=False), ["source"], weights=(1, 1), schedules=((2.0, 0.0), (1.0, 1.0))).collect()
+    flow = defaultdict(float)
+    for r in out:
+        for u in r.uses:
+            flow[r.doc.source, int(u.position * 4)] += u.taken / r.target
+    for q in range(4):
+        a, b = q / 4, (q + 1) / 4
+        assert flow["a", q] == pytest.approx(2 * (b - a) - (b * b - a * a), abs=0.02)
+        assert flow["b", q] == pytest.approx(0.25, abs=0.02)
+
+
+def test_training_order_keeps_columns_and_repeats_whole_documents(spark):
+    df = documents(spark, mix_rows())
+    out = training_order(df)
+    assert out.columns == df.columns
+    uses = Counter(r.doc_id for r in out.collect())
+    assert max(uses.values()) <= 3 and uses[6000] == 3  # the tiny source is used as often as it may
+
+
+def test_empty_tables(spark):
+    empty = documents(spark, [])
+    assert drop_poor(empty).count() == 0 and training_order(empty).count() == 0
