@@ -7,8 +7,9 @@ A line in more than the allowed documents is removed, and a document that
 keeps too few of its words is depleted and rejected.
 
 Copies must not make a document's own lines look like boilerplate, so distinct
-documents are counted by a signature, their least line hash: exact copies
-share it and near copies nearly always do.
+documents are counted by a signature, the hash of all their line hashes: a
+document counts once however often its lines are copied together, in any case,
+spacing or order.
 
 Nulls: a null text has no words (and fails the base rules); a null source is a
 host of its own.  Repeated rows get equal verdicts.  Empty table: no rows.
@@ -33,9 +34,9 @@ class LineLimits:
     """A line is removed if over ``documents`` distinct documents and over
     ``share`` of a host's hold it; a document is depleted if under ``left`` of
     its words remain.  ``salts`` spreads the join on frequent lines."""
-    documents: int = 10
+    documents: int = 20
     share: float = 0.001
-    left: float = 0.3
+    left: float = 0.2
     salts: int = 32
 
 
@@ -93,8 +94,8 @@ def document_lines(docs: DataFrame, key: str, text: str, source: str) -> DataFra
                        line_keys(text_of(text)).alias("lines"))
     hashed = rows.select("id", "content", "host", F.transform("lines", lambda x: F.struct(
         F.md5(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).alias("words"))).alias("lines"))
-    return hashed.select("id", "content", "host", F.array_min(F.transform("lines", lambda x: x["line"])).alias("signature"),
-                         F.explode("lines").alias("l")).select("id", "content", "host", "signature", "l.*")
+    signature = F.md5(F.array_join(F.sort_array(F.transform("lines", lambda x: x["line"])), ""))
+    return hashed.select("id", "content", "host", signature.alias("signature"), F.explode("lines").alias("l")).select("id", "content", "host", "signature", "l.*")
 
 
 def boilerplate(lines: DataFrame, limits: LineLimits) -> DataFrame:
@@ -159,13 +160,15 @@ l AS (
   SELECT r, host, md5(line) AS line, length(line) - length(replace(line, ' ', '')) + 1 AS words
   FROM (SELECT d.r, host, trim(regexp_replace(unnest(string_split(lower(text), chr(10))), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS line FROM d)
   WHERE line <> ''),
-s AS (SELECT *, min(line) OVER (PARTITION BY r) AS signature FROM l),
+s AS (
+  SELECT l.*, g.signature
+  FROM l JOIN (SELECT r, md5(string_agg(line, '' ORDER BY line)) AS signature FROM l GROUP BY r) g USING (r)),
 h AS (SELECT host, count(DISTINCT signature) AS n FROM s GROUP BY host),
 b AS (
   SELECT host, line FROM (SELECT host, line, count(DISTINCT signature) AS n FROM s GROUP BY host, line) x JOIN h USING (host)
-  WHERE x.n > 10 AND x.n > 0.001 * h.n),
+  WHERE x.n > 20 AND x.n > 0.001 * h.n),
 v AS (
-  SELECT s.r, sum(CASE WHEN b.line IS NULL THEN s.words ELSE 0 END) < 0.3 * sum(s.words) AS gone
+  SELECT s.r, sum(CASE WHEN b.line IS NULL THEN s.words ELSE 0 END) < 0.2 * sum(s.words) AS gone
   FROM s LEFT JOIN b ON s.host = b.host AND s.line = b.line GROUP BY s.r),
 o AS (
   SELECT d.doc_id, CAST(len(w.words) AS BIGINT) AS n_words,
