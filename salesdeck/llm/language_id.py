@@ -70,10 +70,11 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                                               pa.array(n[at])], names=schema.names)
 
     found = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(count, schema) \
-        .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(found.lang.unique())
+        .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    lang = found.column("lang").to_pylist()
+    languages = sorted(set(lang))
     counts = np.full((len(languages), BUCKETS), 0.1)
-    counts[[languages.index(x) for x in found.lang], found.bucket.to_numpy()] += found.n.to_numpy()
+    counts[[languages.index(x) for x in lang], found.column("bucket").to_numpy()] += found.column("n").to_numpy()
     return languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 

@@ -46,6 +46,8 @@ HELD_BYTES = 1 << 22
 SEGMENT = 512
 END = 10
 LONG = T.LongType()
+#: Contexts the driver expands at a time.
+CHUNK = 4096
 
 
 def training(key) -> bool:
@@ -132,9 +134,9 @@ def candidates(counts: DataFrame, depth: int, least_share: float) -> DataFrame:
                        for d in range(depth + 1)])
     pairs = grams.select("n", F.explode(levels).alias("l")).groupBy("l.d", "l.pair").agg(F.sum("n").alias("n"))
     context = Window.partitionBy("d", F.shiftrightunsigned("pair", 8))  # at most 256 rows
-    total = grams.agg(F.sum("n").alias("total"))
-    return pairs.withColumn("seen", F.sum("n").over(context)).crossJoin(F.broadcast(total)) \
-        .filter(F.col("seen") >= least_share * F.col("total")).select("d", "pair", "n")
+    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return pairs.withColumn("seen", F.sum("n").over(context)).filter(F.col("seen") >= least_share * total) \
+        .select("d", "pair", "n")
 
 
 @dataclass
@@ -148,6 +150,8 @@ class Automaton:
 
 def suffix_tree(d: np.ndarray, pair: np.ndarray, n: np.ndarray, depth: int) -> Automaton:
     """The automaton of the retained contexts."""
+    order = np.lexsort((pair, d))
+    d, pair, n = d[order], pair[order], n[order]
     seen = np.unique(pair & 255) if len(pair) else np.empty(0, np.int64)
     classes = np.full(256, len(seen), np.int64)
     classes[seen] = np.arange(len(seen))
@@ -158,26 +162,28 @@ def suffix_tree(d: np.ndarray, pair: np.ndarray, n: np.ndarray, depth: int) -> A
     probs: list[np.ndarray] = []     # their smoothed distributions
     retained: list[np.ndarray] = []
     for level in range(depth + 1):
-        here = d == level
+        here = slice(*np.searchsorted(d, [level, level + 1]))
         contexts, row = np.unique(pair[here] >> 8, return_inverse=True)
         if level == 0 and not len(contexts):
             contexts = np.zeros(1, np.int64)
-        seen_counts = np.zeros((len(contexts), width))
-        seen_counts[row, classes[pair[here] & 255]] = n[here]
-        size = seen_counts.sum(axis=1, keepdims=True)
-        if level == 0:
-            each = (seen_counts + 0.5) / (total + 128.0)
-            probs.append(each)
-            retained.append(np.ones(1, bool))
-        else:
-            parent = probs[level - 1][np.searchsorted(keys[level - 1], contexts & ((1 << 8 * (level - 1)) - 1))]
-            kinds = (seen_counts > 0).sum(axis=1, keepdims=True)
-            smooth = (seen_counts + kinds * parent) / (size + kinds)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain = np.where(seen_counts > 0, seen_counts * np.log(smooth / parent), 0).sum(axis=1)
-            probs.append(smooth)
-            retained.append(gain > 0.5 * kinds[:, 0] * np.log(max(total, 2)))
+        smooth, gains = np.empty((len(contexts), width), np.float32), np.ones(len(contexts))
+        for at in range(0, len(contexts), CHUNK):  # rows are sorted by context
+            part = slice(*(np.searchsorted(row, [at, at + CHUNK]) + here.start))
+            counts = np.zeros((min(CHUNK, len(contexts) - at), width))
+            counts[row[part.start - here.start:part.stop - here.start] - at, classes[pair[part] & 255]] = n[part]
+            if level == 0:
+                smooth[:] = (counts + 0.5) / (total + 128.0)
+                continue
+            some = contexts[at:at + CHUNK] & ((1 << 8 * (level - 1)) - 1)
+            parent = probs[level - 1][np.searchsorted(keys[level - 1], some)].astype(np.float64)
+            kinds = (counts > 0).sum(axis=1, keepdims=True)
+            mixed = (counts + kinds * parent) / (counts.sum(axis=1, keepdims=True) + kinds)
+            gain = (counts * np.log(mixed / parent)).sum(axis=1)
+            smooth[at:at + CHUNK] = mixed
+            gains[at:at + CHUNK] = gain - 0.5 * kinds[:, 0] * np.log(max(total, 2))
         keys.append(contexts)
+        probs.append(smooth)
+        retained.append(gains > 0)
     for level in range(depth, 1, -1):  # parts of a retained context
         whole = keys[level][retained[level]]
         for part in (whole >> 8, whole & ((1 << 8 * (level - 1)) - 1)):
@@ -186,7 +192,8 @@ def suffix_tree(d: np.ndarray, pair: np.ndarray, n: np.ndarray, depth: int) -> A
     first = np.cumsum([0] + [int(r.sum()) for r in retained])
     states = [k[r] for k, r in zip(keys, retained, strict=True)]
     step = np.zeros((first[-1], width), np.int32)
-    log10 = np.concatenate([np.log10(p[r]) for p, r in zip(probs, retained, strict=True)]).astype(np.float32)
+    log10 = np.concatenate([np.log10(p[r]) for p, r in zip(probs, retained, strict=True)])
+    del probs
     for level, contexts in enumerate(states):
         rows = slice(first[level], first[level + 1])
         for length in range(1, min(level + 1, depth) + 1):  # the longest that is found stays
@@ -237,9 +244,11 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     below = tokens + 0.5 * (kinds + 1)
     known = words.filter(F.col("n") >= tokens / frequent)  # at most ``frequent`` words
-    logs = {bytes(r.word): float(np.log10((r.n + 0.5) / below)) for r in known.toLocalIterator()}
-    pairs = candidates(counts, depth, least_share).toPandas()  # at most depth / least_share contexts
-    tree = suffix_tree(pairs.d.to_numpy(np.int64), pairs.pair.to_numpy(np.int64), pairs.n.to_numpy(np.float64), depth)
+    known = known.toArrow()
+    logs = dict(zip(known.column("word").to_pylist(), np.log10((known.column("n").to_numpy() + 0.5) / below).tolist(), strict=True))
+    pairs = candidates(counts, depth, least_share).toArrow()  # at most depth / least_share contexts
+    tree = suffix_tree(*[pairs.column(c).to_numpy().astype(k) for c, k in (("d", "i8"), ("pair", "i8"), ("n", "f8"))], depth)
+    del pairs
     # plain arrays: a broadcast is unpickled without this package
     shared = spark.sparkContext.broadcast(((tree.classes, tree.step, tree.log10), logs))
     key_type = rows.schema["key"].dataType
