@@ -42,6 +42,9 @@ PRESENTATION = 0.1
 THRESHOLD = 0.35
 LEAST_PAGES = 4
 SALTS = 32
+#: Up to so many pages with noise, the noise goes to the pages and not the
+#: pages' text through a shuffle.
+FEW_PAGES = 50_000
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt "
                    "ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -60,6 +63,8 @@ NAMED_NO_CONTENT = frozenset(
     "sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup "
     "comment comments respond reply replies disqus share sharing social related recommended breadcrumb breadcrumbs "
     "pagination pager widget toolbar login search copyright legal skip hidden".split())
+#: Never removed for what other pages look like.
+KEPT = frozenset(("html", "body", "article", "main"))
 #: Only outside the main part, where a heading may call itself a header.
 NAMED_HEADER = frozenset("header masthead banner topbar".split())
 NO_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
@@ -179,8 +184,7 @@ class Page:
         bad: list[bool] = [False]
         part: list[str] = [""]
         for key, parent, tag, declared in self.nodes[1:]:
-            body = tag in ("html", "body", "article", "main")
-            bad.append(bad[parent] or declared or (key in noise and not body))
+            bad.append(bad[parent] or declared or (key in noise and tag not in KEPT))
             inside = part[parent]
             part.append("article" if tag == "article" or inside == "article" else "main" if tag == "main" or inside else "")
         for want in ("article", "main", None):
@@ -190,18 +194,24 @@ class Page:
                 return "\n".join(kept)
         return ""
 
-    def features(self) -> Iterator[tuple[int, int, int]]:
-        """(node, kind, feature): the child sequence of every container (kind
-        0) and the text blocks below it (kind 1); nodes of one path are merged."""
-        made: set[tuple[int, int, int]] = set()
-        for (key, _, tag, _), below in zip(self.nodes[1:], self.children[1:], strict=True):
-            if tag not in TEXT_BLOCKS:
-                made.add((key, 0, key_of(*[c for i, c in enumerate(below) if not i or below[i - 1] != c])))
+    def features(self) -> Iterator[tuple[int, int, int, bool]]:
+        """(node, kind, feature, declared): the child sequence of a container
+        (kind 0) and the text blocks below it (kind 1); nodes of one path are
+        merged.  What can't be removed has no features, and what lies inside a
+        declared container shares its fate."""
+        counted, outer = [False], [False]
+        for _, parent, tag, declared in self.nodes[1:]:
+            outer.append(outer[parent] or declared)
+            counted.append(not outer[parent] and tag not in TEXT_BLOCKS and tag not in KEPT)
+        made: set[tuple[int, int, int, bool]] = set()
+        for i, below in enumerate(self.children):
+            if counted[i]:
+                made.add((self.nodes[i][0], 0, key_of(*[c for j, c in enumerate(below) if not j or below[j - 1] != c]), outer[i]))
         for node, text in self.blocks:
-            feature = key_of(text)
-            for i in self.chain(node):
-                if self.nodes[i][2] not in TEXT_BLOCKS:
-                    made.add((self.nodes[i][0], 1, feature))
+            chain = [i for i in self.chain(node) if counted[i]]
+            if chain:
+                feature = key_of(text)
+                made.update((self.nodes[i][0], 1, feature, outer[i]) for i in chain)
         return iter(made)
 
     def signature(self) -> int:
@@ -213,10 +223,11 @@ def host_of(url: Column) -> Column:
 
 
 def page_features(pages: DataFrame) -> DataFrame:
-    """(``content``, ``host``, ``signature``, ``node``, ``kind``, ``feature``)."""
+    """(``content``, ``host``, ``signature``, ``node``, ``kind``, ``feature``, ``declared``)."""
     long = T.LongType()
     schema = T.StructType([T.StructField("content", long), T.StructField("host", T.StringType())]
-                          + [T.StructField(n, long) for n in ("signature", "node", "kind", "feature")])
+                          + [T.StructField(n, long) for n in ("signature", "node", "kind", "feature")]
+                          + [T.StructField("declared", T.BooleanType())])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,9 +243,10 @@ def page_features(pages: DataFrame) -> DataFrame:
                 yield made(rows)
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
-        content, host, *rest = zip(*rows, strict=True)
+        content, host, *rest, declared = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(content, pa.int64()), pa.array(host, pa.string()),
-                                           *[pa.array(c, pa.int64()) for c in rest]], names=schema.names)
+                                           *[pa.array(c, pa.int64()) for c in rest], pa.array(declared, pa.bool_())],
+                                          names=schema.names)
 
     return pages.select("content", "host", "html").mapInArrow(features, schema)
 
@@ -246,13 +258,17 @@ def noise_nodes(features: DataFrame, presentation: float, threshold: float, leas
     # pages that hold the node: each shows one child sequence, or the first of several
     pages = distinct.filter("kind = 0").select("host", "node", "signature").distinct() \
         .groupBy("host", "node").agg(F.count("*").alias("m"))
+    # the entropies over k of m pages need only the sums of k and of k log k
+    def of_kind(kind: int, value: Column) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, value))
+
     k, m = F.col("k"), F.col("m")
-    share = k / m
-    weighed = counts.join(pages, ["host", "node"]).filter(m >= least_pages) \
-        .groupBy("host", "node").agg(
-            F.sum(F.when(F.col("kind") == 0, -share * F.log(share) / F.log(m))).alias("layout"),
-            (F.sum(F.when(F.col("kind") == 1, k * F.log(k) / F.log(m)))
-             / F.sum(F.when(F.col("kind") == 1, k))).alias("repeated"))
+    sums = counts.groupBy("host", "node").agg(
+        of_kind(0, k).alias("k0"), of_kind(0, k * F.log(k)).alias("l0"),
+        of_kind(1, k).alias("k1"), of_kind(1, k * F.log(k)).alias("l1"))
+    weighed = sums.join(pages, ["host", "node"]).filter(m >= least_pages) \
+        .withColumn("layout", (F.col("k0") * F.log(m) - F.col("l0")) / (m * F.log(m))) \
+        .withColumn("repeated", F.col("l1") / (F.col("k1") * F.log(m)))
     importance = presentation * F.least(F.lit(1.0), F.coalesce("layout", F.lit(0.0))) \
         + (1 - presentation) * (1 - F.coalesce("repeated", F.lit(1.0)))
     return weighed.filter(importance < threshold).select("host", "node")
@@ -274,11 +290,14 @@ def extract(pages: DataFrame, carry: list[str], url: str = "url", source: str =
     features = save_shared(page_features(rows), "page-features")
     noise = noise_nodes(features, presentation, threshold, least_pages) \
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = features.filter("kind = 0").select("content", "host", "node").distinct() \
-        .withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int")) \
-        .join(noise, ["host", "node", "salt"]) \
-        .groupBy("content").agg(F.collect_set("node").alias("noise"))  # a page's own nodes
-
+    # declared containers go without being looked up
+    found = save_shared(
+        features.filter("kind = 0 AND NOT declared").select("content", "host", "node").distinct()
+        .withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int"))
+        .join(noise, ["host", "node", "salt"])
+        .groupBy("content").agg(F.collect_set("node").alias("noise")), "page-noise")  # a page's own nodes
+    if found.count() <= FEW_PAGES:  # else both sides are shuffled
+        found = F.broadcast(found)
     main_text = F.pandas_udf(_main_texts, "string")
     return rows.join(found, "content", "left").select("doc", main_text("html", "noise").alias("text"))
 
