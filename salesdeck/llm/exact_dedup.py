@@ -34,11 +34,12 @@ def normalised(text: Column) -> Column:
 
 
 def survivors(rows: DataFrame) -> DataFrame:
-    """(length, prefix) groups with two rows or more: by length, then prefix."""
-    light = rows.select("length", "prefix")
-    lengths = light.groupBy("length").count().filter("count > 1")
-    return light.join(lengths, "length", "left_semi") \
-        .groupBy("length", "prefix").count().filter("count > 1").select("length", "prefix")
+    """(length, prefix) groups with two rows or more.  Rows are counted by
+    length and prefix at once, on the map side first, so a hot length is a few
+    counts when it meets; lengths with one row fall away, then prefixes."""
+    pairs = rows.groupBy("length", "prefix").count()
+    lengths = pairs.groupBy("length").agg(F.sum("count").alias("rows")).filter("rows > 1")
+    return pairs.filter("count > 1").join(lengths, "length", "left_semi").select("length", "prefix")
 
 
 def exact_groups(docs: DataFrame, carry: Sequence[str], key: str = "doc_id", text: str = "text",
