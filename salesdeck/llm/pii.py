@@ -41,6 +41,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Documents that labelled windows are taken from, and windows.
 SAMPLE_DOCUMENTS = 600
 SAMPLE_WINDOWS = 3000
+#: Documents looked at for each one of the sample; if fewer than one in so
+#: many holds a digit or an @, the sample is smaller.
+SAMPLE_SPARE = 32
 WINDOW, STRIDE = 64, 32
 HIDDEN, EMBEDDED = 12, 8
 BATCH, STEPS, RATE = 48, 300, 0.03
@@ -379,8 +382,13 @@ def labelled_windows(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray,
                     rows.append((t[w:w + WINDOW], tags_of(w, near).tobytes()))
             yield pd.DataFrame(rows, columns=["part", "tags"])
 
-    picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike("[0-9@]")) \
-        .orderBy(F.xxhash64("key"), "text").limit(SAMPLE_DOCUMENTS)
+    # a hash share of the documents first, so that what is sorted for the
+    # sample doesn't grow with the input or its partitions
+    share = min(1.0, SAMPLE_DOCUMENTS * SAMPLE_SPARE / max(1, docs.count()))
+    draw = F.shiftrightunsigned(F.xxhash64("key"), 11) / float(1 << 53)
+    picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text")) \
+        .filter((draw < share) & F.col("text").rlike("[0-9@]")) \
+        .orderBy(draw, "text").limit(SAMPLE_DOCUMENTS)
     rows = picked.select("text").mapInPandas(cut, "part string, tags binary") \
         .orderBy(F.xxhash64("part"), "part").limit(SAMPLE_WINDOWS).collect()
     if not rows:
