@@ -30,6 +30,8 @@ SHINGLE = 4
 DISTANCE = 4
 BITS = 64
 SALTS = 16
+#: Fingerprints with more than this part of all rows are joined by broadcast.
+HOT = 1024
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -79,20 +81,25 @@ def variants(fps: DataFrame, distance: int) -> DataFrame:
 
 def links(fps: DataFrame, distance: int) -> DataFrame:
     """Pairs (``a`` < ``b``) of distinct fingerprints at most ``distance`` bits apart, each once."""
-    index = variants(fps, distance)
+    # fingerprints are few bytes but make many variants: spread them before
+    partitions = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = variants(fps.repartition(partitions, F.xxhash64("fp")), distance)
+    # both sides are renamed alike, so the variants are made and shuffled once
     other = index.withColumnRenamed("fp", "other")
-    differ = F.col("fp").bitwiseXOR(F.col("other"))
-    first = F.lit(False)
-    earlier = F.lit(True)
+    index = index.withColumnRenamed("fp", "one")
+    differ = F.col("one").bitwiseXOR(F.col("other"))
+    # a case expression, from which no filter on one side can be drawn: the
+    # sides stay equal
+    first, earlier = F, F.lit(True)
     for s, (shift, width) in enumerate(segments(distance)):
         part = F.shiftrightunsigned(differ, shift).bitwiseAND(F.lit((1 << width) - 1))
         here = F.when(part == 0, F.col("l.bit") == 0).otherwise(part == F.expr("shiftleft(1L, l.bit)"))
-        first = first | ((F.col("l.seg") == s) & earlier & here)
+        first = first.when(F.col("l.seg") == s, earlier & here)
         earlier = earlier & (F.bit_count(part) > 1)
     left, right = index.alias("l"), other.alias("r")
     on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("seg", "bit", "rest")]
-    return left.join(right, on + [F.col("fp") < F.col("other"), F.bit_count(differ) <= distance, first]) \
-        .select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    return left.join(right, on + [F.col("one") < F.col("other"), F.bit_count(differ) <= distance, first]) \
+        .select(F.col("one").alias("a"), F.col("other").alias("b"))
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -124,33 +131,50 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components: not settled after {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                    distance: int = DISTANCE) -> DataFrame:
-    """(``id``, ``content``, ``fp``, ``component``, ``first``) per row of
-    ``docs``: ``content`` is a hash of the text, ``component`` the least id of
-    the linked rows, ``first`` the (id, content) that stands for them."""
-    rows = save_shared(docs.select(F.col(key).alias("id"), F.xxhash64(text_of(text)).alias("content"),
+def fingerprints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """(``id``, ``content``, ``fp``) per row, written once; ``content`` is a hash of the text."""
+    return save_shared(docs.select(F.col(key).alias("id"), F.xxhash64(text_of(text)).alias("content"),
                                    fingerprint_column(F.col(text), shingle).alias("fp")), "fingerprints")
-    fps = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "content")).alias("first"))
+
+
+def classes(rows: DataFrame, distance: int) -> DataFrame:
+    """(``fp``, ``rows``, ``first``) per distinct fingerprint: ``first`` is the
+    (id, content) of least id among all rows linked to it."""
+    fps = rows.groupBy("fp").agg(F.count("*").alias("rows"),
+                                 F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "content")).alias("first"))
     roots = components(links(fps.select("fp"), distance))
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("first"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    per_fp = named.select("fp", "root").join(least, "root").select("fp", "first").withColumn("salt", salts)
-    return rows.withColumn("salt", F.pmod(F.xxhash64("id", "content"), F.lit(SALTS)).cast("int")) \
-        .join(per_fp, ["fp", "salt"]).select("id", "content", "fp", F.col("first.id").alias("component"), "first")
+    # only linked fingerprints have a component beyond themselves; the largest
+    # may hold any share of them, so its name is handed out over salted keys
+    linked = fps.join(roots, fps.fp == roots.node).select("fp", "root", "first")
+    names = linked.groupBy("root").agg(F.min("first").alias("name")) \
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(names, ["root", "salt"])
+    return fps.join(named.select("fp", "name"), "fp", "left").select("fp", "rows", F.coalesce("name", "first").alias("first"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                    distance: int = DISTANCE) -> DataFrame:
+    """(``id``, ``content``, ``fp``, ``component``) per row of ``docs``:
+    ``component`` is the least id of the linked rows."""
+    rows = fingerprints(docs, key, text, shingle)
+    named = save_shared(classes(rows, distance), "classes")
+    # at most HOT fingerprints have a HOT-th of all rows: they are joined by broadcast
+    hot = named.filter(F.col("rows") > rows.count() / HOT).select("fp", "first")
+    out = [F.col("id"), F.col("content"), F.col("fp"), F.col("first.id").alias("component")]
+    return rows.join(F.broadcast(hot), "fp").select(*out) \
+        .union(rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(named, "fp").select(*out))
 
 
 def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
               distance: int = DISTANCE) -> DataFrame:
     """``docs`` with one row of each group: the one with the least id."""
-    stay = near_duplicates(docs, key, text, shingle, distance).select("first.id", "first.content").distinct()
+    stay = classes(fingerprints(docs, key, text, shingle), distance) \
+        .select(F.col("first.id").alias("sid"), F.col("first.content").alias("scontent")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(key).alias("id"),
                        F.xxhash64(text_of(text)).alias("content"))
     # the join has brought rows of one id and text together: no other shuffle
     same = Window.partitionBy("content", "id").orderBy("content")
-    return rows.join(stay.withColumnRenamed("id", "sid").withColumnRenamed("content", "scontent"),
-                     (F.col("content") == F.col("scontent")) & F.col("id").eqNullSafe(F.col("sid"))) \
+    return rows.join(stay, (F.col("content") == F.col("scontent")) & F.col("id").eqNullSafe(F.col("sid"))) \
         .withColumn("number", F.row_number().over(same)).filter("number = 1").select("doc.*")
 
 
