@@ -2,19 +2,20 @@
 
 A text is its words in lower case, then an end.  The tree predicts the bytes
 of that sequence (words joined by a space, a line feed as the end) from the
-longest context it retains, up to ``depth`` bytes.  A context is a candidate
-if it makes up ``least_share`` of the training bytes; it is retained if its
-next-byte distribution diverges from its parent's (the context without its
-first byte) by more than the length of its description; the parts of a
-retained context are kept too.  Distributions are smoothed by their parent's
-(Witten-Bell), down to half a count per byte at the root.
-
-Counting and the unigram base run over all training documents as shuffles.
-The candidates are at most ``depth / least_share`` contexts whatever the
-input, so the driver turns their counts into an automaton (state, byte) ->
-(state, log probability), and the tasks run it over many segments of text in
-step.  Words above a ``frequent``-th of all tokens, at most that many, go to
-the tasks with the automaton; all others are looked up by a join.
+longest context it retains, up to ``depth`` bytes.  Every context of the
+training texts is a candidate, however rare; it is retained if its next-byte
+distribution diverges from its parent's (the context without its first byte)
+by more than the length of its description; the parts of a retained context
+are kept too.  Distributions are smoothed by their parent's (Witten-Bell),
+down to half a count per byte at the root.
+
+The tree is a table for each level and grows with the corpus: a row is a
+(context, next byte) with its probability, and counts, smoothing, test and
+longest retained suffix are joins, windows and sums.  No part of it passes
+through the driver or is broadcast.  Texts are scored in chunks: a chunk's
+distinct windows are joined to the tree, and meet the chunk's texts again.
+Words above a ``frequent``-th of all tokens, at most that many, go to the
+tasks; all others are looked up by a join.
 
 Nulls: a null text is empty (just the end).  A null id trains (its text is
 empty).  Repeated rows are scored and counted each.  Empty table: no rows.
@@ -31,22 +32,24 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesdeck.llm.common import read, save_shared
 
 DEPTH = 5
-LEAST_SHARE = 2e-6
 FREQUENT = 1 << 20
 #: Words and bytes a counting task holds before it passes partial counts on.
 HELD_WORDS = 600_000
 HELD_BYTES = 1 << 22
+#: Bytes of text that are scored together at most, and of those packed in a row.
+CHUNK_BYTES = 1 << 25
+PACKED_BYTES = 1 << 20
 SEGMENT = 512
 END = 10
 LONG = T.LongType()
-#: Contexts the driver expands at a time.
+#: Contexts that ``suffix_tree`` expands at a time.
 CHUNK = 4096
 
 
@@ -68,75 +71,195 @@ def grams_of(buffer: bytes, depth: int, keep: np.ndarray) -> tuple[np.ndarray, n
     return np.unique(keys[keep[depth:]], return_counts=True)
 
 
-def count_corpus(docs: DataFrame, depth: int) -> DataFrame:
-    """(``word``, ``gram``, ``n``): words of the training documents (the end is
-    the empty word) and their windows of ``depth + 1`` bytes."""
-    schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("gram", LONG), T.StructField("n", LONG)])
+def prepare(docs: DataFrame, depth: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Three kinds of rows.  ``word``, ``n``: words of the training documents
+    (the end is the empty word).  ``chunk``, ``gram``, ``n``: the distinct
+    windows of ``depth + 1`` bytes of a chunk of texts, and how often its
+    training documents have them.  ``chunk``, ``texts``, ``lengths``, ``keys``,
+    ``held``: documents of the chunk, their bytes compressed."""
+    key_type = docs.schema["key"].dataType
+    schema = T.StructType([
+        T.StructField("word", T.BinaryType()), T.StructField("chunk", LONG), T.StructField("gram", LONG),
+        T.StructField("n", LONG), T.StructField("texts", T.BinaryType()), T.StructField("lengths", T.ArrayType(LONG)),
+        T.StructField("keys", T.ArrayType(key_type)), T.StructField("held", T.ArrayType(T.BooleanType()))])
     pad = bytes([END]) * depth
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
-        texts: list[bytes] = []
-        held = 0
+        trained: list[bytes] = []
+        others: list[bytes] = []
+        held = size = 0
+        chunk = TaskContext.get().partitionId() << 24
         grams, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        packed: list[tuple[bytes, object, bool]] = []
+        packed_size = 0
+        key_arrow = types = None
 
-        def gather() -> None:
-            nonlocal texts, held, grams, counts
-            keep = np.ones(held, bool)
+        def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            buffer = b"".join(texts)
+            keep = np.ones(len(buffer), bool)
             at = 0
             for t in texts:
                 keep[at:at + depth] = False
                 at += len(t)
-            g, n = grams_of(b"".join(texts), depth, keep)
-            grams, inverse = np.unique(np.concatenate([grams, g]), return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate([counts, n])).astype(np.int64)
-            texts, held = [], 0
+            return grams_of(buffer, depth, keep)
 
-        def passed(all_grams: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal grams, counts
+        def gather() -> None:
+            nonlocal trained, others, held, grams, counts
+            found, numbers = [grams], [counts]
+            for texts, counted in ((trained, 1), (others, 0)):
+                if texts:
+                    g, n = windows(texts)
+                    found.append(g)
+                    numbers.append(n * counted)
+            grams, inverse = np.unique(np.concatenate(found), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate(numbers)).astype(np.int64)
+            trained, others, held = [], [], 0
+
+        def batch_of(m: int, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(m, types[k])
+                                               for k in schema.names], names=schema.names)
+
+        def pack() -> Iterator[pa.RecordBatch]:
+            nonlocal packed, packed_size
+            if packed:
+                data, keys, is_held = zip(*packed, strict=True)
+                yield batch_of(1, chunk=pa.array([chunk], pa.int64()),
+                               texts=pa.array([zlib.compress(b"".join(data), 1)], pa.binary()),
+                               lengths=pa.array([[len(t) for t in data]], types["lengths"]),
+                               keys=pa.array([list(keys)], types["keys"]), held=pa.array([list(is_held)], types["held"]))
+            packed, packed_size = [], 0
+
+        def passed_words() -> Iterator[pa.RecordBatch]:
             if words:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(words.keys(), pa.binary()), pa.nulls(len(words), pa.int64()),
-                     pa.array(words.values(), pa.int64())], names=schema.names)
+                yield batch_of(len(words), word=pa.array(words.keys(), pa.binary()), n=pa.array(words.values(), pa.int64()))
                 words.clear()
-            if all_grams and len(grams) or len(grams) > 1 << 22:
-                for i in range(0, len(grams), 1 << 19):
-                    g = grams[i:i + (1 << 19)].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(g), pa.binary()), pa.array(g),
-                                                      pa.array(counts[i:i + (1 << 19)])], names=schema.names)
-                grams, counts = grams[:0], counts[:0]
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            """Ends the chunk."""
+            nonlocal grams, counts, chunk, size
+            yield from pack()
+            gather()
+            for i in range(0, len(grams), 1 << 19):
+                g = grams[i:i + (1 << 19)].astype(np.int64)
+                yield batch_of(len(g), chunk=pa.array(np.full(len(g), chunk), pa.int64()), gram=pa.array(g),
+                               n=pa.array(counts[i:i + (1 << 19)]))
+            grams, counts, size = grams[:0], counts[:0], 0
+            chunk += 1
 
         for batch in batches:
+            if types is None:
+                key_arrow = batch.column(0).type
+                types = {"word": pa.binary(), "chunk": pa.int64(), "gram": pa.int64(), "n": pa.int64(), "texts": pa.binary(),
+                         "lengths": pa.list_(pa.int64()), "keys": pa.list_(key_arrow), "held": pa.list_(pa.bool_())}
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                if not training(key.as_py()):
-                    continue
+                key = key.as_py()
                 tokens, data = words_and_bytes(text.as_py())
-                words.update(tokens)
-                words[b""] += 1
-                texts.append(pad + data)
+                counted = training(key)
+                if counted:
+                    words.update(tokens)
+                    words[b""] += 1
+                (trained if counted else others).append(pad + data)
+                packed.append((data, key, not counted))
+                packed_size += len(data)
                 held += len(data) + depth
-                if held > HELD_BYTES:
+                size += len(data)
+                if packed_size > PACKED_BYTES:
+                    yield from pack()
+                if size > chunk_bytes:
+                    yield from passed()
+                elif held > HELD_BYTES:
                     gather()
-                    if len(words) > HELD_WORDS or len(grams) > 1 << 22:
-                        yield from passed(False)
-        if texts:
-            gather()
-        yield from passed(True)
-
-    return docs.mapInArrow(count, schema).groupBy("word", "gram").agg(F.sum("n").alias("n"))
-
-
-def candidates(counts: DataFrame, depth: int, least_share: float) -> DataFrame:
-    """(``d``, ``pair``, ``n``): counts of (context of ``d`` bytes, next byte)
-    for contexts of at least the given share of all places."""
-    grams = counts.filter("gram IS NOT NULL")
-    levels = F.array(*[F.struct(F.lit(d).alias("d"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("pair"))
-                       for d in range(depth + 1)])
-    pairs = grams.select("n", F.explode(levels).alias("l")).groupBy("l.d", "l.pair").agg(F.sum("n").alias("n"))
-    context = Window.partitionBy("d", F.shiftrightunsigned("pair", 8))  # at most 256 rows
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return pairs.withColumn("seen", F.sum("n").over(context)).filter(F.col("seen") >= least_share * total) \
-        .select("d", "pair", "n")
+                if len(words) > HELD_WORDS:
+                    yield from passed_words()
+        if size:
+            yield from passed()
+        yield from passed_words()
+
+    return docs.mapInArrow(count, schema)
+
+
+def below(column: str, size: int) -> Column:
+    """The last ``size`` bytes."""
+    return F.col(column).bitwiseAND(F.lit((1 << 8 * size) - 1))
+
+
+def tree_levels(grams: DataFrame, depth: int) -> list[DataFrame]:
+    """For each length of context (``pair``: context and next byte, ``p``:
+    smoothed probability, ``diverges``: whether the context does by itself).
+    ``grams`` (``pair``, ``n``) holds the windows to score too, with n = 0."""
+    counts = [save_shared(grams, "lm-counts")]
+    for d in range(depth - 1, -1, -1):
+        counts.insert(0, save_shared(counts[0].groupBy(below("pair", d + 1).alias("pair")).agg(F.sum("n").alias("n")), "lm-counts"))
+    total = counts[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    cost = F.lit(0.5 * float(np.log(max(total, 2))))
+    levels = [counts[0].select("pair", ((F.col("n") + 0.5) / F.lit(total + 128.0)).alias("p"), F.lit(True).alias("diverges"))]
+    for d in range(1, depth + 1):
+        context = Window.partitionBy("context")  # at most 256 rows
+        parents = levels[-1].select(F.col("pair").alias("up"), F.col("p").alias("parent"))
+        seen, kinds, n, parent = F.col("seen"), F.col("kinds"), F.col("n"), F.col("parent")
+        smoothed = counts[d].withColumn("up", below("pair", d)).join(parents, "up") \
+            .withColumn("context", F.shiftrightunsigned("pair", 8)) \
+            .withColumn("seen", F.sum("n").over(context)) \
+            .withColumn("kinds", F.sum((n > 0).cast("long")).over(context)) \
+            .withColumn("p", F.when(seen > 0, (n + kinds * parent) / F.greatest(F.lit(1), seen + kinds)).otherwise(parent))
+        gain = F.sum(n * F.log(F.col("p") / parent)).over(context)
+        levels.append(save_shared(smoothed.select("pair", "p", (gain > cost * kinds).alias("diverges")), "lm-level"))
+    return levels
+
+
+def window_scores(grams: DataFrame, depth: int) -> DataFrame:
+    """(``gram``, ``log10``): log probability of each window's last byte after
+    the longest retained suffix of the bytes before it."""
+    levels = tree_levels(grams, depth)
+    retained: list[DataFrame] = []
+    for d in range(depth, 0, -1):
+        own = levels[d].filter("diverges").select(F.shiftrightunsigned("pair", 8).alias("context"))
+        if retained:  # parts of a retained context
+            own = own.unionByName(retained[0].select(F.shiftrightunsigned("context", 8).alias("context"))) \
+                .unionByName(retained[0].select(below("context", d).alias("context")))
+        retained.insert(0, save_shared(own.distinct(), "lm-retained"))
+    best = levels[0].select("pair", "p")
+    for d in range(1, depth + 1):
+        kept = retained[d - 1].withColumn("kept", F.lit(True))
+        shorter = best.select(F.col("pair").alias("up"), F.col("p").alias("before"))
+        best = levels[d].select("pair", "p", F.shiftrightunsigned("pair", 8).alias("context"), below("pair", d).alias("up")) \
+            .join(kept, "context", "left").join(shorter, "up") \
+            .select("pair", F.when(F.col("kept"), F.col("p")).otherwise(F.col("before")).alias("p"))
+    return best.select(F.col("pair").alias("gram"), F.log10("p").cast("float").alias("log10"))
+
+
+class WindowScores:
+    """Looks up windows: a table by hash, the order for what collides there."""
+
+    factor = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, grams: np.ndarray, log10: np.ndarray):
+        order = np.argsort(grams)
+        self.grams, self.log10 = grams[order], log10[order].astype(np.float64)
+        bits = len(grams).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, np.int32)
+        self.table[(self.grams * self.factor) >> self.shift] = np.arange(len(grams), dtype=np.int32)
+
+    def of(self, windows: np.ndarray) -> np.ndarray:
+        at = self.table[(windows * self.factor) >> self.shift]
+        other = self.grams[at] != windows
+        at[other] = np.searchsorted(self.grams, windows[other])
+        return self.log10[at]
+
+    def texts(self, texts: list[bytes], depth: int) -> np.ndarray:
+        """log10 probability of each text."""
+        pad = bytes([END]) * depth
+        a = np.frombuffer(b"".join(pad + t for t in texts), np.uint8)
+        lengths = np.array([len(t) for t in texts])
+        keys = np.zeros(len(a) - depth, np.uint64)
+        for i in range(depth + 1):
+            keys = (keys << np.uint64(8)) | a[i:len(a) - depth + i]
+        starts = np.cumsum(lengths) - lengths
+        # a window between two texts ends in the padding of the second
+        keep = np.arange(lengths.sum()) + depth * np.repeat(np.arange(len(texts)), lengths)
+        return np.add.reduceat(self.of(keys[keep]), starts)
 
 
 @dataclass
@@ -149,7 +272,8 @@ class Automaton:
 
 
 def suffix_tree(d: np.ndarray, pair: np.ndarray, n: np.ndarray, depth: int) -> Automaton:
-    """The automaton of the retained contexts."""
+    """The automaton of the retained contexts, of counts that fit one machine:
+    what the tables are tested against."""
     order = np.lexsort((pair, d))
     d, pair, n = d[order], pair[order], n[order]
     seen = np.unique(pair & 255) if len(pair) else np.empty(0, np.int64)
@@ -234,23 +358,25 @@ def run_automaton(tree: Automaton, texts: list[bytes], depth: int, segment: int
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH,
-                    least_share: float = LEAST_SHARE, frequent: int = FREQUENT) -> DataFrame:
+                    frequent: int = FREQUENT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``key``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score``, ``score`` for every row of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    counts = save_shared(count_corpus(rows, depth), "lm-counts")
-    words = counts.filter("word IS NOT NULL").select("word", "n")
+    prepared = save_shared(prepare(rows, depth, chunk_bytes), "lm-chunks")
+    words = save_shared(prepared.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    below = tokens + 0.5 * (kinds + 1)
+    mass = tokens + 0.5 * (kinds + 1)
     known = words.filter(F.col("n") >= tokens / frequent)  # at most ``frequent`` words
     known = known.toArrow()
-    logs = dict(zip(known.column("word").to_pylist(), np.log10((known.column("n").to_numpy() + 0.5) / below).tolist(), strict=True))
-    pairs = candidates(counts, depth, least_share).toArrow()  # at most depth / least_share contexts
-    tree = suffix_tree(*[pairs.column(c).to_numpy().astype(k) for c, k in (("d", "i8"), ("pair", "i8"), ("n", "f8"))], depth)
-    del pairs
-    # plain arrays: a broadcast is unpickled without this package
-    shared = spark.sparkContext.broadcast(((tree.classes, tree.step, tree.log10), logs))
+    logs = dict(zip(known.column("word").to_pylist(), np.log10((known.column("n").to_numpy() + 0.5) / mass).tolist(), strict=True))
+    windows = prepared.filter("gram IS NOT NULL")
+    grams = windows.groupBy(F.col("gram").alias("pair")).agg(F.sum("n").alias("n"))
+    # a row for each of 64 shares of a chunk: a row a window is slow to pass to Python
+    looked = windows.select("chunk", "gram").join(window_scores(grams, depth), "gram") \
+        .groupBy("chunk", F.pmod(F.hash("gram"), F.lit(64)).alias("share")) \
+        .agg(F.collect_list(F.struct("gram", "log10")).alias("windows")).drop("share")
+    shared = spark.sparkContext.broadcast(logs)
     key_type = rows.schema["key"].dataType
     schema = T.StructType([
         T.StructField("uid", LONG), T.StructField("word", T.BinaryType()), T.StructField("times", LONG),
@@ -258,33 +384,26 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", de
         T.StructField("n_frequent", LONG), T.StructField("frequent_score", T.DoubleType()),
         T.StructField("score", T.DoubleType())])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(chunk: pa.Table) -> pa.Table:
         """A row for each document, and one for each of its words that are not frequent."""
-        arrays, logs = shared.value
-        tree = Automaton(*arrays)
-        uid = TaskContext.get().partitionId() << 40
+        logs = shared.value
         get, end = logs.get, logs.get(b"")
-
-        def made(batch: pa.RecordBatch, part: list[tuple], texts: list[bytes], tail: list[tuple]) -> Iterator[pa.RecordBatch]:
-            index, uids, held, n, hits, base = zip(*part, strict=True)
-            key_column = batch.column(0).take(pa.array(index))
-            m = len(part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(uids, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), key_column,
-                 pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(hits, pa.int64()),
-                 pa.array(base, pa.float64()), pa.array(run_automaton(tree, texts, depth))], names=schema.names)
-            if tail:
-                ids, tail_words, times = zip(*tail, strict=True)
-                m = len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(tail_words, pa.binary()), pa.array(times, pa.int64()),
-                     pa.nulls(m, key_column.type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()),
-                     pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=schema.names)
-
-        for batch in batches:
-            part, texts, tail, held = [], [], [], 0
-            for i, (k, t) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
-                tokens, data = words_and_bytes(t.as_py())
+        found = chunk.column("windows").combine_chunks().flatten()
+        tree = WindowScores(found.field("gram").to_numpy().astype(np.uint64), found.field("log10").to_numpy())
+        packed = chunk.filter(chunk.column("texts").is_valid())
+        key_arrow = chunk.schema.field("keys").type.value_type
+        uid = chunk.column("chunk")[0].as_py() << 26
+        made: list[pa.Table] = []
+        for i in range(packed.num_rows):
+            data = zlib.decompress(packed.column("texts")[i].as_py())
+            lengths, held = packed.column("lengths")[i].as_py(), packed.column("held")[i].as_py()
+            texts, at = [], 0
+            for n in lengths:
+                texts.append(data[at:at + n])
+                at += n
+            part, tail = [], []
+            for t in texts:
+                tokens = t.split()
                 hits = [v for v in map(get, tokens) if v is not None]
                 rare = Counter([w for w in tokens if w not in logs]) if len(hits) < len(tokens) else {}
                 if end is None:
@@ -292,20 +411,30 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", de
                 else:
                     hits.append(end)
                 tail += [(uid, w, c) for w, c in rare.items()]
-                part.append((i, uid, not training(k.as_py()), len(tokens) + 1, len(hits), sum(hits)))
-                texts.append(data)
-                held += len(data)
+                part.append((uid, len(tokens) + 1, len(hits), sum(hits)))
                 uid += 1
-                if held > 1 << 24:
-                    yield from made(batch, part, texts, tail)
-                    part, texts, tail, held = [], [], [], 0
-            if part:
-                yield from made(batch, part, texts, tail)
+            uids, n, hits, base = zip(*part, strict=True)
+            m = len(part)
+            made.append(pa.Table.from_arrays(
+                [pa.array(uids, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()),
+                 pa.array(packed.column("keys")[i].as_py(), key_arrow), pa.array(held, pa.bool_()), pa.array(n, pa.int64()),
+                 pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(tree.texts(texts, depth))],
+                names=schema.names))
+            if tail:
+                ids, tail_words, times = zip(*tail, strict=True)
+                m = len(ids)
+                made.append(pa.Table.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(tail_words, pa.binary()), pa.array(times, pa.int64()),
+                     pa.nulls(m, key_arrow), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()),
+                     pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=schema.names))
+        return pa.concat_tables(made)
 
-    scored = save_shared(rows.mapInArrow(score, schema), "lm-scores")
+    parts = prepared.filter("texts IS NOT NULL").select("chunk", "texts", "lengths", "keys", "held") \
+        .unionByName(looked, allowMissingColumns=True)
+    scored = save_shared(parts.groupBy("chunk").applyInArrow(score, schema), "lm-scores")
     rare = scored.filter("word IS NOT NULL").select("uid", "word", "times").join(words, "word", "left")
-    unknown = float(np.log10(0.5 / below)) if tokens else 0.0
-    value = F.when(F.col("n").isNull(), F.lit(unknown)).otherwise(F.log10((F.col("n") + 0.5) / F.lit(below)))
+    unknown = float(np.log10(0.5 / mass)) if tokens else 0.0
+    value = F.when(F.col("n").isNull(), F.lit(unknown)).otherwise(F.log10((F.col("n") + 0.5) / F.lit(mass)))
     looked_up = rare.select("uid", (value * F.col("times")).alias("rare_score"),
                             F.when(F.col("n").isNull(), 0).otherwise(F.col("times")).alias("rare_known"))
     both = scored.filter("word IS NULL").select(

@@ -96,3 +96,25 @@ def test_nothing_to_train_on(spark):
     got = score_documents(documents(spark, [(held, "a b", "a")])).collect()
     assert [tuple(r)[:6] for r in got] == [(held, True, 3, 0, 0, None)] and got[0].score < 0
     assert score_documents(documents(spark, [])).count() == 0
+
+
+def test_rare_contexts_of_a_large_corpus_are_retained(spark):
+    """Scores equal those of the tree of all counts, also of contexts that are
+    a millionth of the training bytes."""
+    filler, rare, depth = prose(5, 4000, 60), "zq\u00fcx zqj", 5
+    ids = [i for i in range(400) if training(i)]
+    held = [i for i in range(1000) if not training(i)]
+    rows = [(i, filler, "a") for i in ids[:150]] + [(i, rare, "a") for i in ids[150:153]]
+    rows += [(held[0], rare, "a"), (held[1], "zq new w1 \u6f22", "a"), (held[2], "", "a")]
+    counts = Counter()
+    for _, t, _ in rows[149:153]:
+        data = b"\n" * depth + words_and_bytes(t)[1]
+        for i in range(depth, len(data)):
+            for d in range(depth + 1):
+                counts[d, int.from_bytes(data[i - d:i + 1], "big")] += 150 if t is filler else 1
+    d, pair = (np.array(x, np.int64) for x in zip(*counts, strict=True))
+    tree = suffix_tree(d, pair, np.array(list(counts.values()), float), depth)
+    want = run_automaton(tree, [words_and_bytes(t)[1] for _, t, _ in rows], depth)
+    for chunk_bytes in (1 << 25, 100_000):
+        got = {r.doc_id: r.score for r in score_documents(documents(spark, rows), chunk_bytes=chunk_bytes).collect()}
+        assert [got[i] for i, _, _ in rows] == pytest.approx(want.tolist(), rel=1e-4)
