@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from salesdeck.llm.common import save_shared
 from salesdeck.llm.exact_dedup import drop_exact
 from salesdeck.llm.mixing import training_order
-from salesdeck.llm.packing import packed_documents
+from salesdeck.llm.packing import packed_documents, row_order
 from salesdeck.llm.quality import drop_poor
 from salesdeck.llm.simhash import drop_near
 
@@ -33,7 +33,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed_documents(docs)
+    return packed_documents(docs, row_order(docs))  # as the mixing stage has sorted them
 
 
 STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("simhash near-dedup", near_dedup),

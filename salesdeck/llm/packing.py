@@ -17,12 +17,13 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,10 +94,17 @@ def pack_block(lengths: np.ndarray, capacity: int, linear: float, quadratic: flo
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = SEQUENCE,
          end_token: int = END_TOKEN, vocabulary: str = VOCABULARY, linear: float = 1.0,
-         quadratic: float = 1.0 / 4096, block: int = BLOCK) -> DataFrame:
+         quadratic: float = 1.0 / 4096, block: int = BLOCK, order: Sequence[Column] = ()) -> DataFrame:
     """Pieces of all rows of ``docs``: ``key``, ``start``, ``length``,
-    ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``, ``ids``."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``, ``ids``.
+
+    With an ``order`` of the rows, blocks are formed along it and sequence ids
+    follow it from block to block; else pieces are dealt by a hash."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"),
+                       *[c.alias(f"order{i}") for i, c in enumerate(order)])
+    if order:
+        places = rows.columns[2:]
+        rows = rows.repartitionByRange(*places).sortWithinPartitions(*places).select("key", "text")
     key_type = rows.schema["key"].dataType
     long = T.LongType()
     piece_type = T.StructType([T.StructField("key", key_type), T.StructField("start", long),
@@ -170,14 +178,27 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
         if waiting:
             yield made(waiting)
 
-    dealt = rows.mapInArrow(cut, piece_type) \
-        .withColumn("order", F.xxhash64("key", "start")).repartition("order", "key", "start") \
+    pieces = rows.mapInArrow(cut, piece_type)
+    dealt = pieces if order else pieces.withColumn("order", F.xxhash64("key", "start")).repartition("order", "key", "start") \
         .sortWithinPartitions("order", "key", "start", "doc_tokens", "ids").drop("order")
     return dealt.mapInArrow(assign, packed_type).withColumnRenamed("key", key)
 
 
-def packed_documents(docs: DataFrame) -> DataFrame:
-    return pack(docs).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+def row_order(docs: DataFrame) -> list[Column]:
+    """The order in which ``docs`` were written: files by number, and rows of
+    a file.  A table that is not read from files has the order of its
+    partitions."""
+    files = [F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1), F.col("_metadata.file_name"),
+             F.col("_metadata.row_index")]
+    try:
+        docs.select(*files).schema
+    except AnalysisException:
+        return [F.monotonically_increasing_id()]
+    return [F.length(files[0]), *files]
+
+
+def packed_documents(docs: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
+    return pack(docs, order=order).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

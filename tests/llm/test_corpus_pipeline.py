@@ -1,4 +1,5 @@
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 from .helpers import EDGES, documents, prose, write
 from .test_dedup import exact_by_hand, near_by_hand
@@ -50,3 +51,19 @@ def test_run_equals_its_stages(spark, tmp_path):
         docs = stage(spark, docs, folder)
     facts = lambda df: sorted((r.doc_id, r.doc_tokens) for r in df.collect() if r.start == 0)
     assert facts(corpus_pipeline.run(spark, folder)) == facts(docs)
+
+
+def test_sequences_follow_the_training_order(spark, tmp_path):
+    """Sequence ids follow the order of the written rows up to a block."""
+    rows = [(i, prose(i, 30), "s") for i in range(9000)]
+    table = documents(spark, rows, clash=False).repartition(40)
+    table.orderBy(F.desc("doc_id")).write.parquet(f"{tmp_path}/mixed")
+    docs = spark.read.parquet(f"{tmp_path}/mixed")
+    pieces = corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()
+    check_pieces(pieces, rows)
+    place = [8999 - p.doc_id for p in sorted(pieces, key=lambda p: p.sequence_id)]
+    highest = 0
+    for x in place:
+        highest = max(highest, x)
+        assert x > highest - 4200
+    assert max(place[:500]) < 4200 and min(place[-500:]) > 4200
