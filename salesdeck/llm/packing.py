@@ -15,6 +15,7 @@ many sequences and tasks.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator, Sequence
@@ -33,6 +34,8 @@ SEQUENCE = 1024
 END_TOKEN = 0
 #: Vocabulary of the public tokenizer byte_bpe_50k, as ranks.
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The tokenizer itself, for its added tokens.
+TOKENIZER = "byte_bpe_50k.json"
 #: Pieces that are packed together, and parts of a text that a task remembers.
 BLOCK = 4096
 REMEMBERED = 300_000
@@ -41,16 +44,23 @@ REMEMBERED = 300_000
 class Encoder(dict):
     """Text to token ids (little-endian 32 bit).  A text is cut at single
     spaces, where the tokenizer's pattern always begins a new part, and the
-    ids of each part are remembered, as most parts come again."""
+    ids of each part are remembered, as most parts come again.  The added
+    tokens of the tokenizer file ``added`` are recognised inside texts."""
 
     #: a space between two white spaces or at the end belongs to a longer run
     run = re.compile(r"\s (?!\S)")
 
-    def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
+    def __init__(self, vocabulary: str, remembered: int = REMEMBERED, added: str | None = None):
         import public_tokenizers
         import tiktoken
         with open(public_tokenizers.path(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.added: dict[str, bytes] = {}
+        if added:
+            with open(public_tokenizers.path(added), encoding="utf-8") as f:
+                self.added = {a["content"]: np.array([a["id"]], "<u4").tobytes() for a in json.load(f)["added_tokens"]}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cuts = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
         self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                         special_tokens={}).encode_ordinary
         self.remembered = remembered
@@ -64,6 +74,13 @@ class Encoder(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        if self.cuts and self.cuts.search(text):
+            return b"".join(self.added[x] if i % 2 else self.ordinary(x) for i, x in enumerate(self.cuts.split(text)))
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> bytes:
+        if not text:
+            return b""
         if self.run.search(text):
             return np.array(self.encode(text), "<u4").tobytes()
         first, *rest = text.split(" ")
@@ -94,7 +111,8 @@ def pack_block(lengths: np.ndarray, capacity: int, linear: float, quadratic: flo
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = SEQUENCE,
          end_token: int = END_TOKEN, vocabulary: str = VOCABULARY, linear: float = 1.0,
-         quadratic: float = 1.0 / 4096, block: int = BLOCK, order: Sequence[Column] = ()) -> DataFrame:
+         quadratic: float = 1.0 / 4096, block: int = BLOCK, order: Sequence[Column] = (),
+         tokenizer: str = TOKENIZER) -> DataFrame:
     """Pieces of all rows of ``docs``: ``key``, ``start``, ``length``,
     ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``, ``ids``.
 
@@ -116,7 +134,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = Encoder(vocabulary, added=tokenizer)
         for batch in batches:
             out: list[tuple] = []
             held = 0

@@ -120,3 +120,16 @@ def test_block_is_full_and_balanced():
     assert all(seen[i] == n for i, n in enumerate(lengths)) and max(used.values()) <= 1024
     assert len(used) == -(-int(lengths.sum()) // 1024)
     assert max(cost.values()) < 1.35 * np.mean(list(cost.values()))
+
+
+def test_added_tokens_inside_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [*TEXTS, "a <|endoftext|> text", "<|endoftext|><|endoftext|>", " <|endoftext|>  a", "<|endoftext", "x<|endoftext|>"]
+    pieces = pack(documents(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()
+    got = {p.doc_id: np.frombuffer(p.ids, "<u4").tolist() for p in pieces if p.length == p.doc_tokens}
+    for i, text in enumerate(texts):
+        if i in got:
+            assert got[i] == [*whole.encode(text, add_special_tokens=False).ids, 0], text
+    assert len(got) > len(texts) - 3  # a block's sequences may cut a piece
