@@ -3,8 +3,8 @@
 Base rules reject short texts and texts whose 3-word windows repeat.  Beyond
 them, lines are normalised (lower case, white space collapsed) and hashed, and
 the distinct documents that hold a line are counted per host (``source``).
-A line in more than the allowed documents is removed, and a document that
-keeps too few of its words is depleted and rejected.
+A line in more than the allowed documents is removed (``remove_lines``), and a
+document that keeps too few of its words is depleted and rejected.
 
 Copies must not make a document's own lines look like boilerplate, so distinct
 documents are counted by a signature, the hash of all their line hashes: a
@@ -66,10 +66,14 @@ def repeated_words(words: Column, window: int = 3) -> Column:
     return of(words).cast("long")
 
 
+def normalised(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), SPACE_RUN, " "))
+
+
 def line_keys(text: Column) -> Column:
-    """Hashes of the normalised lines that have a word, in order."""
-    lines = F.transform(F.split(F.lower(text), "\n"), lambda x: F.trim(F.regexp_replace(x, SPACE_RUN, " ")))
-    return F.filter(lines, lambda x: x != "")
+    """The normalised lines that have a word, in order, each with its place ``at`` among all lines."""
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(normalised(x).alias("line"), i.alias("at")))
+    return F.filter(lines, lambda x: x["line"] != "")
 
 
 def base_counts(text: Column) -> list[Column]:
@@ -87,13 +91,13 @@ def base_failed() -> Column:
 
 
 def document_lines(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(``id``, ``content``, ``host``, ``signature``, ``line``, ``words``,
-    ``n``): each distinct line of each distinct row, with its words and how
-    often the row has it."""
+    """(``id``, ``content``, ``host``, ``signature``, ``line``, ``at``,
+    ``words``): each line of each row, with its place and its words."""
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text_of(text)).alias("content"), key_of(source).alias("host"),
                        line_keys(text_of(text)).alias("lines"))
     hashed = rows.select("id", "content", "host", F.transform("lines", lambda x: F.struct(
-        F.md5(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).alias("words"))).alias("lines"))
+        F.md5(x["line"]).alias("line"), x["at"].alias("at"),
+        (F.length(x["line"]) - F.length(F.replace(x["line"], F.lit(" "))) + 1).alias("words"))).alias("lines"))
     signature = F.md5(F.array_join(F.sort_array(F.transform("lines", lambda x: x["line"])), ""))
     return hashed.select("id", "content", "host", signature.alias("signature"), F.explode("lines").alias("l")).select("id", "content", "host", "signature", "l.*")
 
@@ -106,39 +110,59 @@ def boilerplate(lines: DataFrame, limits: LineLimits) -> DataFrame:
     return counts.join(hosts, "host").filter(F.col("n") > limits.share * F.col("of")).select("host", "line")
 
 
-def depleted(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-             limits: LineLimits = LineLimits()) -> DataFrame:
-    """Distinct (``id``, ``content``, ``host``) of documents that lose too many words to boilerplate."""
+def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+                  limits: LineLimits = LineLimits()) -> DataFrame:
+    """Distinct (``id``, ``content``, ``host``) of documents with boilerplate,
+    the places of those lines (``removed``) and their words (``removed_words``)."""
     lines = document_lines(docs, key, text, source)
     salts = F.explode(F.sequence(F.lit(0), F.lit(limits.salts - 1)))
-    common = boilerplate(lines, limits).withColumn("salt", salts).withColumn("gone", F.lit(True))
+    common = boilerplate(lines, limits).withColumn("salt", salts)
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("id", "content"), F.lit(limits.salts)).cast("int"))
-    kept_words = F.sum(F.when(F.col("gone"), 0).otherwise(F.col("words")))
-    return salted.join(common, ["host", "line", "salt"], "left").groupBy("id", "content", "host") \
-        .agg(F.sum("words").alias("all"), kept_words.alias("left")) \
-        .filter(F.col("left") < limits.left * F.col("all")).select("id", "content", "host")
+    # repeated rows have the same places
+    return salted.join(common, ["host", "line", "salt"]).groupBy("id", "content", "host") \
+        .agg(F.collect_set(F.struct("at", "words")).alias("found")) \
+        .select("id", "content", "host", F.transform("found", lambda x: x["at"]).alias("removed"),
+                F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("removed_words"))
 
 
 def _marked(docs: DataFrame, carry: list[Column], limits: LineLimits) -> DataFrame:
-    """Rows with ``content``, joined with the depleted documents: ``gone``."""
-    bad = depleted(docs, limits=limits).withColumn("gone", F.lit(True))
+    """Rows joined with the lines they lose: ``removed``, ``removed_words``."""
+    bad = removed_lines(docs, limits=limits)
     rows = docs.select(F.xxhash64(text_of()).alias("r_content"), F.col("doc_id").alias("r_id"),
                        key_of("source").alias("r_host"), *carry)
     on = (F.col("r_content") == F.col("content")) & (F.col("r_host") == F.col("host")) & F.col("r_id").eqNullSafe(F.col("id"))
-    return rows.join(bad, on, "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    return rows.join(bad, on, "left")
+
+
+def is_depleted(limits: LineLimits) -> Column:
+    """Whether the lines that stay have too few of the words."""
+    left = F.col("w.n_words") - F.coalesce("removed_words", F.lit(0))
+    return (left < limits.left * F.col("w.n_words")).alias("gone")
+
+
+def _whole(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
+def remove_lines(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
+    """``docs`` without boilerplate: every text without the lines above the
+    limits, all else as it is.  A text that has none stays equal."""
+    kept = F.filter(F.split(F.col("doc.text"), "\n"), lambda x, i: ~F.array_contains("removed", i))
+    text = F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(F.array_join(kept, "\n"))
+    return _marked(docs, [_whole(docs)], limits).select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")
 
 
 def drop_poor(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """``docs`` without those that fail a rule.  Texts that stay stay whole:
-    what the line rule removes counts towards the verdict only."""
-    counted = _marked(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *base_counts(text_of())], limits)
-    return counted.select("doc", "gone", "w.*").filter(~base_failed() & ~F.col("gone")).select("doc.*")
+    """``docs`` without those that fail a rule.  Texts that stay stay whole;
+    ``remove_lines`` gives them without the lines that were counted out."""
+    counted = _marked(docs, [_whole(docs), *base_counts(text_of())], limits)
+    return counted.select("doc", is_depleted(limits), "w.*").filter(~base_failed() & ~F.col("gone")).select("doc.*")
 
 
 def op6_cross_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
     return _marked(docs, base_counts(text_of()), LineLimits()).select(
-        F.col("r_id").alias("doc_id"), "word_chars", "n_symbols", "n_dup_lines", "w.*", "gone") \
+        F.col("r_id").alias("doc_id"), "word_chars", "n_symbols", "n_dup_lines", "w.*", is_depleted(LineLimits())) \
         .withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.col("gone")) \
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

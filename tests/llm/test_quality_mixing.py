@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from salesdeck.llm.mixing import curriculum, op7_time_varying_curriculum, training_order
-from salesdeck.llm.quality import LineLimits, boilerplate, document_lines, drop_poor, op6_cross_document_lines
+from salesdeck.llm.quality import LineLimits, boilerplate, document_lines, drop_poor, op6_cross_document_lines, remove_lines
 
 from .helpers import EDGES, documents, prose, write
 
@@ -139,3 +139,20 @@ def test_training_order_keeps_columns_and_repeats_whole_documents(spark):
 def test_empty_tables(spark):
     empty = documents(spark, [])
     assert drop_poor(empty).count() == 0 and training_order(empty).count() == 0
+
+
+def test_frequent_lines_are_removed_from_every_text(spark):
+    lines = [prose(700 + i, 40) for i in range(3)]
+    rows = boilerplate_rows() + EDGES
+    odd = (500, "\n".join(["", "  " + lines[1].upper().replace(" ", "\t ") + " ", "Own  line", "", lines[0], " x"]), "a")
+    rows += [odd, odd]  # a repeated row, in other case and spacing
+    df = documents(spark, rows)
+    out = remove_lines(df)
+    assert out.columns == df.columns
+    own = {i: [x for x in (t or "").split("\n") if x not in lines] for i, t, _ in rows}
+    want = [(i, "\n".join(own[i]) if s == "a" and i is not None and (i < 30 or 100 <= i < 130) else t) for i, t, s in rows]
+    small = {i for i, _, _ in EDGES}
+    want = [(i, "\nOwn  line\n\n x") if i == 500 else (i, t) for i, t in want if i not in small]
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted((x for x in got if x[0] not in small), key=repr) == sorted(want, key=repr)
+    assert len(got) == len(rows)
