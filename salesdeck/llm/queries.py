@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesdeck.llm import (exact_dedup, html_extract, language_id, lm_scoring, mixing, packing, pii, quality, sharding,
-                           simhash)
+from salesdeck.llm import (exact_dedup, fim, html_extract, language_id, lm_scoring, mixing, packing, pii, quality, sharding,
+                           simhash, spelling)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     sharding.op1_rendezvous_sharding,
@@ -20,10 +20,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     simhash.op8_simhash_near_dedup,
     lm_scoring.op9_probabilistic_suffix_tree,
     exact_dedup.op10_exact_dedup,
+    spelling.op11_reduced_alphabet,
+    fim.op13_indexable_skip_list,
 )}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_cross_document_lines": quality.ORACLE,
     "op7_time_varying_curriculum": mixing.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op13_indexable_skip_list": fim.ORACLE,
 }
