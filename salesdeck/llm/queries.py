@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from salesdeck.llm import (exact_dedup, fim, html_extract, language_id, lm_scoring, mixing, packing, pii, quality, sharding,
-                           simhash, spelling)
+                           simhash, spelling, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     sharding.op1_rendezvous_sharding,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     lm_scoring.op9_probabilistic_suffix_tree,
     exact_dedup.op10_exact_dedup,
     spelling.op11_reduced_alphabet,
+    toxicity.op12_convolutional_classifier,
     fim.op13_indexable_skip_list,
 )}
 
