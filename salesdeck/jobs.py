@@ -20,7 +20,7 @@ from dataclasses import replace
 from pyspark.sql import SparkSession
 
 from salesdeck.params import DEFAULT, Params
-from salesdeck.plans import facts
+from salesdeck.plans import distinct, facts
 from salesdeck.registry import ANALYSES
 from salesdeck.session import ensure_checkpoint_dir
 from salesdeck.sinks import write_document, write_rows
@@ -35,12 +35,13 @@ def materialise_facts(star: Star, params: Params = DEFAULT) -> Star:
     """A star whose shared aggregates are checkpointed once."""
     ensure_checkpoint_dir(star.orders.sparkSession)
     # ship date per order: an aggregate of the line table used by six analyses
-    s = replace(star, memo={}, shipments=None if star.shipments is None else star.shipments.checkpoint())
+    s = replace(star, memo=dict(star.memo), shipments=None if star.shipments is None else star.shipments.checkpoint())
     s.memo["order_totals"] = facts._order_totals(s).checkpoint()
     for inc in (True, False):
         key = f"customer_totals/{inc}/{params.cancelled}/{params.keep_null_status}"
         s.memo[key] = facts._customer_totals(s, params, inc).checkpoint()
     s.memo["rep_totals"] = facts._rep_totals(s, params).checkpoint()
+    s.memo["customer_bitmaps"] = distinct._customer_bitmaps(s, params).checkpoint()
     return s
 
 

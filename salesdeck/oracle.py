@@ -118,6 +118,20 @@ LINES_NC = f"""lnc AS (
   SELECT orderNumber, orderDate, productLine, rev AS line_revenue, prof AS profit
     FROM sold WHERE status <> {CANCELLED})"""
 
+DAMAGED = """damaged AS (
+  SELECT orderNumber, status,
+         CASE WHEN orderNumber % 97 = 0 THEN 'unknown' WHEN orderNumber % 89 = 0 THEN '2001-13-45'
+              WHEN orderNumber % 83 = 0 THEN '  ' ELSE strftime(orderDate, '%Y-%m-%d') END AS od,
+         CASE WHEN orderNumber % 79 = 0 THEN 'n/a' WHEN orderNumber % 73 = 0 THEN '1901-01-01'
+              ELSE strftime(shippedDate, '%Y-%m-%d') END AS sd
+    FROM ords),
+reasoned AS (
+  SELECT *, CASE WHEN orderNumber IS NULL THEN 'no order number'
+                 WHEN od IS NULL OR trim(od) = '' THEN 'no order date'
+                 WHEN TRY_CAST(od AS DATE) IS NULL THEN 'order date is no date'
+                 WHEN TRY_CAST(sd AS DATE) < TRY_CAST(od AS DATE) THEN 'shipped before ordered' END AS reason
+    FROM damaged)"""
+
 MONTHLY = """mon AS (
   SELECT CAST(year(orderDate) AS VARCHAR) AS year, CAST(month(orderDate) AS BIGINT) AS month,
          CAST(date_trunc('month', orderDate) AS DATE) AS period,
@@ -199,6 +213,8 @@ ORACLE_SQL: dict[str, str] = {
     # ------------------------------------------------------------ people
     "rep_performance": q(REPS, """SELECT employeeNumber, sales_rep, jobTitle, office,
         total_customers, total_orders, total_profit FROM reps"""),
+    "rep_performance_bucketed": q(REPS, """SELECT employeeNumber, sales_rep, jobTitle, office,
+        total_customers, total_orders, total_profit FROM reps"""),
     "org_hierarchy": q(HIER, """SELECT firstName || ' ' || lastName AS employee, jobTitle,
         m_first || ' ' || m_last AS reports_to, m_title AS manager_title, o_city AS office FROM h"""),
     "org_hierarchy_filled": q(HIER, """SELECT firstName || ' ' || lastName AS employee,
@@ -230,6 +246,10 @@ ORACLE_SQL: dict[str, str] = {
         strftime(orderDate, '%m') AS month, COUNT(DISTINCT orderNumber) AS num_orders,
         CAST(SUM(line_revenue) AS DOUBLE) AS revenue, CAST(SUM(profit) AS DOUBLE) AS profit
         FROM lnc GROUP BY 1, 2"""),
+    "monthly_refreshed": q(f"""SELECT CAST(year(orderDate) AS VARCHAR) AS year, CAST(month(orderDate) AS BIGINT) AS month,
+        COUNT(DISTINCT orderNumber) AS num_orders, CAST(SUM(rev) AS DOUBLE) AS revenue,
+        CAST(SUM(prof) AS DOUBLE) AS profit, COUNT(DISTINCT customerNumber) AS num_customers
+        FROM sold WHERE status <> {CANCELLED} GROUP BY 1, 2"""),
     "monthly_revenue_period": q(LINES_NC, MONTHLY, """SELECT year, month, period, num_orders,
         revenue, profit FROM mon"""),
     "product_line_by_year": q(LINES_NC, LINE_YEAR, """SELECT year, productLine,
@@ -328,6 +348,8 @@ ORACLE_SQL: dict[str, str] = {
              WHEN tp >= {T3} THEN 'Silver' ELSE 'Bronze' END AS segment FROM cs"""),
     "table_page": q(segments_cte("seg", False), SEG_OUT.format(src="seg")
                     + " ORDER BY total_profit DESC, customerNumber LIMIT 20 OFFSET 20"),
+    "table_page_stored": q(segments_cte("seg", False), SEG_OUT.format(src="seg")
+                           + " ORDER BY total_profit DESC, customerNumber LIMIT 20 OFFSET 580"),
     "top_k": q(segments_cte("seg", True), SEG_OUT.format(src="seg")
                + " ORDER BY total_profit DESC, customerNumber LIMIT 20"),
     "dormant_customers": q(DORMANT_CTE, """SELECT d.customerNumber, c.customerName, c.city,
@@ -404,10 +426,21 @@ ORACLE_SQL: dict[str, str] = {
     "scan_table": q("""SELECT orderNumber, productCode, quantityOrdered,
         CAST(line_revenue AS DOUBLE) AS line_revenue FROM orderdetails"""),
     "scan_projected": q("SELECT productCode, productLine FROM products"),
-    "scan_filtered": q("SELECT status, orderDate, customerNumber FROM ords WHERE customerNumber >= 100"),
+    "scan_filtered": q("SELECT status, orderDate, shippedDate FROM ords WHERE shippedDate IS NOT NULL"),
     "parse_date_lenient": q("""SELECT orderNumber, strftime(orderDate, '%Y-%m-%d') AS order_text,
         COALESCE(strftime(shippedDate, '%Y-%m-%d'), 'n/a') AS ship_text,
         orderDate, shippedDate FROM ords"""),
+    "repaired_orders": q(DAMAGED, """SELECT orderNumber, status, TRY_CAST(od AS DATE) AS orderDate,
+        TRY_CAST(sd AS DATE) AS shippedDate FROM reasoned WHERE reason IS NULL"""),
+    "rejected_orders": q(DAMAGED, """SELECT orderNumber, status, od AS orderDate, sd AS shippedDate, reason
+        FROM reasoned WHERE reason IS NOT NULL"""),
+    "country_profit": q(f"""cp AS (
+        SELECT customerNumber, COUNT(DISTINCT orderNumber) AS orders, SUM(rev) AS revenue, SUM(prof) AS profit
+        FROM sold WHERE status <> {CANCELLED} GROUP BY customerNumber)""",
+        """SELECT c.country, COUNT(*) AS customers, CAST(SUM(orders) AS BIGINT) AS orders,
+        CAST(SUM(revenue) AS DOUBLE) AS revenue, CAST(SUM(profit) AS DOUBLE) AS profit,
+        COUNT(*) FILTER (profit > (SELECT SUM(profit) / COUNT(*) FROM cp)) AS above_average
+        FROM cp JOIN customers c USING (customerNumber) GROUP BY c.country"""),
     # -------------------------------------------------- single operators
     "filter_not_cancelled": q(f"""SELECT orderNumber, customerNumber, orderDate, status
         FROM ords WHERE status <> {CANCELLED}"""),
@@ -425,6 +458,12 @@ ORACLE_SQL: dict[str, str] = {
     "agg_count": q("SELECT status, COUNT(*) AS num_orders FROM ords GROUP BY status"),
     "agg_count_distinct": q("""SELECT productLine, COUNT(DISTINCT orderNumber) AS num_orders,
         COUNT(DISTINCT customerNumber) AS num_customers FROM sold GROUP BY productLine"""),
+    "customers_by_line": q(f"""SELECT productLine, COUNT(DISTINCT customerNumber) AS num_customers
+        FROM sold WHERE status <> {CANCELLED} GROUP BY productLine"""),
+    "customers_by_year": q(f"""cy AS (
+        SELECT DISTINCT year(orderDate) AS y, customerNumber FROM sold WHERE status <> {CANCELLED})""",
+        """SELECT CAST(a.y AS VARCHAR) AS year, COUNT(*) AS num_customers, COUNT(b.customerNumber) AS num_returning
+        FROM cy a LEFT JOIN cy b ON b.y = a.y - 1 AND b.customerNumber = a.customerNumber GROUP BY a.y"""),
     "agg_avg": q(f"""SELECT productLine,
         {hu(cents("SUM(rev)"), "COUNT(rev)")} / 100.0 AS avg_line_revenue,
         {r("AVG(qty)", 1)} AS avg_quantity FROM priced GROUP BY productLine"""),

@@ -31,18 +31,24 @@ class Params:
     ytd_through_month: int = 8
     # an order is a fulfilment outlier when days > factor * status average
     outlier_factor: float = 2.0
+    # more distinct order statuses than this are an error, not a category
+    most_statuses: int = 1000
     # list lengths of the top-k reports
     top_dormant: int = 15
     top_customers: int = 20
     top_vip: int = 10
     page_size: int = 20
-    scan_from_customer: int = 100
+    deep_page: int = 30          # the page that is read from the stored page index
+    order_buckets: int = 16      # of the order-grain tables; see sources.bucketed.buckets_for
     document_page: int = 50      # reps in one page of the column document
     # priority restock: at least these multiples of the catalogue's pace of
     # stock and of an ordered product's mean revenue
     restock_ratio: float = 2.0
     restock_revenue: float = 1.0
     label_width: int = 22
+    # first order date of the second of two refresh batches (late orders in a
+    # month that the first batch has opened)
+    second_batch: dt.date = dt.date(1998, 3, 17)
     # apply the final ORDER BY of each analysis (off in the mart refresh job)
     ordered: bool = True
 

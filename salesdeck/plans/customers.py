@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,10 +12,12 @@ from salesdeck.functions.labels import percent_label, truncate, truncate_ellipsi
 from salesdeck.functions.measures import TIERS, tier, whole_days_between
 from salesdeck.functions.money import avg_dollars, dollars, round_half_up, safe_ratio
 from salesdeck.operators.joins import join_bounded
-from salesdeck.operators.ranking import page, present, top_k
+from salesdeck.operators.paging import last_key, next_page, store_pages, stored_page
+from salesdeck.operators.ranking import present, top_k
 from salesdeck.params import DEFAULT, Params
 from salesdeck.plans.facts import customer_totals
 from salesdeck.sources.star import Star
+from salesdeck.sources.stored import scratch
 
 # Display colour per tier, and the colour of "no tier" (fixed values of the reference).
 TIER_COLOURS = {"Platinum": "#ffd700", "Gold": "#50c8a0", "Silver": "#4a90e2", "Bronze": "#ff7c7c"}
@@ -138,16 +142,41 @@ def segment_code_lookup(star: Star, params: Params = DEFAULT) -> DataFrame:
                     .alias("colour"))
 
 
-def table_page(star: Star, params: Params = DEFAULT, page_no: int = 2,
-               sort_col: str = "total_profit", ascending: bool = False,
-               segment: str = "All") -> DataFrame:
-    """One page of the customer table under a user-chosen tier filter and sort
-    (the customer key breaks ties, so pages never overlap)."""
-    s = _segments_out(_segmented(star, params, False), params)
+def _page_table(star: Star, params: Params, sort_col: str, ascending: bool,
+                segment: str) -> tuple[DataFrame, list[tuple[str, bool]]]:
+    """The customer table under a tier filter, and its sort keys (the customer
+    key breaks ties, so pages never overlap)."""
+    s = _segments_out(_segmented(star, params, False), replace(params, ordered=False))
     if segment != "All":
         s = s.filter(F.col("segment") == F.lit(segment))
-    key = F.asc(sort_col) if ascending else F.desc(sort_col)
-    return page(s, [key, F.asc("customerNumber")], page_no, params.page_size)
+    return s, [(sort_col, ascending), ("customerNumber", True)]
+
+
+def table_page(star: Star, params: Params = DEFAULT, page_no: int = 2,
+               sort_col: str = "total_profit", ascending: bool = False,
+               segment: str = "All", last: Row | None = None) -> DataFrame:
+    """One page of the customer table under a user-chosen tier filter and sort.
+    A page is sought past the last row of the page before: ``last``, which the
+    view holds, or else found from page to page.  For a far page without one
+    see ``table_page_stored``."""
+    s, keys = _page_table(star, params, sort_col, ascending, segment)
+    if last is not None:
+        seen = F.struct(*[F.lit(last[k]).cast(s.schema[k].dataType).alias(k) for k, _ in keys])
+        return next_page(s, keys, params.page_size, seen)
+    shown = next_page(s, keys, params.page_size)
+    for _ in range(page_no - 1):
+        shown = next_page(s, keys, params.page_size, last_key(shown, keys))
+    return shown
+
+
+def table_page_stored(star: Star, params: Params = DEFAULT, sort_col: str = "total_profit",
+                      ascending: bool = False, segment: str = "All") -> DataFrame:
+    """Page ``deep_page`` of the same table, from its stored page index."""
+    s, keys = _page_table(star, params, sort_col, ascending, segment)
+    spark = star.orders.sparkSession
+    path = scratch(spark, "pages")
+    store_pages(s, keys, path)
+    return stored_page(spark, path, params.deep_page, params.page_size)
 
 
 def top_customers(star: Star, params: Params = DEFAULT) -> DataFrame:

@@ -28,11 +28,12 @@ from salesdeck.sources.star import Star
 
 def priced_lines(star: Star, with_line: bool = False) -> DataFrame:
     """Order lines joined to their product: revenue and profit per line, in cents."""
+    out = ["orderNumber", "productCode", "quantityOrdered", "revenue_cents", "profit_cents"] + (["productLine"] if with_line else [])
+    if "priced_lines" in star.memo:  # priced when they were stored
+        return star.memo["priced_lines"].select(*out)
     cols = ["productCode", "buy_price_cents"] + (["productLine"] if with_line else [])
     lines = star.orderdetails.join(star.products.select(*cols), "productCode")
-    out = ["orderNumber", "productCode", "quantityOrdered", "revenue_cents",
-           line_profit_cents().alias("profit_cents")]
-    return lines.select(*(out + (["productLine"] if with_line else [])))
+    return lines.withColumn("profit_cents", line_profit_cents()).select(*out)
 
 
 def product_line_sums(star: Star, *keys: str, lines: DataFrame | None = None) -> DataFrame:

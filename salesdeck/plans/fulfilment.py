@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesdeck.functions.labels import days_label
@@ -32,17 +32,26 @@ def fulfilment_time(star: Star, params: Params = DEFAULT) -> DataFrame:
             .transform(present, params, F.desc("num_orders"), "status")
 
 
+def status_averages(shipped: DataFrame, most: int) -> Column:
+    """The mean days to ship of the row's own status, as a column.
+
+    The means (one row per status) become one map value, read as a scalar
+    subquery; so no order is ever dealt by its status, of which a third of all
+    orders may share one.  Keys carry a mark, so that NULL is a key as well.
+    The statuses of the order cycle are a closed list; a column with over
+    ``most`` of them is not a status, and raises instead of growing the map."""
+    key = F.coalesce(F.concat(F.lit("="), "status"), F.lit(""))
+    per = shipped.groupBy("status").agg(F.avg("days_to_ship").alias("mean"))
+    means = per.agg(F.when(F.count("*") > most, F.raise_error(F.lit(f"over {most} order statuses")))
+                    .otherwise(F.map_from_entries(F.collect_list(F.struct(key, "mean")))).alias("means")).scalar()
+    return F.try_element_at(means, key)
+
+
 def fulfilment_outliers(star: Star, params: Params = DEFAULT) -> DataFrame:
     """Shipped orders whose time to ship exceeds ``outlier_factor`` times the
-    average of their status.  The averages are an aggregate (one row per
-    status) joined back, not a window partitioned by status: a window would
-    put every order of a status -- a third of all orders -- into one task.
-    Both sides come from the same shipped orders, so the line table is read
-    once; the planner broadcasts the averages when they prove small and splits
-    a hot status when they don't."""
+    average of their status (orders without a status: of each other)."""
     s = _shipped(star)
-    avg = s.groupBy(F.col("status").alias("avg_status")).agg(F.avg("days_to_ship").alias("status_avg"))
-    j = s.join(avg, F.col("status").eqNullSafe(F.col("avg_status"))).drop("avg_status")
+    j = s.withColumn("status_avg", status_averages(s, params.most_statuses))
     return j.filter(F.col("days_to_ship") > F.lit(params.outlier_factor) * F.col("status_avg")).select(
         "orderNumber", "status", "days_to_ship",
         round_half_up("status_avg", 2).alias("status_avg_days"),

@@ -11,7 +11,9 @@ from salesdeck.functions.money import cents_ratio, dollars, round_half_up, safe_
 from salesdeck.operators.ranking import global_row_number, present
 from salesdeck.params import DEFAULT, Params
 from salesdeck.plans.facts import rep_totals
+from salesdeck.sources.bucketed import bucketed
 from salesdeck.sources.star import Star
+from salesdeck.sources.stored import scratch
 
 
 def _reps(star: Star) -> DataFrame:
@@ -37,6 +39,14 @@ def rep_performance(star: Star, params: Params = DEFAULT) -> DataFrame:
     return rep_rows(star, params).transform(present, params, F.desc("total_profit"), "employeeNumber")
 
 
+def rep_performance_bucketed(star: Star, params: Params = DEFAULT) -> DataFrame:
+    """The same rows from tables bucketed by order (``sources.bucketed``),
+    written to the shared folder: no line or order is shuffled by order."""
+    spark = star.orders.sparkSession
+    path = scratch(spark, "bucketed")
+    return rep_performance(bucketed(star, path.rsplit("/", 1)[1].replace("-", "_"), path, params.order_buckets), params)
+
+
 def _hierarchy(star: Star) -> DataFrame:
     e = star.employees
     boss = e.select(F.struct(F.col("employeeNumber").alias("number"), "firstName", "lastName", "jobTitle").alias("boss"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import partial
 
-from salesdeck.plans import basics, customers, documents, fulfilment, inventory, kpi, people, trends
-from salesdeck.sources import catalog
+from salesdeck.plans import basics, customers, distinct, documents, fulfilment, inventory, kpi, people, trends
+from salesdeck.sources import catalog, views
 
 ANALYSES = {
     # people
     "rep_performance": people.rep_performance,
+    "rep_performance_bucketed": people.rep_performance_bucketed,
     "org_hierarchy": people.org_hierarchy,
     "org_hierarchy_filled": people.org_hierarchy_filled,
     "office_performance": people.office_performance,
@@ -20,6 +21,7 @@ ANALYSES = {
     "office_lead_ratio": people.office_lead_ratio,
     # trends
     "monthly_revenue": trends.monthly_revenue,
+    "monthly_refreshed": trends.monthly_refreshed,
     "monthly_revenue_period": trends.monthly_revenue_period,
     "product_line_by_year": trends.product_line_by_year,
     "product_line_pivot": trends.product_line_pivot,
@@ -46,6 +48,7 @@ ANALYSES = {
     "segment_code_lookup": customers.segment_code_lookup,
     "case_segment": customers.case_segment,
     "table_page": customers.table_page,
+    "table_page_stored": customers.table_page_stored,
     "top_k": customers.top_customers,
     "dormant_customers": customers.dormant_customers,
     "dormant_with_segment": customers.dormant_with_segment,
@@ -67,6 +70,9 @@ ANALYSES = {
     "scan_projected": catalog.scan_projected,
     "scan_filtered": catalog.scan_filtered,
     "parse_date_lenient": catalog.parse_date_lenient,
+    "repaired_orders": catalog.repaired_orders,
+    "rejected_orders": catalog.rejected_orders,
+    "country_profit": views.country_profit,
     "rep_json_document": documents.rep_json_document,
     # single operators
     "filter_not_cancelled": basics.filter_not_cancelled,
@@ -76,6 +82,8 @@ ANALYSES = {
     "agg_sum": basics.agg_sum,
     "agg_count": basics.agg_count,
     "agg_count_distinct": basics.agg_count_distinct,
+    "customers_by_line": distinct.customers_by_line,
+    "customers_by_year": distinct.customers_by_year,
     "agg_avg": basics.agg_avg,
     "agg_min_max": basics.agg_min_max,
     "fn_concat": basics.fn_concat,

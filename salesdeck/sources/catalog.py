@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from salesdeck.params import DEFAULT, Params
 from salesdeck.sources.parse import parse_date_lenient as _lenient
 from salesdeck.sources.parse import parse_date_strict as _strict
+from salesdeck.sources.repair import repair_orders
 from salesdeck.sources.star import TABLES, Star
+from salesdeck.sources.stored import scratch, shipped, store_orders
 
 
 def table_overview(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -40,10 +42,13 @@ def scan_projected(star: Star, params: Params = DEFAULT) -> DataFrame:
 
 
 def scan_filtered(star: Star, params: Params = DEFAULT) -> DataFrame:
-    """Column list + WHERE on a stored column, which reaches the Parquet scan:
-    the orders of a range of customers."""
-    return star.orders.filter(F.col("customerNumber") >= params.scan_from_customer) \
-               .select("status", "orderDate", "customerNumber")
+    """Column list + pushed ``WHERE shippedDate IS NOT NULL``, over the orders
+    stored by ship year (``sources.stored``; a star that was loaded from such
+    a layout names it, else it is written to the shared folder first)."""
+    orders = star.memo.get("stored_orders")
+    if orders is None:
+        orders = store_orders(star, scratch(star.orders.sparkSession, "orders"))
+    return shipped(orders).select("status", "orderDate", "shippedDate")
 
 
 def table_columns(star: Star, params: Params = DEFAULT) -> DataFrame:
@@ -71,3 +76,23 @@ def parse_date_lenient(star: Star, params: Params = DEFAULT) -> DataFrame:
     return o.select("orderNumber", "order_text", "ship_text",
                     _strict("order_text").alias("orderDate"),
                     _lenient("ship_text").alias("shippedDate"))
+
+
+def _damaged_orders(star: Star) -> DataFrame:
+    """The orders with their dates as text, some as broken as text dates get."""
+    key = F.col("orderNumber")
+    ordered, ship = F.date_format("orderDate", "yyyy-MM-dd"), F.date_format("shippedDate", "yyyy-MM-dd")
+    return star.orders_shipped.select(
+        "orderNumber", "status",
+        F.when(key % 97 == 0, "unknown").when(key % 89 == 0, "2001-13-45").when(key % 83 == 0, "  ").otherwise(ordered).alias("orderDate"),
+        F.when(key % 79 == 0, "n/a").when(key % 73 == 0, "1901-01-01").otherwise(ship).alias("shippedDate"))
+
+
+def repaired_orders(star: Star, params: Params = DEFAULT) -> DataFrame:
+    """Orders with damaged text dates, repaired on load: the good rows."""
+    return repair_orders(_damaged_orders(star), scratch(star.orders.sparkSession, "repaired")).good
+
+
+def rejected_orders(star: Star, params: Params = DEFAULT) -> DataFrame:
+    """What the same load rejects, as it came, with the reason."""
+    return repair_orders(_damaged_orders(star), scratch(star.orders.sparkSession, "repaired")).rejects

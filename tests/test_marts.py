@@ -1,0 +1,184 @@
+"""Bucketed tables, bitmap marts, refreshed marts, rejects and shared temporary tables."""
+
+import datetime as dt
+import os
+from dataclasses import replace
+
+import pytest
+from pyspark.sql import functions as F
+
+from salesdeck.jobs import materialise_facts
+from salesdeck.params import DEFAULT, REFERENCE
+from salesdeck.plans import distinct, people, trends
+from salesdeck.plans.basics import agg_sum
+from salesdeck.plans.fulfilment import status_averages
+from salesdeck.sinks.refresh import add_batch, compact, monthly_partials, read_months, read_partials
+from salesdeck.sources import views
+from salesdeck.sources.bucketed import bucketed, buckets_for, drop_bucketed
+from salesdeck.sources.repair import REASONS, repair_orders
+from salesdeck.sources.star import load_star
+from salesdeck.sources.stored import scratch
+from tests.conftest import SF_MID, SF_SMALL
+from tests.test_plans import at_cluster_shape, plan
+
+
+@pytest.fixture(scope="module")
+def star(spark):
+    return load_star(spark, SF_SMALL)
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+# ------------------------------------------------------------- bucketed tables
+
+def test_bucketed_star_shuffles_nothing_by_order(spark, star, tmp_path):
+    mine = bucketed(star, "bucket_test", str(tmp_path), 4)
+    for name in (people.rep_performance, people.office_performance, trends.monthly_revenue, agg_sum):
+        p = at_cluster_shape(spark, lambda: plan(name(mine, DEFAULT)))
+        assert "hashpartitioning(orderNumber" not in p and "part.parquet" not in p, name
+        assert p.count("Bucketed: true") == 2, name
+        assert "hashpartitioning(orderNumber" in at_cluster_shape(spark, lambda: plan(name(star, DEFAULT)))
+        assert rows(name(mine, DEFAULT)) == rows(name(star, DEFAULT)), name
+    assert len([f for f in os.listdir(f"{tmp_path}/lines") if f.endswith(".parquet")]) == 4  # a file for each bucket
+    assert rows(trends.product_line_by_year(mine, DEFAULT)) == rows(trends.product_line_by_year(star, DEFAULT))
+    drop_bucketed(spark, "bucket_test")
+    assert not spark.catalog.tableExists("bucket_test_lines")
+
+
+def test_bucket_count_follows_the_bytes():
+    assert buckets_for(1, 8) == 8 and buckets_for(100 << 40, 8000) == 409_600
+
+
+# ------------------------------------------------------------------- bitmaps
+
+def test_bitmaps_count_like_distinct_counts(spark):
+    star = load_star(spark, SF_MID)
+    sold = star.orderdetails.join(star.orders.filter("status <> 'P'"), "orderNumber").join(star.products, "productCode") \
+        .withColumn("year", F.date_format("orderDate", "yyyy"))
+    for by in (["productLine"], ["year"], ["productLine", "year"], []):
+        want = sold.groupBy(*by).agg(F.countDistinct("customerNumber").alias("n"))
+        assert rows(distinct.count_members(distinct.customer_bitmaps(star), *by)) == rows(want), by
+
+
+def test_bitmaps_hold_any_integer(spark):
+    ids = [0, 1, 32_767, 32_768, 32_769, 65_536, 10**12, 10**12 + 1, None, 1, 0]
+    df = spark.createDataFrame([(i % 2, x) for i, x in enumerate(ids)], "g int, k long").filter("k is not null")
+    made = distinct.as_bitmaps(df, "k", "g")
+    assert distinct.count_members(made).collect()[0][0] == len(set(ids) - {None})
+    assert rows(distinct.count_members(made, "g")) == rows(df.groupBy("g").agg(F.countDistinct("k")))
+
+
+def test_roll_ups_of_a_materialised_mart_read_no_lines(star):
+    shared = materialise_facts(star)
+    for f in (distinct.customers_by_line, distinct.customers_by_year):
+        assert "lineitem" not in plan(f(shared, DEFAULT))
+        assert rows(f(shared, DEFAULT)) == rows(f(star, DEFAULT))
+
+
+# ------------------------------------------------------------------ refresh
+
+def files(path):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path)
+            for f in names if f.endswith(".parquet")}
+
+
+def batches(star, *days):
+    edges = [dt.date(1900, 1, 1), *days, dt.date(2100, 1, 1)]
+    return [replace(star, orders=star.orders.filter(F.col("orderDate").between(a, b - dt.timedelta(days=1))), memo={})
+            for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def test_batches_give_the_mart_of_one_run(spark, star, tmp_path):
+    first, second, third = batches(star, dt.date(1996, 7, 10), dt.date(1998, 3, 17))
+    one, many = f"{tmp_path}/one", f"{tmp_path}/many"
+    add_batch(star, one, "all")
+    want = rows(read_months(spark, one))
+    add_batch(first, many, "1")
+    add_batch(second, many, "2")
+    before = files(many)
+    add_batch(third, many, "3")
+    after = files(many)
+    assert {k: after.get(k) for k in before} == before  # no earlier folder was touched
+    assert rows(read_months(spark, many)) == want
+    assert any("year=1998/month=3/batch=2" in f for f in after) and any("year=1998/month=3/batch=3" in f for f in after)
+    add_batch(third, many, "3")  # once more: the same rows again
+    assert rows(read_months(spark, many)) == want
+    keep = {k: v for k, v in files(many).items() if "year=1998/month=3/" not in k}
+    compact(spark, many, [(1998, 3)], "folded")
+    folded = files(many)
+    assert {k: folded.get(k) for k in keep} == keep and rows(read_months(spark, many)) == want
+    assert {k.split("batch=")[1].split("/")[0] for k in folded if "year=1998/month=3/" in k} == {"folded"}
+
+
+def test_refreshed_mart_equals_monthly_revenue(star):
+    got = {(r.year, f"{r.month:02}"): (r.num_orders, r.revenue, r.profit) for r in trends.monthly_refreshed(star, DEFAULT).collect()}
+    assert got == {(r.year, r.month): (r.num_orders, r.revenue, r.profit) for r in trends.monthly_revenue(star, DEFAULT).collect()}
+
+
+def test_one_month_is_read_from_its_folders(spark, star, tmp_path):
+    add_batch(star, f"{tmp_path}/m", "all")
+    p = plan(read_partials(spark, f"{tmp_path}/m").filter("year = 1997 and month = 2"))
+    assert "PartitionFilters: [isnotnull(year" in p and "(month" in p.split("PartitionFilters:")[1].split("]")[0]
+    assert monthly_partials(star).columns == ["year", "month", "bucket", "num_orders", "revenue_cents", "profit_cents", "members"]
+
+
+# ------------------------------------------------------------------ rejects
+
+RAW = [(1, "2004-01-05", "2004-01-09"), (2, "2004-02-30", "2004-03-01"), (3, None, "2004-03-01"), (4, " ", None),
+       (5, "2004-01-05 12:30:00", "n/a"), (6, "2004-01-05", None), (7, "2004-01-05", "2004-01-04"), (None, "2004-01-05", ""),
+       (8, "05/01/2004", "2004-01-09"), (9, "2004-01-05", " "), (9, "2004-01-05", " ")]
+
+
+def test_good_rows_and_rejects_make_up_the_input(spark, tmp_path):
+    raw = spark.createDataFrame(RAW, "orderNumber long, orderDate string, shippedDate string")
+    done = repair_orders(raw, f"{tmp_path}/r")
+    day = dt.date(2004, 1, 5)
+    assert rows(done.good) == rows(spark.createDataFrame(
+        [(1, day, dt.date(2004, 1, 9)), (5, day, None), (6, day, None), (9, day, None), (9, day, None)], "a long, b date, c date"))
+    assert {(r.orderNumber, r.reason) for r in done.rejects.collect()} == {
+        (2, "order date is no date"), (3, "no order date"), (4, "no order date"), (7, "shipped before ordered"),
+        (None, "no order number"), (8, "order date is no date")}
+    c = done.counts
+    assert c["rows"] == len(RAW) == c["good"] + c["rejected"] == done.good.count() + done.rejects.count()
+    assert c["blanked_ship_dates"] == 1 and sum(c[r] for r in REASONS) == c["rejected"]
+    assert dict(done.good.dtypes)["orderDate"] == "date" and done.rejects.columns == [*raw.columns, "reason"]
+
+
+def test_no_rows_to_repair(spark, tmp_path):
+    raw = spark.createDataFrame([], "orderNumber long, orderDate string, shippedDate string")
+    done = repair_orders(raw, f"{tmp_path}/r")
+    assert done.good.collect() == [] == done.rejects.collect() and done.counts["rows"] == 0
+
+
+# --------------------------------------------------------- temporary tables
+
+def test_chained_statements_read_the_lines_once(spark, star):
+    out = views.country_profit(star, DEFAULT)
+    p = plan(out)
+    assert "lineitem" not in p and "salesdeck-" in p  # both statements read the published files
+    shown = rows(out)
+    assert sum(r[1] for r in shown) == star.orders.filter("status <> 'P'").join(star.orderdetails, "orderNumber").select("customerNumber").distinct().count()
+    assert rows(views.country_profit(star, DEFAULT)) == shown
+
+
+def test_publish_replaces_and_keeps_types(spark, tmp_path):
+    views.publish(spark.range(3).withColumn("m", F.lit("1.50").cast("decimal(18,2)")), "published_once", f"{tmp_path}/a")
+    assert spark.sql("SELECT SUM(m) FROM published_once").first()[0] == 4.5
+    views.publish(spark.range(5).withColumn("m", F.lit(None).cast("date")), "published_once")
+    assert spark.sql("SELECT COUNT(*), COUNT(m) FROM published_once").first()[:] == (5, 0)
+    assert scratch(spark, "x") != scratch(spark, "x")
+
+
+# ------------------------------------------------------------------ statuses
+
+def test_status_means_by_map(spark):
+    data = [("A", 1.0), ("A", 3.0), ("B", 10.0), (None, 4.0), (None, 8.0)]
+    df = spark.createDataFrame(data, "status string, days_to_ship double")
+    got = {(r.status, r.mean) for r in df.select("status", status_averages(df, 10).alias("mean")).collect()}
+    assert got == {("A", 2.0), ("B", 10.0), (None, 6.0)}
+    assert df.limit(0).select(status_averages(df.limit(0), 10)).collect() == []
+    with pytest.raises(Exception, match="over 1 order statuses"):
+        df.select(status_averages(df, 1)).collect()
+    assert REFERENCE.most_statuses == 1000

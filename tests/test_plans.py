@@ -1,5 +1,7 @@
 """Plan shape: what Catalyst produced, not just what it returned."""
 
+import re
+
 import pytest
 
 from salesdeck.params import DEFAULT
@@ -7,7 +9,9 @@ from salesdeck.registry import ANALYSES
 from salesdeck.sources.star import load_star
 from tests.conftest import SF_SMALL
 
-EAGER = {"rep_rank", "rep_json_document"}   # rank while building; checked separately
+# rank or write a layout while building; checked separately
+EAGER = {"rep_rank", "rep_json_document", "scan_filtered", "table_page_stored", "rep_performance_bucketed", "monthly_refreshed",
+         "repaired_orders", "rejected_orders", "country_profit"}
 
 
 @pytest.fixture(scope="module")
@@ -136,10 +140,26 @@ def test_one_line_scan_per_analysis(spark, star):
         assert main.count("lineitem.parquet") - main.count("ReusedExchange") <= 1, name
 
 
-def test_filter_on_a_stored_column_is_pushed(star):
+def test_shipped_filter_is_pushed_into_the_stored_layout(star):
     p = plan(ANALYSES["scan_filtered"](star, DEFAULT))
-    assert "PushedFilters: [IsNotNull(o_custkey), GreaterThanOrEqual(o_custkey,100)]" in p
-    assert "Exchange" not in p and p.count("FileScan") == 1
+    assert "PartitionFilters: [isnotnull(shippedYear" in p and "PushedFilters: [IsNotNull(shippedDate)]" in p
+    assert "Exchange" not in p and p.count("FileScan") == 1 and "lineitem" not in p
+
+
+def test_outliers_never_deal_orders_by_status(spark, star):
+    """At cluster shape an exchange on status carries partial means only, and no join has that key."""
+    p = at_cluster_shape(spark, lambda: plan(ANALYSES["fulfilment_outliers"](star, DEFAULT)))
+    lines = p.splitlines()
+    dealt = [i for i, x in enumerate(lines) if "Exchange hashpartitioning(status" in x]
+    assert dealt and all("partial_avg" in lines[i + 1] for i in dealt)
+    assert "Join [status" not in p
+    assert len(set(re.findall(r"Subquery (subquery#\d+)", p))) == 1
+
+
+def test_key_figures_take_one_pass(spark, star):
+    p = at_cluster_shape(spark, lambda: plan(ANALYSES["kpi_strip"](star, DEFAULT)))
+    assert p.count("lineitem.parquet") == 1 and p.count("/orders.parquet") == 1
+    assert len([x for x in p.splitlines() if "Exchange hashpartitioning" in x or "Exchange SinglePartition" in x]) <= 12
 
 
 def test_unordered_marts_skip_the_global_sort(star):
