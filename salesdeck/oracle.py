@@ -48,7 +48,11 @@ orderdetails AS (
 products AS (
   SELECT p_partkey AS productCode, p_name AS productName, p_type AS productLine,
          CAST(p_retailprice AS DECIMAL(18,2)) AS buyPrice, p_size * 10 AS quantityInStock
-    FROM part)"""
+    FROM part),
+productlines AS (SELECT DISTINCT p_type AS productLine FROM part WHERE p_type IS NOT NULL),
+payments AS (
+  SELECT o_custkey AS customerNumber, CAST(o_totalprice AS DECIMAL(18,2)) AS amount
+    FROM orders WHERE o_orderstatus <> 'P')"""
 
 # the priced line fact: every order line with its product; "sold" adds the order
 SOLD = """priced AS (
@@ -400,7 +404,18 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT 'customers', 5, COUNT(*) FROM customers
         UNION ALL SELECT 'orders', 5, COUNT(*) FROM ords
         UNION ALL SELECT 'orderdetails', 4, COUNT(*) FROM orderdetails
-        UNION ALL SELECT 'products', 5, COUNT(*) FROM products"""),
+        UNION ALL SELECT 'products', 5, COUNT(*) FROM products
+        UNION ALL SELECT 'productlines', 1, COUNT(*) FROM productlines
+        UNION ALL SELECT 'payments', 2, COUNT(*) FROM payments"""),
+    "table_statistics": q(" UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, CAST({n} AS BIGINT) AS attribute_count, COUNT(*) AS row_count, '{key}' AS key_column, "
+        + (f"MIN({key}) AS least_key, MAX({key}) AS greatest_key" if number else "CAST(NULL AS BIGINT) AS least_key, CAST(NULL AS BIGINT) AS greatest_key")
+        + f" FROM {rel}"
+        for t, rel, n, key, number in (
+            ("offices", "offices", 4, "officeCode", False), ("employees", "employees", 6, "employeeNumber", True),
+            ("customers", "customers", 5, "customerNumber", True), ("orders", "ords", 5, "orderNumber", True),
+            ("orderdetails", "orderdetails", 4, "orderNumber", True), ("products", "products", 5, "productCode", True),
+            ("productlines", "productlines", 1, "productLine", False), ("payments", "payments", 2, "customerNumber", True)))),
     "table_columns": q(" UNION ALL ".join(
         f"SELECT '{t}' AS table_name, CAST({i} AS BIGINT) AS position, '{c}' AS column_name, "
         f"'{kind}' AS column_type, COUNT({expr or c}) AS n_values FROM {rel or t}"
@@ -415,7 +430,9 @@ ORACLE_SQL: dict[str, str] = {
             ("orderdetails", None, (("orderNumber", "bigint"), ("productCode", "bigint"), ("quantityOrdered", "int"),
                                     ("revenue_cents", "bigint", "line_revenue"))),
             ("products", None, (("productCode", "bigint"), ("productName", "string"), ("productLine", "string"),
-                                ("buy_price_cents", "bigint", "buyPrice"), ("quantityInStock", "int"))))
+                                ("buy_price_cents", "bigint", "buyPrice"), ("quantityInStock", "int"))),
+            ("productlines", None, (("productLine", "string"),)),
+            ("payments", None, (("customerNumber", "bigint"), ("amount_cents", "bigint", "amount"))))
         for i, (c, kind, *more) in enumerate(cols, 1) for expr in [more[0] if more else None])),
     "rep_json_document": q(REPS, """ranked AS (
         SELECT *, ROW_NUMBER() OVER (ORDER BY total_profit DESC, employeeNumber) AS pos FROM reps)""",

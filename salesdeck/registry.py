@@ -66,6 +66,7 @@ ANALYSES = {
     # catalogue, scans, sinks
     "table_overview": catalog.table_overview,
     "table_columns": catalog.table_columns,
+    "table_statistics": catalog.table_statistics,
     "scan_table": catalog.scan_table,
     "scan_projected": catalog.scan_projected,
     "scan_filtered": catalog.scan_filtered,

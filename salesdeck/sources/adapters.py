@@ -7,8 +7,10 @@ orders       orders                    status 'P' plays "Cancelled"
 shipments    lineitem                  ship date of an order = its last line's
 orderdetails lineitem                  money as integer cents
 products     part                      stock = size * 10
+productlines part                      its distinct types
+payments     orders                    an order that isn't cancelled is paid in full
 
-All expressions are built-ins; the only aggregate is the per-order ship date.
+All expressions are built-ins; the only aggregates are the per-order ship date and the product lines.
 """
 
 from __future__ import annotations
@@ -102,3 +104,12 @@ def products(part: DataFrame) -> DataFrame:
         cents_from_double("p_retailprice").alias("buy_price_cents"),
         (F.col("p_size") * 10).alias("quantityInStock"),
     )
+
+
+def productlines(part: DataFrame) -> DataFrame:
+    return part.select(F.col("p_type").alias("productLine")).filter("productLine is not null").distinct()
+
+
+def payments(orders_raw: DataFrame) -> DataFrame:
+    return orders_raw.filter(F.col("o_orderstatus") != "P").select(
+        F.col("o_custkey").alias("customerNumber"), cents_from_double("o_totalprice").alias("amount_cents"))

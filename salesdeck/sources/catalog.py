@@ -4,24 +4,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from salesdeck.params import DEFAULT, Params
 from salesdeck.sources.parse import parse_date_lenient as _lenient
 from salesdeck.sources.parse import parse_date_strict as _strict
 from salesdeck.sources.repair import repair_orders
-from salesdeck.sources.star import TABLES, Star
+from salesdeck.sources.star import Star
 from salesdeck.sources.stored import scratch, shipped, store_orders
 
 
 def table_overview(star: Star, params: Params = DEFAULT) -> DataFrame:
     """One row per table: name, number of attributes, number of rows
     (``PRAGMA table_info`` + ``COUNT(*)`` glued with UNION ALL).  Counts are
-    distributed aggregates; only the six one-row results are unioned."""
+    distributed aggregates; only the one-row results are unioned."""
     parts = []
-    for name in TABLES:
-        df = star.table(name)
+    for name, df in star.tables().items():
         counted = star.orders if name == "orders" else df
         parts.append(counted.agg(F.count(F.lit(1)).alias("row_count")).select(
             F.lit(name).alias("table_name"),
@@ -30,6 +30,47 @@ def table_overview(star: Star, params: Params = DEFAULT) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def store_tables(star: Star, root: str) -> dict[str, T.StructType]:
+    """Every table of the star as Parquet under ``root``; their schemas."""
+    for name, df in star.tables().items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+    return {name: df.schema for name, df in star.tables().items()}
+
+
+def _footer_session(spark: SparkSession) -> SparkSession:
+    """A session that answers counts and bounds of Parquet files from their
+    footers: the newer reader, with aggregates pushed down."""
+    mine = spark.newSession()
+    v1 = [x for x in mine.conf.get("spark.sql.sources.useV1SourceList").split(",") if x.strip() != "parquet"]
+    mine.conf.set("spark.sql.sources.useV1SourceList", ",".join(v1))
+    mine.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return mine
+
+
+def stored_statistics(spark: SparkSession, root: str, schemas: dict[str, T.StructType]) -> DataFrame:
+    """One row per stored table: attributes, rows, and the bounds of its first
+    column where that is a number.  No data page is read: every figure is in
+    the footers, whatever the size of the tables."""
+    mine = _footer_session(spark)
+    parts = []
+    for name, schema in schemas.items():
+        key = schema.fields[0]
+        df = mine.read.schema(schema).parquet(f"{root}/{name}")
+        bounds = [F.min(key.name).alias("low"), F.max(key.name).alias("high")] if isinstance(key.dataType, T.IntegralType) else []
+        counted = df.agg(F.count(F.lit(1)).alias("row_count"), *bounds)
+        low, high = (F.col(c).cast("long") if bounds else F.lit(None).cast("long") for c in ("low", "high"))
+        parts.append(counted.select(F.lit(name).alias("table_name"), F.lit(len(schema.fields)).cast("long").alias("attribute_count"),
+                                    "row_count", F.lit(key.name).alias("key_column"), low.alias("least_key"), high.alias("greatest_key")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def table_statistics(star: Star, params: Params = DEFAULT) -> DataFrame:
+    """``stored_statistics`` of the star's tables, stored in the shared folder."""
+    spark = star.orders.sparkSession
+    root = scratch(spark, "tables")
+    return stored_statistics(spark, root, store_tables(star, root))
+
+
 def scan_table(star: Star, params: Params = DEFAULT) -> DataFrame:
     """Full scan of a named table (the order lines, every column)."""
     return star.orderdetails.select("orderNumber", "productCode", "quantityOrdered",
@@ -56,8 +97,7 @@ def table_columns(star: Star, params: Params = DEFAULT) -> DataFrame:
     column and SQL type, taken from the tables' schemas; each row also carries
     the table's number of non-null values in the column."""
     parts = []
-    for name in TABLES:
-        df = star.table(name)
+    for name, df in star.tables().items():
         counts = df.agg(*[F.count(f"`{f.name}`").alias(f.name) for f in df.schema.fields])
         parts.append(counts.select(F.explode(F.array(*[F.struct(
             F.lit(name).alias("table_name"), F.lit(i).cast("long").alias("position"), F.lit(f.name).alias("column_name"),

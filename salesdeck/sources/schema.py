@@ -26,7 +26,7 @@ RAW = {
     "part": _st(("p_partkey", L, True), ("p_name", S, True), ("p_type", S, True),
                 ("p_size", I, True), ("p_retailprice", D, True)),
     "orders": _st(("o_orderkey", L, True), ("o_custkey", L, True), ("o_orderstatus", S, True),
-                  ("o_orderdate", NTZ, True)),
+                  ("o_orderdate", NTZ, True), ("o_totalprice", D, True)),
     "lineitem": _st(("l_orderkey", L, True), ("l_partkey", L, True), ("l_quantity", D, True),
                     ("l_extendedprice", D, True), ("l_shipdate", NTZ, True)),
 }
@@ -44,4 +44,6 @@ CANONICAL = {
                         ("quantityOrdered", I, True), ("priceEach", MONEY, True)),
     "products": _st(("productCode", S, False), ("productName", S, True), ("productLine", S, True),
                     ("buyPrice", MONEY, True), ("quantityInStock", I, True)),
+    "productlines": _st(("productLine", S, False)),
+    "payments": _st(("customerNumber", L, False), ("amount", MONEY, True)),
 }

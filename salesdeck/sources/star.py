@@ -1,4 +1,4 @@
-"""The retail star as six lazy DataFrames.
+"""The retail star as eight lazy DataFrames.
 
 ``load_star`` reads the supplied test tables through the adapter views of
 ``adapters.py``; ``load_canonical`` reads tables already in the retail model.
@@ -12,6 +12,7 @@ computed by analyses that reference ``shippedDate``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ from salesdeck.sources.schema import CANONICAL, RAW
 
 SELF_DESCRIBING = ("parquet", "orc")
 DATES = ("orderDate", "shippedDate")
-TABLES = ("offices", "employees", "customers", "orders", "orderdetails", "products")
+TABLES = ("offices", "employees", "customers", "orders", "orderdetails", "products", "productlines", "payments")
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,9 @@ class Star:
     # orders carry the ship date themselves, as ``dated_orders``
     shipments: DataFrame | None
     dated_orders: DataFrame | None = None
+    # no analysis needs these two; a source may lack them
+    productlines: DataFrame | None = None  # productLine
+    payments: DataFrame | None = None      # customerNumber, amount_cents
     # shared facts already materialised by a refresh job (see salesdeck.jobs);
     # empty unless a job fills it, so a plain star always computes from source
     memo: dict = field(default_factory=dict, compare=False, hash=False, repr=False)
@@ -54,6 +58,10 @@ class Star:
     def table(self, name: str) -> DataFrame:
         return self.orders_shipped if name == "orders" else getattr(self, name)
 
+    def tables(self) -> dict[str, DataFrame]:
+        """The tables that the source has, by name."""
+        return {name: self.table(name) for name in TABLES if name == "orders" or getattr(self, name) is not None}
+
 
 def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(RAW[name]).parquet(f"{sf_dir}/{name}.parquet")
@@ -71,7 +79,9 @@ def cleaned(star: Star) -> Star:
     return Star(offices=_rtrim_text(star.offices), employees=_rtrim_text(star.employees),
                 customers=_rtrim_text(star.customers), orders=star.orders,
                 orderdetails=star.orderdetails, products=_rtrim_text(star.products),
-                shipments=star.shipments, dated_orders=star.dated_orders, memo=star.memo)
+                shipments=star.shipments, dated_orders=star.dated_orders,
+                productlines=None if star.productlines is None else _rtrim_text(star.productlines),
+                payments=star.payments, memo=star.memo)
 
 
 def load_star(spark: SparkSession, sf_dir: str, clean: bool = False) -> Star:
@@ -85,6 +95,8 @@ def load_star(spark: SparkSession, sf_dir: str, clean: bool = False) -> Star:
         orderdetails=adapters.orderdetails(raw["lineitem"]),
         products=adapters.products(raw["part"]),
         shipments=adapters.shipments(raw["lineitem"]),
+        productlines=adapters.productlines(raw["part"]),
+        payments=adapters.payments(raw["orders"]),
     )
     return cleaned(star) if clean else star
 
@@ -94,15 +106,17 @@ def _cents(col: str):
     return (F.col(col) * F.lit(100)).cast("long")
 
 
-def load_canonical(spark: SparkSession, root: str, fmt: str = "parquet", clean: bool = False) -> Star:
-    """Star over tables already in the retail model (one folder per table).
+def load_canonical(spark: SparkSession, root: str, fmt: str = "parquet", clean: bool = False,
+                   tables: Sequence[str] = TABLES) -> Star:
+    """Star over tables already in the retail model (one folder per table;
+    ``tables`` names those there are: the last two may be missing).
 
     Dates may be stored as DATE, as a timestamp or as ISO text with or without
     a time: of text, order dates parse strictly (bad value = error), ship dates
     leniently (bad value = NULL).  Text columns are read as-is: no reader
     option that turns the text ``NA`` into NULL is set.
     """
-    star = star_from_canonical({name: _read_canonical(spark, f"{root}/{name}", name, fmt) for name in CANONICAL})
+    star = star_from_canonical({name: _read_canonical(spark, f"{root}/{name}", name, fmt) for name in tables})
     return cleaned(star) if clean else star
 
 
@@ -136,4 +150,6 @@ def star_from_canonical(frames: dict[str, DataFrame]) -> Star:
             _cents("buyPrice").alias("buy_price_cents"), "quantityInStock"),
         shipments=None,
         dated_orders=dated,
+        productlines=frames.get("productlines"),
+        payments=frames["payments"].select("customerNumber", _cents("amount").alias("amount_cents")) if "payments" in frames else None,
     )

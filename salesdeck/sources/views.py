@@ -1,9 +1,10 @@
 """The retail model as SQL temp views, for users who query it in SQL.
 
 ``register_views(star)`` publishes ``offices``, ``employees``, ``customers``,
-``orders`` (with ``shippedDate``), ``orderdetails`` and ``products`` in the
-session; money is exact ``DECIMAL(18,2)`` (``orderdetails.line_revenue``,
-``products.buyPrice``).  Statements written for SQLite need four dialect
+``orders`` (with ``shippedDate``), ``orderdetails``, ``products`` and, where the
+source has them, ``productlines`` and ``payments`` in the session; money is
+exact ``DECIMAL(18,2)`` (``orderdetails.line_revenue``, ``products.buyPrice``,
+``payments.amount``).  Statements written for SQLite need four dialect
 changes:
 
 * ``strftime('%Y', d)`` / ``strftime('%m', d)``  ->  ``date_format(d, 'yyyy')`` / ``'MM'``
@@ -37,7 +38,12 @@ def _money(cents: str, name: str):
 
 
 def canonical_views(star: Star) -> dict[str, DataFrame]:
-    return {
+    more = {}
+    if star.productlines is not None:
+        more["productlines"] = star.productlines
+    if star.payments is not None:
+        more["payments"] = star.payments.select("customerNumber", _money("amount_cents", "amount"))
+    return more | {
         "offices": star.offices,
         "employees": star.employees,
         "customers": star.customers,

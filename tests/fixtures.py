@@ -77,6 +77,8 @@ def canonical_frames(spark, orders=ORDERS, customers=CUSTOMERS):
         "orders": df("orders", order_rows),
         "orderdetails": df("orderdetails", detail_rows),
         "products": df("products", [(a, b, c, Decimal(d), e) for a, b, c, d, e in PRODUCTS]),
+        "productlines": df("productlines", [("Motorcycles",), ("Classic Cars",)]),
+        "payments": df("payments", [(customers[0][0], Decimal("12.50")), (customers[0][0], None)]),
     }
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 from dataclasses import replace
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,10 +16,13 @@ from salesdeck.plans.fulfilment import status_averages
 from salesdeck.sinks.refresh import add_batch, compact, monthly_partials, read_months, read_partials
 from salesdeck.sources import views
 from salesdeck.sources.bucketed import bucketed, buckets_for, drop_bucketed
+from salesdeck.sources.catalog import stored_statistics, table_columns, table_overview, table_statistics
 from salesdeck.sources.repair import REASONS, repair_orders
-from salesdeck.sources.star import load_star
+from salesdeck.sources.schema import CANONICAL
+from salesdeck.sources.star import TABLES, load_canonical, load_star
 from salesdeck.sources.stored import scratch
 from tests.conftest import SF_MID, SF_SMALL
+from tests.fixtures import canonical_frames
 from tests.test_plans import at_cluster_shape, plan
 
 
@@ -182,3 +186,33 @@ def test_status_means_by_map(spark):
     with pytest.raises(Exception, match="over 1 order statuses"):
         df.select(status_averages(df, 1)).collect()
     assert REFERENCE.most_statuses == 1000
+
+
+# ----------------------------------------------------------------- catalogue
+
+def test_statistics_come_from_the_footers(spark, star):
+    df = table_statistics(star, DEFAULT)
+    p = plan(df)
+    assert p.count("PushedAggregation: [") == 8 and "PushedAggregation: []" not in p
+    assert "MIN(orderNumber), MAX(orderNumber)" in p
+    got = {r.table_name: r for r in df.collect()}
+    assert len(got) == 8
+    for name, table in star.tables().items():
+        assert got[name].row_count == table.count() and got[name].attribute_count == len(table.columns)
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"  # only the reading session is changed
+
+
+def test_eight_tables_through_load_canonical(spark, tmp_path):
+    for name, df in canonical_frames(spark).items():
+        df.write.parquet(f"{tmp_path}/{name}")
+    eight = load_canonical(spark, str(tmp_path))
+    assert list(eight.tables()) == list(TABLES) and table_overview(eight).count() == 8
+    assert sorted(r.amount_cents or 0 for r in eight.payments.collect()) == [0, 1250]
+    assert len(views.register_views(eight, "eight_")) == 8
+    assert spark.sql("SELECT SUM(amount) FROM eight_payments JOIN eight_customers USING (customerNumber)").first()[0] == Decimal("12.50")
+    six = load_canonical(spark, str(tmp_path), tables=TABLES[:6])
+    assert list(six.tables()) == list(TABLES[:6]) and table_columns(six).select("table_name").distinct().count() == 6
+    # the files of the model itself answer from their footers too
+    schemas = {name: CANONICAL[name] for name in TABLES}
+    rows = {r.table_name: r for r in stored_statistics(spark, str(tmp_path), schemas).collect()}
+    assert rows["payments"].row_count == 2 and rows["products"].least_key is None and rows["orders"].least_key == 1

@@ -11,7 +11,7 @@ from tests.conftest import SF_SMALL
 
 # rank or write a layout while building; checked separately
 EAGER = {"rep_rank", "rep_json_document", "scan_filtered", "table_page_stored", "rep_performance_bucketed", "monthly_refreshed",
-         "repaired_orders", "rejected_orders", "country_profit"}
+         "repaired_orders", "rejected_orders", "country_profit", "table_statistics"}
 
 
 @pytest.fixture(scope="module")
