@@ -133,3 +133,28 @@ def test_added_tokens_inside_texts(spark):
         if i in got:
             assert got[i] == [*whole.encode(text, add_special_tokens=False).ids, 0], text
     assert len(got) > len(texts) - 3  # a block's sequences may cut a piece
+
+
+def test_pieces_without_ids_are_the_same(spark):
+    docs = documents(spark, ROWS).repartition(3, "doc_id")
+    facts = ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "sequence_id", "offset"]
+    with_ids, bare = pack(docs).select(*facts), pack(docs, with_ids=False)
+    assert bare.columns == facts
+    assert sorted(map(tuple, with_ids.collect()), key=repr) == sorted(map(tuple, bare.collect()), key=repr)
+
+
+def test_ordered_rows_are_packed_without_a_shuffle(spark, tmp_path):
+    """Rows as stored, in several files and blocks; the order of their sequences is that of the files and rows."""
+    rows = [(i, t, s) for i, (_, t, s) in enumerate(ROWS)]
+    documents(spark, rows).coalesce(1).sortWithinPartitions("doc_id").write.option("maxRecordsPerFile", 30).parquet(f"{tmp_path}/t")
+    docs = spark.read.parquet(f"{tmp_path}/t")
+    made = pack(docs, stored=True, block=16)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "rangepartitioning" not in plan and "Exchange hashpartitioning(key" not in plan
+    pieces = made.collect()
+    check_pieces(pieces, rows)
+    place = [p.doc_id for p in sorted(pieces, key=lambda p: p.sequence_id)]
+    assert all(x > y - 32 for x, y in zip(place, place[1:], strict=False)) and place[0] < 16
+    for other in (pack(docs.union(docs.limit(0)), stored=True), pack(docs, order=[-F.col("doc_id")], block=16)):
+        check_pieces(other.collect(), rows)
+    assert pack(docs.filter("doc_id < 0"), stored=True).count() == 0
