@@ -46,6 +46,26 @@ def key_of(name: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit(""))
 
 
+#: Bits of the largest bitmap that ``split_by_keys`` broadcasts: half a million rows of 64-bit words.
+MOST_BITS = 1 << 24
+
+
+def split_by_keys(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose long ``key`` may be among ``keys`` (one long column,
+    written already), and those whose key surely is not: the latter need no
+    join.  A bitmap with one hash function and about 16 bits for a key, up to
+    ``MOST_BITS``, tells them apart at the scan; a false positive only takes
+    the longer way."""
+    bits = min(MOST_BITS, max(1 << 10, 1 << (16 * keys.count()).bit_length()))
+    place = F.pmod(F.col("__key"), F.lit(bits))
+    bitmap = keys.toDF("__key").select(F.shiftright(place, 5).alias("__word"), F.pmod(place, F.lit(32)).cast("int").alias("__bit")) \
+        .groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__mask"))
+    marked = rows.withColumn("__key", F.col(key)).withColumn("__word", F.shiftright(place, 5)) \
+        .withColumn("__bit", F.pmod(place, F.lit(32)).cast("int")).join(F.broadcast(bitmap), "__word", "left")
+    hit = F.coalesce(F.expr("getbit(__mask, __bit)") == 1, F.lit(False))
+    return marked.filter(hit).select(*rows.columns), marked.filter(~hit).select(*rows.columns)
+
+
 def running_sum(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str,
                 out: str, sums: DataFrame | None = None) -> DataFrame:
     """Exclusive running sum of ``value`` within ``group``, ordered by

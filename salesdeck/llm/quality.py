@@ -7,14 +7,20 @@ A line in more than the allowed documents is removed (``remove_lines``), and a
 document that keeps too few of its words is depleted and rejected.
 
 Copies must not make a document's own lines look like boilerplate, so distinct
-documents are counted by a signature, the hash of all their line hashes: a
-document counts once however often its lines are copied together, in any case,
-spacing or order.
+documents are counted by a signature.  Copies, in any case, spacing or order of
+lines, have one signature, the hash of all their line hashes.  So have near
+copies: a document most of whose lines and words stand in other documents of
+its host as well is signed by the longest of those lines.  However many near
+copies there are, they have as many signatures as lines at most.
 
 Nulls: a null text has no words (and fails the base rules); a null source is a
 host of its own.  Repeated rows get equal verdicts.  Empty table: no rows.
-DataFrame functions only; a document is handled in its row, and a frequent
-line is counted on the map side and joined back over salted keys.
+Ties: a line in exactly the allowed documents stays, of lines of equal length
+the greatest hash signs, and a text that keeps exactly the least share stays.
+Very long texts are counted whole, in their row.
+DataFrame functions only; a document is handled in its row, texts are split
+into lines once, and a frequent line is counted on the map side and joined back
+over salted keys.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesdeck.llm.common import SPACE_RUN, SPACES, key_of, let, read, text_of, words_of
+from salesdeck.llm.common import SPACES, key_of, let, read, save_shared, split_by_keys, text_of, words_of
 
 SYMBOLS = "#*$%&|<>"
 
@@ -33,10 +39,13 @@ SYMBOLS = "#*$%&|<>"
 class LineLimits:
     """A line is removed if over ``documents`` distinct documents and over
     ``share`` of a host's hold it; a document is depleted if under ``left`` of
-    its words remain.  ``salts`` spreads the join on frequent lines."""
+    its words remain.  A document is a near copy if at least ``near`` of its
+    lines and of its words stand elsewhere on the host.  ``salts`` spreads the
+    join on frequent lines."""
     documents: int = 20
     share: float = 0.001
     left: float = 0.2
+    near: float = 0.8
     salts: int = 32
 
 
@@ -66,13 +75,10 @@ def repeated_words(words: Column, window: int = 3) -> Column:
     return of(words).cast("long")
 
 
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), SPACE_RUN, " "))
-
-
 def line_keys(text: Column) -> Column:
     """The normalised lines that have a word, in order, each with its place ``at`` among all lines."""
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(normalised(x).alias("line"), i.alias("at")))
+    flat = F.regexp_replace(F.lower(text), "[ \\t\\x0B\\f\\r]+", " ")
+    lines = F.transform(F.split(flat, "\n"), lambda x, i: F.struct(F.trim(x).alias("line"), i.alias("at")))
     return F.filter(lines, lambda x: x["line"] != "")
 
 
@@ -91,45 +97,72 @@ def base_failed() -> Column:
 
 
 def document_lines(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(``id``, ``content``, ``host``, ``signature``, ``line``, ``at``,
-    ``words``): each line of each row, with its place and its words."""
+    """(``id``, ``content``, ``host``, ``whole``, ``all_words``, ``all_lines``,
+    ``line``, ``at``, ``words``): each line of each row, with its place and its
+    words; ``whole`` is the hash of all lines, ``all_words`` and ``all_lines``
+    count the distinct ones."""
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text_of(text)).alias("content"), key_of(source).alias("host"),
                        line_keys(text_of(text)).alias("lines"))
     hashed = rows.select("id", "content", "host", F.transform("lines", lambda x: F.struct(
         F.md5(x["line"]).alias("line"), x["at"].alias("at"),
         (F.length(x["line"]) - F.length(F.replace(x["line"], F.lit(" "))) + 1).alias("words"))).alias("lines"))
-    signature = F.md5(F.array_join(F.sort_array(F.transform("lines", lambda x: x["line"])), ""))
-    return hashed.select("id", "content", "host", signature.alias("signature"), F.explode("lines").alias("l")).select("id", "content", "host", "signature", "l.*")
+    whole = F.md5(F.array_join(F.sort_array(F.transform("lines", lambda x: x["line"])), ""))
+    distinct = F.array_distinct(F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"))))
+    counts = [F.aggregate(distinct, F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("all_words"),
+              F.size(distinct).cast("long").alias("all_lines")]
+    return hashed.select("id", "content", "host", F.unhex(whole).alias("whole"), *counts, F.explode("lines").alias("l")) \
+        .select("id", "content", "host", "whole", "all_words", "all_lines", F.unhex("l.line").alias("line"), "l.at", "l.words")
 
 
 def boilerplate(lines: DataFrame, limits: LineLimits) -> DataFrame:
     """(``host``, ``line``) above the limits: distinct documents per host."""
-    documents = lines.select("host", "line", "signature").distinct()
-    counts = documents.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > limits.documents)
-    hosts = lines.select("host", "signature").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    return counts.join(hosts, "host").filter(F.col("n") > limits.share * F.col("of")).select("host", "line")
+    units = save_shared(lines.select("host", "whole", "all_words", "all_lines", "line", "words").distinct(), "line-units")
+    common = units.groupBy("host", "line").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = units.join(common, ["host", "line"]).groupBy("host", "whole", "all_words", "all_lines").agg(
+        F.sum("words").alias("words"), F.count("*").alias("lines"), F.max(F.struct("words", "line")).alias("longest"))
+    near = save_shared(shared.filter((F.col("words") >= limits.near * F.col("all_words")) & (F.col("lines") >= limits.near * F.col("all_lines")))
+                       .select("host", "whole", F.col("longest.line").alias("signature")), "near-copies")
+
+    def signed(held: DataFrame, *by: str) -> DataFrame:
+        """Distinct documents for each of ``by``."""
+        return held.join(near, ["host", "whole"], "left").select(*by, F.coalesce("signature", "whole").alias("signature")) \
+            .distinct().groupBy(*by).agg(F.count("*").alias("documents"))
+
+    often = _salted(common.filter(F.col("n") > limits.documents).select("host", "line"), limits)
+    held = units.withColumn("salt", _salt(limits, "whole")).join(often, ["host", "line", "salt"]).select("host", "line", "whole")
+    hosts = signed(units.select("host", "whole").distinct(), "host").withColumnRenamed("documents", "of")
+    return signed(held, "host", "line").filter(F.col("documents") > limits.documents) \
+        .join(hosts, "host").filter(F.col("documents") > limits.share * F.col("of")).select("host", "line")
+
+
+def _salted(few: DataFrame, limits: LineLimits) -> DataFrame:
+    return few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(limits.salts - 1))))
+
+
+def _salt(limits: LineLimits, *names: str) -> Column:
+    return F.pmod(F.xxhash64(*names), F.lit(limits.salts)).cast("int")
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
                   limits: LineLimits = LineLimits()) -> DataFrame:
     """Distinct (``id``, ``content``, ``host``) of documents with boilerplate,
     the places of those lines (``removed``) and their words (``removed_words``)."""
-    lines = document_lines(docs, key, text, source)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(limits.salts - 1)))
-    common = boilerplate(lines, limits).withColumn("salt", salts)
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("id", "content"), F.lit(limits.salts)).cast("int"))
+    lines = save_shared(document_lines(docs, key, text, source), "lines")
+    common = _salted(boilerplate(lines, limits), limits)
     # repeated rows have the same places
-    return salted.join(common, ["host", "line", "salt"]).groupBy("id", "content", "host") \
+    return lines.withColumn("salt", _salt(limits, "id", "content")).join(common, ["host", "line", "salt"]) \
+        .groupBy("id", "content", "host") \
         .agg(F.collect_set(F.struct("at", "words")).alias("found")) \
         .select("id", "content", "host", F.transform("found", lambda x: x["at"]).alias("removed"),
                 F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("removed_words"))
 
 
-def _marked(docs: DataFrame, carry: list[Column], limits: LineLimits) -> DataFrame:
-    """Rows joined with the lines they lose: ``removed``, ``removed_words``."""
-    bad = removed_lines(docs, limits=limits)
-    rows = docs.select(F.xxhash64(text_of()).alias("r_content"), F.col("doc_id").alias("r_id"),
-                       key_of("source").alias("r_host"), *carry)
+def _keys() -> list[Column]:
+    return [F.xxhash64(text_of()).alias("r_content"), F.col("doc_id").alias("r_id"), key_of("source").alias("r_host")]
+
+
+def _losing(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """``rows`` joined with the lines they lose: ``removed``, ``removed_words``."""
     on = (F.col("r_content") == F.col("content")) & (F.col("r_host") == F.col("host")) & F.col("r_id").eqNullSafe(F.col("id"))
     return rows.join(bad, on, "left")
 
@@ -140,29 +173,47 @@ def is_depleted(limits: LineLimits) -> Column:
     return (left < limits.left * F.col("w.n_words")).alias("gone")
 
 
-def _whole(docs: DataFrame) -> Column:
-    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+def _apart(docs: DataFrame, limits: LineLimits) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (``doc``, keys) that may lose lines, rows that don't, and the lines lost."""
+    bad = save_shared(removed_lines(docs, limits=limits), "removed-lines")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *_keys()) \
+        .withColumn("r_key", F.xxhash64("r_content", "r_host", "r_id"))
+    return *split_by_keys(rows, "r_key", bad.select(F.xxhash64("content", "host", "id"))), bad
 
 
-def remove_lines(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """``docs`` without boilerplate: every text without the lines above the
-    limits, all else as it is.  A text that has none stays equal."""
+def _without_lines(length: str | None) -> Column:
     kept = F.filter(F.split(F.col("doc.text"), "\n"), lambda x, i: ~F.array_contains("removed", i))
-    text = F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(F.array_join(kept, "\n"))
-    return _marked(docs, [_whole(docs)], limits).select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")
+    text = F.array_join(kept, "\n")
+    doc = F.col("doc").withField("text", text)
+    return F.when(F.col("removed").isNull(), F.col("doc")) \
+        .otherwise(doc.withField(f"`{length}`", F.length(text).cast("long")) if length else doc).alias("doc")
+
+
+def remove_lines(docs: DataFrame, limits: LineLimits = LineLimits(), length: str | None = None) -> DataFrame:
+    """``docs`` without boilerplate: every text without the lines above the
+    limits, all else as it is (but for a column ``length`` of the text's code
+    points).  A text that has none stays equal, and is not shuffled."""
+    some, others, bad = _apart(docs, limits)
+    return others.select("doc.*").union(_losing(some, bad).select(_without_lines(length)).select("doc.*"))
+
+
+def drop_poor(docs: DataFrame, limits: LineLimits = LineLimits(), length: str | None = None) -> DataFrame:
+    """``docs`` without those that fail a rule, and without boilerplate: as
+    ``remove_lines``.  The base rules are those of the text as it came."""
+    some, others, bad = _apart(docs, limits)
 
+    def passing(rows: DataFrame) -> DataFrame:
+        return rows.select("*", *base_counts(text_of("doc.text"))).select(*rows.columns, "w", "w.*").filter(~base_failed()).select(*rows.columns, "w")
 
-def drop_poor(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """``docs`` without those that fail a rule.  Texts that stay stay whole;
-    ``remove_lines`` gives them without the lines that were counted out."""
-    counted = _marked(docs, [_whole(docs), *base_counts(text_of())], limits)
-    return counted.select("doc", is_depleted(limits), "w.*").filter(~base_failed() & ~F.col("gone")).select("doc.*")
+    left = _losing(passing(some), bad).filter(~is_depleted(limits)).select(_without_lines(length))
+    return passing(others).select("doc.*").union(left.select("doc.*"))
 
 
 def op6_cross_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
-    return _marked(docs, base_counts(text_of()), LineLimits()).select(
-        F.col("r_id").alias("doc_id"), "word_chars", "n_symbols", "n_dup_lines", "w.*", is_depleted(LineLimits())) \
+    limits = LineLimits()
+    rows = _losing(docs.select(*_keys(), *base_counts(text_of())), removed_lines(docs, limits=limits))
+    return rows.select(F.col("r_id").alias("doc_id"), "word_chars", "n_symbols", "n_dup_lines", "w.*", is_depleted(limits)) \
         .withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.col("gone")) \
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -184,16 +235,24 @@ l AS (
   SELECT r, host, md5(line) AS line, length(line) - length(replace(line, ' ', '')) + 1 AS words
   FROM (SELECT d.r, host, trim(regexp_replace(unnest(string_split(lower(text), chr(10))), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS line FROM d)
   WHERE line <> ''),
-s AS (
-  SELECT l.*, g.signature
-  FROM l JOIN (SELECT r, md5(string_agg(line, '' ORDER BY line)) AS signature FROM l GROUP BY r) g USING (r)),
+g2 AS (SELECT r, md5(string_agg(line, '' ORDER BY line)) AS whole FROM l GROUP BY r),
+u AS (SELECT DISTINCT host, whole, line, words FROM l JOIN g2 USING (r)),
+t AS (SELECT host, whole, sum(words) AS all_words, count(*) AS all_lines FROM u GROUP BY host, whole),
+c AS (SELECT host, line FROM u GROUP BY host, line HAVING count(*) > 1),
+near AS (
+  SELECT host, whole, signature
+  FROM (SELECT host, whole, sum(words) AS words, count(*) AS lines, max({'words': words, 'line': line}).line AS signature
+        FROM u JOIN c USING (host, line) GROUP BY host, whole) x
+  JOIN t USING (host, whole)
+  WHERE x.words >= 0.8 * t.all_words AND x.lines >= 0.8 * t.all_lines),
+s AS (SELECT u.host, u.line, coalesce(signature, whole) AS signature FROM u LEFT JOIN near USING (host, whole)),
 h AS (SELECT host, count(DISTINCT signature) AS n FROM s GROUP BY host),
 b AS (
   SELECT host, line FROM (SELECT host, line, count(DISTINCT signature) AS n FROM s GROUP BY host, line) x JOIN h USING (host)
   WHERE x.n > 20 AND x.n > 0.001 * h.n),
 v AS (
-  SELECT s.r, sum(CASE WHEN b.line IS NULL THEN s.words ELSE 0 END) < 0.2 * sum(s.words) AS gone
-  FROM s LEFT JOIN b ON s.host = b.host AND s.line = b.line GROUP BY s.r),
+  SELECT l.r, sum(CASE WHEN b.line IS NULL THEN l.words ELSE 0 END) < 0.2 * sum(l.words) AS gone
+  FROM l LEFT JOIN b ON l.host = b.host AND l.line = b.line GROUP BY l.r),
 o AS (
   SELECT d.doc_id, CAST(len(w.words) AS BIGINT) AS n_words,
          CAST(length(array_to_string(w.words, '')) AS BIGINT) AS word_chars,

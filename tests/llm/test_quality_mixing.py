@@ -1,3 +1,4 @@
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -53,6 +54,69 @@ def test_line_frequency_rejects_depleted_documents_only(spark, tmp_path):
     assert not any(kept[i] for i in range(30))
 
 
+def near_copies(first, n, source, lines=10, words=40):
+    """A text of ``lines`` lines, one of which has a word of its own in every copy."""
+    made = []
+    for i in range(n):
+        text = [prose(800 + k, words) for k in range(lines)]
+        text[i % lines] = text[i % lines].replace(" ", f" own{i} ", 1)
+        made.append((first + i, "\n".join(text), source))
+    return made
+
+
+def verdicts_by_hand(rows, documents=20, share=0.001, left=0.2, near=0.8):
+    """(removed lines of each host, kept) of every row, line by line."""
+    split = [[(" ".join(WORD.findall(x)).lower(), len(WORD.findall(x))) for x in (t or "").split("\n") if WORD.search(x)] for _, t, _ in rows]
+    units = {}
+    for (_, _, host), lines in zip(rows, split, strict=True):
+        if lines:
+            units[host, tuple(sorted(x for x, _ in lines))] = dict(lines)
+    holders = Counter((host, x) for (host, _), lines in units.items() for x in lines)
+    signature = {}
+    for (host, whole), lines in units.items():
+        shared = {x: n for x, n in lines.items() if holders[host, x] > 1}
+        is_near = sum(shared.values()) >= near * sum(lines.values()) and len(shared) >= near * len(lines)
+        signature[host, whole] = max((n, hashlib.md5(x.encode()).digest()) for x, n in shared.items())[1] if is_near else whole
+    of = {host: len({s for (h, _), s in signature.items() if h == host}) for host, _ in units}
+    found = defaultdict(set)
+    for (host, whole), lines in units.items():
+        for x in lines:
+            found[host, x].add(signature[host, whole])
+    removed = {k for k, v in found.items() if len(v) > documents and len(v) > share * of[k[0]]}
+    kept = []
+    for (_, t, host), lines in zip(rows, split, strict=True):
+        words = sum(n for _, n in lines)
+        kept.append(not base_by_hand(t)[-1] and sum(n for x, n in lines if (host, x) not in removed) >= left * words)
+    return removed, kept
+
+
+def test_verdicts_against_brute_force(spark, tmp_path):
+    rows = EDGES + REPEATS + boilerplate_rows() + near_copies(5000, 50, "a") + near_copies(5100, 60, "b", lines=4) + near_copies(5200, 25, None, lines=5)
+    got = op6_cross_document_lines(spark, write(documents(spark, rows), tmp_path, "documents")).collect()
+    removed, kept = verdicts_by_hand(rows)
+    assert sorted(((r.doc_id, r.kept) for r in got), key=repr) == sorted(((i, k) for (i, _, _), k in zip(rows, kept, strict=True)), key=repr)
+    # three of four lines in common: boilerplate; four of five, or nine of ten: near copies
+    assert Counter(host for host, _ in removed) == {"a": 3, "b": 4}
+
+
+def test_near_copies_count_as_one_document(spark, tmp_path):
+    rows = near_copies(5000, 50, "a") + [(6000 + i, prose(6000 + i, 90), "a") for i in range(30)]
+    df = documents(spark, rows)
+    kept = drop_poor(df).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted((i, t) for i, t, _ in rows)
+    from salesdeck.llm.simhash import drop_near
+    left = [r.doc_id for r in drop_near(drop_poor(df)).collect()]
+    assert len([i for i in left if i < 6000]) == 1 and len(left) == 31
+
+
+def test_removal_leaves_clean_texts_unshuffled_and_sets_the_length(spark):
+    df = documents(spark, boilerplate_rows())
+    out = drop_poor(df, length="n_chars")
+    assert all(r.n_chars == len(r.text) for r in out.collect())
+    changed = {r.doc_id: r.text for r in out.collect()}
+    assert changed[100] == boilerplate_rows()[30][1].split("\n")[1]
+
+
 def test_copies_count_as_one_document(spark):
     lines = document_lines(documents(spark, boilerplate_rows()), "doc_id", "text", "source")
     found = boilerplate(lines, LineLimits())
