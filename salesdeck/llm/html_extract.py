@@ -10,12 +10,18 @@ on one page has entropy 0, a text on all pages 1.  A node's importance is the
 weighted sum, and branches under the threshold are removed from each page of
 the host that has them.
 
-A host with few pages says little, so the page itself is heard as well:
-elements that declare themselves no content (nav, footer, form, ... or a class
-such as ad, menu, cookie) are removed, and an <article>, failing that <main>,
-is the part that is read.  Text blocks inside it are never removed one by one,
-only whole containers are.  Pages with the same longest block count as one
-page of the host, so copies don't turn their own article into boilerplate.
+Elements say themselves what they are, too.  Tags that hold no content (nav,
+footer, ...) are removed on every page.  A class or id that tells of no content
+(ad, menu, cookie) lowers a node's importance, and removes it on its own unless
+it holds the page's main article, or, where the name only mentions such a thing
+(related-story-body), most of the page's text.  All nodes enter the tree,
+whatever their names.  An <article>, failing that <main>, is the part that is
+read.  Text blocks inside it are never removed one by one, only containers are.
+
+Pages count once if the blocks that make up nine tenths of their text are the
+same, so copies don't turn their own article into boilerplate, nor does a long
+text that pages share hide how they differ.  Two pages are heard, but must be
+clearer than many: the threshold is lower by a share of one in their number.
 
 Nulls: a null page has an empty text; a null or hostless url belongs to the
 host ''.  Repeated rows give equal texts.  Empty table: no rows.  Unclosed,
@@ -40,7 +46,11 @@ from salesdeck.llm.common import read, save_shared
 #: and the pages from which a host's statistics are heard.
 PRESENTATION = 0.1
 THRESHOLD = 0.35
-LEAST_PAGES = 4
+LEAST_PAGES = 2
+#: What a name that tells of no content adds to the threshold.
+NAMED = 0.3
+#: Share of a page's text whose blocks sign it.
+SIGNED = 0.9
 SALTS = 32
 #: Up to so many pages with noise, the noise goes to the pages and not the
 #: pages' text through a shuffle.
@@ -52,7 +62,9 @@ VOID = frozenset("area base br col embed frame hr img input link meta param sour
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption".split())
 #: Content is skipped up to the closing tag.
 RAW = frozenset("script style title textarea noscript template iframe svg math object noembed noframes xmp select".split())
-NO_CONTENT = frozenset("nav footer aside form button dialog menu head fieldset datalist audio video canvas".split())
+NO_CONTENT = frozenset("nav footer aside button dialog menu head datalist audio video canvas".split())
+#: May hold a whole page, and are then no matter.
+FORMS = frozenset("form fieldset".split())
 #: Closed by an opening tag of the second kind.
 CLOSES = {"p": frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure "
                          "footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()),
@@ -67,6 +79,8 @@ NAMED_NO_CONTENT = frozenset(
 KEPT = frozenset(("html", "body", "article", "main"))
 #: Only outside the main part, where a heading may call itself a header.
 NAMED_HEADER = frozenset("header masthead banner topbar".split())
+#: A name that begins so speaks of a part, not of the element.
+MODIFIERS = frozenset("has with without no not is show hide".split())
 NO_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 
 MARKUP = re.compile(
@@ -82,6 +96,21 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)} if text else {}
 
 
+#: How far an element tells that it is no content: not; its name mentions it;
+#: its name says so; its tag or an attribute does.
+SILENT, MENTIONED, SAID, SURE = range(4)
+
+
+def told_by(names: list[str], words: frozenset[str]) -> int:
+    """What class names and ids tell, of which the last part says what the element is."""
+    most = SILENT
+    for name in names:
+        parts = PART.findall(name)
+        if not words.isdisjoint(parts):
+            most = max(most, SAID if parts[-1] in words and parts[0] not in MODIFIERS else MENTIONED)
+    return most
+
+
 def key_of(*parts) -> int:
     import xxhash
     return xxhash.xxh64_intdigest("\x00".join(map(str, parts)).encode()) - (1 << 63)
@@ -90,15 +119,16 @@ def key_of(*parts) -> int:
 class Page:
     """Blocks of text with the containers around them.
 
-    ``nodes``: (key, parent, tag, declared): ``declared`` is True for elements
-    that say they are no content.  ``children``: labels below each node.
-    ``blocks``: (node, text)."""
+    ``nodes``: (key, parent, tag, told): ``told`` is how far the element tells
+    that it is no content.  ``children``: labels below each node.  ``blocks``:
+    (node, text).  ``gone``: whether what it tells removes a node."""
 
     def __init__(self, source: str | None):
-        self.nodes = [(0, -1, "", False)]
+        self.nodes = [(0, -1, "", SILENT)]
         self.children: list[list[str]] = [[]]
         self.blocks: list[tuple[int, str]] = []
         self._read(source or "")
+        self.gone = self._judged()
 
     def _read(self, source: str) -> None:
         stack, text, at = [0], [], 0
@@ -160,15 +190,18 @@ class Page:
         label = f"{tag}.{' '.join(names.split())}" if names.strip() else tag
         parent = stack[-1]
         self.children[parent].append(label)
-        parts = set(PART.findall(names))
-        declared = (tag in NO_CONTENT or bool(parts & NAMED_NO_CONTENT) or found.get("role", "").lower() in NO_CONTENT_ROLES
-                    or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-                    or re.sub(r"\s", "", found.get("style", "")).lower().find("display:none") >= 0)
-        if tag == "header" or parts & NAMED_HEADER:
-            declared = declared or not any(self.nodes[i][2] in ("article", "main") for i in stack)
+        named = [x for x in names.replace("#", "").split() if x]
+        told = told_by(named, NAMED_NO_CONTENT)
+        if tag in NO_CONTENT or found.get("role", "").lower() in NO_CONTENT_ROLES or "hidden" in found \
+                or found.get("aria-hidden", "").lower() == "true" or "display:none" in re.sub(r"\s", "", found.get("style", "")).lower():
+            told = SURE
+        elif tag in FORMS:
+            told = max(told, SAID)
+        if not any(self.nodes[i][2] in ("article", "main") for i in stack):
+            told = SURE if tag == "header" else max(told, told_by(named, NAMED_HEADER))
         if tag in ("html", "body"):
-            declared = False
-        self.nodes.append((key_of(self.nodes[parent][0], label), parent, tag, declared))
+            told = SILENT
+        self.nodes.append((key_of(self.nodes[parent][0], label), parent, tag, told))
         self.children.append([])
         stack.append(len(self.nodes) - 1)
 
@@ -179,43 +212,73 @@ class Page:
             node = self.nodes[node][1]
         return out
 
-    def main_text(self, noise: frozenset[int] = frozenset()) -> str:
-        """The blocks of the main part that no declared or noisy container holds."""
+    def _judged(self) -> list[bool]:
+        size = [0] * len(self.nodes)  # code points below, but for what surely is no content
+        for node, text in self.blocks:
+            size[node] += len(text)
+        hidden = [False]
+        for _, parent, _, told in self.nodes[1:]:
+            hidden.append(hidden[parent] or told == SURE)
+        for i in range(len(self.nodes) - 1, 0, -1):
+            if self.nodes[i][3] != SURE:
+                size[self.nodes[i][1]] += size[i]
+        held: set[int] = set()
+        for kind in ("article", "main"):
+            found = [i for i, n in enumerate(self.nodes) if n[2] == kind and not hidden[i]]
+            if found:
+                held = set(self.chain(max(found, key=lambda i: size[i])))
+                break
+        return [told == SURE or (told == SAID and i not in held)
+                or (told == MENTIONED and i not in held and 2 * size[i] <= size[0])
+                for i, (_, _, _, told) in enumerate(self.nodes)]
+
+    def kept_blocks(self, noise: frozenset[int] = frozenset()) -> list[str]:
+        """The blocks of the main part that no container removed for its name or as noise holds."""
         bad: list[bool] = [False]
         part: list[str] = [""]
-        for key, parent, tag, declared in self.nodes[1:]:
-            bad.append(bad[parent] or declared or (key in noise and tag not in KEPT))
+        for (key, parent, tag, _), gone in zip(self.nodes[1:], self.gone[1:], strict=True):
+            bad.append(bad[parent] or gone or (key in noise and tag not in KEPT))
             inside = part[parent]
             part.append("article" if tag == "article" or inside == "article" else "main" if tag == "main" or inside else "")
-        for want in ("article", "main", None):
-            kept = [t for node, t in self.blocks if not bad[node] and (want is None or part[node] == want or (
-                want == "main" and part[node]))]
-            if kept or want is None:
-                return "\n".join(kept)
-        return ""
+        for want in ("article", "main"):
+            kept = [t for node, t in self.blocks if not bad[node] and (part[node] == want or (want == "main" and part[node]))]
+            if kept:
+                return kept
+        return [t for node, t in self.blocks if not bad[node]]
+
+    def main_text(self, noise: frozenset[int] = frozenset()) -> str:
+        return "\n".join(self.kept_blocks(noise))
 
     def features(self) -> Iterator[tuple[int, int, int, bool]]:
-        """(node, kind, feature, declared): the child sequence of a container
+        """(node, kind, feature, named): the child sequence of a container
         (kind 0) and the text blocks below it (kind 1); nodes of one path are
-        merged.  What can't be removed has no features, and what lies inside a
-        declared container shares its fate."""
-        counted, outer = [False], [False]
-        for _, parent, tag, declared in self.nodes[1:]:
-            outer.append(outer[parent] or declared)
-            counted.append(not outer[parent] and tag not in TEXT_BLOCKS and tag not in KEPT)
+        merged.  What can't be removed has no features.  ``named``: the node or
+        one around it tells of no content."""
+        counted, named = [False], [False]
+        for _, parent, tag, told in self.nodes[1:]:
+            named.append(named[parent] or told > SILENT)
+            counted.append(tag not in TEXT_BLOCKS and tag not in KEPT)
         made: set[tuple[int, int, int, bool]] = set()
         for i, below in enumerate(self.children):
             if counted[i]:
-                made.add((self.nodes[i][0], 0, key_of(*[c for j, c in enumerate(below) if not j or below[j - 1] != c]), outer[i]))
+                made.add((self.nodes[i][0], 0, key_of(*[c for j, c in enumerate(below) if not j or below[j - 1] != c]), named[i]))
         for node, text in self.blocks:
             chain = [i for i in self.chain(node) if counted[i]]
             if chain:
                 feature = key_of(text)
-                made.update((self.nodes[i][0], 1, feature, outer[i]) for i in chain)
+                made.update((self.nodes[i][0], 1, feature, named[i]) for i in chain)
         return iter(made)
 
     def signature(self) -> int:
-        return key_of(max((t for _, t in self.blocks), key=lambda t: (len(t), t), default=""))
+        """The hash of the longest blocks of the main part, as many as make up ``SIGNED`` of it."""
+        blocks = sorted(self.kept_blocks(), key=lambda t: (-len(t), t))
+        left, signed = SIGNED * sum(map(len, blocks)), []
+        for text in blocks:
+            if left <= 0:
+                break
+            signed.append(text)
+            left -= len(text)
+        return key_of(*signed)
 
 
 def host_of(url: Column) -> Column:
@@ -223,11 +286,11 @@ def host_of(url: Column) -> Column:
 
 
 def page_features(pages: DataFrame) -> DataFrame:
-    """(``content``, ``host``, ``signature``, ``node``, ``kind``, ``feature``, ``declared``)."""
+    """(``content``, ``host``, ``signature``, ``node``, ``kind``, ``feature``, ``named``)."""
     long = T.LongType()
     schema = T.StructType([T.StructField("content", long), T.StructField("host", T.StringType())]
                           + [T.StructField(n, long) for n in ("signature", "node", "kind", "feature")]
-                          + [T.StructField("declared", T.BooleanType())])
+                          + [T.StructField("named", T.BooleanType())])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,35 +306,43 @@ def page_features(pages: DataFrame) -> DataFrame:
                 yield made(rows)
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
-        content, host, *rest, declared = zip(*rows, strict=True)
+        content, host, *rest, named = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(content, pa.int64()), pa.array(host, pa.string()),
-                                           *[pa.array(c, pa.int64()) for c in rest], pa.array(declared, pa.bool_())],
+                                           *[pa.array(c, pa.int64()) for c in rest], pa.array(named, pa.bool_())],
                                           names=schema.names)
 
     return pages.select("content", "host", "html").mapInArrow(features, schema)
 
 
-def noise_nodes(features: DataFrame, presentation: float, threshold: float, least_pages: int) -> DataFrame:
-    """(``host``, ``node``) of the branches whose importance is below the threshold."""
-    distinct = features.select("host", "signature", "node", "kind", "feature").distinct()
-    counts = distinct.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("k"))
+def node_importance(features: DataFrame, presentation: float) -> DataFrame:
+    """(``host``, ``node``, ``pages``, ``named``, ``importance``) of every node of the hosts' trees."""
+    distinct = features.select("host", "signature", "node", "kind", "feature", "named").distinct()
+    counts = distinct.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("k"), F.max("named").alias("named"))
     # pages that hold the node: each shows one child sequence, or the first of several
     pages = distinct.filter("kind = 0").select("host", "node", "signature").distinct() \
         .groupBy("host", "node").agg(F.count("*").alias("m"))
+
     # the entropies over k of m pages need only the sums of k and of k log k
     def of_kind(kind: int, value: Column) -> Column:
         return F.sum(F.when(F.col("kind") == kind, value))
 
     k, m = F.col("k"), F.col("m")
     sums = counts.groupBy("host", "node").agg(
-        of_kind(0, k).alias("k0"), of_kind(0, k * F.log(k)).alias("l0"),
+        F.max("named").alias("named"), of_kind(0, k).alias("k0"), of_kind(0, k * F.log(k)).alias("l0"),
         of_kind(1, k).alias("k1"), of_kind(1, k * F.log(k)).alias("l1"))
-    weighed = sums.join(pages, ["host", "node"]).filter(m >= least_pages) \
+    weighed = sums.join(pages, ["host", "node"]).filter(m > 1) \
         .withColumn("layout", (F.col("k0") * F.log(m) - F.col("l0")) / (m * F.log(m))) \
         .withColumn("repeated", F.col("l1") / (F.col("k1") * F.log(m)))
     importance = presentation * F.least(F.lit(1.0), F.coalesce("layout", F.lit(0.0))) \
         + (1 - presentation) * (1 - F.coalesce("repeated", F.lit(1.0)))
-    return weighed.filter(importance < threshold).select("host", "node")
+    return weighed.select("host", "node", m.alias("pages"), "named", importance.alias("importance"))
+
+
+def noise_nodes(features: DataFrame, presentation: float, threshold: float, least_pages: int, named: float = NAMED) -> DataFrame:
+    """(``host``, ``node``) of the branches whose importance is below the
+    threshold: less for few pages, more for nodes whose names tell of no content."""
+    bar = threshold * (1 - 1 / F.col("pages")) + F.when(F.col("named"), named).otherwise(0.0)
+    return node_importance(features, presentation).filter((F.col("pages") >= least_pages) & (F.col("importance") < bar)).select("host", "node")
 
 
 def _main_texts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -290,9 +361,8 @@ def extract(pages: DataFrame, carry: list[str], url: str = "url", source: str =
     features = save_shared(page_features(rows), "page-features")
     noise = noise_nodes(features, presentation, threshold, least_pages) \
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    # declared containers go without being looked up
     found = save_shared(
-        features.filter("kind = 0 AND NOT declared").select("content", "host", "node").distinct()
+        features.filter("kind = 0").select("content", "host", "node").distinct()
         .withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int"))
         .join(noise, ["host", "node", "salt"])
         .groupBy("content").agg(F.collect_set("node").alias("noise")), "page-noise")  # a page's own nodes
