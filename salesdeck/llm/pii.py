@@ -2,18 +2,20 @@
 
 The base rules find e-mail addresses, IP addresses, payment cards and phone
 numbers by pattern and check.  A bidirectional LSTM over character classes
-with a linear-chain CRF on top (numpy, trained here on windows of a bounded
-sample whose spans the base rules label; windows with a match that fails its
-check are left out) finds spans the rules miss, such as numbers with a wrong
-check digit.  A text is read in overlapping windows; each
-window is decoded by itself and the spans are then reconciled over the whole
-text: parts of one span that windows cut are joined, and of conflicting spans
-the one nearest to the middle of its window stays.
-
-Every labelled span holds a digit or an @, and the CRF may only tag such
-spans, so a window without either decodes to nothing and is not run.  Spans of
-the base rules always stay; a found span that overlaps one of its kind adds
-nothing.
+with a linear-chain CRF on top (numpy) finds spans in forms that the patterns
+miss: spaced or spelled-out addresses, phone numbers without a country code,
+cards and IP addresses with other separators.  It is trained here on windows
+of a bounded sample: spans labelled by the base rules, the same spans written
+in such forms, and dates, times and versions as what is none; windows with a
+match that fails its check are left out.  A text is read in overlapping
+windows; each window is decoded by itself and the spans are then reconciled
+over the whole text: parts of one span that windows cut are joined, of
+conflicting spans the one nearest to the middle of its window stays, and a
+span must pass the check of its kind (a card's last digit, for example).
+
+Every span holds a digit, an @ or a bracketed "at", so a window without any of
+these decodes to nothing and is not run.  Spans of the base rules always stay;
+a found span that overlaps one of its kind adds nothing.
 
 Nulls: a null text is empty.  Repeated rows give equal spans.  No text with a
 digit or an @ to learn from: the base rules alone.  Empty table: no rows.
@@ -22,6 +24,7 @@ digit or an @ to learn from: the base rules alone.  Empty table: no rows.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesdeck.llm.common import read
+from salesdeck.llm.common import read, save_shared
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns.
@@ -45,15 +48,19 @@ SAMPLE_WINDOWS = 3000
 #: many holds a digit or an @, the sample is smaller.
 SAMPLE_SPARE = 32
 WINDOW, STRIDE = 64, 32
-HIDDEN, EMBEDDED = 12, 8
-BATCH, STEPS, RATE = 48, 300, 0.03
-TRIGGER = re.compile(r"[0-9@]")
-#: A found span has at least so many digits; an address has an @.
-LEAST_DIGITS = {"email": 0, "ip": 4, "card": 12, "phone": 9}
+HIDDEN, EMBEDDED = 16, 8
+BATCH, STEPS, RATE = 64, 500, 0.03
+#: Windows with a labelled span in another form, and with what is none in its place.
+FORMS, OTHERS = 4, 2
+TRIGGER = re.compile(r"[0-9@]|[(\[]\s?at\s?[)\]]", re.I)
+NUMBERS = re.compile(r"[0-9]+")
+#: What an address has between its parts, in any form.
+AT = re.compile(r"\s?(?:@|[(\[]\s?at\s?[)\]])\s?", re.I)
+DOT = re.compile(r"\s?(?:\.|[(\[]\s?dot\s?[)\]])\s?", re.I)
 
 #: Character classes: one for each of these signs, then lower and upper case,
 #: digits, other letters, white space and all else.
-SIGNS = "@.+-_%()/:=,\" "
+SIGNS = "@.+-_%()[]/:=,\" "
 CLASSES = len(SIGNS) + 6
 #: Tags: outside, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
@@ -91,7 +98,44 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def doubtful(text: str) -> list[tuple[int, int]]:
     """Matches that only fail a check on their digits: neither personal data
     for sure nor free of it, so they say nothing about either."""
-    return [(a, b) for kind, a, b, passed in matches(text) if not passed and plausible(kind, text[a:b])]
+    least = {"email": 0, "ip": 4, "card": 12, "phone": 9}
+    return [(a, b) for kind, a, b, passed in matches(text) if not passed and sum("0" <= c <= "9" for c in text[a:b]) >= least[kind]]
+
+
+# -------------------------------------------------------------- other forms
+
+def other_form(kind: str, span: str, rng: np.random.Generator) -> str:
+    """A labelled span as it is written where the patterns don't look."""
+    if kind == "email":
+        local, host = span.split("@", 1)
+        at, dot = [(" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), (" @ ", "."), (" @ ", " . "), ("[at]", "[dot]")][rng.integers(6)]
+        return local + at + host.replace(".", dot)
+    digits = NUMBERS.findall(span)
+    if kind == "ip":
+        return ["[.]", " . ", "(.)", "[dot]"][rng.integers(4)].join(digits)
+    run = "".join(digits)
+    if kind == "card":
+        return [".", "/", "  ", " - ", "_"][rng.integers(5)].join(run[i:i + 4] for i in range(0, len(run), 4))
+    run = "0" + run[-9:] if rng.integers(2) else run[-10:].rjust(10, "0")
+    a, b, c = run[:3], run[3:6], run[6:]
+    return [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{run[:4]}/{run[4:]}", f"{run[:4]} {run[4:7]} {run[7:]}", f"({run[:4]}) {run[4:]}"][rng.integers(6)]
+
+
+def no_span(rng: np.random.Generator) -> str:
+    """Numbers that are nobody's: dates, times, versions, amounts, hashes."""
+    d = rng.integers(0, 10, 12)
+    year, month, day = 1950 + int(rng.integers(90)), 1 + int(rng.integers(12)), 1 + int(rng.integers(28))
+    return [f"{year}-{month:02}-{day:02}", f"{day:02}.{month:02}.{year}", f"{day}/{month}/{year}", f"{d[0]}{d[1]}:{d[2]}{d[3]}:{d[4]}{d[5]}",
+            f"{year}-{month:02}-{day:02} {d[0]}{d[1]}:{d[2]}{d[3]}", f"v{d[0]}.{d[1]}{d[2]}.{d[3]}", f"{d[0]},{d[1]}{d[2]}{d[3]},{d[4]}{d[5]}{d[6]}.{d[7]}{d[8]}",
+            f"{year}", f"{d[0]}{d[1]}%", f"token = \"{int(rng.integers(1 << 62)):016x}{int(rng.integers(1 << 62)):016x}\"",
+            f"{year}-{1 + year}", f"({d[0]}{d[1]})", f"[{d[0]}] {d[1]}{d[2]} {d[3]}{d[4]}"][rng.integers(13)]
+
+
+def put_in(text: str, a: int, b: int, form: str, rng: np.random.Generator) -> tuple[str, int, int]:
+    """A window of ``text`` with ``form`` in place of ``a:b``, and where it lies."""
+    before = int(rng.integers(0, max(1, WINDOW - len(form))))
+    left = text[max(0, a - before):a]
+    return (left + form + text[b:b + WINDOW])[:WINDOW], len(left), min(WINDOW, len(left) + len(form))
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -101,8 +145,8 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 # ------------------------------------------------------------------ windows
 
 def windows_of(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an @; every place of the
-    text lies in two windows (one at its ends)."""
+    """Starts of the windows that hold a digit, an @ or a bracketed "at"; every
+    place of the text lies in two windows (one at its ends)."""
     last = max(0, -(-(len(text) - WINDOW) // STRIDE))
     starts = set()
     for m in TRIGGER.finditer(text):
@@ -317,8 +361,17 @@ def window_spans(tags: np.ndarray) -> list[tuple[str, int, int]]:
 def plausible(kind: str, span: str) -> bool:
     """The check that follows the model: a span can be of its kind at all."""
     if kind == "email":
-        return "@" in span.strip("@")
-    return sum("0" <= c <= "9" for c in span) >= LEAST_DIGITS[kind]
+        parts = AT.split(span)
+        names = [] if len(parts) != 2 else [parts[0], *DOT.split(parts[1])]
+        return len(names) > 2 and all(names)
+    digits = NUMBERS.findall(span)
+    count = sum(map(len, digits))
+    if kind == "ip":
+        return len(digits) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in digits)
+    if kind == "card":
+        return 12 <= count <= 19 and luhn("".join(digits))
+    # a bare run of digits is no phone number, nor are four numbers in a row of an address
+    return 9 <= count <= 15 and (len(digits) > 1 or span[0] in "+(0") and not (len(digits) == 4 and max(map(len, digits)) <= 3)
 
 
 def reconcile(text: str, found: list[tuple[int, str, int, int]]) -> list[tuple[str, int, int]]:
@@ -366,21 +419,52 @@ def find_spans(texts: list[str], model: dict[str, np.ndarray] | None, table: np.
 
 # -------------------------------------------------------------------- Spark
 
+#: Digits beside the spans of a window from which on it may hold a span that the patterns miss.
+UNTOLD = 4
+
+
+def training_windows(text: str) -> list[tuple[str, bytes]]:
+    """Windows of ``text`` with their tags: as they are, with spans in other
+    forms, and with numbers that are no spans.  What may hold a span that the
+    base rules miss says nothing and is left out.  The same on every run."""
+    rng = np.random.default_rng(zlib.crc32(text.encode()))
+    spans, unsure = base_spans(text), doubtful(text)
+
+    def told(start: int, end: int, near: list[tuple[str, int, int]]) -> bool:
+        """Whether a part of the text is known to hold no span but ``near``."""
+        if any(a < end and start < b for a, b in unsure):
+            return False
+        rest, at = [], start
+        for _, a, b in sorted(near, key=lambda s: s[1]):
+            rest.append(text[at:max(at, a)])
+            at = max(at, b)
+        rest.append(text[at:max(at, end)])
+        return not any(AT.search(x) for x in rest) and sum("0" <= c <= "9" for x in rest for c in x) < UNTOLD
+
+    rows, none = [], bytes(WINDOW)
+    for w in windows_of(text):
+        near = [s for s in spans if s[1] < w + WINDOW and s[2] > w]
+        if not told(w, w + WINDOW, near):
+            continue
+        rows.append((text[w:w + WINDOW], tags_of(w, near).tobytes()))
+    for kind, a, b in spans:
+        if not told(max(0, a - WINDOW), b + WINDOW, [(kind, a, b)]):
+            continue
+        for _ in range(FORMS):
+            part, start, end = put_in(text, a, b, other_form(kind, text[a:b], rng), rng)
+            rows.append((part, tags_of(0, [(kind, start, end)]).tobytes()))
+        for _ in range(OTHERS):
+            rows.append((put_in(text, a, b, no_span(rng), rng)[0], none))
+    return rows
+
+
 def labelled_windows(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarray] | None:
     """Windows with tags from a bounded sample, the same on every run: the
     documents of least key hash that hold a digit or an @, their windows cut
     by a task, of those the ones of least hash."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for t in batch["text"]:
-                spans, unsure = base_spans(t), doubtful(t)
-                for w in windows_of(t):
-                    if any(a < w + WINDOW and w < b for a, b in unsure):
-                        continue
-                    near = [s for s in spans if s[1] < w + WINDOW and s[2] > w]
-                    rows.append((t[w:w + WINDOW], tags_of(w, near).tobytes()))
-            yield pd.DataFrame(rows, columns=["part", "tags"])
+            yield pd.DataFrame([row for t in batch["text"] for row in training_windows(t)], columns=["part", "tags"])
 
     # a hash share of the documents first, so that what is sorted for the
     # sample doesn't grow with the input or its partitions
@@ -389,8 +473,11 @@ def labelled_windows(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray,
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text")) \
         .filter((draw < share) & F.col("text").rlike("[0-9@]")) \
         .orderBy(draw, "text").limit(SAMPLE_DOCUMENTS)
-    rows = picked.select("text").mapInPandas(cut, "part string, tags binary") \
-        .orderBy(F.xxhash64("part"), "part").limit(SAMPLE_WINDOWS).collect()
+    # as many with spans as without, so that no long text of the one kind makes up the sample
+    windows = save_shared(picked.select("text").mapInPandas(cut, "part string, tags binary"), "pii-windows")
+    spanned = F.col("tags") != F.lit(bytes(WINDOW))
+    rows = [r for some in (spanned, ~spanned)
+            for r in windows.filter(some).orderBy(F.xxhash64("part"), "part").limit(SAMPLE_WINDOWS // 2).collect()]
     if not rows:
         return None
     tags = np.frombuffer(b"".join(bytes(r.tags) for r in rows), np.int8).reshape(len(rows), WINDOW).T
@@ -417,4 +504,5 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
 def op5_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(read(spark, sf_dir, "documents", "doc_id", "text"))
     counts = [F.get("found.counts", F.lit(i)).alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2("found.base", 256).alias("base_sha256"), F.col("found.spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2("found.base", 256).alias("base_sha256"), F.col("found.spans").alias("spans"),
+                        F.when(F.col("found.spans") == "", 0).otherwise(F.size(F.split("found.spans", ","))).cast("long").alias("n_spans"))
