@@ -13,9 +13,9 @@ The tree is a table for each level and grows with the corpus: a row is a
 (context, next byte) with its probability, and counts, smoothing, test and
 longest retained suffix are joins, windows and sums.  No part of it passes
 through the driver or is broadcast.  Texts are scored in chunks: a chunk's
-distinct windows are joined to the tree, and meet the chunk's texts again.
-Words above a ``frequent``-th of all tokens, at most that many, go to the
-tasks; all others are looked up by a join.
+distinct windows and words are joined to the tree and to the counts of words,
+once each, and meet the chunk's texts again.  Words above a ``frequent``-th of
+all tokens, at most that many, go to the tasks instead.
 
 Nulls: a null text is empty (just the end).  A null id trains (its text is
 empty).  Repeated rows are scored and counted each.  Empty table: no rows.
@@ -27,7 +27,6 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +45,8 @@ HELD_BYTES = 1 << 22
 #: Bytes of text that are scored together at most, and of those packed in a row.
 CHUNK_BYTES = 1 << 25
 PACKED_BYTES = 1 << 20
-SEGMENT = 512
 END = 10
 LONG = T.LongType()
-#: Contexts that ``suffix_tree`` expands at a time.
-CHUNK = 4096
 
 
 def training(key) -> bool:
@@ -72,10 +68,10 @@ def grams_of(buffer: bytes, depth: int, keep: np.ndarray) -> tuple[np.ndarray, n
 
 
 def prepare(docs: DataFrame, depth: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Three kinds of rows.  ``word``, ``n``: words of the training documents
-    (the end is the empty word).  ``chunk``, ``gram``, ``n``: the distinct
-    windows of ``depth + 1`` bytes of a chunk of texts, and how often its
-    training documents have them.  ``chunk``, ``texts``, ``lengths``, ``keys``,
+    """Three kinds of rows.  ``chunk``, ``word``, ``n``: the words of a chunk of
+    texts (the end is the empty word), and how often its training documents
+    have them.  ``chunk``, ``gram``, ``n``: the same of the distinct windows of
+    ``depth + 1`` bytes.  ``chunk``, ``texts``, ``lengths``, ``keys``,
     ``held``: documents of the chunk, their bytes compressed."""
     key_type = docs.schema["key"].dataType
     schema = T.StructType([
@@ -132,13 +128,15 @@ def prepare(docs: DataFrame, depth: int, chunk_bytes: int = CHUNK_BYTES) -> Data
 
         def passed_words() -> Iterator[pa.RecordBatch]:
             if words:
-                yield batch_of(len(words), word=pa.array(words.keys(), pa.binary()), n=pa.array(words.values(), pa.int64()))
+                yield batch_of(len(words), chunk=pa.array(np.full(len(words), chunk), pa.int64()),
+                               word=pa.array(words.keys(), pa.binary()), n=pa.array(words.values(), pa.int64()))
                 words.clear()
 
         def passed() -> Iterator[pa.RecordBatch]:
             """Ends the chunk."""
             nonlocal grams, counts, chunk, size
             yield from pack()
+            yield from passed_words()
             gather()
             for i in range(0, len(grams), 1 << 19):
                 g = grams[i:i + (1 << 19)].astype(np.int64)
@@ -159,6 +157,10 @@ def prepare(docs: DataFrame, depth: int, chunk_bytes: int = CHUNK_BYTES) -> Data
                 if counted:
                     words.update(tokens)
                     words[b""] += 1
+                else:  # to be looked up only
+                    for word in tokens:
+                        words.setdefault(word, 0)
+                    words.setdefault(b"", 0)
                 (trained if counted else others).append(pad + data)
                 packed.append((data, key, not counted))
                 packed_size += len(data)
@@ -174,7 +176,6 @@ def prepare(docs: DataFrame, depth: int, chunk_bytes: int = CHUNK_BYTES) -> Data
                     yield from passed_words()
         if size:
             yield from passed()
-        yield from passed_words()
 
     return docs.mapInArrow(count, schema)
 
@@ -204,7 +205,7 @@ def tree_levels(grams: DataFrame, depth: int) -> list[DataFrame]:
             .withColumn("kinds", F.sum((n > 0).cast("long")).over(context)) \
             .withColumn("p", F.when(seen > 0, (n + kinds * parent) / F.greatest(F.lit(1), seen + kinds)).otherwise(parent))
         gain = F.sum(n * F.log(F.col("p") / parent)).over(context)
-        levels.append(save_shared(smoothed.select("pair", "p", (gain > cost * kinds).alias("diverges")), "lm-level"))
+        levels.append(save_shared(smoothed.select("pair", F.col("p").cast("float").alias("p"), (gain > cost * kinds).alias("diverges")), "lm-level"))
     return levels
 
 
@@ -262,101 +263,6 @@ class WindowScores:
         return np.add.reduceat(self.of(keys[keep]), starts)
 
 
-@dataclass
-class Automaton:
-    """``classes``: column of each byte; ``step`` and ``log10``: next state
-    (times the columns) and log probability, flat."""
-    classes: np.ndarray
-    step: np.ndarray
-    log10: np.ndarray
-
-
-def suffix_tree(d: np.ndarray, pair: np.ndarray, n: np.ndarray, depth: int) -> Automaton:
-    """The automaton of the retained contexts, of counts that fit one machine:
-    what the tables are tested against."""
-    order = np.lexsort((pair, d))
-    d, pair, n = d[order], pair[order], n[order]
-    seen = np.unique(pair & 255) if len(pair) else np.empty(0, np.int64)
-    classes = np.full(256, len(seen), np.int64)
-    classes[seen] = np.arange(len(seen))
-    width = len(seen) + 1  # the last column: any byte that was never seen
-    total = float(n[d == 0].sum())
-
-    keys: list[np.ndarray] = []      # contexts of each level, sorted
-    probs: list[np.ndarray] = []     # their smoothed distributions
-    retained: list[np.ndarray] = []
-    for level in range(depth + 1):
-        here = slice(*np.searchsorted(d, [level, level + 1]))
-        contexts, row = np.unique(pair[here] >> 8, return_inverse=True)
-        if level == 0 and not len(contexts):
-            contexts = np.zeros(1, np.int64)
-        smooth, gains = np.empty((len(contexts), width), np.float32), np.ones(len(contexts))
-        for at in range(0, len(contexts), CHUNK):  # rows are sorted by context
-            part = slice(*(np.searchsorted(row, [at, at + CHUNK]) + here.start))
-            counts = np.zeros((min(CHUNK, len(contexts) - at), width))
-            counts[row[part.start - here.start:part.stop - here.start] - at, classes[pair[part] & 255]] = n[part]
-            if level == 0:
-                smooth[:] = (counts + 0.5) / (total + 128.0)
-                continue
-            some = contexts[at:at + CHUNK] & ((1 << 8 * (level - 1)) - 1)
-            parent = probs[level - 1][np.searchsorted(keys[level - 1], some)].astype(np.float64)
-            kinds = (counts > 0).sum(axis=1, keepdims=True)
-            mixed = (counts + kinds * parent) / (counts.sum(axis=1, keepdims=True) + kinds)
-            gain = (counts * np.log(mixed / parent)).sum(axis=1)
-            smooth[at:at + CHUNK] = mixed
-            gains[at:at + CHUNK] = gain - 0.5 * kinds[:, 0] * np.log(max(total, 2))
-        keys.append(contexts)
-        probs.append(smooth)
-        retained.append(gains > 0)
-    for level in range(depth, 1, -1):  # parts of a retained context
-        whole = keys[level][retained[level]]
-        for part in (whole >> 8, whole & ((1 << 8 * (level - 1)) - 1)):
-            retained[level - 1][np.searchsorted(keys[level - 1], part)] = True
-
-    first = np.cumsum([0] + [int(r.sum()) for r in retained])
-    states = [k[r] for k, r in zip(keys, retained, strict=True)]
-    step = np.zeros((first[-1], width), np.int32)
-    log10 = np.concatenate([np.log10(p[r]) for p, r in zip(probs, retained, strict=True)])
-    del probs
-    for level, contexts in enumerate(states):
-        rows = slice(first[level], first[level + 1])
-        for length in range(1, min(level + 1, depth) + 1):  # the longest that is found stays
-            if not len(states[length]):
-                break
-            ends = (contexts & ((1 << 8 * (length - 1)) - 1))[:, None] << 8 | seen[None, :]
-            at = np.minimum(np.searchsorted(states[length], ends), len(states[length]) - 1)
-            step[rows, :-1] = np.where(states[length][at] == ends, first[length] + at, step[rows, :-1])
-    return Automaton(classes, (step * np.int32(width)).ravel(), log10.ravel())
-
-
-def run_automaton(tree: Automaton, texts: list[bytes], depth: int, segment: int = SEGMENT) -> np.ndarray:
-    """log10 probability of each text.  Texts are cut into segments that run
-    in step; a segment first reads the ``depth`` bytes before it, which settle
-    its state."""
-    pad = bytes([END]) * depth
-    columns = tree.classes[np.frombuffer(b"".join(pad + t for t in texts), np.uint8)].astype(np.int32)
-    lengths = np.array([len(t) for t in texts])
-    begins = np.cumsum(lengths + depth) - lengths
-    pieces = -(-lengths // segment)
-    owner = np.repeat(np.arange(len(texts)), pieces)
-    index = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start = begins[owner] + index * segment
-    size = np.minimum(segment, lengths[owner] - index * segment)
-    order = np.argsort(-size, kind="stable")
-    start, size, owner = start[order], size[order], owner[order]
-    state, score = np.zeros(len(start), np.int32), np.zeros(len(start))
-    active = np.searchsorted(-size, -np.arange(segment), side="left")  # segments longer than j
-    for j in range(-depth, segment):
-        k = len(start) if j < 0 else int(active[j])
-        if not k:
-            break
-        at = state[:k] + columns[start[:k] + j]
-        if j >= 0:
-            score[:k] += tree.log10[at]
-        state[:k] = tree.step[at]
-    return np.bincount(owner, score, len(texts))
-
-
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH,
                     frequent: int = FREQUENT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``key``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
@@ -364,7 +270,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     prepared = save_shared(prepare(rows, depth, chunk_bytes), "lm-chunks")
-    words = save_shared(prepared.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    held_words = prepared.filter("word IS NOT NULL").select("chunk", "word", "n")
+    words = save_shared(held_words.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"), "lm-words")
     tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     mass = tokens + 0.5 * (kinds + 1)
     known = words.filter(F.col("n") >= tokens / frequent)  # at most ``frequent`` words
@@ -372,82 +279,58 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     logs = dict(zip(known.column("word").to_pylist(), np.log10((known.column("n").to_numpy() + 0.5) / mass).tolist(), strict=True))
     windows = prepared.filter("gram IS NOT NULL")
     grams = windows.groupBy(F.col("gram").alias("pair")).agg(F.sum("n").alias("n"))
-    # a row for each of 64 shares of a chunk: a row a window is slow to pass to Python
-    looked = windows.select("chunk", "gram").join(window_scores(grams, depth), "gram") \
-        .groupBy("chunk", F.pmod(F.hash("gram"), F.lit(64)).alias("share")) \
-        .agg(F.collect_list(F.struct("gram", "log10")).alias("windows")).drop("share")
+
+    def shared_out(found: DataFrame, key: str, value: str, name: str) -> DataFrame:
+        """A row for each of 64 shares of a chunk: a row a window is slow to pass to Python."""
+        return found.groupBy("chunk", F.pmod(F.hash(key), F.lit(64)).alias("share")) \
+            .agg(F.collect_list(F.struct(key, value)).alias(name)).drop("share")
+
+    looked = shared_out(windows.select("chunk", "gram").join(window_scores(grams, depth), "gram"), "gram", "log10", "windows")
+    rare = words.filter(F.col("n") < tokens / frequent).withColumnRenamed("n", "times")
+    looked_words = shared_out(held_words.select("chunk", "word").join(rare, "word"), "word", "times", "words")
     shared = spark.sparkContext.broadcast(logs)
     key_type = rows.schema["key"].dataType
     schema = T.StructType([
-        T.StructField("uid", LONG), T.StructField("word", T.BinaryType()), T.StructField("times", LONG),
         T.StructField("key", key_type), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", LONG),
-        T.StructField("n_frequent", LONG), T.StructField("frequent_score", T.DoubleType()),
-        T.StructField("score", T.DoubleType())])
+        T.StructField("n_known", LONG), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def score(chunk: pa.Table) -> pa.Table:
-        """A row for each document, and one for each of its words that are not frequent."""
-        logs = shared.value
-        get, end = logs.get, logs.get(b"")
+        """A row for each document of the chunk."""
         found = chunk.column("windows").combine_chunks().flatten()
         tree = WindowScores(found.field("gram").to_numpy().astype(np.uint64), found.field("log10").to_numpy())
+        seldom = chunk.column("words").combine_chunks().flatten()
+        times = seldom.field("times").to_numpy(zero_copy_only=False)
+        rare_logs = dict(zip(seldom.field("word").to_pylist(), np.log10((times + 0.5) / mass).tolist(), strict=True))
+        logs = shared.value
+        unknown = float(np.log10(0.5 / mass))
         packed = chunk.filter(chunk.column("texts").is_valid())
         key_arrow = chunk.schema.field("keys").type.value_type
-        uid = chunk.column("chunk")[0].as_py() << 26
         made: list[pa.Table] = []
         for i in range(packed.num_rows):
             data = zlib.decompress(packed.column("texts")[i].as_py())
             lengths, held = packed.column("lengths")[i].as_py(), packed.column("held")[i].as_py()
-            texts, at = [], 0
+            texts, part, at = [], [], 0
             for n in lengths:
                 texts.append(data[at:at + n])
                 at += n
-            part, tail = [], []
             for t in texts:
-                tokens = t.split()
-                hits = [v for v in map(get, tokens) if v is not None]
-                rare = Counter([w for w in tokens if w not in logs]) if len(hits) < len(tokens) else {}
-                if end is None:
-                    rare = Counter(rare) + Counter([b""])
-                else:
-                    hits.append(end)
-                tail += [(uid, w, c) for w, c in rare.items()]
-                part.append((uid, len(tokens) + 1, len(hits), sum(hits)))
-                uid += 1
-            uids, n, hits, base = zip(*part, strict=True)
-            m = len(part)
+                words = t.split()
+                words.append(b"")  # the end
+                hits = [v for v in map(logs.get, words) if v is not None]
+                if len(hits) < len(words):
+                    hits += [v for v in map(rare_logs.get, [w for w in words if w not in logs]) if v is not None]
+                part.append((len(words), len(hits), sum(hits) + (len(words) - len(hits)) * unknown))
+            counts, hits, base = zip(*part, strict=True)
             made.append(pa.Table.from_arrays(
-                [pa.array(uids, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()),
-                 pa.array(packed.column("keys")[i].as_py(), key_arrow), pa.array(held, pa.bool_()), pa.array(n, pa.int64()),
-                 pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(tree.texts(texts, depth))],
-                names=schema.names))
-            if tail:
-                ids, tail_words, times = zip(*tail, strict=True)
-                m = len(ids)
-                made.append(pa.Table.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(tail_words, pa.binary()), pa.array(times, pa.int64()),
-                     pa.nulls(m, key_arrow), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()),
-                     pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=schema.names))
+                [pa.array(packed.column("keys")[i].as_py(), key_arrow), pa.array(held, pa.bool_()), pa.array(counts, pa.int64()),
+                 pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(tree.texts(texts, depth))], names=schema.names))
         return pa.concat_tables(made)
 
     parts = prepared.filter("texts IS NOT NULL").select("chunk", "texts", "lengths", "keys", "held") \
-        .unionByName(looked, allowMissingColumns=True)
-    scored = save_shared(parts.groupBy("chunk").applyInArrow(score, schema), "lm-scores")
-    rare = scored.filter("word IS NOT NULL").select("uid", "word", "times").join(words, "word", "left")
-    unknown = float(np.log10(0.5 / mass)) if tokens else 0.0
-    value = F.when(F.col("n").isNull(), F.lit(unknown)).otherwise(F.log10((F.col("n") + 0.5) / F.lit(mass)))
-    looked_up = rare.select("uid", (value * F.col("times")).alias("rare_score"),
-                            F.when(F.col("n").isNull(), 0).otherwise(F.col("times")).alias("rare_known"))
-    both = scored.filter("word IS NULL").select(
-        "uid", F.lit(0.0).alias("rare_score"), F.lit(0).cast("long").alias("rare_known"),
-        F.struct("key", "held_out", "n_tokens", "n_frequent", "frequent_score", "score").alias("doc")) \
-        .unionByName(looked_up.withColumn("doc", F.lit(None).cast(
-            T.StructType(schema.fields[3:]))))
-    base = F.when(F.lit(tokens > 0), F.col("doc.frequent_score") + F.col("rare_score"))
-    return both.groupBy("uid").agg(F.sum("rare_score").alias("rare_score"), F.sum("rare_known").alias("rare_known"),
-                                   F.first("doc", ignorenulls=True).alias("doc")) \
-        .select(F.col("doc.key").alias(key), "doc.held_out", "doc.n_tokens",
-                (F.col("doc.n_frequent") + F.col("rare_known")).alias("n_known"),
-                F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "doc.score")
+        .unionByName(looked, allowMissingColumns=True).unionByName(looked_words, allowMissingColumns=True)
+    scored = parts.groupBy("chunk").applyInArrow(score, schema)
+    return scored.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
+                         F.when(F.lit(tokens > 0), F.col("base_score")).alias("base_score"), "score")
 
 
 def op9_probabilistic_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

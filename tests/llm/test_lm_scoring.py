@@ -4,10 +4,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from salesdeck.llm.lm_scoring import (grams_of, op9_probabilistic_suffix_tree, run_automaton, score_documents,
-                                      suffix_tree, training, words_and_bytes)
+from salesdeck.llm.lm_scoring import grams_of, op9_probabilistic_suffix_tree, score_documents, training, words_and_bytes
 
 from .helpers import EDGES, documents, prose, write
+from .suffix_automaton import run_automaton, suffix_tree
 
 
 def tree_of(texts, depth):
