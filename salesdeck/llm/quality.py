@@ -77,7 +77,8 @@ def repeated_words(words: Column, window: int = 3) -> Column:
 
 def line_keys(text: Column) -> Column:
     """The normalised lines that have a word, in order, each with its place ``at`` among all lines."""
-    flat = F.regexp_replace(F.lower(text), "[ \\t\\x0B\\f\\r]+", " ")
+    # a single space is no match, so most of the text is only looked at
+    flat = F.regexp_replace(F.lower(text), "[ \\t\\x0B\\f\\r]{2,}|[\\t\\x0B\\f\\r]", " ")
     lines = F.transform(F.split(flat, "\n"), lambda x, i: F.struct(F.trim(x).alias("line"), i.alias("at")))
     return F.filter(lines, lambda x: x["line"] != "")
 
@@ -107,10 +108,12 @@ def document_lines(docs: DataFrame, key: str, text: str, source: str) -> DataFra
         F.md5(x["line"]).alias("line"), x["at"].alias("at"),
         (F.length(x["line"]) - F.length(F.replace(x["line"], F.lit(" "))) + 1).alias("words"))).alias("lines"))
     whole = F.md5(F.array_join(F.sort_array(F.transform("lines", lambda x: x["line"])), ""))
-    distinct = F.array_distinct(F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"))))
-    counts = [F.aggregate(distinct, F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("all_words"),
-              F.size(distinct).cast("long").alias("all_lines")]
-    return hashed.select("id", "content", "host", F.unhex(whole).alias("whole"), *counts, F.explode("lines").alias("l")) \
+    # text, not structs: those are told apart by comparing each with each
+    distinct = F.array_distinct(F.transform("lines", lambda x: F.concat(x["line"], x["words"].cast("string"))))
+    signed = hashed.select("id", "content", "host", "lines", F.unhex(whole).alias("whole"), distinct.alias("distinct"))
+    counts = [F.aggregate("distinct", F.lit(0).cast("long"), lambda a, x: a + F.substring(x, 33, 10).cast("long")).alias("all_words"),
+              F.size("distinct").cast("long").alias("all_lines")]
+    return signed.select("id", "content", "host", "whole", *counts, F.explode("lines").alias("l")) \
         .select("id", "content", "host", "whole", "all_words", "all_lines", F.unhex("l.line").alias("line"), "l.at", "l.words")
 
 
