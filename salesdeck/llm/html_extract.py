@@ -249,24 +249,25 @@ class Page:
     def main_text(self, noise: frozenset[int] = frozenset()) -> str:
         return "\n".join(self.kept_blocks(noise))
 
-    def features(self) -> Iterator[tuple[int, int, int, bool]]:
-        """(node, kind, feature, named): the child sequence of a container
+    def features(self) -> Iterator[tuple[int, int, int, bool, bool]]:
+        """(node, kind, feature, named, gone): the child sequence of a container
         (kind 0) and the text blocks below it (kind 1); nodes of one path are
         merged.  What can't be removed has no features.  ``named``: the node or
-        one around it tells of no content."""
-        counted, named = [False], [False]
-        for _, parent, tag, told in self.nodes[1:]:
+        one around it tells of no content; ``gone``: that alone removes it."""
+        counted, named, gone = [False], [False], [False]
+        for i, (_, parent, tag, told) in enumerate(self.nodes[1:], 1):
             named.append(named[parent] or told > SILENT)
+            gone.append(gone[parent] or self.gone[i])
             counted.append(tag not in TEXT_BLOCKS and tag not in KEPT)
-        made: set[tuple[int, int, int, bool]] = set()
+        made: set[tuple[int, int, int, bool, bool]] = set()
         for i, below in enumerate(self.children):
             if counted[i]:
-                made.add((self.nodes[i][0], 0, key_of(*[c for j, c in enumerate(below) if not j or below[j - 1] != c]), named[i]))
+                made.add((self.nodes[i][0], 0, key_of(*[c for j, c in enumerate(below) if not j or below[j - 1] != c]), named[i], gone[i]))
         for node, text in self.blocks:
             chain = [i for i in self.chain(node) if counted[i]]
             if chain:
                 feature = key_of(text)
-                made.update((self.nodes[i][0], 1, feature, named[i]) for i in chain)
+                made.update((self.nodes[i][0], 1, feature, named[i], gone[i]) for i in chain)
         return iter(made)
 
     def signature(self) -> int:
@@ -286,11 +287,11 @@ def host_of(url: Column) -> Column:
 
 
 def page_features(pages: DataFrame) -> DataFrame:
-    """(``content``, ``host``, ``signature``, ``node``, ``kind``, ``feature``, ``named``)."""
+    """(``content``, ``host``, ``signature``, ``node``, ``kind``, ``feature``, ``named``, ``gone``)."""
     long = T.LongType()
     schema = T.StructType([T.StructField("content", long), T.StructField("host", T.StringType())]
                           + [T.StructField(n, long) for n in ("signature", "node", "kind", "feature")]
-                          + [T.StructField("named", T.BooleanType())])
+                          + [T.StructField(n, T.BooleanType()) for n in ("named", "gone")])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,9 +307,9 @@ def page_features(pages: DataFrame) -> DataFrame:
                 yield made(rows)
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
-        content, host, *rest, named = zip(*rows, strict=True)
+        content, host, *rest, named, gone = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(content, pa.int64()), pa.array(host, pa.string()),
-                                           *[pa.array(c, pa.int64()) for c in rest], pa.array(named, pa.bool_())],
+                                           *[pa.array(c, pa.int64()) for c in rest], pa.array(named, pa.bool_()), pa.array(gone, pa.bool_())],
                                           names=schema.names)
 
     return pages.select("content", "host", "html").mapInArrow(features, schema)
@@ -361,8 +362,9 @@ def extract(pages: DataFrame, carry: list[str], url: str = "url", source: str =
     features = save_shared(page_features(rows), "page-features")
     noise = noise_nodes(features, presentation, threshold, least_pages) \
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # what a page removes by itself need not be looked up
     found = save_shared(
-        features.filter("kind = 0").select("content", "host", "node").distinct()
+        features.filter("kind = 0 AND NOT gone").select("content", "host", "node").distinct()
         .withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int"))
         .join(noise, ["host", "node", "salt"])
         .groupBy("content").agg(F.collect_set("node").alias("noise")), "page-noise")  # a page's own nodes

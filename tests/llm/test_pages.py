@@ -179,7 +179,7 @@ def test_importance_against_brute_force(spark):
     seen = defaultdict(lambda: defaultdict(set))  # (host, node) -> (kind, feature) -> pages
     for _, url, source in rows:
         page = Page(source)
-        for node, kind, feature, _ in page.features():
+        for node, kind, feature, *_ in page.features():
             seen[url.split("/")[2], node][kind, feature].add(page.signature())
     checked = 0
     for where, features in seen.items():
