@@ -10,7 +10,8 @@ find the duplicates.
 
 Nulls: a null text counts as empty.  A null id loses against any other.
 Repeated rows (same id, same content): all are members, one is kept.
-Empty table: no rows.  Other columns are carried along untouched.
+Empty table: no rows.  Very long texts are hashed whole.  Ties: see
+``exact_groups``.  Other columns are carried along untouched.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Language of web pages by Bayesian fusion of evidence.
 
 Four kinds of evidence: the likelihood of the page's text under each language
-(byte trigrams, trained on a bounded sample of labelled documents), the
+(byte trigrams, counted over all labelled documents), the
 language its markup declares, the suffix of its address, and a prior for its
 host.  All but the first are learned from the pages themselves: grouped
 aggregation of the text posteriors gives, per language, how often a
@@ -13,7 +13,8 @@ Text likelihoods are tempered: neighbouring trigrams are not independent, so
 a text counts as at most ``TEXT_UNITS`` of them.
 
 Nulls: a page without text, declaration, url or host gets what the other
-evidence says.  Repeated rows give equal results.  No labelled documents: the
+evidence says.  Very long pages are read whole, in their row.  Ties: of equally
+likely languages the first by name answers.  Repeated rows give equal results.  No labelled documents: the
 languages are empty and so are the results' language and probability.  Empty
 table: no rows.
 """

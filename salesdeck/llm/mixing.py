@@ -9,7 +9,7 @@ to target times schedule.  A target above a source's size means further
 passes over it.
 
 Nulls: a null text has no words; a null source is a source of its own, last in
-order.  Repeated rows are documents of their own.  Empty texts take no words
+order.  Very long texts are counted whole.  Repeated rows are documents of their own.  Empty texts take no words
 and no position.  Empty table: no rows.  DataFrame functions only.
 """
 

@@ -6,7 +6,8 @@ depend on the others, so adding one moves only the records it wins, and a
 shard's share is its share of the weights.
 
 Nulls: a null key is a key like any other.  Empty table: no rows.  Repeated
-rows: the same shard, a slot each.
+rows: the same shard, a slot each.  Ties of two shards' draws: the first of
+them.  A very long text is only measured and summed up.
 """
 
 from __future__ import annotations

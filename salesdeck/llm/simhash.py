@@ -10,7 +10,8 @@ that meets in several variants comes out of the first one only.  Linked
 fingerprints are joined into components by alternating large and small stars.
 
 Nulls and texts without words: fingerprint zero, linked like any other.  Fewer
-words than a shingle: the whole sequence is one shingle.  Rows with the same
+words than a shingle: the whole sequence is one shingle.  Very long texts are
+read whole, a few thousand shingles at a time.  Rows with the same
 id and text count as one.  A null id takes part in links and loses against any
 other as a component's name.  Empty table: no rows.
 """

@@ -194,3 +194,68 @@ def test_importance_against_brute_force(spark):
         assert count == m and importance == pytest.approx(PRESENTATION * min(1, layout) + (1 - PRESENTATION) * (1 - repeated), abs=1e-9)
         checked += 1
     assert checked == len(got) > 5
+
+
+def fused_by_hand(rows, languages, weights):
+    """The Bayesian fusion of every page, page by page."""
+    import math
+    import re
+    from collections import defaultdict
+
+    from salesdeck.llm.language_id import (DOMAIN_SMOOTHING, EVIDENCE_SMOOTHING, HOST_SMOOTHING, TEXT_UNITS, page_text,
+                                           trigrams)
+    n = len(languages)
+    facts = []
+    for page, url, source in rows:
+        grams = trigrams(page_text(source)).tolist()
+        fit = [sum(float(weights[k][g]) for g in grams) * min(1.0, TEXT_UNITS / max(1, len(grams))) for k in range(n)]
+        odds = [math.exp(x - max(fit)) for x in fit]
+        host = re.match(r"\w+://([^/]+)", url or "")
+        host = host[1].lower() if host else ""
+        declared = re.search(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", source or "", re.I)
+        suffix, domain = re.search(r"\.([a-z]+)$", host), re.search(r"([^.]+\.[^.]+)$", host)
+        facts.append((page, [x / sum(odds) for x in odds], host, domain[1] if domain else "",
+                      declared[1].lower() if declared else "", suffix[1] if suffix else ""))
+
+    def mass(column):
+        made = defaultdict(lambda: [0.0] * n)
+        for f in facts:
+            made[f[column]] = [a + b for a, b in zip(made[f[column]], f[1], strict=True)]
+        return made
+
+    hosts, domains, said, ends = (mass(c) for c in (2, 3, 4, 5))
+    every = [sum(f[1][k] for f in facts) for k in range(n)]
+    share = [(x + 1) / (sum(every) + n) for x in every]
+    out = []
+    for page, text, host, domain, declared, suffix in facts:
+        fit = []
+        for k in range(n):
+            prior = (domains[domain][k] + DOMAIN_SMOOTHING * share[k]) / (sum(domains[domain]) + DOMAIN_SMOOTHING)
+            x = math.log(text[k] + 1e-300) + math.log(max(hosts[host][k] - text[k], 0.0) + HOST_SMOOTHING * prior)
+            for table, value in ((said, declared), (ends, suffix)):
+                overall = sum(table[value]) / sum(every)
+                x += math.log((table[value][k] + EVIDENCE_SMOOTHING * overall) / (every[k] + EVIDENCE_SMOOTHING) + 1e-12)
+            fit.append(x)
+        odds = [math.exp(x - max(fit)) for x in fit]
+        out.append((page, languages[odds.index(max(odds))], max(odds) / sum(odds)))
+    return out
+
+
+def test_fusion_against_brute_force(spark):
+    rows = language_pages() + [(300, "http://c.site.de/long", "<html lang=aa>" + f"<p>{WORDS['bb']} " * 20_000),
+                               (301, "http://other.net/", "<p>x"), (302, "http://b.site.org/", "<html lang='zz'><p>q q q")]
+    languages, weights = train(labelled(spark))
+    got = identify(pages(spark, rows), ["page_id"], languages, weights).collect()
+    want = fused_by_hand(rows, languages, weights)
+    assert len(got) == len(want)
+    by_page = lambda r: (r[0], r[2])
+    for g, w in zip(sorted(((r.doc.page_id, r.language, r.probability) for r in got), key=by_page), sorted(want, key=by_page), strict=True):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], rel=1e-4), (g, w)
+
+
+def test_equally_likely_languages_answer_by_name(spark):
+    same = spark.createDataFrame([(i, "the very same text", lang, "s", 1) for i, lang in enumerate(("bb", "aa"))],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    languages, weights = train(same)
+    got = identify(pages(spark, [(1, "http://x.org/", "<p>the very same text")]), ["page_id"], languages, weights).collect()
+    assert languages == ["aa", "bb"] and got[0].language == "aa" and got[0].probability == pytest.approx(0.5)
