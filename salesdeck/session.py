@@ -9,6 +9,7 @@ cluster has not named one (on a cluster it must be a shared folder).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,7 +46,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not conf_dir:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
                                "(e.g. on HDFS or an object store)")
         conf_dir = tempfile.mkdtemp(prefix="salesdeck-ckpt-")
