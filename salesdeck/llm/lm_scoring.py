@@ -45,6 +45,8 @@ HELD_BYTES = 1 << 22
 #: Bytes of text that are scored together at most, and of those packed in a row.
 CHUNK_BYTES = 1 << 25
 PACKED_BYTES = 1 << 20
+#: Windows or words that a task sorts by chunk at a time.
+PACKED_ROWS = 1 << 20
 END = 10
 LONG = T.LongType()
 
@@ -280,14 +282,38 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     windows = prepared.filter("gram IS NOT NULL")
     grams = windows.groupBy(F.col("gram").alias("pair")).agg(F.sum("n").alias("n"))
 
-    def shared_out(found: DataFrame, key: str, value: str, name: str) -> DataFrame:
-        """A row for each of 64 shares of a chunk: a row a window is slow to pass to Python."""
-        return found.groupBy("chunk", F.pmod(F.hash(key), F.lit(64)).alias("share")) \
-            .agg(F.collect_list(F.struct(key, value)).alias(name)).drop("share")
-
-    looked = shared_out(windows.select("chunk", "gram").join(window_scores(grams, depth), "gram"), "gram", "log10", "windows")
+    def packed_by_chunk(found: DataFrame, key: str, value: str, name: str) -> DataFrame:
+        """Rows of one chunk that lie together, as lists: a row a window is slow
+        to pass on, and lists made by a shuffle would be shuffled twice."""
+        kinds = dict(found.dtypes)
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+                table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                chunks = table.column(0).to_numpy()
+                order = np.argsort(chunks, kind="stable")
+                distinct, first = np.unique(chunks[order], return_index=True)
+                rows = table.take(pa.array(order))
+                both = pa.StructArray.from_arrays([rows.column(1), rows.column(2)], names=[key, value])
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(distinct, pa.int64()), pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), both)],
+                    names=["chunk", name])
+
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                held.append(batch)
+                if sum(x.num_rows for x in held) >= PACKED_ROWS:
+                    yield packed(held)
+                    held = []
+            if any(x.num_rows for x in held):
+                yield packed(held)
+
+        return found.select("chunk", key, value).mapInArrow(
+            pack, f"chunk long, {name} array<struct<{key}: {kinds[key]}, {value}: {kinds[value]}>>")
+
+    looked = packed_by_chunk(windows.select("chunk", "gram").join(window_scores(grams, depth), "gram"), "gram", "log10", "windows")
     rare = words.filter(F.col("n") < tokens / frequent).withColumnRenamed("n", "times")
-    looked_words = shared_out(held_words.select("chunk", "word").join(rare, "word"), "word", "times", "words")
+    looked_words = packed_by_chunk(held_words.select("chunk", "word").join(rare, "word"), "word", "times", "words")
     shared = spark.sparkContext.broadcast(logs)
     key_type = rows.schema["key"].dataType
     schema = T.StructType([
