@@ -3,10 +3,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from salesdeck.llm import toxicity
-from salesdeck.llm.toxicity import (BUCKETS, FILTERS, WIDTHS, Network, Scorer, best_cut, fit, labelled_sample, op12_convolutional_classifier,
-                                    pieces_of, scores, words_of)
+from salesdeck.llm.toxicity import (BUCKETS, FILTERS, WIDTHS, Network, Scorer, Unit, best_cut, cuts, first_network, fit, fit_labelled, ids_of, labelled_sample,
+                                    labelled_units, op12_convolutional_classifier, pieces_of, scores, strongest, train, unit_logits, words_of)
 
 from .helpers import EDGES, documents, write
 
@@ -126,3 +127,71 @@ def test_nothing_to_learn_and_empty_tables(spark, tmp_path):
     write(documents(spark, []), tmp_path / "b", "documents")
     write(labels_of(spark, []), tmp_path / "b", "labels")
     assert op12_convolutional_classifier(spark, str(tmp_path / "b")).collect() == []
+
+
+def words_in(units):
+    """Each row's number of words, label and language, and the words' pieces in order."""
+    found = []
+    for u in units.collect():
+        ids, pieces = np.frombuffer(u.ids, np.int32), np.frombuffer(u.pieces, np.int32).reshape(-1, 1 + len(toxicity.STEMS))
+        start = 0
+        for end, y, lang, kept in zip(np.frombuffer(u.ends, np.int64).tolist(), u.labels, u.langs, u.kept, strict=True):
+            found.append((tuple(map(tuple, pieces[ids[start:end]].tolist())), y, lang, bool(kept)))
+            start = end
+    return sorted(found, key=repr)
+
+
+def test_all_labelled_rows_are_learnt_from(spark, monkeypatch):
+    rows = [*LABELLED, (5000, " ".join(f"long{i}" for i in range(20_000)), "en", 1), (5001, None, None, 0), (5003, "x y", "en", 1)]
+    docs = spark.createDataFrame([(i, t, lang) for i, t, lang, _ in rows + LABELLED[:50]], "doc_id long, text string, lang string")
+    want = sorted([(tuple(tuple(pieces_of(w)) for w in words_of((t or "").lower())) or ((BUCKETS,) * (1 + len(toxicity.STEMS)),), y, lang,
+                    zlib.crc32((t or "").encode()) % toxicity.CALIBRATION == 0) for i, t, lang, y in rows if not held_out(i)], key=repr)
+    assert len(want) > 500 and any(len(w) == 20_000 for w, *_ in want)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 60)
+    units = labelled_units(docs, labels_of(spark, rows), "doc_id", "text", "lang", "toxic")
+    assert units.count() > 5 and words_in(units) == want
+    total = units.agg(*[F.sum(c) for c in ("clean", "toxic", "kept_clean", "kept_toxic")]).first()
+    assert sum(total) == len(want) and total[1] + total[3] == sum(y for _, y, *_ in want)
+    net = fit_labelled(units)  # many units, averaged
+    unseen = [r for r in LABELLED if held_out(r[0])]
+    assert np.mean([(Scorer(net).logit(t) >= net.middle) == y for _, t, _, y in unseen]) >= 0.95
+    again = fit_labelled(units.repartition(1))
+    assert np.allclose(net.embedded, again.embedded) and again.thresholds == net.thresholds and again.middle == net.middle
+
+
+def test_what_stands_in_long_texts_only_is_learnt(spark, tmp_path):
+    def long_text(toxic):
+        made = [f"w{RNG.randrange(300)}" for _ in range(5000)]
+        return " ".join(made[:4000] + (["zonkwort"] if toxic else []) + made[4000:])
+
+    rows = LABELLED + [(9000 + n, long_text(n % 2), "en", n % 2) for n in range(160)]
+    found = {r.doc_id: r.score for r in op12_convolutional_classifier(spark, tables(spark, tmp_path, rows)).collect()}
+    unseen = [(found[i], y) for i, _, _, y in rows[len(LABELLED):] if held_out(i)]
+    assert len(unseen) > 20 and min(s for s, y in unseen if y) > max(s for s, y in unseen if not y)
+
+
+def test_strongest_equals_brute_force_in_parts(monkeypatch):
+    monkeypatch.setattr(toxicity, "AT_ONCE", 5)
+    net, seen = first_network(), {}
+    texts = ["", "a", "a b", " ".join(f"w{i % 17}" for i in range(40)), "x y z w v u"]
+    unit = Unit.of([ids_of(t, seen) for t in texts], seen, [0, 1, 0, 1, 0], [False] * 5)
+    assert np.allclose(unit_logits(net, unit, np.arange(5)), [brute_logit(net, t) for t in texts], atol=1e-5)
+    place = np.concatenate([np.append(unit.rows(i), [-1, -1]) for i in range(5)])
+    vectors = net.embedded[unit.pieces].sum(axis=1)
+    best, spots = strongest(net.filters, vectors, place, np.cumsum(np.diff(unit.ends, prepend=0) + 2))
+    for k, w in enumerate(net.filters):
+        for f in range(FILTERS):
+            at = spots[:, k * FILTERS + f]
+            assert np.allclose(best[:, k * FILTERS + f], [sum(vectors[place[a + j]] @ w[j, :, f] for j in range(len(w))) for a in at], atol=1e-5)
+    assert train(net, unit, (1.0, 1.0), 1, (0,)).embedded.shape == net.embedded.shape
+
+
+def test_cuts_in_spark_equal_best_cut(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(("en", "de", "", None)), rng.randrange(2), round(rng.gauss(0, 1), 1) * rng.choice((1, 100))) for _ in range(400)]
+    rows += [("fr", 1, 1.0)] * 20 + [("it", 1, 2.5)] * 8 + [("it", 0, 2.5)] * 8
+    found = cuts(spark.createDataFrame(rows, "lang string, label long, logit double").repartition(3))
+    assert set(found) == {None, "en", "de", "it"}
+    for lang, cut in found.items():
+        mine = [r for r in rows if lang is None or r[0] == lang]
+        assert cut == pytest.approx(best_cut(np.array([r[2] for r in mine]), np.array([r[1] for r in mine]), np.ones(len(mine)))), lang
