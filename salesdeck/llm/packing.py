@@ -20,6 +20,7 @@ many sequences and tasks.
 from __future__ import annotations
 
 import base64
+import functools
 import json
 import re
 import zlib
@@ -45,6 +46,8 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Pieces that are packed together, and parts of a text that a task remembers.
 BLOCK = 4096
 REMEMBERED = 300_000
+#: A part that is remembered must be looked up so many times, on average, to be worth it.
+LEAST_LOOKED_UP = 10
 #: Bytes of ids that are cut or placed before they are handed on.
 HELD = 1 << 23
 #: A sequence id of ordered rows: file, row in the file, sequence.
@@ -54,8 +57,11 @@ ROW_BITS, SEQUENCE_BITS = 24, 19
 class Encoder(dict):
     """Text to token ids (little-endian 32 bit).  A text is cut at single
     spaces, where the tokenizer's pattern always begins a new part, and the
-    ids of each part are remembered, as most parts come again.  The added
-    tokens of the tokenizer file ``added`` are recognised inside texts."""
+    ids of each part are remembered, as most parts come again.  If too few do
+    by the time the memory is full, texts are encoded whole from then on: the
+    ids are the same, and one call a text costs less than looking up its parts
+    in vain.  The added tokens of the tokenizer file ``added`` are recognised
+    inside texts."""
 
     #: a space between two white spaces or at the end belongs to a longer run
     run = re.compile(r"\s (?!\S)")
@@ -71,14 +77,19 @@ class Encoder(dict):
                 self.added = {a["content"]: np.array([a["id"]], "<u4").tobytes() for a in json.load(f)["added_tokens"]}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cuts = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
-        self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                        special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encode = encoding.encode_ordinary
+        self.encode_to_array = functools.partial(encoding.encode_to_numpy, disallowed_special=())
         self.remembered = remembered
+        self.looked_up = 0  # parts since the memory was empty
+        self.whole = False
 
     def __missing__(self, part: str) -> bytes:
         ids = array("I", self.encode(part)).tobytes()
         if len(part) < 64:
             if len(self) >= self.remembered:
+                self.whole = self.looked_up < LEAST_LOOKED_UP * len(self)
+                self.looked_up = 0
                 self.clear()
             self[part] = ids
         return ids
@@ -91,12 +102,19 @@ class Encoder(dict):
     def ordinary(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.run.search(text):
-            return np.array(self.encode(text), "<u4").tobytes()
+        if self.whole or self.run.search(text):
+            return self.encode_to_array(text).astype("<u4", copy=False).tobytes()
         first, *rest = text.split(" ")
+        self.looked_up += 1 + len(rest)
         return b"".join([self[first], *map(self.__getitem__, [" " + x for x in rest])])
 
 
+@functools.cache
+def encoder_of(vocabulary: str, added: str | None) -> Encoder:
+    """One for each Python worker: the next task finds it loaded, with the parts it remembers."""
+    return Encoder(vocabulary, added=added)
+
+
 def pack_block(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int]]:
     """(piece, start in it, length, sequence) for pieces shorter than
     ``capacity``; as few sequences as the tokens need."""
@@ -232,7 +250,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
 
     def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = 0
-        for one in blocks(cut(batches, Encoder(vocabulary, added=tokenizer), end, capacity, with_ids), block):
+        for one in blocks(cut(batches, encoder_of(vocabulary, tokenizer), end, capacity, with_ids), block):
             file, row = (one.column(c)[0].as_py() for c in ("file", "row"))
             # one row has fewer sequences than its bits count: ids of files and rows never meet
             sequence = max(sequence, (file << ROW_BITS | row) << SEQUENCE_BITS)
@@ -240,7 +258,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
             yield made
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from cut(batches, Encoder(vocabulary, added=tokenizer), end, capacity, with_ids)
+        yield from cut(batches, encoder_of(vocabulary, tokenizer), end, capacity, with_ids)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40

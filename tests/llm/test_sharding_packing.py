@@ -2,10 +2,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from salesdeck.llm.packing import Encoder, VOCABULARY, op2_cost_balanced_packing, pack, pack_block
+from salesdeck.llm.packing import TOKENIZER, VOCABULARY, Encoder, encoder_of, op2_cost_balanced_packing, pack, pack_block
 from salesdeck.llm.sharding import op1_rendezvous_sharding, shard_of, with_slots
 
 from .helpers import EDGES, documents, prose, write
@@ -63,6 +64,29 @@ def test_token_ids_equal_the_tokenizer():
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == want, text
 
 
+def test_texts_are_encoded_whole_when_parts_do_not_come_again():
+    texts = [prose(seed, 60, 10 ** 9) for seed in range(6)] + TEXTS
+    kept = Encoder(VOCABULARY)
+    short = Encoder(VOCABULARY, remembered=100)
+    assert [short.ids(t) for t in texts] == [kept.ids(t) for t in texts]
+    assert short.whole and not kept.whole
+    again = Encoder(VOCABULARY, remembered=4)
+    for _ in range(50):
+        again.ids("one two three four")
+    again.ids("five")
+    assert not again.whole
+
+
+def test_a_worker_loads_the_tokenizer_once(spark):
+    def loaded(batches):
+        for _ in batches:
+            made = encoder_of(VOCABULARY, TOKENIZER)
+            made.ids("one two")
+            yield pa.RecordBatch.from_pydict({"same": [encoder_of(VOCABULARY, TOKENIZER) is made and " two" in made]})
+
+    assert all(r.same for r in spark.range(8, numPartitions=2).mapInArrow(loaded, "same boolean").collect())
+
+
 def check_pieces(pieces, rows, end=0):
     encoder = Encoder(VOCABULARY)
     ids = defaultdict(list)
