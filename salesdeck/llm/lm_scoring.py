@@ -265,6 +265,37 @@ class WindowScores:
         return np.add.reduceat(self.of(keys[keep]), starts)
 
 
+def packed_by_chunk(found: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows of one chunk that lie together, each column as bytes: a row a
+    window is slow to pass on, and a struct for each takes up more bytes
+    than its two numbers.  Words are joined by a line feed, which is in none."""
+    def joined(column: pa.Array) -> bytes:
+        return b"\n".join(column.to_pylist()) if pa.types.is_binary(column.type) else column.to_numpy().tobytes()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            chunks = table.column(0).to_numpy()
+            order = np.argsort(chunks, kind="stable")
+            distinct, first = np.unique(chunks[order], return_index=True)
+            rows, ends = table.take(pa.array(order)), [*first[1:].tolist(), len(order)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(distinct, pa.int64()),
+                 *[pa.array([joined(rows.column(c).slice(a, b - a)) for a, b in zip(first.tolist(), ends, strict=True)], pa.binary())
+                   for c in (1, 2)]], names=["chunk", f"{key}s", f"{key}s_{value}"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= PACKED_ROWS:
+                yield packed(held)
+                held = []
+        if any(x.num_rows for x in held):
+            yield packed(held)
+
+    return found.select("chunk", key, value).mapInArrow(pack, f"chunk long, {key}s binary, {key}s_{value} binary")
+
+
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH,
                     frequent: int = FREQUENT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``key``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
@@ -282,38 +313,9 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     windows = prepared.filter("gram IS NOT NULL")
     grams = windows.groupBy(F.col("gram").alias("pair")).agg(F.sum("n").alias("n"))
 
-    def packed_by_chunk(found: DataFrame, key: str, value: str, name: str) -> DataFrame:
-        """Rows of one chunk that lie together, as lists: a row a window is slow
-        to pass on, and lists made by a shuffle would be shuffled twice."""
-        kinds = dict(found.dtypes)
-
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-                table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                chunks = table.column(0).to_numpy()
-                order = np.argsort(chunks, kind="stable")
-                distinct, first = np.unique(chunks[order], return_index=True)
-                rows = table.take(pa.array(order))
-                both = pa.StructArray.from_arrays([rows.column(1), rows.column(2)], names=[key, value])
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(distinct, pa.int64()), pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), both)],
-                    names=["chunk", name])
-
-            held: list[pa.RecordBatch] = []
-            for batch in batches:
-                held.append(batch)
-                if sum(x.num_rows for x in held) >= PACKED_ROWS:
-                    yield packed(held)
-                    held = []
-            if any(x.num_rows for x in held):
-                yield packed(held)
-
-        return found.select("chunk", key, value).mapInArrow(
-            pack, f"chunk long, {name} array<struct<{key}: {kinds[key]}, {value}: {kinds[value]}>>")
-
-    looked = packed_by_chunk(windows.select("chunk", "gram").join(window_scores(grams, depth), "gram"), "gram", "log10", "windows")
+    looked = packed_by_chunk(windows.select("chunk", "gram").join(window_scores(grams, depth), "gram"), "gram", "log10")
     rare = words.filter(F.col("n") < tokens / frequent).withColumnRenamed("n", "times")
-    looked_words = packed_by_chunk(held_words.select("chunk", "word").join(rare, "word"), "word", "times", "words")
+    looked_words = packed_by_chunk(held_words.select("chunk", "word").join(rare, "word"), "word", "times")
     shared = spark.sparkContext.broadcast(logs)
     key_type = rows.schema["key"].dataType
     schema = T.StructType([
@@ -322,11 +324,13 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", de
 
     def score(chunk: pa.Table) -> pa.Table:
         """A row for each document of the chunk."""
-        found = chunk.column("windows").combine_chunks().flatten()
-        tree = WindowScores(found.field("gram").to_numpy().astype(np.uint64), found.field("log10").to_numpy())
-        seldom = chunk.column("words").combine_chunks().flatten()
-        times = seldom.field("times").to_numpy(zero_copy_only=False)
-        rare_logs = dict(zip(seldom.field("word").to_pylist(), np.log10((times + 0.5) / mass).tolist(), strict=True))
+        def column(name: str) -> list[bytes]:
+            return chunk.column(name).drop_null().to_pylist()
+
+        tree = WindowScores(np.frombuffer(b"".join(column("grams")), np.uint64), np.frombuffer(b"".join(column("grams_log10")), np.float32))
+        times = np.frombuffer(b"".join(column("words_times")), np.int64)
+        seldom = [w for part in column("words") for w in part.split(b"\n")]
+        rare_logs = dict(zip(seldom, np.log10((times + 0.5) / mass).tolist(), strict=True))
         logs = shared.value
         unknown = float(np.log10(0.5 / mass))
         packed = chunk.filter(chunk.column("texts").is_valid())

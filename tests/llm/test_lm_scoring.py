@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from salesdeck.llm.lm_scoring import grams_of, op9_probabilistic_suffix_tree, score_documents, training, words_and_bytes
+from salesdeck.llm.lm_scoring import grams_of, op9_probabilistic_suffix_tree, packed_by_chunk, score_documents, training, words_and_bytes
 
 from .helpers import EDGES, documents, prose, write
 from .suffix_automaton import run_automaton, suffix_tree
@@ -118,3 +118,25 @@ def test_rare_contexts_of_a_large_corpus_are_retained(spark):
     for chunk_bytes in (1 << 25, 100_000):
         got = {r.doc_id: r.score for r in score_documents(documents(spark, rows), chunk_bytes=chunk_bytes).collect()}
         assert [got[i] for i, _, _ in rows] == pytest.approx(want.tolist(), rel=1e-4)
+
+
+def test_lookups_travel_as_bytes(spark, monkeypatch):
+    rows = [(c, g << 20 | c, (-g - c) / 8) for c in range(3) for g in range(200)]
+    found = {}
+    for r in packed_by_chunk(spark.createDataFrame(rows, "chunk long, gram long, log10 float").repartition(2), "gram", "log10").collect():
+        grams, logs = np.frombuffer(r.grams, np.int64), np.frombuffer(r.grams_log10, np.float32)
+        found.setdefault(r.chunk, []).extend(zip(grams.tolist(), logs.tolist(), strict=True))
+    assert {c: sorted(x) for c, x in found.items()} == {c: [(g, v) for k, g, v in rows if k == c] for c in range(3)}
+    words = [(c, w, n) for c in range(2) for n, w in enumerate((b"", b"one", "é".encode(), b"\xc2\xa0"))]
+    found = set()
+    for r in packed_by_chunk(spark.createDataFrame(words, "chunk long, word binary, times long"), "word", "times").collect():
+        found |= {(r.chunk, w, n) for w, n in zip(bytes(r.words).split(b"\n"), np.frombuffer(r.words_times, np.int64).tolist(), strict=True)}
+    assert found == set(words)
+
+
+def test_scores_with_all_words_rare_equal_those_with_all_frequent(spark):
+    rows = [(n, f"w{n % 7} w{n} common \xa0 x") for n in range(60)] + [(100, None), (101, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = ({r.doc_id: (r.n_tokens, r.n_known, round(r.base_score, 9), r.score) for r in score_documents(docs, frequent=f, chunk_bytes=200).collect()}
+                for f in (1, 1 << 20))
+    assert one == two and len(one) == len(rows)
